@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, token_blocks
 from .common import documents
 
 
@@ -14,12 +15,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_filter(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_blocks": op1_token_blocks,
     "op3_quality_rules": op3_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
