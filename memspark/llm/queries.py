@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, pii, quality_rules, token_blocks
-from .common import documents
+from . import byte_bpe, exact_dedup, language_id, pii, quality_rules, token_blocks
+from .common import documents, split_remainder
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +32,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    models = language_id.learn(docs.filter(split_remainder("doc_id", 3) != 1))
+    return language_id.identify(docs, models).withColumn("held_out", split_remainder("doc_id", 3) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_language_id": op7_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
