@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, pii, quality_rules, token_blocks
-from .common import documents, split_remainder
+from . import byte_bpe, exact_dedup, language_id, pii, quality_rules, token_blocks, toxicity
+from .common import documents, labels, split_remainder
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +38,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, models).withColumn("held_out", split_remainder("doc_id", 3) == 1)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, labels(spark, sf_dir).filter(split_remainder("doc_id", 5) != 0))
+    return toxicity.score(docs, model).withColumn("held_out", split_remainder("doc_id", 5) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
