@@ -34,7 +34,8 @@ BLOCK = 256
 PERCENTILE = 95
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-CACHE = 400_000
+#: Chunks that an encoder remembers.
+CACHE = 1_200_000
 _HEAD = struct.Struct("<4sHHIII")
 _INFO = np.dtype([("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 _NULL_ID = np.iinfo(np.int64).min
@@ -130,15 +131,33 @@ class LibraryEncoder:
         cut = [chunks(t) for t in texts]
         if len(self.known) > CACHE:
             self.known = {}
-        new = list(set(chain.from_iterable(cut)) - self.known.keys())
-        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        got = [list(map(self.known.get, c)) for c in cut]
+        open_ = [i for i, g in enumerate(got) if None in g]
+        new = list({c for i in open_ for c, g in zip(cut[i], got[i], strict=True) if g is None})
+        self._learn([x for x in new if x[0] == " "])
+        alone = [x for x in new if x[0] != " "]
+        for c, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.known[c] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for i in open_:
+            got[i] = map(self.known.__getitem__, cut[i])
+        out = list(map(b"".join, got))
         for c in cut:
             if len(c) == 1:
                 self.known.pop(c[0], None)
         return out
 
+    def _learn(self, new: list[str], at_once: int = 20_000) -> None:
+        """Encode many chunks in one call: each begins at a boundary, so their ids are those of one long text."""
+        for i in range(0, len(new), at_once):
+            some = new[i : i + at_once]
+            e = self.library.encode("".join(some), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            # a token belongs to the chunk that holds its last character
+            last = np.fromiter((b for _, b in e.offsets), np.int64, len(e.ids))
+            ends = np.cumsum([len(x) for x in some])
+            cuts = [0, *(np.searchsorted(last, ends, side="right") * 4).tolist()]
+            self.known.update({c: ids[a:b] for c, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)})
+
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
