@@ -25,7 +25,8 @@ from .pretoken import chunks, portions
 
 #: Bits of a word of the bitmap: 197 words cover 50,257 ranks.
 WORD = 256
-CACHE = 700_000
+#: Chunks, and pre-tokens, that a worker remembers.
+CHUNKS, PIECES = 800_000, 1_500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,8 +62,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         bits = words[word]
         rank = word * WORD + (bits & -bits).bit_length() - 1
         bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
             del buckets[rank]
             words[word] = bits = bits & (bits - 1)
             if not bits:
@@ -72,24 +75,36 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         j = end[i]
         k = end[i] = end[j]
         end[j] = 0
-        rank_of[i] = rank_of[j] = -1
+        rank_of[j] = -1
+        new = None
         if k < n:
             before[k] = i
+            new = get(piece[i : end[k]])
+        if new is None:
+            rank_of[i] = -1
+        else:
+            rank_of[i] = new
+            if new in buckets:
+                heappush(buckets[new], i)
+            else:
+                buckets[new] = [i]
+                word = new // WORD
+                words[word] = words.get(word, 0) | 1 << new % WORD
+                top |= 1 << word
         h = before[i]
-        for at, to in ((i, end[k] if k < n else 0), (h, k if h >= 0 else 0)):
-            if not to:
-                continue
-            rank = get(piece[at:to])
-            if rank is None:
-                rank_of[at] = -1
-                continue
-            rank_of[at] = rank
-            if rank in buckets:
-                heappush(buckets[rank], at)
+        if h < 0:
+            continue
+        new = get(piece[h:k])
+        if new is None:
+            rank_of[h] = -1
+        else:
+            rank_of[h] = new
+            if new in buckets:
+                heappush(buckets[new], h)
             else:
-                buckets[rank] = [at]
-                word = rank // WORD
-                words[word] = words.get(word, 0) | 1 << rank % WORD
+                buckets[new] = [h]
+                word = new // WORD
+                words[word] = words.get(word, 0) | 1 << new % WORD
                 top |= 1 << word
     out, i = [], 0
     while i < n:
@@ -99,7 +114,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Ids of texts; space-cut chunks and pre-tokens met before are remembered up to ``CACHE`` entries."""
+    """Ids of texts; space-cut chunks and pre-tokens met before are remembered up to ``CHUNKS`` and ``PIECES`` entries."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -114,25 +129,32 @@ class Encoder:
         self.pieces: dict[str, list[int]] = {}
 
     def chunk(self, text: str) -> list[int]:
+        found = self.split(text)
+        pieces, ranks = self.pieces, self.ranks
         out: list[int] = []
-        for piece in self.split(text):
-            ids = self.pieces.get(piece)
+        for piece in found:
+            ids = pieces.get(piece)
             if ids is None:
-                ids = self.pieces[piece] = merge(piece.encode(), self.ranks)
+                ids = pieces[piece] = merge(piece.encode(), ranks)
             out += ids
         return out
 
     def encode(self, text: str) -> list[int]:
-        if len(self.known) > CACHE or len(self.pieces) > CACHE:
-            self.known, self.pieces = {}, {}
+        if len(self.known) > CHUNKS:
+            self.known = {}
+        if len(self.pieces) > PIECES:
+            self.pieces = {}
         cut = chunks(text)
         known = self.known
-        for c in {x for x in cut if x not in known}:
-            known[c] = self.chunk(c)
-        ids = list(chain.from_iterable(map(known.__getitem__, cut)))
+        got = list(map(known.get, cut))
+        if None in got:
+            for i, c in enumerate(cut):
+                if got[i] is None:
+                    ids = known.get(c)
+                    got[i] = known.setdefault(c, self.chunk(c)) if ids is None else ids
         if len(cut) == 1:
             known.pop(cut[0], None)
-        return ids
+        return list(chain.from_iterable(got))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
