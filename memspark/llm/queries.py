@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, jaccard_join, language_id, pii, quality_rules, token_blocks, toxicity
+from . import byte_bpe, exact_dedup, jaccard_join, language_id, lm_score, pii, quality_rules, token_blocks, toxicity
 from .common import documents, labels, split_remainder
 
 
@@ -19,6 +19,10 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_filter(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,6 +54,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_lm_score": op2_lm_score,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
     "op6_byte_bpe": op6_byte_bpe,
