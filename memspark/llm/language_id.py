@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,3 +268,21 @@ def predictions(score: Scorer, langs: np.ndarray, limit: np.ndarray, texts: list
     cut = np.append(limit, 0.0)[best] + REJECT_SHORT / np.sqrt(np.maximum(chars, 1))
     rejected = none | ((chars >= 40) & (low > cut))
     return [pa.array(langs[best], pa.string()), pa.array(np.where(none, 0.0, p)), pa.array(np.where(none, 0.0, low)), pa.array(rejected)]
+
+
+def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
+    """``docs`` without the rows that identification rejects; all columns stay."""
+    bound = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(bound.value)
+        langs = np.array([*bound.value.langs, "und"], object)
+        limit = bound.value.mean + np.maximum(REJECT_SPREAD * bound.value.spread, REJECT_BITS)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
+                rejected = predictions(score, langs, limit, [t or "" for t in b.column(at).to_pylist()])[3]
+                yield b.filter(pc.invert(rejected))
+
+    return docs.mapInArrow(run, docs.schema)
