@@ -39,6 +39,9 @@ HASH_BITS = 18
 TELLING = 4.0
 ROUNDS = 40
 TOLERANCE = 1e-6
+DAMPING = 1e-3
+#: A step that betters the fit by less than this share is the last.
+STALL = 0.02
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -163,25 +166,26 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{c} double" for c in COLUMNS))
 
 
-def rate_column(steps: list[np.ndarray]) -> Column:
+def rate_column(steps: list[np.ndarray], most: float = float("inf")) -> Column:
     """The rate after ``steps``, from a document's posteriors."""
     rate = F.lit(1.0)
     for y in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(d) * float(v) for d, v in zip(COLUMNS, y, strict=True)), F.lit(0.0)))
+        rate = F.least(F.lit(most), F.greatest(F.lit(0.0), rate - sum((F.col(d) * float(v) for d, v in zip(COLUMNS, y, strict=True)), F.lit(0.0))))
     return rate
 
 
-def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def rates_of(p: np.ndarray, steps: list[np.ndarray], most: float = float("inf")) -> np.ndarray:
     rate = np.ones(len(p))
     for y in steps:
-        rate = np.maximum(0.0, rate - p @ y)
+        rate = np.clip(rate - p @ y, 0.0, most)
     return rate
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, most: float = float("inf")) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, expected totals, target totals) for posteriors and tokens in ``members``.
 
-    The token budget keeps the expected total of the first domain.
+    The token budget keeps the expected total of the first domain.  Rates may have an upper bound ``most``; the
+    projection is then onto [0, most], and the fit is the nearest that the bound allows.
     """
     k = len(DOMAINS)
     want = np.array([targets[d] for d in DOMAINS], float)
@@ -191,15 +195,17 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[
     gram = np.array([first[k + i] or 0.0 for i in range(k * k)]).reshape(k, k)
     if not have.sum():
         return [], have, goal
-    gram += np.eye(k) * 1e-9 * gram.trace()
+    # damped, so that domains which the posteriors hardly tell apart don't get extreme rates
+    gram += np.eye(k) * DAMPING * gram.trace()
     steps: list[np.ndarray] = []
-    got = have
+    got, off = have, np.inf
     for _ in range(ROUNDS):
-        if np.abs(got - goal).max() <= TOLERANCE * goal.sum():
+        now = np.abs(got - goal).max()
+        if now <= TOLERANCE * goal.sum() or now > (1 - STALL) * off:
             break
+        off = now
         steps.append(np.linalg.solve(gram, got - goal))
-        rate = rate_column(steps)
-        row = members.agg(*(F.sum(F.col(d) * F.col("n_tokens") * rate).alias(d) for d in COLUMNS)).first()
+        row = members.agg(*(F.sum(F.col(d) * F.col("n_tokens") * rate_column(steps, most)).alias(d) for d in COLUMNS)).first()
         got = np.array([row[d] for d in COLUMNS])
     return steps, got, goal
 
@@ -224,18 +230,17 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` thinned to the targets: rates are scaled so that the highest possible one is 1."""
+    """``docs`` thinned to the targets: rates lie between 0 and 1, so no row is repeated."""
     model = fit(docs, labels)
     members = materialize(memberships(docs, model), "members")
-    steps, _, _ = fit_rates(members, targets)
-    most = max(1.0, members.agg(F.max(rate_column(steps))).first()[0] or 1.0)
+    steps, _, _ = fit_rates(members, targets, most=1.0)
     names, schema = docs.columns, docs.schema
     bound = docs.sparkSession.sparkContext.broadcast((model, steps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, y = bound.value
         for b in batches:
-            rate = rates_of(m.posteriors(b.column(names.index("text")))[0], y) / most
+            rate = rates_of(m.posteriors(b.column(names.index("text")))[0], y, 1.0)
             ids = b.column(names.index("doc_id")).fill_null(0).to_numpy()
             yield b.filter(pa.array(copies(rate, ids) > 0))
 
