@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretoken import chunks, portions
+from .pretoken import cut, portions
 
 #: Bits of a word of the bitmap: 197 words cover 50,257 ranks.
 WORD = 256
@@ -144,17 +144,17 @@ class Encoder:
             self.known = {}
         if len(self.pieces) > PIECES:
             self.pieces = {}
-        cut = chunks(text)
+        head, *tail = cut(text)
         known = self.known
-        got = list(map(known.get, cut))
+        got = list(map(known.get, tail))
         if None in got:
-            for i, c in enumerate(cut):
+            for i, c in enumerate(tail):
                 if got[i] is None:
                     ids = known.get(c)
-                    got[i] = known.setdefault(c, self.chunk(c)) if ids is None else ids
-        if len(cut) == 1:
-            known.pop(cut[0], None)
-        return list(chain.from_iterable(got))
+                    if ids is None:
+                        ids = known[c] = self.chunk(" " + c)
+                    got[i] = ids
+        return list(chain(self.chunk(head), chain.from_iterable(got)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))

@@ -1,4 +1,4 @@
-"""Cutting texts at spaces that are pre-token boundaries, so that encoders can remember chunks.
+"""Cutting texts at spaces that are pre-token boundaries, so that encoders can remember pieces.
 
 The byte-level pattern lets a single space join the letters, digits or signs behind it, and a run of
 white space gives up only its last character.  So a cut before a space is a boundary of the pattern,
@@ -7,20 +7,22 @@ unless that space is followed by white space or the end of the text: such texts
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 
-_UNSAFE = re.compile(r" (?=\s|\Z)")
+# The characters with the White_Space property, and four controls that some engines count too.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+_UNSAFE = tuple(" " + c for c in _SPACES)
+_UNSAFE_ASCII = tuple(x for x in _UNSAFE if x.isascii())
 
 
-def chunks(text: str) -> list[str]:
-    """Pieces whose concatenation is ``text``; encoding them one by one equals encoding the whole."""
-    if _UNSAFE.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+def cut(text: str) -> list[str]:
+    """Pieces p0, p1, ... with text = p0 + " " + p1 + ...; encoding p0, " " + p1, ... one by one equals encoding the whole."""
+    for x in _UNSAFE_ASCII if text.isascii() else _UNSAFE:
+        if x in text:
+            return [text]
+    return text.split(" ") if not text.endswith(" ") else [text]
 
 
 def portions(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:

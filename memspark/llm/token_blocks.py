@@ -19,7 +19,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions_for, scratch_dir
-from .pretoken import chunks, portions
+from .pretoken import cut, portions
 
 BLOCK = 256
 PERCENTILE = 95
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-#: Chunks that an encoder remembers.
-CACHE = 1_200_000
+#: Pieces that an encoder remembers.
+CACHE = 1_500_000
 _HEAD = struct.Struct("<4sHHIII")
 _INFO = np.dtype([("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 _NULL_ID = np.iinfo(np.int64).min
@@ -62,8 +61,9 @@ def pack(values: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
     packed = np.where(out, 0, d)
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        bits = (packed[at][:, :, None] >> np.arange(int(w), dtype=np.uint32)) & 1
-        for i, row in zip(at, np.packbits(bits.astype(np.uint8).reshape(len(at), -1), axis=1), strict=True):
+        kind = np.dtype(">u2") if w <= 16 else np.dtype(">u4")
+        bits = np.unpackbits(packed[at].astype(kind).view(np.uint8).reshape(-1, kind.itemsize), axis=1)[:, 8 * kind.itemsize - int(w) :]
+        for i, row in zip(at, np.packbits(bits.reshape(len(at), -1), axis=1), strict=True):
             body[i] = row.tobytes()
     for i in np.flatnonzero(info["exceptions"]):
         place = np.flatnonzero(out[i])
@@ -88,7 +88,10 @@ def unpack(data: bytes, n: int, block: int = BLOCK, only: slice | None = None) -
         size = (block * int(w) + 7) // 8
         where = base + starts[at[own]].astype(np.int64)
         bits = np.unpackbits(raw[where[:, None] + np.arange(size)], axis=1)[:, : block * int(w)]
-        out[own] = (bits.reshape(len(own), block, int(w)).astype(np.uint32) << np.arange(int(w), dtype=np.uint32)).sum(2, dtype=np.uint32)
+        kind = np.dtype(">u2") if w <= 16 else np.dtype(">u4")
+        full = np.zeros((len(own) * block, 8 * kind.itemsize), np.uint8)
+        full[:, 8 * kind.itemsize - int(w) :] = bits.reshape(-1, int(w)) if w else 0
+        out[own] = np.packbits(full, axis=1).view(kind).reshape(len(own), block)
     for k in np.flatnonzero(info["exceptions"][at]):
         i = at[k]
         m = int(info["exceptions"][i])
@@ -117,7 +120,7 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder:
-    """Ids of texts by the tokenizers library, as little-endian bytes; chunks met before are remembered."""
+    """Ids of texts by the tokenizers library, as little-endian bytes; pieces met before are remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -125,43 +128,54 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # a byte-level token has a character for each of its bytes
+        vocabulary = self.library.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+        #: Ids of " " + piece.
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in texts]
         if len(self.known) > CACHE:
             self.known = {}
-        got = [list(map(self.known.get, c)) for c in cut]
+        pieces = [cut(t) for t in texts]
+        heads = self.library.encode_batch_fast([p[0] for p in pieces], add_special_tokens=False)
+        got = [list(map(self.known.get, p)) for p in pieces]
+        for g, e in zip(got, heads, strict=True):
+            g[0] = np.array(e.ids, "<u4").tobytes()
         open_ = [i for i, g in enumerate(got) if None in g]
-        new = list({c for i in open_ for c, g in zip(cut[i], got[i], strict=True) if g is None})
-        self._learn([x for x in new if x[0] == " "])
-        alone = [x for x in new if x[0] != " "]
-        for c, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
+        self._learn(list({c for i in open_ for c, g in zip(pieces[i], got[i], strict=True) if g is None}))
         for i in open_:
-            got[i] = map(self.known.__getitem__, cut[i])
-        out = list(map(b"".join, got))
-        for c in cut:
-            if len(c) == 1:
-                self.known.pop(c[0], None)
-        return out
+            got[i][1:] = map(self.known.__getitem__, pieces[i][1:])
+        return list(map(b"".join, got))
 
     def _learn(self, new: list[str], at_once: int = 20_000) -> None:
-        """Encode many chunks in one call: each begins at a boundary, so their ids are those of one long text."""
+        """Encode many pieces in one call: each begins at a boundary, so their ids are those of one long text."""
         for i in range(0, len(new), at_once):
             some = new[i : i + at_once]
-            e = self.library.encode("".join(some), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            # a token belongs to the chunk that holds its last character
-            last = np.fromiter((b for _, b in e.offsets), np.int64, len(e.ids))
-            ends = np.cumsum([len(x) for x in some])
-            cuts = [0, *(np.searchsorted(last, ends, side="right") * 4).tolist()]
+            e = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0]
+            found = np.array(e.ids, "<u4")
+            ids = found.tobytes()
+            # tokens are counted off by their bytes
+            ends = np.cumsum([len(x.encode()) + 1 for x in some])
+            cuts = [0, *(np.searchsorted(np.cumsum(self.bytes[found]), ends, side="right") * 4).tolist()]
             self.known.update({c: ids[a:b] for c, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)})
 
 
+_ENCODERS: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    """One encoder a Python worker: what it remembers lasts from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = LibraryEncoder(path)
+    return _ENCODERS[path]
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = LibraryEncoder(path), TaskContext.get().partitionId()
+        encode, part = library_encoder(path), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         ids: list = []
         lengths: list[int] = []
