@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -15,3 +16,24 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/memspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, c): for each vertex of ``edges`` (a, b) the smallest vertex it reaches; ids of any ordered type.
+
+    Min-label contraction: each round maps a vertex to its smallest neighbour, follows the map twice and
+    contracts the edges, so the number of rounds grows with the logarithm of the longest path.
+    """
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = None
+    while True:
+        near = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        jump = near.select(F.col("a").alias("_a"), F.col("m").alias("_m"))
+        step = materialize(near.join(jump, F.col("m") == F.col("_a"), "left").select(F.col("a").alias("v"), F.coalesce("_m", "m").alias("c")))
+        move = step.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
+        labels = step if labels is None else materialize(labels.join(move, F.col("c") == F.col("_v"), "left").select("v", F.coalesce("_c", "c").alias("c")))
+        over = move.select(F.col("_v").alias("_w"), F.col("_c").alias("_d"))
+        both = both.join(move, F.col("a") == F.col("_v")).join(over, F.col("b") == F.col("_w"))
+        both = materialize(both.filter("_c <> _d").select(F.col("_c").alias("a"), F.col("_d").alias("b")).distinct())
+        if both.isEmpty():
+            return labels
