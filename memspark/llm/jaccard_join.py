@@ -9,7 +9,8 @@ Copies never multiply pairs:
 1. documents with equal sets form a class and its smallest doc_id alone goes on;
 2. in each posting list every document is paired with the list's leader only; pairs that share enough prefix
    shingles are verified on whole texts, and the links' components are found;
-3. what is left, pairs of different components, goes through the full multi-match join and is verified.
+3. what is left, pairs of different components, goes through the full multi-match join and is verified; such a
+   pair's first match lies within the plain prefixes (l = 1), so only pairs that meet there are counted.
 A group of near copies thus costs pairs in proportion to its members, and no link between components is lost.
 
 Defined results: texts without words, and null texts, have an empty set, link with nothing and are their own
@@ -156,10 +157,36 @@ def _overlap(a: str, b: str, percent: int) -> str:
     return f"ceil({percent} * ({a} + {b}) / {100 + percent}.0D - 1e-9)"
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    """The distinct ids of ``pairs`` as ``_id``, with a broadcast hint where their number is within the bound."""
+    ids = materialize(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
+def enough_matches(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a longer, b shorter) that share as many prefix shingles as a asks for.
+
+    Every pair that is to be found has a first match within the plain prefixes, so this looks at few pairs.
+    """
+    own = rows.join(_ids(pairs), F.col("doc_id") == F.col("_id"), "left_semi")
+    full = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "l", F.col("prefix").alias("pa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, asked = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb", "l"))
+            spare = -(-percent * (na + nb) // (100 + percent))
+            left, right = b.column("pa").to_pylist(), b.column("pb").to_pylist()
+            keep = []
+            for x, y, i, j, m in zip(left, right, (na - spare + asked).tolist(), (nb - spare + asked).tolist(), asked.tolist(), strict=True):
+                keep.append(len(np.intersect1d(np.frombuffer(x, np.uint64)[:i], np.frombuffer(y, np.uint64)[:j], assume_unique=True)) >= m)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return full.select("a", "b", "na", "nb", "l", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose whole sets reach the threshold."""
-    ids = materialize(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ids")
-    side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    side = _ids(pairs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id") == F.col("_id"), "left_semi")
     full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -206,15 +233,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = materialize(verify(materialize(stars, "stars"), docs, width, percent), "links")
     joined = components(links)
 
-    # 3. pairs of different components, by the full multi-match condition
-    sides = lists.select("token", "pos", "n", "doc", "l").join(joined.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
+    # 3. pairs of different components: a first match within the plain prefixes, then the full multi-match count
+    sides = lists.select("token", "pos", "n", "doc").join(joined.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
     sides = materialize(sides, "sides")
-    x, y = (sides.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("pos", "n", "doc", "l", "c"))) for s in "xy")
+    x, y = (sides.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("pos", "n", "doc", "c"))) for s in "xy")
     o = _overlap("x_n", "y_n", percent)
-    fits = f"x_c <> y_c and (x_n > y_n or x_n = y_n and x_doc > y_doc) and y_n >= {o} and x_pos < x_n - {o} + x_l and y_pos < y_n - {o} + x_l"
+    fits = f"x_c <> y_c and (x_n > y_n or x_n = y_n and x_doc > y_doc) and y_n >= {o} and x_pos < x_n - {o} + 1 and y_pos < y_n - {o} + 1"
     y = y.withColumnRenamed("token", "_token")
-    rest = x.join(y, (F.col("token") == F.col("_token")) & F.expr(fits)).groupBy(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).agg(F.count("*").alias("m"), F.min("x_l").alias("l"))
-    rest = materialize(rest.filter("m >= l").select("a", "b"), "rest")
+    rest = x.join(y, (F.col("token") == F.col("_token")) & F.expr(fits)).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
+    rest = materialize(enough_matches(materialize(rest, "met"), rows, percent), "rest")
     more = materialize(verify(rest, docs, width, percent), "more")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
