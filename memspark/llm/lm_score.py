@@ -33,8 +33,8 @@ END = np.uint64(0x0123456789ABCDEF)
 BUCKETS = 20
 #: Steps of the histogram for EM, a quarter of a bit; the last bin is for zero.
 _BINS = 160
-#: Tokens of a block, at least, where its task has so many.
-BLOCK_TOKENS = 6_000_000
+#: Tokens of a block, at least, where its task has so many; a task holds some 100 bytes for each.
+BLOCK_TOKENS = 1_500_000
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -91,9 +91,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word[ends] = False
             tokens[ends], tokens[word] = END, hashes
             held.append((ids[first : first + n], train[first : first + n], counts + 1, tokens))
-        if sum(len(h[3]) for h in held) >= BLOCK_TOKENS:
-            yield block()
-            held, seq = [], seq + 1
+            if sum(len(h[3]) for h in held) >= BLOCK_TOKENS:
+                yield block()
+                held, seq = [], seq + 1
     if held:
         yield block()
 
