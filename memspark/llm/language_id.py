@@ -167,6 +167,8 @@ class Scorer:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bits per character: texts x languages, characters)."""
+        if not self.models.langs:
+            return np.zeros((len(texts), 0)), np.zeros(len(texts))
         found = [LETTERS.findall(t.lower()) for t in texts]
         if len(self.at) > CACHE:
             self.at, self.table = {}, self.table[:0]
