@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.plans import facts, graph_sessions, rules, search, streams  # noqa: F401
+from memspark.plans import facts, graph_sessions, lifecycle, rules, search, streams  # noqa: F401
 from memspark.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
