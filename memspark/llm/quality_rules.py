@@ -24,7 +24,7 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Ratio, and the slack above the fence that any group allows.
-RATIOS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.20, "repeat_ratio": 0.10, "mean_word": 3.0}
+RATIOS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.25, "repeat_ratio": 0.25, "mean_word": 3.0}
 FENCE = 3.0
 MIN_GROUP = 200
 ACCURACY = 1000
