@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import held
 from .pretoken import cut, portions
 
 #: Bits of a word of the bitmap: 197 words cover 50,257 ranks.
@@ -160,14 +161,9 @@ class Encoder:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder a Python worker: what it remembers lasts from task to task."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    return held.only(("byte_bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

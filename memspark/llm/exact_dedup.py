@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import held
 from .common import WS, materialize
 
 BITS_PER_ROW = 16
@@ -52,6 +53,7 @@ def _counted(segments: int):
     """Each task counts its own rows in a local filter and emits (segment, once, twice) bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.clear()
         keys, counts = [], []
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False)
@@ -147,8 +149,8 @@ def flag_repeats(docs: DataFrame, text: str = "text", max_broadcast_bytes: int =
     bitmaps, segments = repeat_filter(rows.select("h"), n)
     if segments * SEGMENT_BITS // 8 > max_broadcast_bytes:
         return _by_join(rows, bitmaps, segments)
-    held = {r[0]: bytes(r[1]) for r in bitmaps.toLocalIterator()}
-    return rows.withColumn("maybe", F.pandas_udf(_tester(held, segments), "boolean")("h"))
+    sent = {r[0]: bytes(r[1]) for r in bitmaps.toLocalIterator()}
+    return rows.withColumn("maybe", F.pandas_udf(_tester(sent, segments), "boolean")("h"))
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -180,8 +182,8 @@ def drop_duplicates(docs: DataFrame, text: str = "text", max_broadcast_bytes: in
         kept = kept.select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_of")).distinct()
         firsts = full.join(kept, (F.col("_sha") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
         return firsts.dropDuplicates(["_sha"]).select(*names)
-    held = {r[0]: bytes(r[1]) for r in bitmaps.toLocalIterator()}
-    probe = F.pandas_udf(_tester(held, segments), "boolean")
+    sent = {r[0]: bytes(r[1]) for r in bitmaps.toLocalIterator()}
+    probe = F.pandas_udf(_tester(sent, segments), "boolean")
     full = full.withColumn("_maybe", probe(F.conv(F.substring(F.hex("_sha"), 2, 15), 16, 10).cast("long")))
     alone = full.filter("not _maybe").select(*names)
     again = full.filter("_maybe")

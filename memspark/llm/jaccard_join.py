@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import held
 from .common import materialize, partitions_for
 from .components import components
 from .wordhash import shingles, word_chunks
@@ -53,6 +54,7 @@ def shingle_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """Counts of shingles by hash bucket over all texts, as 8 * log2(1 + count)."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.clear()
         table = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             for _, counts, hashes in word_chunks(b.column(0)):
@@ -81,6 +83,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     levels = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.clear()
         level = levels.value
         frequency = np.exp2(np.arange(256) / 8) - 1
         noise = float(frequency[level].mean())

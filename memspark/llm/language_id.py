@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import held
 from .common import materialize
 from .pretoken import portions
 
@@ -44,7 +45,7 @@ REJECT_SPREAD = 8.0
 REJECT_BITS = 1.5
 #: Short texts may lie further out: so many bits over the square root of their characters.
 REJECT_SHORT = 16.0
-CACHE = 500_000
+CACHE = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _EDGE = "\x02"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -246,6 +247,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     bound = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.clear()
         score = Scorer(bound.value)
         langs = np.array([*bound.value.langs, "und"], object)
         limit = bound.value.mean + np.maximum(REJECT_SPREAD * bound.value.spread, REJECT_BITS)
@@ -278,6 +280,7 @@ def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.clear()
         score = Scorer(bound.value)
         langs = np.array([*bound.value.langs, "und"], object)
         limit = bound.value.mean + np.maximum(REJECT_SPREAD * bound.value.spread, REJECT_BITS)

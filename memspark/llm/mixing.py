@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import held
 from .common import materialize
 from .wordhash import mix, shingles, word_chunks
 
@@ -114,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifi
     fold = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.clear()
         table = np.zeros((1 << HASH_BITS, len(DOMAINS)), np.int64)
         texts = np.zeros(len(DOMAINS), np.int64)
         for b in batches:
@@ -238,6 +240,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     bound = docs.sparkSession.sparkContext.broadcast((model, steps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.clear()
         m, y = bound.value
         for b in batches:
             rate = rates_of(m.posteriors(b.column(names.index("text")))[0], y, 1.0)

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import held
 from .common import partitions_for, scratch_dir
 from .pretoken import cut, portions
 
@@ -163,14 +164,9 @@ class LibraryEncoder:
             self.known.update({c: ids[a:b] for c, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)})
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
     """One encoder a Python worker: what it remembers lasts from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryEncoder(path)
-    return _ENCODERS[path]
+    return held.only(("tokenizers", path), lambda: LibraryEncoder(path))
 
 
 def _encode(path: str, end_id: int):
@@ -179,11 +175,11 @@ def _encode(path: str, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         ids: list = []
         lengths: list[int] = []
-        held: list[bytes] = []
+        parts: list[bytes] = []
         seq = first = n = 0
 
         def segment():
-            tokens = np.frombuffer(b"".join(held), "<u4")
+            tokens = np.frombuffer(b"".join(parts), "<u4")
             cells = [part], [seq], [first], [len(tokens)], [write_segment(ids, lengths, tokens)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "first_token", "n_tokens", "payload"])
 
@@ -191,11 +187,11 @@ def _encode(path: str, end_id: int):
             for k, b in zip(keys, encode(texts), strict=True):
                 ids.append(k)
                 lengths.append(len(b) // 4 + 1)
-                held += (b, end)
+                parts += (b, end)
                 n += lengths[-1]
                 if n >= SEGMENT_TOKENS:
                     yield segment()
-                    seq, first, n, ids, lengths, held = seq + 1, first + n, 0, [], [], []
+                    seq, first, n, ids, lengths, parts = seq + 1, first + n, 0, [], [], []
         if ids:
             yield segment()
 
