@@ -127,10 +127,10 @@ def merge_subqueries(rows: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def render(rows: DataFrame, width: int = 800) -> DataFrame:
-    """One text a query: a line a hit with day, category, cut content, score and id."""
-    cut = F.when(F.length("flat") <= width, F.col("flat")).otherwise(F.concat(F.regexp_replace(F.substring("flat", 1, width), r"\s+\S*$", ""), F.lit("...")))
+    """One text a query: a line a hit with day, category, cut content, score (three places, cut) and id."""
+    cut = F.when(F.length("flat") <= width, F.col("flat")).otherwise(F.concat(F.regexp_replace(F.substring("flat", 1, width), " [^ ]*$", ""), F.lit("...")))
     day = F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd")
     rows = rows.withColumn("flat", F.regexp_replace("content", r"\s+", " "))
-    line = F.concat(F.lit("["), day, F.lit("] ["), "category", F.lit("] "), cut, F.lit(" ("), F.format_string("%.3f", "score"), F.lit(") ["), "memory_id", F.lit("]"))
+    line = F.concat(F.lit("["), day, F.lit("] ["), "category", F.lit("] "), cut, F.lit(" ("), F.format_string("%.3f", F.floor(F.col("score") * 1000 + 1e-6) / 1000), F.lit(") ["), "memory_id", F.lit("]"))
     lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))

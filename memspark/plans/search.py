@@ -132,8 +132,8 @@ def weak_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("render_context", HYBRID + """, f as (select *, regexp_replace(content, '\\s+', ' ', 'g') as flat from top)
-  select query_id, string_agg('[' || strftime(to_timestamp(created_at) at time zone 'UTC', '%Y-%m-%d') || '] [' || category || '] ' || case when length(flat) <= 800 then flat else regexp_replace(flat[1:800], '\\s+\\S*$', '') || '...' end
-    || ' (' || printf('%.3f', score) || ') [' || memory_id || ']', chr(10) order by rank) as context from f group by query_id""", "mem", "q", "signal")
+  select query_id, string_agg('[' || strftime(to_timestamp(created_at) at time zone 'UTC', '%Y-%m-%d') || '] [' || category || '] ' || case when length(flat) <= 800 then flat else regexp_replace(flat[1:800], ' [^ ]*$', '') || '...' end
+    || ' (' || printf('%.3f', floor(score * 1000 + 1e-6) / 1000) || ') [' || memory_id || ']', chr(10) order by rank) as context from f group by query_id""", "mem", "q", "signal")
 def render_context(spark: SparkSession, d: str) -> DataFrame:
     return ranking.render(_told(spark, d))
 
