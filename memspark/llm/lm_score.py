@@ -34,7 +34,7 @@ BUCKETS = 20
 #: Steps of the histogram for EM, a quarter of a bit; the last bin is for zero.
 _BINS = 160
 #: Tokens of a block, at least, where its task has so many; a task holds some 100 bytes for each.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 _NULL_ID = np.iinfo(np.int64).min
 
 
