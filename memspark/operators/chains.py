@@ -116,14 +116,15 @@ def heads(facts: DataFrame, rounds: int = 40) -> DataFrame:
     known = facts.select(F.col("memory_id").alias("k"))
     p = facts.join(known, F.col("superseded_by") == F.col("k"), "left")
     p = materialize(p.select("memory_id", F.coalesce("k", "memory_id").alias("head"), F.col("memory_id").alias("least")))
+    ends = p.filter("head = memory_id").select(F.col("memory_id").alias("end_id"))
     for _ in range(rounds):
         q = p.select(F.col("memory_id").alias("q_id"), F.col("head").alias("q_head"), F.col("least").alias("q_least"))
         new = p.join(q, F.col("head") == F.col("q_id"), "left").select("memory_id", F.coalesce("q_head", "head").alias("head"), F.least("least", "q_least").alias("least"), (F.col("head") != F.coalesce("q_head", "head")).alias("moved"))
         new = materialize(new)
         p = new.drop("moved")
         if new.filter("moved").isEmpty():
-            return p.drop("least")
-    return p.select("memory_id", F.col("least").alias("head"))
+            break
+    return p.join(ends, F.col("head") == F.col("end_id"), "left").select("memory_id", F.coalesce("end_id", "least").alias("head"))
 
 
 def history(facts: DataFrame) -> DataFrame:
