@@ -12,9 +12,12 @@ remembers words it has scored, so frequent ones cost a look-up.
 Calibration: the held-back fifth of the sample gives, per language, the mean and spread of cross-entropies
 of its own texts; a text is rejected when its best language's cross-entropy lies more than ``REJECT_SPREAD``
 spreads (but at least ``REJECT_BITS`` bits, and
-``REJECT_SHORT`` over the root of its length) above that mean.
+``REJECT_SHORT`` over the root of its length) above that mean.  A language whose held-back texts all have
+fewer than ``LEAST_CHARS`` characters, or that has none, is not calibrated and never rejects: the means of
+better learned languages would reject its own clean texts.
 
-Defined results: text that is null or has no letter is ``und`` with score 0 and is rejected; ties go to the
+Defined results: text that is null or has no letter is ``und`` with score 0 and is rejected; other text of
+fewer than ``LEAST_CHARS`` characters (letters, and one end mark a word) is never rejected; ties go to the
 language first in alphabetical order; rows with null lang are not learned from; without any labelled row
 every text is ``und``.
 """
@@ -45,6 +48,8 @@ REJECT_SPREAD = 8.0
 REJECT_BITS = 1.5
 #: Short texts may lie further out: so many bits over the square root of their characters.
 REJECT_SHORT = 16.0
+#: Texts with fewer characters say too little of their language: they neither calibrate nor are rejected.
+LEAST_CHARS = 40
 CACHE = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _EDGE = "\x02"
@@ -77,7 +82,8 @@ class Models:
         table = np.array([value[k] for k in self.keys.tolist()]) if len(self.keys) else np.zeros((0, 2 * len(self.langs)))
         #: log2 probability of an n-gram's last character; log2 weight with which its context passes on
         self.prob, self.pass_on = table[:, : len(self.langs)], np.nan_to_num(table[:, len(self.langs) :])
-        self.mean, self.spread = np.zeros(len(self.langs)), np.zeros(len(self.langs))
+        #: an infinite mean, until calibration sets it, rejects nothing
+        self.mean, self.spread = np.full(len(self.langs), np.inf), np.zeros(len(self.langs))
 
     def _learn(self, at: int, words: dict[str, int], value: dict) -> None:
         top = Counter()
@@ -234,7 +240,7 @@ def learn(rows: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Models:
         for b in batches:
             e, chars = score([t or "" for t in b.column(1).to_pylist()])
             own = [langs.index(x) for x in b.column(0).to_pylist()]
-            keep = chars >= 40
+            keep = chars >= LEAST_CHARS
             yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int32)[keep]), pa.array(e[np.arange(len(own)), own][keep])], ["at", "bits"])
 
     for r in test.select("lang", "text").mapInArrow(entropy, "at int, bits double").groupBy("at").agg(F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(0.9)), 1000).alias("q")).collect():
@@ -270,7 +276,7 @@ def predictions(score: Scorer, langs: np.ndarray, limit: np.ndarray, texts: list
     none = chars == 0
     best = np.where(none, len(langs) - 1, best)
     cut = np.append(limit, 0.0)[best] + REJECT_SHORT / np.sqrt(np.maximum(chars, 1))
-    rejected = none | ((chars >= 40) & (low > cut))
+    rejected = none | ((chars >= LEAST_CHARS) & (low > cut))
     return [pa.array(langs[best], pa.string()), pa.array(np.where(none, 0.0, p)), pa.array(np.where(none, 0.0, low)), pa.array(rejected)]
 
 

@@ -217,6 +217,25 @@ def test_language_models_are_distributions(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.learn(empty)).collect()} == {"und"}
 
 
+def test_languages_without_calibration_reject_nothing(spark):
+    common = [(i, " ".join(random.choice(["the", "and", "is", "not"]) for _ in range(30)), "en") for i in range(60)]
+    rare = [(1000 + i, " ".join(random.choice(["vuosi", "talo", "joki", "lumi"]) for _ in range(4)), "fi") for i in range(60)]
+    schema = "doc_id long, text string, lang string"
+    models = language_id.learn(spark.createDataFrame(common + rare, schema))
+    at = {lang: i for i, lang in enumerate(models.langs)}
+    assert np.isfinite(models.mean[at["en"]]) and np.isinf(models.mean[at["fi"]])
+    # long clean text of the rare language, with words that its few rows don't have
+    texts = ["vuosi talo joki lumi metsä järvi " * 60, "qxzvk wqjzx kkqxw " * 60, "qxzvk wqjzx", "qxzvk " * 6, "12 34", "the and is not " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.identify(docs, models).collect()}
+    assert got[0]["lang_pred"] == "fi" and not got[0]["rejected"] and not got[5]["rejected"]
+    # junk that lies nearest to a calibrated language is still rejected from 40 characters on, and never below
+    only = language_id.learn(spark.createDataFrame(common, schema))
+    got = {r["doc_id"]: r["rejected"] for r in language_id.identify(docs, only).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: False}
+    assert {r["doc_id"] for r in language_id.keep_identified(docs, models).collect()} >= {0, 2, 3, 5}
+
+
 def test_toxic_segments_and_model(spark, docs, empty):
     def brute(s):
         best = None
