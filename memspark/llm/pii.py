@@ -36,7 +36,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET_CUES = ("api_key", "apikey", "access_key", "secret", "token", "passwd", "password")
 IBAN_CUES = ("iban",)
 _IP_RUN, _CARD_RUN, _PHONE_RUN = (re.compile(x) for x in (r"[0-9.]+", r"[0-9\x20-]+", r"[\x20().0-9-]+"))
-_SECRET_VALUE = re.compile(r"""["']?[ ]{0,4}[:=][ ]{0,4}(?:"([^"\s]{8,256})"|'([^'\s]{8,256})'|([A-Za-z0-9_+/.-]{16,256}))""")
+_SECRET_VALUE = re.compile(r"""["']?[ ]{0,4}[:=][ ]{0,4}(?:"([^"\s]{8,}+)"|'([^'\s]{8,}+)'|([A-Za-z0-9_+/.-]{16,}+))""")
 _IBAN_VALUE = re.compile(r"[ :#=]{1,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+:[A-Za-z0-9._~%!$&'()*+,;=-]+@(?=[A-Za-z0-9])")
 
@@ -122,8 +122,8 @@ def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
                 login_end = m.end()
                 found["login"].append((m.start(), m.end() - 1))
         elif kind == "s":
-            m = _SECRET_VALUE.match(text, last + 1)
-            if m and m.start() >= secret_end and any(c.isdigit() for c in m[m.lastindex]):
+            # values of any length: cues inside a found one are skipped, and a value ends before the next one's quote or separator
+            if last + 1 >= secret_end and (m := _SECRET_VALUE.match(text, last + 1)) and any(c.isdigit() for c in m[m.lastindex]):
                 secret_end = m.end()
                 found["secret"].append(m.span(m.lastindex))
         else:

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -135,6 +136,28 @@ def test_pii_matches_the_plain_patterns(docs, empty):
     assert pii.find_personal_data(docs).count() == docs.count() and pii.find_personal_data(empty).count() == 0
 
 
+def test_secrets_of_any_length_go_whole():
+    anchors = pii.automaton()
+    for n in (16, 256, 257, 5000):
+        value = ("eyJhbGciOi9.-_" * (n // 14 + 1))[: n - 1] + "7"
+        for left, right in (("=", ""), (" : '", "'"), ('="', '"')):
+            t = f"my token{left}{value}{right}; end"
+            at = t.index(value)
+            assert pii.find(t, anchors)["secret"] == [(at, at + n)]
+            assert pii.redact(t, pii.find(t, anchors)) == f"my token{left}<secret>{right}; end"
+    # a digit may come late, cues inside a value belong to it, and quotes may be open to the end
+    assert pii.find("token=" + "x" * 400 + "9", anchors)["secret"] == [(6, 407)]
+    assert pii.find('token="' + "token='abc12345678'" * 20 + '"', anchors)["secret"] == [(7, 387)]
+    took = []
+    for k in (2_000, 32_000):
+        texts = ['token="' + "token='a" * k, "token=" * k, 'token="' * k, 'token="x1' * k, "token=" + "token" * k, "token:" + "token1" * k, 'token="' + "token=abcdefghijklmnop'" * k]
+        began = time.process_time()
+        for t in texts:
+            pii.find(t, anchors)
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * 4 * took[0] + 1
+
+
 def test_byte_bpe_round_trip_and_library(docs, empty):
     import tiktoken
 
