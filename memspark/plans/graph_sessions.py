@@ -77,6 +77,35 @@ def reason_counts(spark: SparkSession, d: str) -> DataFrame:
     return _plan(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+#: The whole of SURVEY L11: the legs of PLAN, and semantic clusters; PLAN itself stays as it is.
+PLAN_ALL = "with recursive " + CONTAINED + ", " + PAIRS + f""", e as (select a, b from pr union select b, a from pr), r as (select a as v, a as c from e union select e.b, r.c from r join e on e.a = r.v), lab as (select v as memory_id, min(c) as cluster from r group by v),
+  f as (select memory_id as s_id, count(*) filter (where kind = 'helpful') as h, count(*) filter (where kind = 'retrieved') as n, count(*) filter (where kind = 'dismissed') as x from signal group by 1),
+  s as (select l.*, m.created_at, round(2 * confidence + 3 * coalesce(h, 0) + 0.1e0 * coalesce(n, 0) - 2 * coalesce(x, 0) + least(length(content) / 1000e0, 1), 9) as score from lab l join mem m using (memory_id) left join f on s_id = memory_id),
+  kept as (select memory_id, first_value(memory_id) over (partition by cluster order by score desc, created_at desc, memory_id) as keeper from s),
+  x as (select memory_id, 1 as pri, 'expired' as reason, null as keeper from mem where status = 'active' and expires_at <= {NOW}
+  union all select memory_id, 2, 'stale', null from mem where status = 'active' and category in ('context_note', 'event') and created_at <= {NOW - 30 * 86400} and confidence <= 0.6e0 and memory_id not in (select memory_id from signal where kind = 'retrieved')
+  union all select short_id, 3, 'contained', long_id from con
+  union all select memory_id, 4, 'semantic', keeper from kept where memory_id <> keeper), plan as (select memory_id, reason, keeper from (select *, row_number() over (partition by memory_id order by pri, keeper) as r from x) where r = 1 order by pri, memory_id limit 500)"""
+
+
+def _plan_all(spark: SparkSession, d: str) -> DataFrame:
+    m = _active(spark, d)
+    signal = t.signal(spark, d)
+    unused = m.select("memory_id").join(signal.filter("kind = 'retrieved'").select("memory_id").distinct(), "memory_id", "left_anti")
+    alike = dedup.clusters(dedup.semantic_pairs(m, 0.35), chains.with_keeper_score(m, signal))
+    return dedup.consolidate(m, unused, dedup.containment_pairs(m), alike, NOW, 500)
+
+
+@query("consolidate_all", PLAN_ALL + " select * from plan", "mem", "signal")
+def consolidate_all(spark: SparkSession, d: str) -> DataFrame:
+    return _plan_all(spark, d)
+
+
+@query("reason_counts_all", PLAN_ALL + " select reason, count(*) as n from plan group by reason", "mem", "signal")
+def reason_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    return _plan_all(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("edge_evidence", "with " + MERGED + " select src, relation, dst, len(evidence) as n, evidence[1] as first_id from mg", "edges")
 def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
     return graph.merge_evidence(t.edges(spark, d)).select("src", "relation", "dst", F.size("evidence").cast("long").alias("n"), F.col("evidence")[0].alias("first_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memspark.functions import text as x
+from memspark import registry
 from memspark.operators import chains, graph, iterate, proposals, ranking, sessions
 
 
@@ -64,3 +65,12 @@ def test_text_rules(spark):
     assert [r[0] for r in flags.select(x.flags(F.col("s"))).collect()] == [["junk"], ["fragment"], ["wrong_subject"]]
     days = spark.createDataFrame([("yesterday we met",), ("2 weeks ago",), ("last year",), ("today",)], "s string")
     assert [r[0] for r in days.select(x.resolved_day(F.col("s"), F.lit(1000))).collect()] == [999, 986, 635, None]
+
+
+def test_the_whole_plan_has_semantic_duplicates(spark):
+    d = "/root/testdata/sf0.001"
+    plan = {r["memory_id"]: (r["reason"], r["keeper"]) for r in registry.QUERIES["consolidate_all"](spark, d).collect()}
+    first = {r["memory_id"]: r["reason"] for r in registry.QUERIES["consolidate"](spark, d).collect()}
+    alike = {r["memory_id"]: r["keeper"] for r in registry.QUERIES["dup_clusters"](spark, d).collect() if r["memory_id"] != r["keeper"]}
+    assert alike and {m: reason for m, (reason, _) in plan.items() if reason != "semantic"} == first
+    assert {m: keeper for m, (reason, keeper) in plan.items() if reason == "semantic"} == {m: k for m, k in alike.items() if m not in first}
