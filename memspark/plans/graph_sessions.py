@@ -198,7 +198,7 @@ def graph_traversal(spark: SparkSession, d: str) -> DataFrame:
   select seed, seed as node, 0 as distance from s union all select seed, node, 1 from d1 where node <> seed union all select seed, node, 2 from d2 where node <> seed and (seed, node) not in (select (seed, node) from d1)""", "edges")
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     seeds = t.read(spark, d, "region").select(F.concat(F.lit("region:"), "r_name").alias("node"))
-    return graph.neighbourhood(graph.merge_evidence(t.edges(spark, d).filter("relation <> 'works_with'")), seeds, 2)
+    return graph.neighbourhood(graph.merge_evidence(t.edges(spark, d)), seeds, 2)
 
 
 @query("graph_junk", """with n as (select distinct node, string_split(node, ':')[-1] as name from (select src as node from edges union all select dst from edges))

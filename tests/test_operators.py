@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as x
 from memspark import registry
 from memspark.operators import chains, graph, iterate, proposals, ranking, sessions
+from memspark.sources import tables
 
 
 def test_components_of_paths_and_stars(spark):
@@ -74,3 +75,17 @@ def test_the_whole_plan_has_semantic_duplicates(spark):
     alike = {r["memory_id"]: r["keeper"] for r in registry.QUERIES["dup_clusters"](spark, d).collect() if r["memory_id"] != r["keeper"]}
     assert alike and {m: reason for m, (reason, _) in plan.items() if reason != "semantic"} == first
     assert {m: keeper for m, (reason, keeper) in plan.items() if reason == "semantic"} == {m: k for m, k in alike.items() if m not in first}
+
+
+def test_neighbourhood_goes_over_every_relation(spark, monkeypatch):
+    ends = [("nation:a", "based_in", "region:ASIA"), ("region:ASIA", "works_with", "customer:1"), ("customer:1", "works_with", "customer:2"), ("customer:2", "works_with", "customer:3"), ("nation:a", "works_with", "region:EUROPE"), ("supplier:1", "lives_in", "nation:a")]
+    edges = spark.createDataFrame([(*e, f"m{i}") for i, e in enumerate(ends)], "src string, relation string, dst string, memory_id string")
+    monkeypatch.setattr(tables, "edges", lambda *_: edges)
+    near = {}
+    for seed in ("region:AFRICA", "region:AMERICA", "region:ASIA", "region:EUROPE", "region:MIDDLE EAST"):
+        at = {seed: 0}
+        for hop in (1, 2):
+            at.update({y: hop for a, _, b in ends for x, y in ((a, b), (b, a)) if at.get(x) == hop - 1 and y not in at})
+        near |= {(seed, node): k for node, k in at.items()}
+    got = registry.QUERIES["neighbourhood"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r["seed"], r["node"]): r["distance"] for r in got} == near and len(got) == len(near)
