@@ -8,7 +8,11 @@ whose expected domain token totals match the targets: with p the posteriors and
 
 from rate = 1.  The step is scaled by 1 / t, so rates depend on what a document is, not on its length.  A
 document's rate follows from its posteriors and the few y so far, so an iteration is one narrow scan and an
-aggregate of as many numbers as there are domains; nothing is kept per document between iterations.
+aggregate of a few numbers; every ``SEGMENT`` steps the rates so far are written, so that a scan stays short.
+
+In a step G is over the documents whose rates are between the bounds, which alone can move, plus damping that
+falls tenfold when the fit gets better; a step that worsens the fit is dropped and the damping rises tenfold.
+The fit ends at ``TOLERANCE``, or when ``PATIENCE`` rounds together better its objective by less than ``STALL``.
 
 Defined results: null or empty text has no tokens, gets the prior as posteriors and a rate like any other;
 without labels all documents are of the first domain and rates are 1; rows with null labels are not learned
@@ -17,6 +21,7 @@ from; repeated rows get the same rate.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,7 @@ from . import held
 from .common import materialize
 from .wordhash import mix, shingles, word_chunks
 
+LOG = logging.getLogger(__name__)
 DOMAINS = ("clean", "junk", "toxic")
 #: Columns of the posteriors.
 COLUMNS = tuple(f"p_{d}" for d in DOMAINS)
@@ -38,11 +44,13 @@ SAMPLE_ROWS = 12_000
 HASH_BITS = 18
 #: Standard deviations from its usual count that make a word tell of a domain.
 TELLING = 4.0
-ROUNDS = 40
 TOLERANCE = 1e-6
-DAMPING = 1e-3
-#: A step that betters the fit by less than this share is the last.
+#: Of the posteriors' summed squares: at first, and at least.
+DAMPING, LEAST_DAMPING = 1e-3, 1e-9
+#: Rounds that together better the objective by less than this share are the last.
 STALL = 0.02
+PATIENCE = 10
+SEGMENT = 20
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -168,9 +176,9 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{c} double" for c in COLUMNS))
 
 
-def rate_column(steps: list[np.ndarray], most: float = float("inf")) -> Column:
-    """The rate after ``steps``, from a document's posteriors."""
-    rate = F.lit(1.0)
+def rate_column(steps: list[np.ndarray], most: float = float("inf"), start: Column | None = None) -> Column:
+    """The rate after ``steps``, from a document's posteriors and the rate to start with."""
+    rate = F.lit(1.0) if start is None else start
     for y in steps:
         rate = F.least(F.lit(most), F.greatest(F.lit(0.0), rate - sum((F.col(d) * float(v) for d, v in zip(COLUMNS, y, strict=True)), F.lit(0.0))))
     return rate
@@ -198,17 +206,40 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, most: flo
     if not have.sum():
         return [], have, goal
     # damped, so that domains which the posteriors hardly tell apart don't get extreme rates
-    gram += np.eye(k) * DAMPING * gram.trace()
+    size, damping = gram.trace(), DAMPING
+    gram += np.eye(k) * damping * size
+
+    def objective(totals: np.ndarray) -> float:
+        return float((totals - goal) @ np.linalg.solve(gram, totals - goal))
+
+    now = members.select(*COLUMNS, "n_tokens", F.lit(1.0).alias("_rate"))
+
+    def look(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected totals after ``steps``, and the part of G whose rates can still move."""
+        at = now.withColumn("_rate", rate_column(steps, most, F.col("_rate")))
+        free = F.when((F.col("_rate") > 0) & (F.col("_rate") < most), F.col("n_tokens")).otherwise(0)
+        row = at.agg(*(F.sum(F.col(a) * F.col("n_tokens") * F.col("_rate")) for a in COLUMNS), *(F.sum(F.col(a) * F.col(b) * free) for a in COLUMNS for b in COLUMNS)).first()
+        return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
+
     steps: list[np.ndarray] = []
-    got, off = have, np.inf
-    for _ in range(ROUNDS):
-        now = np.abs(got - goal).max()
-        if now <= TOLERANCE * goal.sum() or now > (1 - STALL) * off:
+    written = 0
+    got, free = have, gram
+    past = [objective(got)]
+    while np.abs(got - goal).max() > TOLERANCE * goal.sum():
+        if len(past) > PATIENCE and past[-1] > (1 - STALL) * past[-1 - PATIENCE]:
             break
-        off = now
-        steps.append(np.linalg.solve(gram, got - goal))
-        row = members.agg(*(F.sum(F.col(d) * F.col("n_tokens") * rate_column(steps, most)).alias(d) for d in COLUMNS)).first()
-        got = np.array([row[d] for d in COLUMNS])
+        if len(steps) - written == SEGMENT:
+            now = materialize(now.withColumn("_rate", rate_column(steps[written:], most, F.col("_rate"))), "rates")
+            written = len(steps)
+        step = np.linalg.solve(free + np.eye(k) * damping * size, got - goal)
+        new, new_free = look([*steps[written:], step])
+        if objective(new) < past[-1]:
+            steps.append(step)
+            got, free, damping = new, new_free, max(damping / 10, LEAST_DAMPING)
+        else:
+            damping *= 10
+        past.append(objective(got))
+    LOG.info("mixing: %d steps, shares %s, largest residual %.2e of the tokens", len(steps), (got / got.sum()).round(6).tolist(), np.abs(got - goal).max() / goal.sum())
     return steps, got, goal
 
 

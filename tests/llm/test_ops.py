@@ -301,6 +301,31 @@ def test_mixing_meets_its_targets(spark, docs, empty):
     assert mixing.mixing_rates(empty, labels.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("softness", [0.6, 2.0])
+@pytest.mark.parametrize("most", [float("inf"), 1.0])
+def test_mixing_goes_on_until_the_fit_is_as_near_as_it_gets(spark, most, softness):
+    rng = np.random.default_rng(3)
+    kind = rng.choice(3, 3000, p=[0.76, 0.14, 0.10])
+    z = np.eye(3)[kind] * 4 / softness + rng.normal(0, 1, (3000, 3))
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    n = rng.integers(20, 2000, 3000)
+    members = spark.createDataFrame(pd.DataFrame({"n_tokens": n, **{c: p[:, k] for k, c in enumerate(mixing.COLUMNS)}})).repartition(2)
+    steps, got, goal = mixing.fit_rates(members, most=most)
+    rates = mixing.rates_of(p, steps, most)
+    assert np.allclose(p.T @ (n * rates), got) and rates.min() >= 0 and rates.max() <= most
+    # plain projected steps, many of them, as the measure of how near the bounds allow
+    gram = (p * n[:, None]).T @ p
+    gram += np.eye(3) * mixing.DAMPING * gram.trace()
+    fit = lambda r: (p.T @ (n * r) - goal) @ np.linalg.solve(gram, p.T @ (n * r) - goal)
+    long = np.ones(3000)
+    for _ in range(5_000):
+        long = np.clip(long - p @ np.linalg.solve(gram, p.T @ (n * long) - goal), 0.0, most)
+    scale = fit(np.ones(3000))
+    assert fit(rates) <= fit(long) * 1.01 + 2e-6 * scale
+    if most > 1:
+        assert np.abs(got - goal).max() <= mixing.TOLERANCE * goal.sum()
+
+
 def test_pipeline_runs_every_stage(spark):
     import corpus_pipeline
 
