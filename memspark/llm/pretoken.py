@@ -2,27 +2,64 @@
 
 The byte-level pattern lets a single space join the letters, digits or signs behind it, and a run of
 white space gives up only its last character.  So a cut before a space is a boundary of the pattern,
-unless that space is followed by white space or the end of the text: such texts are not cut.
+unless that space is followed by white space or the end of the text: no cut is made there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 
+#: Characters of the longest piece that is remembered.
+SHORT = 64
+
 # The characters with the White_Space property, and four controls that some engines count too.
-_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNSAFE = tuple(" " + c for c in _SPACES)
 _UNSAFE_ASCII = tuple(x for x in _UNSAFE if x.isascii())
+_CUT = re.compile(f" (?=[^{_SPACES}])")
 
 
 def cut(text: str) -> list[str]:
     """Pieces p0, p1, ... with text = p0 + " " + p1 + ...; encoding p0, " " + p1, ... one by one equals encoding the whole."""
+    if text.endswith(" "):
+        return _CUT.split(text)
     for x in _UNSAFE_ASCII if text.isascii() else _UNSAFE:
         if x in text:
-            return [text]
-    return text.split(" ") if not text.endswith(" ") else [text]
+            return _CUT.split(text)
+    return text.split(" ")
+
+
+class Memory:
+    """Ids of pieces met before, in two generations: the older one goes when the younger is full.
+
+    Pieces in use move to the younger generation, so they are never forgotten all at once, and the number
+    held stays near twice ``most``.  Pieces over ``SHORT`` characters are not kept.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def join(self, lists: list[list[str]], make: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+        """The joined ids of each list of pieces; ``make`` gives those of pieces that aren't held."""
+        wanted = set(chain.from_iterable(lists))
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        missing = wanted.difference(self.young)
+        new = missing.difference(self.old)
+        self.young.update((p, self.old[p]) for p in missing.difference(new))
+        self.young.update(make(list(new)))
+        ids = self.young.__getitem__
+        out = [b"".join(map(ids, pieces)) for pieces in lists]
+        for p in new:
+            if len(p) > SHORT:
+                del self.young[p]
+        return out
 
 
 def portions(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
