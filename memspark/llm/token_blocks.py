@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 
 from . import held
 from .common import partitions_for, scratch_dir
-from .pretoken import cut, portions
+from .pretoken import Memory, cut, portions
 
 BLOCK = 256
 PERCENTILE = 95
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-#: Pieces that an encoder remembers.
-CACHE = 1_500_000
+#: Pieces that an encoder remembers in each of two generations.
+PIECES = 750_000
 _HEAD = struct.Struct("<4sHHIII")
 _INFO = np.dtype([("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 _NULL_ID = np.iinfo(np.int64).min
@@ -128,31 +128,26 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         # a byte-level token has a character for each of its bytes
         vocabulary = self.library.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)
+        #: The library takes these out of a text before it looks for pre-tokens, so texts with one are not cut.
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         #: Ids of " " + piece.
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(PIECES)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known = {}
-        pieces = [cut(t) for t in texts]
-        heads = self.library.encode_batch_fast([p[0] for p in pieces], add_special_tokens=False)
-        got = [list(map(self.known.get, p)) for p in pieces]
-        for g, e in zip(got, heads, strict=True):
-            g[0] = np.array(e.ids, "<u4").tobytes()
-        open_ = [i for i, g in enumerate(got) if None in g]
-        self._learn(list({c for i in open_ for c, g in zip(pieces[i], got[i], strict=True) if g is None}))
-        for i in open_:
-            got[i][1:] = map(self.known.__getitem__, pieces[i][1:])
-        return list(map(b"".join, got))
-
-    def _learn(self, new: list[str], at_once: int = 20_000) -> None:
+        pieces = [[t] if any(s in t for s in self.special) else cut(t) for t in texts]
+        # the first piece of a text has no space before it
+        heads = self.library.encode_batch_fast([p.pop(0) for p in pieces], add_special_tokens=False)
+        tails = self.known.join(pieces, self._encode)
+        return [np.array(h.ids, "<u4").tobytes() + t for h, t in zip(heads, tails, strict=True)]
+
+    def _encode(self, new: list[str], at_once: int = 20_000) -> dict[str, bytes]:
         """Encode many pieces in one call: each begins at a boundary, so their ids are those of one long text."""
+        out: dict[str, bytes] = {}
         for i in range(0, len(new), at_once):
             some = new[i : i + at_once]
             e = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0]
@@ -161,7 +156,8 @@ class LibraryEncoder:
             # tokens are counted off by their bytes
             ends = np.cumsum([len(x.encode()) + 1 for x in some])
             cuts = [0, *(np.searchsorted(np.cumsum(self.bytes[found]), ends, side="right") * 4).tolist()]
-            self.known.update({c: ids[a:b] for c, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)})
+            out.update((c, ids[a:b]) for c, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
+        return out
 
 
 def library_encoder(path: str) -> LibraryEncoder:
