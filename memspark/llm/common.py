@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,31 @@ WS = r"[\x20\x09-\x0D]"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) gets a temporary folder; a cluster has none that all its
+    executors share, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="memspark-")
+        if held.isDefined():
+            base = held.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            base = "file://" + tempfile.mkdtemp(prefix="memspark-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/memspark-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has such a column (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
 _HELD: dict[Hashable, object] = {}
 
@@ -23,3 +27,11 @@ def clear() -> None:
     if _HELD:
         _HELD.clear()
         gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker outlives its task, and its allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)

@@ -8,10 +8,13 @@ before a pair is verified; the sketch's counts estimate both costs.  Of a pair t
 Copies never multiply pairs:
 1. documents with equal sets form a class and its smallest doc_id alone goes on;
 2. in each posting list every document is paired with the list's leader only; pairs that share enough prefix
-   shingles are verified on whole texts, and the links' components are found;
+   shingles are verified on whole texts, and the links' components are found.  A list that the sketch counts
+   above ``LIST_PART`` is cut into parts with a leader each, and the leaders form a list again;
 3. what is left, pairs of different components, goes through the full multi-match join and is verified; such a
    pair's first match lies within the plain prefixes (l = 1), so only pairs that meet there are counted.
 A group of near copies thus costs pairs in proportion to its members, and no link between components is lost.
+No task holds a whole list or a leader's whole following: lists are dealt by part, in step 3 one side of a
+part meets all parts, and of ``STAR_PART`` partners at most, one after another, each meets the leader's text.
 
 Defined results: texts without words, and null texts, have an empty set, link with nothing and are their own
 component; null doc_id gives a null component; rows that share a doc_id count as one vertex; an empty table
@@ -27,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import held
-from .common import materialize, partitions_for
+from .common import materialize, partitions_for, unused
 from .components import components
-from .wordhash import shingles, word_chunks
+from .wordhash import mix, shingles, word_chunks
 
 #: Counters of the sketch; its size is fixed, at 1 byte each when sent to the tasks.
 SKETCH_BITS = 22
@@ -43,6 +47,9 @@ MOST_MATCHES = 4
 VERIFY_COST = 20.0
 #: Ids up to this number are sent to the tasks (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Postings of a token in one part of its list, by the sketch, and partners of a leader in one part.
+LIST_PART = 50_000
+STAR_PART = 1_000
 
 
 def _least(share: int, n: np.ndarray) -> np.ndarray:
@@ -78,14 +85,13 @@ def shingle_sketch(docs: DataFrame, width: int) -> np.ndarray:
     return table.reshape(-1)
 
 
-def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, width: int, percent: int, levels: Broadcast) -> DataFrame:
     """doc_id, n (set size), digest (of the set), l (matches asked for), prefix (shingles, rarest first)."""
-    levels = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         level = levels.value
-        frequency = np.exp2(np.arange(256) / 8) - 1
+        frequency = _counts()
         noise = float(frequency[level].mean())
         for b in batches:
             for first, counts, hashes in word_chunks(b.column(1)):
@@ -115,44 +121,65 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return materialize(rows.mapInArrow(run, "doc_id long, n long, digest binary, l byte, prefix binary"), "prefixes")
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            b = whole.slice(at, 1000)
-            blobs = b.column("prefix").to_pylist()
-            size = np.array([len(x) // 8 for x in blobs])
-            place = np.arange(size.sum()) - np.repeat(np.concatenate(([0], np.cumsum(size)))[:-1], size)
-            spread = lambda c: pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False), size))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(place, pa.int32()), spread("n").cast(pa.int32()), spread("doc_id"), spread("l")], ["token", "pos", "n", "doc", "l"])
+def _counts() -> np.ndarray:
+    """The count that each level of the sketch stands for."""
+    return np.exp2(np.arange(256) / 8) - 1
+
+
+def _postings(levels: Broadcast, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.clear()
+        parts_of = np.ceil(np.maximum(_counts(), 1) / most).astype(np.int32)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                blobs = b.column("prefix").to_pylist()
+                size = np.array([len(x) // 8 for x in blobs])
+                place = np.arange(size.sum()) - np.repeat(np.concatenate(([0], np.cumsum(size)))[:-1], size)
+                token = np.frombuffer(b"".join(blobs), np.uint64)
+                n, doc, asked = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), size) for c in ("n", "doc_id", "l"))
+                parts = parts_of[levels.value[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]]
+                part = (mix(doc.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part), pa.array(parts), pa.array(place, pa.int32()), pa.array(n.astype(np.int32)), pa.array(doc), pa.array(asked, pa.int8())], _LIST)
+
+    return run
+
+
+_LIST = ["token", "part", "parts", "pos", "n", "doc", "l"]
+_LIST_TYPE = "token long, part int, parts int, pos int, n int, doc long, l byte"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those of tokens with two or more rows, each with its list's first row as leader."""
-    held: pa.RecordBatch | None = None  # last row seen, while it is alone in its list
-    token = leader = None
-    names = ["token", "pos", "n", "doc", "l"]
+    """Of rows sorted by token and part, those of lists with two or more rows, each with its part's first row as leader."""
+    alone: pa.RecordBatch | None = None  # last row seen, while it is alone in its list
+    key = leader = None
     for b in batches:
         if not b.num_rows:
             continue
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            held = None
-        t = b.column(0).to_numpy()
-        starts = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1))
-        size = np.diff(np.append(starts, len(t)))
+        if alone is not None:
+            b = pa.Table.from_batches([alone, b]).combine_chunks().to_batches()[0]
+            alone = None
+        token, part, parts = (b.column(c).to_numpy() for c in ("token", "part", "parts"))
+        starts = np.concatenate(([0], np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1))
+        size = np.diff(np.append(starts, len(token)))
         lead = [np.repeat(b.column(c).to_numpy()[starts], size) for c in ("pos", "n", "doc")]
-        keep = np.repeat(size > 1, size)
-        if leader is not None and t[0] == token:
+        keep = np.repeat(size > 1, size) | (parts > 1)
+        if leader is not None and (token[0], part[0]) == key:
             for x, v in zip(lead, leader, strict=True):
                 x[: size[0]] = v
             keep[: size[0]] = True
-        open_ = size[-1] == 1 and not keep[-1]
-        if open_:
-            held, leader = b.slice(len(t) - 1, 1), None
+        if size[-1] == 1 and not keep[-1]:
+            alone, leader = b.slice(len(token) - 1, 1), None
         else:
-            token, leader = t[-1], [x[-1] for x in lead]
+            key, leader = (token[-1], part[-1]), [x[-1] for x in lead]
         at = pa.array(np.flatnonzero(keep))
-        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), *(pa.array(x[keep]) for x in lead)], [*names, "lead_pos", "lead_n", "lead"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in _LIST), *(pa.array(x[keep]) for x in lead)], [*_LIST, "lead_pos", "lead_n", "lead"])
+
+
+def _with_leaders(rows: DataFrame) -> DataFrame:
+    n = partitions_for(rows.sparkSession)
+    rows = rows.select(*_LIST).repartition(n, "token", "part").sortWithinPartitions("token", "part", "pos", "n", "doc")
+    return rows.mapInArrow(_shared, f"{_LIST_TYPE}, lead_pos int, lead_n int, lead long")
 
 
 def _overlap(a: str, b: str, percent: int) -> str:
@@ -160,10 +187,26 @@ def _overlap(a: str, b: str, percent: int) -> str:
     return f"ceil({percent} * ({a} + {b}) / {100 + percent}.0D - 1e-9)"
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    """The distinct ids of ``pairs`` as ``_id``, with a broadcast hint where their number is within the bound."""
+def _sent(rows: DataFrame) -> DataFrame:
+    """``rows``, a written table of ids, with a broadcast hint where their number is within the bound."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_IDS else rows
+
+
+def _stars(pairs: DataFrame, side: DataFrame, most: int) -> DataFrame:
+    """Rows (a, part, b, columns of ``side`` but doc_id): a leader's own row (b null), then those of its partners.
+
+    Sorted so within partitions; a leader with more than ``most`` partners has several parts, each with its row.
+    """
     ids = materialize(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ids")
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    side = materialize(side.join(_sent(ids), F.col("doc_id") == F.col("_id"), "left_semi"), "side")
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1")
+    hot = _sent(materialize(hot.withColumnRenamed("a", "_a"), "hot"))
+    pairs = pairs.join(hot, F.col("a") == F.col("_a"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
+    names = [c for c in side.columns if c != "doc_id"]
+    partners = pairs.join(side.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", *names)
+    leaders = pairs.select("a", "part").distinct().join(side.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), *names)
+    n = partitions_for(pairs.sparkSession)
+    return leaders.unionByName(partners).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
 
 def enough_matches(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -171,79 +214,84 @@ def enough_matches(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame
 
     Every pair that is to be found has a first match within the plain prefixes, so this looks at few pairs.
     """
-    own = rows.join(_ids(pairs), F.col("doc_id") == F.col("_id"), "left_semi")
-    full = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "l", F.col("prefix").alias("pa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            na, nb, asked = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb", "l"))
-            spare = -(-percent * (na + nb) // (100 + percent))
-            left, right = b.column("pa").to_pylist(), b.column("pb").to_pylist()
-            keep = []
-            for x, y, i, j, m in zip(left, right, (na - spare + asked).tolist(), (nb - spare + asked).tolist(), asked.tolist(), strict=True):
-                keep.append(len(np.intersect1d(np.frombuffer(x, np.uint64)[:i], np.frombuffer(y, np.uint64)[:j], assume_unique=True)) >= m)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+        key, leaders = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for *now, b, m, asked, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "n", "l", "prefix")), strict=True):
+                other = np.frombuffer(blob, np.uint64)
+                if b is None:
+                    # rows that share a doc_id are leaders together
+                    key, leaders = now, [*(leaders if key == now else ()), (m, asked, other)]
+                    continue
+                for n, least, own in leaders:
+                    spare = -(-percent * (n + m) // (100 + percent))
+                    if len(np.intersect1d(own[: n - spare + least], other[: m - spare + least], assume_unique=True)) >= least:
+                        found.append((now[0], b))
+            yield _pairs(found)
+
+    stars = _stars(pairs, rows.select("doc_id", "n", "l", "prefix"), STAR_PART)
+    return stars.select("a", "part", "b", "n", "l", "prefix").mapInArrow(run, "a long, b long").distinct()
 
-    return full.select("a", "b", "na", "nb", "l", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose whole sets reach the threshold."""
-    side = _ids(pairs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id") == F.col("_id"), "left_semi")
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-
-        def sets(texts: list[str]) -> list[np.ndarray]:
-            if len(known) > 2000:
-                known.clear()
-            new = list({t for t in texts if t not in known})
-            for first, counts, hashes in word_chunks(pa.array(new, pa.large_string())):
+        held.clear()
+        key, leaders = None, []
+        for batch in batches:
+            keys, partner = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True)), batch.column("b").to_pylist()
+            found: list[tuple[int, int]] = []
+            for first, counts, hashes in word_chunks(batch.column("text")):
                 sizes, h = shingles(counts, hashes, width)
-                known.update(zip(new[first : first + len(sizes)], np.split(h, np.cumsum(sizes)[:-1]), strict=True))
-            return [known[t] for t in texts]
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
-                left, right = b.column("ta").to_pylist(), b.column("tb").to_pylist()
-                found = sets([t or "" for t in left + right])
-                keep = []
-                for x, y in zip(found[: len(left)], found[len(left) :], strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+                for i, other in enumerate(np.split(h, np.cumsum(sizes)[:-1]), first):
+                    if partner[i] is None:
+                        # rows that share a doc_id are leaders together; a copy, so that the run's array can go
+                        key, leaders = keys[i], [*(leaders if key == keys[i] else ()), other.copy()]
+                        continue
+                    for own in leaders:
+                        both = len(np.intersect1d(own, other, assume_unique=True))
+                        if both and 100 * both >= percent * (len(own) + len(other) - both):
+                            found.append((keys[i][0], partner[i]))
+            yield _pairs(found)
+
+    stars = _stars(pairs, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), STAR_PART)
+    return stars.select("a", "part", "b", "text").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, list_part: int = LIST_PART) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with an equal set), component_id for each row of ``docs``."""
-    n = partitions_for(docs.sparkSession)
-    rows = prefixes(docs, width, percent)
+    docs = docs.select("doc_id", "text")
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, width))
+    rows = prefixes(docs, width, percent, levels)
     classes = materialize(rows.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     mine = classes.select(F.col("digest").alias("_d"), F.col("class_id").alias("_c"))
     first = rows.join(mine, (F.col("doc_id") == F.col("_c")) & (F.col("digest") == F.col("_d"))).select("doc_id", "n", "l", "prefix")
-    lists = first.mapInArrow(_postings, "token long, pos int, n int, doc long, l byte").repartition(n, "token").sortWithinPartitions("token", "pos", "n", "doc")
-    lists = materialize(lists.mapInArrow(_shared, "token long, pos int, n int, doc long, l byte, lead_pos int, lead_n int, lead long"), "lists")
+    lists = materialize(_with_leaders(first.mapInArrow(_postings(levels, list_part), _LIST_TYPE)), "lists")
 
-    # 2. each document with the leaders of its posting lists
+    # 2. each document with the leaders of its posting lists, and leaders of parts with the list's first
+    tops = lists.filter("parts > 1 and doc = lead").withColumns({"part": F.lit(0), "parts": F.lit(1)})
     o = _overlap("n", "lead_n", percent)
-    stars = lists.filter("doc <> lead").withColumn("o", F.expr(o)).filter("pos < n - o + l and lead_pos < lead_n - o + l and least(n, lead_n) >= o")
+    stars = lists.unionByName(_with_leaders(tops)).filter("doc <> lead").withColumn("o", F.expr(o)).filter("pos < n - o + l and lead_pos < lead_n - o + l and least(n, lead_n) >= o")
     stars = stars.groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("m"), F.min("l").alias("l")).filter("m >= l").select("a", "b")
     links = materialize(verify(materialize(stars, "stars"), docs, width, percent), "links")
     joined = components(links)
 
     # 3. pairs of different components: a first match within the plain prefixes, then the full multi-match count
-    sides = lists.select("token", "pos", "n", "doc").join(joined.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
+    sides = lists.select("token", "part", "parts", "pos", "n", "doc").join(joined.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
     sides = materialize(sides, "sides")
-    x, y = (sides.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("pos", "n", "doc", "c"))) for s in "xy")
+    x = sides.select("token", "part", *(F.col(c).alias(f"x_{c}") for c in ("pos", "n", "doc", "c")))
+    # each part of one side meets every part of the other
+    y = sides.select(F.col("token").alias("_token"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"), *(F.col(c).alias(f"y_{c}") for c in ("pos", "n", "doc", "c")))
     o = _overlap("x_n", "y_n", percent)
     fits = f"x_c <> y_c and (x_n > y_n or x_n = y_n and x_doc > y_doc) and y_n >= {o} and x_pos < x_n - {o} + 1 and y_pos < y_n - {o} + 1"
-    y = y.withColumnRenamed("token", "_token")
-    rest = x.join(y, (F.col("token") == F.col("_token")) & F.expr(fits)).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
+    rest = x.join(y, (F.col("token") == F.col("_token")) & (F.col("part") == F.col("_part")) & F.expr(fits)).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
     rest = materialize(enough_matches(materialize(rest, "met"), rows, percent), "rest")
     more = materialize(verify(rest, docs, width, percent), "more")
     if not more.isEmpty():
@@ -257,6 +305,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id."""
     found = near_duplicates(docs, width, percent)
-    gone = materialize(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
-    return docs.join(side, F.col("doc_id") == F.col("_gone"), "left_anti")
+    key = unused(docs, "_gone")
+    gone = materialize(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(_sent(gone), F.col("doc_id") == F.col(key), "left_anti")

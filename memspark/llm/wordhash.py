@@ -21,7 +21,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = np.ones(1, np.uint64)
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def _powers(n: int) -> np.ndarray:

@@ -71,7 +71,7 @@ def test_exact_dedup(docs, empty, limit):
     assert exact_dedup.duplicate_groups(empty, max_broadcast_bytes=limit).count() == 0 and exact_dedup.drop_duplicates(empty).count() == 0
 
 
-def test_near_duplicates(spark, docs, empty):
+def test_near_duplicates(spark, docs, empty, monkeypatch):
     family = [BASE[5].split() for _ in range(60)]
     for i, w in enumerate(family):
         for _ in range(i % 5):
@@ -99,6 +99,10 @@ def test_near_duplicates(spark, docs, empty):
                     root[max(x, y)] = min(x, y)
         got = jaccard_join.near_duplicates(every, width, percent).collect()
         assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {i: find(i) for i in sets}
+        # lists cut into parts of few rows, leaders into few partners
+        monkeypatch.setattr(jaccard_join, "STAR_PART", 4)
+        cut_up = jaccard_join.near_duplicates(every, width, percent, list_part=5).collect()
+        assert collections.Counter(map(tuple, cut_up)) == collections.Counter(map(tuple, got))
         assert all(r["component_id"] is None for r in got if r["doc_id"] is None) and len(got) == every.count()
         assert all(r["n_shingles"] in [len(s) for s in sets[r["doc_id"]]] for r in got if r["doc_id"] is not None)
     assert jaccard_join.near_duplicates(empty).count() == 0
@@ -165,8 +169,11 @@ def test_byte_bpe_round_trip_and_library(docs, empty):
     e = byte_bpe.Encoder(path, public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=e.ranks, special_tokens={})
     odd = ["".join(random.choice("ab \n\té\U0001f600'1s") for _ in range(n)) for n in (1, 2, 7, 40, 400) for _ in range(20)]
-    for t in [*TEXTS, *odd, "ab" * 3000]:
-        ids = e.encode(t or "")
+    # every piece at once in one queue, and again from memory
+    for _ in range(2):
+        assert [ids.tolist() for ids in e.encode(odd)] == [library.encode_ordinary(t) for t in odd]
+    for t in [*TEXTS, *odd, "ab" * 3000, "aaab" * 120, "a" * 511, "x " * 50]:
+        ids = e.encode([t or ""])[0].tolist()
         assert ids == library.encode_ordinary(t or "") and e.decode(ids) == (t or "").encode()
     got = {r["doc_id"]: r for r in byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect()}
     assert all(got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in zip(IDS, TEXTS, strict=True))
@@ -188,7 +195,6 @@ def test_token_blocks(docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     got = {x["doc_id"]: x for x in token_blocks.token_files(one, path).collect()}
     start = 0
