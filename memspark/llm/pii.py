@@ -29,7 +29,7 @@ BASE_KINDS = KINDS[:4]
 # The grammar of the base kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Cues of secrets and of account numbers.
@@ -83,6 +83,19 @@ def _in_run(text: str, seen: int, run: re.Pattern, at: int, allowed: str) -> tup
     return lo, run.match(text, at).end()
 
 
+def _addresses(dotted: str, at: int) -> Iterator[tuple[int, int]]:
+    """Spans of the addresses in numbers joined by single dots: four by four from the left, each number seen once."""
+    if dotted.count(".") < 3:
+        return
+    numbers = dotted.split(".")
+    for i in range(0, len(numbers) - 3, 4):
+        four = numbers[i : i + 4]
+        end = at + sum(map(len, four)) + 3
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+            yield at, end
+        at = end + 1
+
+
 def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
     """Spans of every kind that ``text`` holds; ``anchors`` is the automaton."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -93,9 +106,8 @@ def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
             if last >= ip_seen:
                 lo, hi = _in_run(text, ip_seen, _IP_RUN, last, "0123456789.")
                 ip_seen = hi
-                for m in IP.finditer(text, lo, hi):
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
-                        found["ip"].append(m.span())
+                for m in DOTTED.finditer(text, lo, hi):
+                    found["ip"] += _addresses(m[0], m.start())
             if last >= card_seen:
                 lo, hi = _in_run(text, card_seen, _CARD_RUN, last, "0123456789 -")
                 card_seen = hi
@@ -149,7 +161,7 @@ def redact(text: str, found: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, with_redacted: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added; with the redacted text if asked for."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_found (spans of all kinds); with the redacted text if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
@@ -160,13 +172,13 @@ def find_personal_data(docs: DataFrame, with_redacted: bool = False) -> DataFram
                 *(pa.array([len(r[k]) for r in rows], pa.int64()) for k in BASE_KINDS),
                 pa.array([hashlib.sha256(_joined(r, BASE_KINDS).encode()).hexdigest() for r in rows]),
                 pa.array([_joined(r, KINDS) for r in rows]),
-                pa.array([sum(len(r[k]) for k in KINDS[4:]) for r in rows], pa.int64()),
+                *(pa.array([sum(len(r[k]) for k in kinds) for r in rows], pa.int64()) for kinds in (KINDS[4:], KINDS)),
             ]
-            names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"]
+            names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added", "n_found"]
             if with_redacted:
                 cells.append(pa.array([redact(t, r) for t, r in zip(texts, rows, strict=True)]))
                 names.append("redacted")
             yield pa.RecordBatch.from_arrays(cells, names)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_found long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema + ", redacted string" * with_redacted)
