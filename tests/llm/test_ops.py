@@ -228,17 +228,22 @@ def test_lm_score(spark, docs, empty):
 
 
 def test_language_models_are_distributions(spark, docs, empty):
-    m = language_id.Models({"x": {"aba": 3, "abba": 2, "c": 1}, "y": {"zz": 2}})
+    m = language_id.Models({k: language_id.count_grams(v) for k, v in {"x": {"aba": 3, "abba": 2, "c": 1}, "y": {"zz": 2, "zé": 1}}.items()})
     score = language_id.Scorer(m)
     e, chars = score(["aba abba", "zz zz", "", "123"])
     assert e[0].argmin() == 0 and e[1].argmin() == 1 and list(chars[2:]) == [0, 0]
-    # all continuations of a context share its probability: seen letters and the end mark stay below one
-    seen = m.words(["ab", "aba", "abb", "a"])[:, 0]
-    assert (seen < 0).all() and seen[1] < 0
+    # after any context, known or not, all characters and the end mark together have probability one
+    for context in ("", "a", "ab", "abb", "abab", "q", "zzzzzz"):
+        known = [np.exp2(m.characters([context + c])[0][len(context)]) for c in "abczé"]
+        end, other = np.exp2(m.characters([context])[0][-1]), np.exp2(m.characters([context + "Ω"])[0][len(context)])
+        assert np.allclose(sum(known) + end + other * (language_id.ALPHABET - 6), 1, atol=1e-5)
+    assert language_id.LETTERS.findall("½²Ⅷ③ 12_ ab é漢字 x_y") == ["ab", "é漢字", "x", "y"]
+    signs = spark.createDataFrame([(1, "½ ² Ⅷ ③ 45 _ -")], "doc_id long, text string")
     train = spark.createDataFrame([(i, " ".join(random.choice(["der", "und", "ist", "nicht"]) for _ in range(30)), "de") for i in range(60)] + [(100 + i, " ".join(random.choice(["the", "and", "is", "not"]) for _ in range(30)), "en") for i in range(60)], "doc_id long, text string, lang string")
     models = language_id.learn(train)
     got = language_id.identify(train, models).join(train.select("doc_id", "lang"), "doc_id").collect()
     assert all(r["lang_pred"] == r["lang"] and 0 <= r["score"] <= 1 for r in got)
+    assert [(r["lang_pred"], r["score"]) for r in language_id.identify(signs, models).collect()] == [("und", 0.0)]
     none = {r["doc_id"]: r for r in language_id.identify(docs, models).collect()}
     assert none[IDS[TEXTS.index("")]]["lang_pred"] == "und" and none[IDS[TEXTS.index(None)]]["lang_pred"] == "und"
     assert language_id.keep_identified(docs, models).columns == docs.columns
