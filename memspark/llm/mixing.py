@@ -1,18 +1,22 @@
 """Mixing to target weights with soft membership.
 
 A classifier over hashed words (log rates by domain, softened by a softmax regression), fitted on a bounded
-sample of the labels table, gives every document posteriors over the domains.  Distributed projected-gradient least squares then finds rates >= 0
-whose expected domain token totals match the targets: with p the posteriors and t the tokens of a document,
+sample of the labels table, gives every document posteriors p over the domains.  Distributed projected-gradient
+least squares then finds rates r, for t the tokens of a document, that minimise
 
-    rate <- max(0, rate - p . y),   y = G^-1 (sum p t rate - target),   G = sum p p' t
+    |sum q t r - goal|^2 / (2 ridge) + sum t (r - 1)^2 / 2      with r >= 0 (and r <= 1 where rows may not repeat)
 
-from rate = 1.  The step is scaled by 1 / t, so rates depend on what a document is, not on its length.  A
-document's rate follows from its posteriors and the few y so far, so an iteration is one narrow scan and an
-aggregate of a few numbers; every ``SEGMENT`` steps the rates so far are written, so that a scan stays short.
+The gradient steps add up to a vector y, one number a domain, and are projected in one place (the lazy form):
+rate = clip(1 - q . y).  So a round is a narrow scan with one fixed expression and an aggregate of a few numbers,
+whatever came before it.  A step is the gradient scaled by G = sum q q' t over the documents whose rates are free
+to move, halved until the objective gains by it; the objective is concave in y, so the fit goes on until its
+gradient is below ``TOLERANCE`` of all tokens, for any data, and the targets are met up to ridge . y.
 
-In a step G is over the documents whose rates are between the bounds, which alone can move, plus damping that
-falls tenfold when the fit gets better; a step that worsens the fit is dropped and the damping rises tenfold.
-The fit ends at ``TOLERANCE``, or when ``PATIENCE`` rounds together better its objective by less than ``STALL``.
+* ``mixing_rates``: q = p, goal = the targets' shares of a budget that keeps the first domain's expected total.
+* ``mix_documents`` thins: q = p - share for all domains but the first, goal = 0, y >= 0.  A domain above its share
+  is thinned to it, and documents with no more of any such domain than its share keep rate 1; a domain below its
+  share stays so, since rows are not repeated.  A domain of which every document has more than its share can't be
+  thinned to it; it is left out, and a warning says so.
 
 Defined results: null or empty text has no tokens, gets the prior as posteriors and a rate like any other;
 without labels all documents are of the first domain and rates are 1; rows with null labels are not learned
@@ -34,26 +38,25 @@ from .common import materialize
 from .wordhash import mix, shingles, word_chunks
 
 LOG = logging.getLogger(__name__)
-DOMAINS = ("clean", "junk", "toxic")
-#: Columns of the posteriors.
-COLUMNS = tuple(f"p_{d}" for d in DOMAINS)
-#: Share of tokens each domain shall have.
+#: Share of tokens each domain shall have; the domains, in the order of their numbers.
 TARGETS = {"clean": 0.93, "junk": 0.05, "toxic": 0.02}
 #: Labelled rows that the classifier is fitted on at most, give or take the hash's chance.
 SAMPLE_ROWS = 12_000
 HASH_BITS = 18
 #: Standard deviations from its usual count that make a word tell of a domain.
 TELLING = 4.0
-TOLERANCE = 1e-6
-#: Of the posteriors' summed squares: at first, and at least.
-DAMPING, LEAST_DAMPING = 1e-3, 1e-9
-#: Rounds that together better the objective by less than this share are the last.
-STALL = 0.02
-PATIENCE = 10
-SEGMENT = 20
+#: Largest component of the gradient at the end, and weight of the distance from rate 1, as shares of all tokens.
+TOLERANCE = 1e-7
+RIDGE = 1e-8
+
+
+def columns_of(targets: dict[str, float]) -> list[str]:
+    """Columns of the posteriors."""
+    return [f"p_{d}" for d in targets]
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
+    """Number of the domain of a labelled document: toxic, else junk, else clean."""
     return F.when(toxic == 1, F.lit(2)).when(quality == 0, F.lit(1)).when((quality == 1) & (toxic == 0), F.lit(0)).cast("int")
 
 
@@ -112,9 +115,13 @@ class Classifier:
         return self.soften(self.features(sums, words)), words
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier:
-    """Fit on a bounded sample; half of it counts words, half fits the regression."""
-    known = labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("y")).filter("doc_id is not null and y is not null")
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, rows: int = SAMPLE_ROWS) -> Classifier:
+    """Fit on a bounded sample; half of it counts words, half fits the regression.
+
+    ``domain`` gives the number of a labelled row's domain, in the order of ``targets``.
+    """
+    names, k = [f"_{d}" for d in range(len(targets))], len(targets)
+    known = labels.select("doc_id", (domain_of(F.col("quality"), F.col("toxic")) if domain is None else domain).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     share = min(1.0, rows / max(1, known.count()))
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
     # the side that is sent has about `rows` rows
@@ -124,34 +131,34 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifi
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
-        table = np.zeros((1 << HASH_BITS, len(DOMAINS)), np.int64)
-        texts = np.zeros(len(DOMAINS), np.int64)
+        table = np.zeros((1 << HASH_BITS, k), np.int64)
+        texts = np.zeros(k, np.int64)
         for b in batches:
             y = b.column(1).to_numpy()
-            texts += np.bincount(y, minlength=len(DOMAINS))
+            texts += np.bincount(y, minlength=k)
             for first, counts, hashes in word_chunks(b.column(0)):
                 own, h = shingles(counts, hashes, 1)
                 np.add.at(table, (_bucket(h), np.repeat(y[first : first + len(counts)], own)), 1)
         at = np.flatnonzero(table.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), *(pa.array([*table[at, k], texts[k]], pa.int64()) for k in range(len(DOMAINS)))], ["bucket", *DOMAINS])
+        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), *(pa.array([*table[at, i], texts[i]], pa.int64()) for i in range(k))], ["bucket", *names])
 
-    schema = "bucket long, " + ", ".join(f"{d} long" for d in DOMAINS)
-    counted = some.filter(fold == 0).select("text", "y").mapInArrow(count, schema).groupBy("bucket").agg(*(F.sum(d).alias(d) for d in DOMAINS))
-    table, texts = np.zeros((1 << HASH_BITS, len(DOMAINS))), np.zeros(len(DOMAINS))
+    schema = "bucket long, " + ", ".join(f"{d} long" for d in names)
+    counted = some.filter(fold == 0).select("text", "y").mapInArrow(count, schema).groupBy("bucket").agg(*(F.sum(d).alias(d) for d in names))
+    table, texts = np.zeros((1 << HASH_BITS, k)), np.zeros(k)
     for r in counted.toLocalIterator():  # at most 2 ** HASH_BITS rows
         if r[0] < 0:
             texts += np.array(r[1:], float)
         else:
             table[r[0]] = r[1:]
     if not texts.sum():
-        return Classifier(np.zeros((1 << HASH_BITS, len(DOMAINS)), np.float32), np.log(np.array([1.0, *[1e-12] * (len(DOMAINS) - 1)])))
+        return Classifier(np.zeros((1 << HASH_BITS, k), np.float32), np.log(np.array([1.0, *[1e-12] * (k - 1)])))
     # each domain's rates have the corpus rate, worth 2,000 words, as prior
     corpus = (table.sum(1) + 0.5) / (table.sum() + 0.5 * len(table))
     rates = (table + 2000 * corpus[:, None]) / (table.sum(0) + 2000)
     # words whose count in a domain is what chance gives say nothing, else their noise adds up in long texts
     usual = corpus[:, None] * table.sum(0)
     telling = np.abs(table - usual) > TELLING * np.sqrt(usual + 0.5)
-    model = Classifier(np.where(telling, np.log(rates) - np.log(corpus)[:, None], 0.0).astype(np.float32), np.log((texts + 0.5) / (texts.sum() + 1.5)))
+    model = Classifier(np.where(telling, np.log(rates) - np.log(corpus)[:, None], 0.0).astype(np.float32), np.log((texts + 0.5) / (texts.sum() + 0.5 * k)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,83 +171,106 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifi
     return model
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
+def memberships(docs: DataFrame, model: Classifier, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, n_tokens and one posterior a domain."""
+    names = columns_of(targets)
     bound = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, words = bound.value.posteriors(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), *(pa.array(p[:, k]) for k in range(p.shape[1]))], ["doc_id", "n_tokens", *COLUMNS])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{c} double" for c in COLUMNS))
-
-
-def rate_column(steps: list[np.ndarray], most: float = float("inf"), start: Column | None = None) -> Column:
-    """The rate after ``steps``, from a document's posteriors and the rate to start with."""
-    rate = F.lit(1.0) if start is None else start
-    for y in steps:
-        rate = F.least(F.lit(most), F.greatest(F.lit(0.0), rate - sum((F.col(d) * float(v) for d, v in zip(COLUMNS, y, strict=True)), F.lit(0.0))))
-    return rate
-
-
-def rates_of(p: np.ndarray, steps: list[np.ndarray], most: float = float("inf")) -> np.ndarray:
-    rate = np.ones(len(p))
-    for y in steps:
-        rate = np.clip(rate - p @ y, 0.0, most)
-    return rate
-
-
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, most: float = float("inf")) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(steps, expected totals, target totals) for posteriors and tokens in ``members``.
-
-    The token budget keeps the expected total of the first domain.  Rates may have an upper bound ``most``; the
-    projection is then onto [0, most], and the fit is the nearest that the bound allows.
-    """
-    k = len(DOMAINS)
-    want = np.array([targets[d] for d in DOMAINS], float)
-    first = members.agg(*(F.sum(F.col(a) * F.col("n_tokens")).alias(a) for a in COLUMNS), *(F.sum(F.col(a) * F.col(b) * F.col("n_tokens")).alias(f"{a}_{b}") for a in COLUMNS for b in COLUMNS)).first()
-    have = np.array([first[c] or 0.0 for c in COLUMNS])
-    goal = want / want.sum() * have[0] / max(want[0] / want.sum(), 1e-9)
-    gram = np.array([first[k + i] or 0.0 for i in range(k * k)]).reshape(k, k)
-    if not have.sum():
-        return [], have, goal
-    # damped, so that domains which the posteriors hardly tell apart don't get extreme rates
-    size, damping = gram.trace(), DAMPING
-    gram += np.eye(k) * damping * size
-
-    def objective(totals: np.ndarray) -> float:
-        return float((totals - goal) @ np.linalg.solve(gram, totals - goal))
-
-    now = members.select(*COLUMNS, "n_tokens", F.lit(1.0).alias("_rate"))
-
-    def look(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected totals after ``steps``, and the part of G whose rates can still move."""
-        at = now.withColumn("_rate", rate_column(steps, most, F.col("_rate")))
-        free = F.when((F.col("_rate") > 0) & (F.col("_rate") < most), F.col("n_tokens")).otherwise(0)
-        row = at.agg(*(F.sum(F.col(a) * F.col("n_tokens") * F.col("_rate")) for a in COLUMNS), *(F.sum(F.col(a) * F.col(b) * free) for a in COLUMNS for b in COLUMNS)).first()
-        return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
-
-    steps: list[np.ndarray] = []
-    written = 0
-    got, free = have, gram
-    past = [objective(got)]
-    while np.abs(got - goal).max() > TOLERANCE * goal.sum():
-        if len(past) > PATIENCE and past[-1] > (1 - STALL) * past[-1 - PATIENCE]:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), *(pa.array(p[:, k]) for k in range(p.shape[1]))], ["doc_id", "n_tokens", *names])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{c} double" for c in names))
+
+
+class Fit:
+    """Rates as a function of posteriors: clip(1 - (p - shift) . y), at most ``most``."""
+
+    def __init__(self, y: np.ndarray, shift: np.ndarray, most: float):
+        self.y, self.shift, self.most = y, shift, most
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return np.clip(1.0 - (p - self.shift) @ self.y, 0.0, self.most)
+
+
+def ascend(members: DataFrame, names: list[str], shift: np.ndarray, goal: np.ndarray, tokens: float, most: float, free: np.ndarray, nonnegative: bool) -> tuple[Fit, np.ndarray, int]:
+    """(fit, sum q t r at its rates, scans).  Only the components of y in ``free`` move."""
+    k, ridge = len(names), RIDGE * tokens
+    q = [F.col(c) - float(s) for c, s in zip(names, shift, strict=True)]
+
+    def look(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The objective in y, its gradient, and G of the documents between the bounds."""
+        rate = F.lit(1.0) - sum((c * float(v) for c, v in zip(q, y, strict=True)), F.lit(0.0))
+        at = members.select("n_tokens", *(c.alias(f"_q{i}") for i, c in enumerate(q)), rate.alias("_raw"))
+        at = at.withColumn("_rate", F.least(F.lit(float(most)), F.greatest(F.lit(0.0), "_raw")))
+        moves = F.when(F.col("_raw") == F.col("_rate"), F.col("n_tokens")).otherwise(0)
+        row = at.agg(
+            F.sum(F.col("n_tokens") * (F.pow(F.col("_rate") - 1, F.lit(2)) / 2 + F.col("_rate") * (F.lit(1.0) - F.col("_raw")))),
+            *(F.sum(F.col(f"_q{i}") * F.col("n_tokens") * F.col("_rate")) for i in range(k)),
+            *(F.sum(F.col(f"_q{i}") * F.col(f"_q{j}") * moves) for i in range(k) for j in range(k)),
+        ).first()
+        row = [v or 0.0 for v in row]
+        got = np.array(row[1 : k + 1])
+        return row[0] - goal @ y - ridge / 2 * y @ y, got, np.array(row[k + 1 :]).reshape(k, k)
+
+    y, scans = np.zeros(k), 1
+    value, got, gram = look(y)
+    while True:
+        slope = got - goal - ridge * y
+        moves = free & ((y > 0) | (slope > 0)) if nonnegative else free
+        if not moves.any() or np.abs(slope[moves]).max() <= TOLERANCE * tokens:
             break
-        if len(steps) - written == SEGMENT:
-            now = materialize(now.withColumn("_rate", rate_column(steps[written:], most, F.col("_rate"))), "rates")
-            written = len(steps)
-        step = np.linalg.solve(free + np.eye(k) * damping * size, got - goal)
-        new, new_free = look([*steps[written:], step])
-        if objective(new) < past[-1]:
-            steps.append(step)
-            got, free, damping = new, new_free, max(damping / 10, LEAST_DAMPING)
-        else:
-            damping *= 10
-        past.append(objective(got))
-    LOG.info("mixing: %d steps, shares %s, largest residual %.2e of the tokens", len(steps), (got / got.sum()).round(6).tolist(), np.abs(got - goal).max() / goal.sum())
-    return steps, got, goal
+        step = np.zeros(k)
+        step[moves] = np.linalg.solve(gram[np.ix_(moves, moves)] + ridge * np.eye(moves.sum()), slope[moves])
+        scale = 1.0
+        while True:
+            new = np.maximum(y + scale * step, 0.0) if nonnegative else y + scale * step
+            after = look(new)
+            scans += 1
+            if after[0] >= value + 1e-4 * slope @ (new - y):
+                break
+            scale /= 2
+            if scale * np.abs(step).max() <= 1e-12 * max(1.0, np.abs(y).max()):  # below what floats can tell
+                return Fit(y, shift, most), got, scans
+        y, (value, got, gram) = new, after
+    return Fit(y, shift, most), got, scans
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[Fit, np.ndarray, np.ndarray]:
+    """(fit, expected totals, target totals) for posteriors and tokens in ``members``; rates are >= 0.
+
+    The token budget keeps the expected total of the first domain.
+    """
+    names = columns_of(targets)
+    want = np.array(list(targets.values()), float) / sum(targets.values())
+    have = np.array([v or 0.0 for v in members.agg(*(F.sum(F.col(c) * F.col("n_tokens")) for c in names)).first()])
+    goal = want * have[0] / max(want[0], 1e-9)
+    rates, got, scans = ascend(members, names, np.zeros(len(want)), goal, have.sum(), float("inf"), np.full(len(want), bool(have.sum())), False)
+    LOG.info("mixing: %d scans, shares %s, largest residual %.2e of the tokens", scans, (got / max(got.sum(), 1.0)).round(6).tolist(), np.abs(got - goal).max() / max(have.sum(), 1.0))
+    return rates, got, goal
+
+
+def fit_thinning(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[Fit, np.ndarray]:
+    """(fit, token shares left) with rates between 0 and 1, as near to 1 as the targets' upper shares allow."""
+    names = columns_of(targets)
+    want = np.array(list(targets.values()), float) / sum(targets.values())
+    row = members.filter("n_tokens > 0").agg(F.sum("n_tokens"), *(F.min(c) for c in names)).first()
+    tokens, least = float(row[0] or 0), np.array([1.0 if v is None else v for v in row[1:]])
+    free = (least <= want) & (np.arange(len(want)) > 0) & (tokens > 0)
+    if tokens and not free[1:].all():
+        LOG.warning("mixing: every document has more than its share of %s", [d for d, f in zip(targets, free, strict=True) if not f][1:])
+    rates, got, scans = ascend(members, names, want, np.zeros(len(want)), tokens, 1.0, free, True)
+    left = members.select("n_tokens", *names, _rate_column(rates, names).alias("_rate")).agg(*(F.sum(F.col(c) * F.col("n_tokens") * F.col("_rate")) for c in names)).first()
+    shares = np.array([v or 0.0 for v in left])
+    shares /= max(shares.sum(), 1e-300)
+    LOG.info("mixing: %d scans, shares %s", scans, shares.round(6).tolist())
+    return rates, shares
+
+
+def _rate_column(fit: Fit, names: list[str]) -> Column:
+    away = sum(((F.col(c) - float(s)) * float(v) for c, s, v in zip(names, fit.shift, fit.y, strict=True)), F.lit(0.0))
+    return F.least(F.lit(float(fit.most)), F.greatest(F.lit(0.0), F.lit(1.0) - away))
 
 
 def copies(rate: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -249,33 +279,33 @@ def copies(rate: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (np.floor(rate) + (coin < rate - np.floor(rate))).astype(np.int64)
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None) -> DataFrame:
     """doc_id, n_tokens, a posterior a domain, rate and copies of each row of ``docs``."""
-    members = materialize(memberships(docs, fit(docs, labels)), "members")
-    steps, _, _ = fit_rates(members, targets)
+    names = columns_of(targets)
+    members = materialize(memberships(docs, fit(docs, labels, targets, domain), targets), "members")
+    found, _, _ = fit_rates(members, targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rate = rates_of(np.stack([b.column(c).to_numpy() for c in COLUMNS], 1), steps)
+            rate = found.rates(np.stack([b.column(c).to_numpy() for c in names], 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rate), pa.array(copies(rate, b.column(0).fill_null(0).to_numpy()), pa.int64())], [*b.schema.names, "rate", "copies"])
 
-    return members.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{c} double" for c in COLUMNS) + ", rate double, copies long")
+    return members.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{c} double" for c in names) + ", rate double, copies long")
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` thinned to the targets: rates lie between 0 and 1, so no row is repeated."""
-    model = fit(docs, labels)
-    members = materialize(memberships(docs, model), "members")
-    steps, _, _ = fit_rates(members, targets, most=1.0)
-    names, schema = docs.columns, docs.schema
-    bound = docs.sparkSession.sparkContext.broadcast((model, steps))
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None) -> DataFrame:
+    """``docs`` thinned to the targets: rates lie between 0 and 1, so no row is repeated; all columns stay."""
+    model = fit(docs, labels, targets, domain)
+    members = materialize(memberships(docs, model, targets), "members")
+    found, _ = fit_thinning(members, targets)
+    text, key = docs.columns.index("text"), docs.columns.index("doc_id")
+    bound = docs.sparkSession.sparkContext.broadcast((model, found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
-        m, y = bound.value
+        m, rates = bound.value
         for b in batches:
-            rate = rates_of(m.posteriors(b.column(names.index("text")))[0], y, 1.0)
-            ids = b.column(names.index("doc_id")).fill_null(0).to_numpy()
-            yield b.filter(pa.array(copies(rate, ids) > 0))
+            rate = rates.rates(m.posteriors(b.column(text))[0])
+            yield b.filter(pa.array(copies(rate, b.column(key).cast(pa.int64()).fill_null(0).to_numpy()) > 0))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

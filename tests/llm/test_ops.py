@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from memspark.llm import byte_bpe, exact_dedup, jaccard_join, language_id, lm_score, mixing, pii, quality_rules, token_blocks, toxicity
 from memspark.llm.pretoken import cut
@@ -304,37 +305,58 @@ def test_mixing_meets_its_targets(spark, docs, empty):
     t = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
     text, labels = t.select("doc_id", "text"), t.select("doc_id", "quality", "toxic")
     got = pd.DataFrame([r.asDict() for r in mixing.mixing_rates(text, labels).collect()])
-    totals = np.array([(got[c] * got["n_tokens"] * got["rate"]).sum() for c in mixing.COLUMNS])
-    assert np.allclose(totals / totals.sum(), [mixing.TARGETS[d] for d in mixing.DOMAINS], atol=0.01) and (got["rate"] >= 0).all()
+    totals = np.array([(got[c] * got["n_tokens"] * got["rate"]).sum() for c in mixing.columns_of(mixing.TARGETS)])
+    assert np.allclose(totals / totals.sum(), list(mixing.TARGETS.values()), atol=1e-4) and (got["rate"] >= 0).all()
+    first = (got["p_clean"] * got["n_tokens"]).sum()
+    assert totals[0] == pytest.approx(first, rel=1e-3)
     kept = {r["doc_id"] for r in mixing.mix_documents(text, labels).collect()}
-    assert np.mean([i in kept for i in range(0, 900, 3)]) > 0.9 and np.mean([i in kept for i in range(2, 900, 3)]) < 0.2
+    assert np.mean([i in kept for i in range(0, 900, 3)]) > 0.97 and np.mean([i in kept for i in range(2, 900, 3)]) < 0.2
+    # other domains, other targets
+    other = pd.DataFrame([r.asDict() for r in mixing.mixing_rates(text, labels, {"fine": 0.5, "foul": 0.5}, F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 0).otherwise(1)).collect()])
+    assert np.allclose([(other[c] * other["n_tokens"] * other["rate"]).sum() for c in ("p_fine", "p_foul")], (other["p_fine"] * other["n_tokens"]).sum(), rtol=1e-3)
     assert mixing.mixing_rates(docs, labels).count() == docs.count() and mixing.mix_documents(docs, labels).columns == docs.columns
     assert mixing.mixing_rates(empty, labels.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("softness", [0.6, 2.0])
-@pytest.mark.parametrize("most", [float("inf"), 1.0])
-def test_mixing_goes_on_until_the_fit_is_as_near_as_it_gets(spark, most, softness):
+def soft_members(spark, softness, share):
     rng = np.random.default_rng(3)
-    kind = rng.choice(3, 3000, p=[0.76, 0.14, 0.10])
+    kind = rng.choice(3, 3000, p=share)
     z = np.eye(3)[kind] * 4 / softness + rng.normal(0, 1, (3000, 3))
     p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
     n = rng.integers(20, 2000, 3000)
-    members = spark.createDataFrame(pd.DataFrame({"n_tokens": n, **{c: p[:, k] for k, c in enumerate(mixing.COLUMNS)}})).repartition(2)
-    steps, got, goal = mixing.fit_rates(members, most=most)
-    rates = mixing.rates_of(p, steps, most)
-    assert np.allclose(p.T @ (n * rates), got) and rates.min() >= 0 and rates.max() <= most
-    # plain projected steps, many of them, as the measure of how near the bounds allow
-    gram = (p * n[:, None]).T @ p
-    gram += np.eye(3) * mixing.DAMPING * gram.trace()
-    fit = lambda r: (p.T @ (n * r) - goal) @ np.linalg.solve(gram, p.T @ (n * r) - goal)
-    long = np.ones(3000)
-    for _ in range(5_000):
-        long = np.clip(long - p @ np.linalg.solve(gram, p.T @ (n * long) - goal), 0.0, most)
-    scale = fit(np.ones(3000))
-    assert fit(rates) <= fit(long) * 1.01 + 2e-6 * scale
-    if most > 1:
-        assert np.abs(got - goal).max() <= mixing.TOLERANCE * goal.sum()
+    return p, n, spark.createDataFrame(pd.DataFrame({"n_tokens": n, **{c: p[:, k] for k, c in enumerate(mixing.columns_of(mixing.TARGETS))}})).repartition(2)
+
+
+@pytest.mark.parametrize("softness", [0.6, 2.0])
+def test_mixing_is_the_least_squares_fit(spark, softness):
+    p, n, members = soft_members(spark, softness, [0.76, 0.14, 0.10])
+    fit, got, goal = mixing.fit_rates(members)
+    rates = fit.rates(p)
+    assert np.allclose(p.T @ (n * rates), got) and rates.min() >= 0
+    assert np.abs(got - goal).max() <= 1e-3 * goal.min()
+    # no other rates that meet the targets lie nearer to 1: plain projected gradient steps on both terms, many of them
+    weight = n / n.sum()
+    dual = np.zeros(3)
+    for _ in range(200_000):
+        dual += 1.9 * (p.T @ (weight * np.maximum(0, 1 - p @ dual)) - goal / n.sum())
+    slow = np.maximum(0, 1 - p @ dual)
+    assert np.allclose(rates, slow, atol=2e-2)
+
+
+@pytest.mark.parametrize(("softness", "share"), [(0.4, [0.76, 0.14, 0.10]), (1.0, [0.76, 0.14, 0.10]), (0.4, [0.99, 0.005, 0.005])])
+def test_thinning_keeps_what_is_within_the_shares(spark, softness, share):
+    p, n, members = soft_members(spark, softness, share)
+    fit, shares = mixing.fit_thinning(members)
+    want, rates = np.array(list(mixing.TARGETS.values())), fit.rates(p)
+    assert rates.min() >= 0 and rates.max() <= 1 and (shares[1:] <= want[1:] + 1e-4).all()
+    over = (p.T @ n / n.sum() > want)[1:]
+    # a domain that was above its share ends at it, unless thinning another took it below; clean documents stay
+    assert np.abs(shares[1:] - want[1:])[over & (fit.y[1:] > 0)].max(initial=0) < 1e-4
+    assert (rates[(p <= want)[:, 1:].all(1)] == 1).all()
+    if not over.any():
+        assert (rates == 1).all()
+    alike = members.select("n_tokens", F.lit(0.7).alias("p_clean"), F.lit(0.2).alias("p_junk"), F.lit(0.1).alias("p_toxic"))
+    assert (mixing.fit_thinning(alike)[0].rates(np.array([[0.7, 0.2, 0.1]])) == 1).all()
 
 
 def test_pipeline_runs_every_stage(spark):
