@@ -119,10 +119,50 @@ def test_quality_rules(docs, empty):
         lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
-        assert r["base_failed"] == (len(w) < 20) or len(covered)
+        assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t or ""))
+        assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and (not r["kept"] or not r["base_failed"])
     assert quality_rules.quality_filter(empty).count() == 0
 
 
+def exact_fences(rows: pd.DataFrame) -> dict[str, float | None]:
+    """The fences of one group by exact quantiles: the smallest value with at least that share at or below it."""
+    at = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
+    rows = rows[~rows["base_failed"]]
+    out: dict[str, float | None] = {}
+    for r, step in quality_rules.RATIOS.items():
+        v = rows[r][rows[r] > 0].to_numpy()
+        if len(rows) < quality_rules.MIN_GROUP or len(v) < quality_rules.MIN_VALUES:
+            out[r] = None
+        elif len(v) <= quality_rules.RARE * len(rows) and at(v, 0.1) * at(rows["n_words"].to_numpy(), 0.5) >= quality_rules.APART * step:
+            out[r] = at(v, 0.1) / 2
+        else:
+            out[r] = at(v, 0.75) + quality_rules.FENCE * (at(v, 0.75) - at(v, 0.25))
+    return out
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_quality_fences_follow_their_group(spark, most):
+    # symbols are foreign to source a, usual in source b; c is too small for fences of its own, d's language too
+    rows, r = [], random.Random(9)
+    for i in range(1500):
+        source, lang = ("a", "en") if i < 600 else ("b", "en") if i < 1200 else ("c", "en") if i < 1300 else ("d", "xx")
+        words_ = [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(r.randint(60, 120))]
+        if source == "b" or i % 20 == 0:
+            words_ = [w + r.choice(["", "", " |", " $$"]) for w in words_]
+        rows.append((i, " ".join(words_), lang, source))
+    got = quality_rules.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), max_sent_groups=most).toPandas()
+    group, by_lang, whole = got.groupby(["lang", "source"]), got.groupby("lang"), exact_fences(got)
+    for (lang, source), own in group:
+        fine, coarse = exact_fences(own), exact_fences(by_lang.get_group(lang))
+        for _, x in own.iterrows():
+            fence = {k: next((f for f in (fine[k], coarse[k], whole[k]) if f is not None), math.inf) for k in quality_rules.RATIOS}
+            assert sorted(x["failed"]) == sorted(k for k in fence if x[k] > fence[k]), (source, x["doc_id"])
+            assert x["kept"] == (not x["base_failed"] and not len(x["failed"]))
+    gone = got[got["failed"].map(lambda f: "symbol_ratio" in f)]
+    # the same symbols go where they are foreign and stay where they are usual
+    assert set(gone["doc_id"]) >= {i for i in range(0, 600, 20)} and not (set(gone["doc_id"]) & set(range(600, 1200)))
+
+
 def test_pii_matches_the_plain_patterns(docs, empty):
     anchors = pii.automaton()
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
