@@ -26,14 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import held
-from .common import WS, materialize
+from .common import WS, materialize, unused
 
 BITS_PER_ROW = 16
 PROBES = 4
 SEGMENT_BITS = 1 << 16
 MAX_BROADCAST_BYTES = 64 << 20
-#: A group's rows are dealt over so many tasks when its result is joined back.
-SALTS = 16
+#: Rows of a group that one task joins back to its result; larger groups are dealt over several.
+GROUP_PART = 10_000
+#: Large groups up to this number are sent to the tasks (36 bytes each); more are joined by a shuffle.
+MAX_SENT_GROUPS = 500_000
 
 
 def normalized(text: str = "text") -> Column:
@@ -158,12 +160,18 @@ def duplicate_groups(docs: DataFrame, text: str = "text", max_broadcast_bytes: i
     flagged = materialize(flag_repeats(docs, text, max_broadcast_bytes), "flags")
     passed = flagged.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     # equal rows count first, so that a hot text moves one row a task; then one result a text
-    ids = flagged.filter("maybe").groupBy("sha", "doc_id").agg(F.count("*").alias("n"))
-    groups = ids.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    back = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"])
-    back = back.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
+    ids = materialize(flagged.filter("maybe").groupBy("sha", "doc_id").agg(F.count("*").alias("n")), "ids")
+    parts = F.ceil(F.count("*") / GROUP_PART).cast("int").alias("parts")
+    groups = materialize(ids.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), parts), "groups")
+    large = groups.filter("parts > 1").select(F.col("sha").alias("_large"), F.col("parts").alias("_parts"))
+    large = F.broadcast(large) if large.count() <= MAX_SENT_GROUPS else large
+    dealt = ids.join(large, F.col("sha") == F.col("_large"), "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"), F.lit(0))).drop("_large", "_parts")
+    back = dealt.join(groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), ["sha", "part"])
+    # rows that repeat one doc_id, in runs, so that no array is long
+    back = back.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GROUP_PART))))
+    back = back.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(GROUP_PART), F.col("n") - F.col("run") * GROUP_PART))))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1) & (F.col("run") == 0)
     found = back.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "sha")
     return passed.unionByName(found).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -171,22 +179,22 @@ def duplicate_groups(docs: DataFrame, text: str = "text", max_broadcast_bytes: i
 def drop_duplicates(docs: DataFrame, text: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``docs`` without later copies: of equal texts the row with the smallest doc_id stays, whole.
 
-    Unique rows never leave their task; among possibly repeated rows only (doc_id, hash) shuffle, then the
-    rows that stay are found by a join on doc_id and hash.
+    Unique rows never leave their task.  Possibly repeated rows shuffle once, whole, after each task has kept its
+    own first of each text; where the filter is too large to send, possible repeats are known by doc_id and hash.
     """
-    names = docs.columns
+    names, sha, maybe = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "_sha"), unused(docs, "_maybe")
+    full = docs.withColumn(sha, F.unhex(F.sha2(normalized(text).cast("binary"), 256)))
     bitmaps, segments = repeat_filter(hashed(docs, text).select("h"), docs.count())
-    full = docs.withColumn("_sha", F.unhex(F.sha2(normalized(text).cast("binary"), 256)))
     if segments * SEGMENT_BITS // 8 > max_broadcast_bytes:
-        kept = duplicate_groups(docs, text, max_broadcast_bytes).filter("kept")
-        kept = kept.select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_of")).distinct()
-        firsts = full.join(kept, (F.col("_sha") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-        return firsts.dropDuplicates(["_sha"]).select(*names)
-    sent = {r[0]: bytes(r[1]) for r in bitmaps.toLocalIterator()}
-    probe = F.pandas_udf(_tester(sent, segments), "boolean")
-    full = full.withColumn("_maybe", probe(F.conv(F.substring(F.hex("_sha"), 2, 15), 16, 10).cast("long")))
-    alone = full.filter("not _maybe").select(*names)
-    again = full.filter("_maybe")
-    first = again.groupBy("_sha").agg(F.min("doc_id").alias("_keep")).withColumnRenamed("_sha", "_of")
-    firsts = again.join(first, (F.col("_sha") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return alone.unionByName(firsts.dropDuplicates(["_sha"]).select(*names))
+        of, whose = unused(docs, "_of"), unused(docs, "_whose")
+        rows = materialize(_by_join(hashed(docs, text), bitmaps, segments).filter("maybe").select(F.col("sha").alias(of), F.col("doc_id").alias(whose)).distinct(), "maybe")
+        same = (F.col(sha) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(whose))
+        alone, again = full.join(rows, same, "left_anti"), full.join(rows, same, "left_semi")
+    else:
+        sent = {r[0]: bytes(r[1]) for r in bitmaps.toLocalIterator()}
+        probe = F.pandas_udf(_tester(sent, segments), "boolean")
+        full = full.withColumn(maybe, probe(F.conv(F.substring(F.hex(sha), 2, 15), 16, 10).cast("long")))
+        alone, again = full.filter(~F.col(maybe)), full.filter(F.col(maybe))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    firsts = again.groupBy(sha).agg(F.min_by(F.struct(*names), order).alias(maybe)).select(f"{maybe}.*")
+    return alone.select(*names).unionByName(firsts)

@@ -58,7 +58,7 @@ def words(t):
 
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_exact_dedup(docs, empty, limit):
+def test_exact_dedup(docs, empty, limit, monkeypatch):
     got = exact_dedup.duplicate_groups(docs, max_broadcast_bytes=limit).collect()
     rows = [(r["doc_id"], normal(r["text"])) for r in docs.collect()]
     size = collections.Counter(t for _, t in rows)
@@ -69,6 +69,18 @@ def test_exact_dedup(docs, empty, limit):
     kept = exact_dedup.drop_duplicates(docs, max_broadcast_bytes=limit)
     assert kept.columns == docs.columns
     assert sorted(normal(r["text"]) for r in kept.collect()) == sorted(size)
+    # columns with the names used inside come through as they were
+    named = docs.withColumns({c: F.lit(f"own {c}") for c in ("_sha", "_maybe", "_of", "_whose", "a.b")})
+    out = exact_dedup.drop_duplicates(named, max_broadcast_bytes=limit)
+    assert out.columns == named.columns and {tuple(r)[-5:] for r in out.collect()} == {tuple(f"own {c}" for c in ("_sha", "_maybe", "_of", "_whose", "a.b"))}
+    # groups larger than a part
+    monkeypatch.setattr(exact_dedup, "GROUP_PART", 2)
+    many = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    rows = [(r["doc_id"], normal(r["text"])) for r in many.collect()]
+    size = collections.Counter(t for _, t in rows)
+    found = exact_dedup.duplicate_groups(many, max_broadcast_bytes=limit).collect()
+    assert collections.Counter((r["doc_id"], r["group_size"], r["text_sha256"]) for r in found) == collections.Counter((i, size[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    assert sum(r["kept"] for r in found) == len(size)
     assert exact_dedup.duplicate_groups(empty, max_broadcast_bytes=limit).count() == 0 and exact_dedup.drop_duplicates(empty).count() == 0
 
 
@@ -107,7 +119,8 @@ def test_near_duplicates(spark, docs, empty, monkeypatch):
         assert all(r["component_id"] is None for r in got if r["doc_id"] is None) and len(got) == every.count()
         assert all(r["n_shingles"] in [len(s) for s in sets[r["doc_id"]]] for r in got if r["doc_id"] is not None)
     assert jaccard_join.near_duplicates(empty).count() == 0
-    assert jaccard_join.drop_near_duplicates(every).columns == every.columns
+    named = every.withColumn("_gone", F.lit("own"))
+    assert jaccard_join.drop_near_duplicates(named).columns == named.columns
 
 
 def test_quality_rules(docs, empty):
