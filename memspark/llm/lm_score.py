@@ -9,6 +9,9 @@ words and bigrams, as sorted hashes by hash range with the block's training coun
 adds up all blocks' counts and sends every block its totals back, in the same order, without hashes.  So a
 word pair crosses the network once a block, however often it occurs, and a frequent one is a number.
 
+Order 2 it stays: trigrams hardly repeat within a block, so their keys would cross the network once a token, and the
+scratch tables would grow from 3 to some 5 times the input.
+
 Defined results: null text is empty and has just the end token; rows with null doc_id belong to the training
 part; repeated rows count each time; without training rows all counts are zero and both scores come from the
 uniform part; an empty table gives an empty result.
@@ -35,6 +38,8 @@ BUCKETS = 20
 _BINS = 160
 #: Tokens of a block, at least, where its task has so many; a task holds some 100 bytes for each.
 BLOCK_TOKENS = 1_000_000
+#: Keys of words or bigrams, over all blocks, in one hash range.
+RANGE_KEYS = 2_000_000
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -77,8 +82,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block():
         ids, train, sizes, tokens = (np.concatenate([h[i] for h in held]) for i in range(4))
         vocabulary, codes = np.unique(tokens, return_inverse=True)
-        cells = base + seq, ids.astype("<i8").tobytes(), _squeeze(sizes), _squeeze(train.astype(np.uint8)), _squeeze_keys(vocabulary), _squeeze(codes)
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary() if i else pa.int64()) for i, c in enumerate(cells)], ["block", "ids", "sizes", "train", "vocabulary", "codes"])
+        cells = base + seq, len(tokens), ids.astype("<i8").tobytes(), _squeeze(sizes), _squeeze(train.astype(np.uint8)), _squeeze_keys(vocabulary), _squeeze(codes)
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(cells)], ["block", "tokens", "ids", "sizes", "train", "vocabulary", "codes"])
 
     for b in batches:
         ids = b.column(0).fill_null(_NULL_ID).to_numpy()
@@ -250,14 +255,16 @@ def score_documents(docs: DataFrame, held_out: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     train = ~F.coalesce(F.expr(held_out), F.lit(False)) if held_out else split_remainder("doc_id", 5) != 1
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
-    blocks = materialize(rows.mapInArrow(_blocks, "block long, ids binary, sizes binary, train binary, vocabulary binary, codes binary"), "blocks")
-    ranges = 4 * partitions_for(spark)
+    blocks = materialize(rows.mapInArrow(_blocks, "block long, tokens long, ids binary, sizes binary, train binary, vocabulary binary, codes binary"), "blocks")
+    # a block has at most a bigram a token
+    keys = blocks.agg(F.sum("tokens")).first()[0] or 0
+    ranges = max(partitions_for(spark), -(-keys // RANGE_KEYS))
     local = blocks.select("block", "sizes", "train", "vocabulary", "codes").mapInArrow(_counted(ranges), "part long, block long, keys binary, counts binary")
     totals = materialize(local.groupBy("part").applyInPandas(_totals, "block long, part long, totals binary"), "totals")
     sums = [_spread(r["totals"]).astype(np.int64) for r in totals.filter("block = -1").select("totals").toLocalIterator()]
     tokens, distinct = (int(sum(s[i] for s in sums)) for i in (0, 1))
     ends = rows.filter("train").count()
-    met = blocks.groupBy("block").cogroup(totals.filter("block >= 0").groupBy("block")).applyInPandas(_meet(float(tokens)), "ids binary, sizes binary, train binary, codes binary, words binary, pairs binary, bins array<long>, n array<long>")
+    met = blocks.drop("tokens").groupBy("block").cogroup(totals.filter("block >= 0").groupBy("block")).applyInPandas(_meet(float(tokens)), "ids binary, sizes binary, train binary, codes binary, words binary, pairs binary, bins array<long>, n array<long>")
     met = materialize(met, "met")
     bins = met.select(F.explode(F.arrays_zip("bins", "n")).alias("x")).groupBy("x.bins").agg(F.sum("x.n").alias("n"))
     # at most BUCKETS * 160 * 160 bins, whatever the input

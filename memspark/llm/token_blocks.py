@@ -38,7 +38,6 @@ SEGMENT_TOKENS = 1 << 20
 PIECES = 750_000
 _HEAD = struct.Struct("<4sHHIII")
 _INFO = np.dtype([("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
-_NULL_ID = np.iinfo(np.int64).min
 
 
 def pack(values: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
@@ -104,20 +103,21 @@ def unpack(data: bytes, n: int, block: int = BLOCK, only: slice | None = None) -
 
 
 def write_segment(ids: list[int | None], lengths: list[int], tokens: np.ndarray) -> bytes:
-    head = _HEAD.pack(b"PFR1", BLOCK, 0, len(ids), len(tokens), 0)
-    keys = np.array([_NULL_ID if i is None else i for i in ids], "<i8")
+    # null ids sort first, so their number tells which they are
+    head = _HEAD.pack(b"PFR1", BLOCK, 0, len(ids), len(tokens), ids.count(None))
+    keys = np.array([i or 0 for i in ids], "<i8")
     return b"".join([head, keys.tobytes(), np.array(lengths, "<u4").tobytes(), pack(tokens)])
 
 
-def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, lengths, tokens) of a segment."""
-    magic, block, _, docs, n, _ = _HEAD.unpack_from(data)
+def read_segment(data: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """(doc ids, how many of them, at the start, are null, lengths, tokens) of a segment."""
+    magic, block, _, docs, n, nulls = _HEAD.unpack_from(data)
     if magic != b"PFR1":
         raise ValueError("not a token segment")
     at = _HEAD.size
     keys = np.frombuffer(data, "<i8", docs, at)
     lengths = np.frombuffer(data, "<u4", docs, at + 8 * docs)
-    return keys, lengths, unpack(memoryview(data)[at + 12 * docs :], n, block)
+    return keys, nulls, lengths, unpack(memoryview(data)[at + 12 * docs :], n, block)
 
 
 class LibraryEncoder:
@@ -204,12 +204,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part, first, payload in zip(*(b.column(c).to_pylist() for c in ("part", "first_token", "payload")), strict=True):
-            keys, lengths, tokens = read_segment(payload)
+            keys, nulls, lengths, tokens = read_segment(payload)
             ends = np.cumsum(lengths.astype(np.int64))
             raw = memoryview(tokens.astype("<u4").tobytes())
             crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), part, np.int32)), pa.array(keys, mask=keys == _NULL_ID), pa.array(first + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
+                [pa.array(np.full(len(keys), part, np.int32)), pa.array(keys, mask=np.arange(len(keys)) < nulls), pa.array(first + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
                 ["part", "doc_id", "at", "n_tokens", "ids_crc32"],
             )
 

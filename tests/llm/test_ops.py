@@ -31,7 +31,7 @@ def sentence(n: int) -> str:
 BASE = [sentence(60) for _ in range(12)]
 TEXTS = [
     *BASE, BASE[0], BASE[0].upper(), BASE[1] + " tail", BASE[1].replace(" ", "  "), BASE[2] + " a b c", BASE[2] + " a b d", None, "", " ", "\n\t", "one", "two words", "ONE", LONG, LONG + " end",
-    "mail a.b+c@x.example.com or +1 (212) 555-0199, 10.0.0.256 10.0.0.255 4111 1111 1111 1111", "x\n \ny  z \n", "日本語 text \U0001f600 ok",
+    "mail a.b+c@x.example.com or +1 (212) 555-0199, 10.0.0.256 10.0.0.255 4111 1111 1111 1111", "x\n \ny  z \n", "日本語 text \U0001f600 ok", "hello <|endoftext|> bye", "a <|endoftext|><|endoftext|>  b ",
 ]
 IDS = list(range(100, 100 + len(TEXTS)))
 
@@ -179,18 +179,39 @@ def test_quality_fences_follow_their_group(spark, most):
 def test_pii_matches_the_plain_patterns(docs, empty):
     anchors = pii.automaton()
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     for alphabet in ("a1.@-", "1. -", "+1 (.)-a", "12 -", "a@b.c@+%1"):
         for _ in range(2000):
             t = "".join(random.choice(alphabet) for _ in range(random.choice((3, 12, 40))))
             f = pii.find(t, anchors)
             digits = lambda m: re.sub("[^0-9]", "", m[0])
             assert f["email"] == [m.span() for m in email.finditer(t)]
-            assert f["ip"] == [m.span() for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+            assert f["ip"] == [m.span() for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
             assert f["card"] == [m.span() for m in pii.CARD.finditer(t) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
             assert f["phone"] == [m.span() for m in pii.PHONE.finditer(t) if 8 <= len(digits(m)) <= 15]
     f = pii.find("iban: GB82 WEST 1234 5698 7654 32, http://u:p4@h.com/ password=\"abc12345678\"", anchors)
     assert f["iban"] and f["login"] and f["secret"]
     assert pii.redact("call a@b.cc now", pii.find("call a@b.cc now", anchors)) == "call <email> now"
+    # runs of any length are read once: a megabyte takes seconds
+    for t in ("1" * 10**6, "1." * 10**6, "1.2.3." * 10**5, "+1(" * 10**5, "1 " * 10**5):
+        began = time.process_time()
+        pii.find(t, anchors)
+        assert time.process_time() - began < 30
+    # the digests are those of the plain patterns, and all added kinds are among the spans
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    for i, t in zip(IDS, TEXTS, strict=True):
+        t, r = t or "", rows[i]  # noqa: PLW2901
+        plain = {k: [] for k in pii.BASE_KINDS}
+        plain["email"] = [m.span() for m in email.finditer(t)]
+        plain["ip"] = [m.span() for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        plain["card"] = [m.span() for m in pii.CARD.finditer(t) if 16 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0]))]
+        plain["phone"] = [m.span() for m in pii.PHONE.finditer(t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        base = ",".join(f"{k}:{a}:{b}" for k in pii.BASE_KINDS for a, b in plain[k])
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and r["spans"].startswith(base)
+        assert r["n_found"] == len([x for x in r["spans"].split(",") if x]) and r["n_added"] == r["n_found"] - sum(len(plain[k]) for k in plain)
+    made = [f"note {i}: {v} end" for i, v in enumerate(["http://bob:pw1@h.example/x", "IBAN DE89 3704 0044 0532 0130 00", "token = abcdefgh12345678", 'password: "s3cretpass"'] * 25)]
+    kinds = ["login", "iban", "secret", "secret"] * 25
+    assert all(pii.find(t, anchors)[k] for t, k in zip(made, kinds, strict=True))
     assert pii.find_personal_data(docs).count() == docs.count() and pii.find_personal_data(empty).count() == 0
 
 
@@ -230,6 +251,7 @@ def test_byte_bpe_round_trip_and_library(docs, empty):
         ids = e.encode([t or ""])[0].tolist()
         assert ids == library.encode_ordinary(t or "") and e.decode(ids) == (t or "").encode()
     got = {r["doc_id"]: r for r in byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect()}
+    assert all(got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, library.encode_ordinary(t or ""))).encode()).hexdigest() for i, t in zip(IDS, TEXTS, strict=True))
     assert all(got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in zip(IDS, TEXTS, strict=True))
     ids = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
     assert {r["doc_id"]: bytes(r["bytes"]).decode() for r in byte_bpe.decode_documents(ids, path, public_tokenizers.PATTERN).filter("doc_id is not null").collect()} == {i: t or "" for i, t in zip(IDS, TEXTS, strict=True)}
@@ -257,25 +279,50 @@ def test_token_blocks(docs, empty):
         x = got[i]
         assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    # the least id is no null
+    edge = docs.withColumn("doc_id", F.when(F.col("doc_id") == IDS[0], F.lit(-(2**63))).otherwise(F.col("doc_id")))
+    found = collections.Counter(x["doc_id"] for x in token_blocks.token_files(edge, path).collect())
+    assert found == collections.Counter(x["doc_id"] for x in edge.collect()) and found[-(2**63)] == 1 and found[None] == 2
     assert token_blocks.token_files(docs, path).count() == docs.count() and token_blocks.token_files(empty, path).count() == 0
     for t in ("a\n b", " a", " ", "x \n y\n\n z", "a  b", "b  c", "a  b"):
         p = cut(t)
         assert sum((library.encode(c, add_special_tokens=False).ids for c in [p[0], *(" " + y for y in p[1:])]), []) == library.encode(t, add_special_tokens=False).ids
 
 
-def test_lm_score(spark, docs, empty):
+def test_lm_score(spark, docs, empty, monkeypatch):
     got = {r["doc_id"]: r for r in lm_score.score_documents(docs).collect() if r["doc_id"] is not None}
-    count: collections.Counter = collections.Counter()
-    for r in docs.collect():
-        if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1:
-            count.update([*words(r["text"]), None])
+    train = [words(r["text"]) for r in docs.collect() if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
+    count, pairs, bins = collections.Counter(), collections.Counter(), collections.Counter()
+    for w in train:
+        count.update([*w, None])
+        pairs.update(zip([None, *w], [*w, None], strict=True))
     n, v = sum(count.values()), len(count)
+    # the model by hand: weights from counts with the token itself deleted
+    for w in train:
+        for x, y in zip([None, *w], [*w, None], strict=True):
+            context = count[x] - 1
+            both, own = (lm_score._log_bins(np.array([p]))[0] for p in ((pairs[x, y] - 1) / max(context, 1), (count[y] - 1) / (n - 1)))
+            bins[int(lm_score._bucket(np.array([context]))[0] * lm_score._BINS**2 + both * lm_score._BINS + own)] += 1
+    weight = lm_score.weights(bins, v)
+
+    def chance(x, y):
+        w = weight[lm_score._bucket(np.array([count[x]]))[0]] * [count[x] > 0, 1, 1]
+        return w @ [pairs[x, y] / max(count[x], 1), count[y] / n, 1 / (v + 1)] / w.sum()
+
+    # contexts seen and not: what training knows and one unknown word have probability one together
+    for x in (None, "alpha", "never"):
+        assert sum(chance(x, y) for y in [*count, "unseen"]) == pytest.approx(1)
     for i, t in zip(IDS, TEXTS, strict=True):
-        w = [*words(t), None]
-        base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        w = words(t)
+        base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*w, None])
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(count[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(count[x] > 0 for x in [*w, None]), n)
+        assert r["base_score"] == pytest.approx(base)
+        assert r["score"] == pytest.approx(sum(math.log10(chance(x, y)) for x, y in zip([None, *w], [*w, None], strict=True)))
+    monkeypatch.setattr(lm_score, "RANGE_KEYS", 500)
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 700)
+    again = {r["doc_id"]: r for r in lm_score.score_documents(docs).collect() if r["doc_id"] is not None}
+    assert all(again[i]["score"] == pytest.approx(got[i]["score"]) and again[i]["n_known"] == got[i]["n_known"] for i in got)
     assert lm_score.score_documents(empty).count() == 0
     w = lm_score.weights({0: 10, lm_score._BINS * lm_score._BINS: 5}, 100)
     assert np.allclose(w.sum(1), 1)
