@@ -58,13 +58,18 @@ def build_validity(facts: DataFrame) -> DataFrame:
 
 
 def stratified_sample(facts: DataFrame, stratum: str, size: int, seed: int) -> DataFrame:
-    """``size`` rows: strata in proportion (one at least), half from the newest third of each, by seeded hash."""
-    total = facts.agg(F.count("*").alias("_all"))
-    bounds = facts.groupBy(stratum).agg(F.count("*").alias("_n"), F.percentile_approx("created_at", 2 / 3).alias("_new"))
-    rows = facts.join(F.broadcast(bounds), stratum).join(F.broadcast(total)).withColumn("is_new", F.col("created_at") > F.col("_new"))
-    quota = F.greatest(F.lit(1.0), F.lit(size) * F.col("_n") / F.col("_all"))
-    w = Window.partitionBy(stratum, "is_new").orderBy(F.xxhash64("memory_id", F.lit(seed)))
-    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.ceil(quota / 2)).drop("_r", "_n", "_new", "_all")
+    """``size`` rows: strata in proportion (one at least), half from the newest third of each, by seeded hash.
+
+    Each task first keeps its own first rows of a stratum's half, so no window holds a whole stratum.
+    """
+    bounds = facts.groupBy(stratum).agg(F.count("*").alias("_n"), F.percentile_approx("created_at", 2 / 3).alias("_new")).withColumnRenamed(stratum, "_s")
+    total = facts.count()
+    rows = facts.join(bounds, F.col(stratum).eqNullSafe(F.col("_s"))).withColumns({"is_new": F.col("created_at") > F.col("_new"), "_h": F.xxhash64("memory_id", F.lit(seed)), "_task": F.pmod(F.xxhash64("memory_id"), F.lit(64))})
+    quota = F.ceil(F.greatest(F.lit(1.0), F.lit(float(size)) * F.col("_n") / F.lit(float(max(total, 1)))) / 2)
+    first = F.row_number().over(Window.partitionBy(stratum, "is_new", "_task").orderBy("_h", "memory_id"))
+    rows = rows.withColumn("_r", first).filter(F.col("_r") <= quota)
+    w = Window.partitionBy(stratum, "is_new").orderBy("_h", "memory_id")
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= quota).drop("_r", "_n", "_new", "_s", "_h", "_task")
 
 
 def with_keeper_score(facts: DataFrame, signals: DataFrame) -> DataFrame:
@@ -97,10 +102,13 @@ def apply_updates(facts: DataFrame, changes: DataFrame, now: int) -> DataFrame:
 
 def apply_deletes(facts: DataFrame, gone: DataFrame) -> DataFrame:
     """Deleted heads go, and the latest predecessor that stays reopens; deleted older versions are quarantined."""
-    d = facts.join(gone.withColumn("_gone", F.lit(True)), "memory_id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    d = facts.join(gone.select("memory_id").distinct().withColumn("_gone", F.lit(True)), "memory_id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
     head = F.col("valid_to").isNull()
-    before = d.select(F.col("memory_id").alias("h_id"), (F.col("_gone") & head).alias("h_gone"))
-    d = d.join(before, F.col("superseded_by") == F.col("h_id"), "left")
+    # a run of deleted versions that ends at a deleted head leaves the chain open before it
+    run = d.filter("_gone").select("memory_id", "superseded_by")
+    ends = d.filter(F.col("_gone") & head).select(F.col("memory_id").alias("head"))
+    dead = heads(run).join(ends, "head", "left_semi").select(F.col("memory_id").alias("h_id"), F.lit(True).alias("h_gone"))
+    d = d.join(dead, F.col("superseded_by") == F.col("h_id"), "left")
     reopen = F.coalesce("h_gone", F.lit(False)) & ~F.col("_gone")
     d = d.withColumns({"status": F.when(F.col("_gone"), "quarantined").otherwise(F.col("status")), "_was_head": head})
     d = d.filter(~(F.col("_gone") & F.col("_was_head")))

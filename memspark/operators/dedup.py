@@ -4,31 +4,69 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.vectors import unit
 
-from .iterate import components
+from .iterate import components, materialize
 
 #: Rows of a block of the pairwise products; memory of a task is two blocks.
 BLOCK_ROWS = 2000
+#: Word triples of a text that are looked up before any text is compared.
+_PROBES = 8
+#: Keys of short texts up to this number are sent to the tasks (8 bytes each).
+MAX_SENT_KEYS = 1_000_000
 
 
 def containment_pairs(facts: DataFrame, least: int = 20) -> DataFrame:
-    """(short_id, long_id): texts whose words stand, in order, inside another's of the same category and scope.
+    """(short_id, long_id): facts whose text is part of another's of the same category, both of ``least`` characters or more.
 
-    The shorter text's first three words must be among the longer one's word triples; only such pairs are
-    compared in full.  Equal texts are a pair from the larger id to the smaller.
+    Texts are compared lower-cased, with white space collapsed.  Equal texts are pairs from each larger id to the
+    smallest, which alone goes on for them; so copies never multiply pairs.
+
+    A text of five or more words lies in another only if all of its inner word triples do, so one that has a triple of
+    its own alone can't be inside any; of what is left, the rarest of ``_PROBES`` triples finds the texts to compare.
+    Shorter texts are found by an inner word or pair of words, by the opening or ending of a long word, or by the
+    opening of their one word.  Only (id, key) rows meet by key; texts join the pairs that are left.
     """
     flat = F.trim(F.regexp_replace(F.lower("content"), r"\s+", " "))
-    f = facts.select("memory_id", "category", F.coalesce("user_scope", F.lit("")).alias("scope"), F.coalesce("project_id", F.lit("")).alias("project"), flat.alias("flat")).filter(F.length("flat") >= least)
-    f = f.withColumn("words", F.split("flat", " ")).filter(F.size("words") >= 3)
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.xxhash64(F.slice("words", i, 3))))
-    short = f.select(F.col("memory_id").alias("short_id"), "category", "scope", "project", F.col("flat").alias("a"), F.xxhash64(F.slice("words", 1, 3)).alias("key"))
-    long = f.select(F.col("memory_id").alias("long_id"), "category", "scope", "project", F.col("flat").alias("b"), F.explode(keys).alias("key"))
-    inside = F.contains(F.concat(F.lit(" "), "b", F.lit(" ")), F.concat(F.lit(" "), "a", F.lit(" ")))
-    return short.join(long, ["category", "scope", "project", "key"]).filter(inside & ((F.length("a") < F.length("b")) | ((F.col("a") == F.col("b")) & (F.col("short_id") > F.col("long_id"))))).select("short_id", "long_id")
+    f = materialize(facts.select("memory_id", "category", flat.alias("flat")).filter(F.length("flat") >= least).withColumn("digest", F.sha2("flat", 256)))
+    same = f.groupBy("category", "digest").agg(F.min("memory_id").alias("first"), F.count("*").alias("n"))
+    many = same.filter("n > 1").select(F.col("category").alias("_c"), F.col("digest").alias("_d"), "first")
+    copies = f.join(many, F.col("category").eqNullSafe(F.col("_c")) & (F.col("digest") == F.col("_d"))).filter("memory_id <> first").select(F.col("memory_id").alias("short_id"), F.col("first").alias("long_id"))
+    r = f.join(same.select(F.col("first").alias("memory_id")), "memory_id", "left_semi").select("memory_id", F.coalesce("category", F.lit("")).alias("category"), "flat")
+    r = materialize(r.withColumn("words", F.split("flat", " ")).withColumn("n", F.size("words")))
+
+    def runs(first: int, last: Column, size: int) -> Column:
+        made = F.transform(F.sequence(F.lit(first), F.greatest(F.lit(first), last)), lambda i: F.xxhash64("category", F.lit(size), F.slice("words", i, size)))
+        return F.when(last >= first, made).otherwise(F.array().cast("array<bigint>"))
+
+    # 1. texts of five or more words, by triples
+    every = materialize(r.filter("n >= 3").select("memory_id", F.explode(F.array_distinct(runs(1, F.col("n") - 2, 3))).alias("key")))
+    shared = every.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1")
+    probes = r.filter("n >= 5").select("memory_id", F.slice(F.array_sort(F.array_distinct(runs(2, F.col("n") - 3, 3))), 1, _PROBES).alias("keys"))
+    probes = probes.select("memory_id", F.size("keys").alias("asked"), F.explode("keys").alias("key"))
+    met = probes.join(shared, "key").groupBy("memory_id").agg(F.count("*").alias("found"), F.max("asked").alias("asked"), F.min_by("key", "count").alias("key"))
+    pairs = met.filter("found = asked").select(F.col("memory_id").alias("short_id"), "key").join(every.withColumnRenamed("memory_id", "long_id"), "key").select("short_id", "long_id")
+
+    # 2. shorter texts, by other keys
+    w = lambda i: F.get("words", F.lit(i))
+    edge = F.when(F.length(w(1)) >= F.length(w(0)), F.xxhash64("category", F.lit("p"), F.substring(w(1), 1, 10))).otherwise(F.xxhash64("category", F.lit("s"), F.right(w(0), F.lit(10))))
+    key = F.when(F.col("n") == 4, runs(2, F.lit(2), 2)[0]).when(F.col("n") == 3, runs(2, F.lit(2), 1)[0]).when(F.col("n") == 2, edge).otherwise(F.xxhash64("category", F.lit("g"), F.substring(w(0), 1, least)))
+    few = materialize(r.filter("n < 5").select(F.col("memory_id").alias("short_id"), key.alias("key")))
+    if not few.isEmpty():
+        long = F.filter("words", lambda x: F.length(x) >= 10)
+        of = lambda tag, cut: F.transform(long, lambda x: F.xxhash64("category", F.lit(tag), cut(x)))
+        grams = F.flatten(F.transform(F.filter("words", lambda x: F.length(x) >= least), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (least - 1)), lambda i: F.xxhash64("category", F.lit("g"), F.substr(x, i, F.lit(least))))))
+        keys = F.array_distinct(F.concat(runs(1, F.col("n"), 1), runs(1, F.col("n") - 1, 2), of("p", lambda x: F.substring(x, 1, 10)), of("s", lambda x: F.right(x, F.lit(10))), grams))
+        ask = few.select("key").distinct()
+        ask = F.broadcast(ask) if ask.count() <= MAX_SENT_KEYS else ask
+        held = r.select(F.col("memory_id").alias("long_id"), F.explode(keys).alias("key")).join(ask, "key", "left_semi")
+        pairs = pairs.unionByName(few.join(held, "key").select("short_id", "long_id"))
+    text = r.select("memory_id", F.col("category").alias("c"), "flat")
+    pairs = pairs.filter("short_id <> long_id").distinct().join(text.toDF("short_id", "ca", "a"), "short_id").join(text.toDF("long_id", "cb", "b"), "long_id")
+    return pairs.filter((F.col("ca") == F.col("cb")) & (F.length("a") < F.length("b")) & F.contains("b", "a")).select("short_id", "long_id").unionByName(copies)
 
 
 def semantic_pairs(facts: DataFrame, threshold: float) -> DataFrame:
@@ -64,14 +102,49 @@ def clusters(pairs: DataFrame, scored: DataFrame) -> DataFrame:
     return s.select("memory_id", "cluster").join(keep, "cluster")
 
 
-def consolidate(facts: DataFrame, unused: DataFrame, contained: DataFrame, clustered: DataFrame, now: int, most: int) -> DataFrame:
-    """Maintenance plan: memory_id, reason, keeper; one reason a fact, the first of expired, stale, contained, semantic."""
+def seed_stars(facts: DataFrame, threshold: float, most: int = 7) -> DataFrame:
+    """(seed, memory_id): the newest fact that is in no cluster yet is a seed, and the ``most`` nearest facts in none,
+    with a cosine of ``threshold`` or more to the seed itself, join it; nothing follows from their own likeness.
+
+    Exact in rounds: all facts with no newer free fact within two links go at once, for theirs are the clusters that
+    no other open choice can touch.  Facts without a vector, or alone, are their own seeds.
+    """
+    near = materialize(semantic_pairs(facts, threshold))
+    both = near.select("a", "b", "cosine").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    age = facts.select("memory_id", F.struct("created_at", "memory_id").alias("age"))
+    links = materialize(both.join(age.toDF("a", "age_a"), "a").join(age.toDF("b", "age_b"), "b"))
+    free = materialize(age)
+    out = None
+    while True:
+        one = links.join(free.select(F.col("memory_id").alias("a")), "a", "left_semi").join(free.select(F.col("memory_id").alias("b")), "b", "left_semi")
+        one = materialize(one)
+        # the newest free fact within one link, then within two
+        newest = free.join(one.groupBy(F.col("a").alias("memory_id")).agg(F.max("age_b").alias("n1")), "memory_id", "left").select("memory_id", "age", F.greatest("age", F.coalesce("n1", "age")).alias("n1"))
+        second = one.join(newest.select(F.col("memory_id").alias("b"), F.col("n1").alias("n2")), "b").groupBy(F.col("a").alias("memory_id")).agg(F.max("n2").alias("n2"))
+        seeds = materialize(newest.join(second, "memory_id", "left").filter(F.greatest("n1", F.coalesce("n2", "n1")) == F.col("age")).select("memory_id"))
+        w = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), F.desc("age_b"))
+        members = one.join(seeds.withColumnRenamed("memory_id", "a"), "a", "left_semi").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
+        taken = materialize(members.select(F.col("a").alias("seed"), F.col("b").alias("memory_id")).unionByName(seeds.select(F.col("memory_id").alias("seed"), "memory_id")))
+        out = taken if out is None else out.unionByName(taken)
+        free = materialize(free.join(taken.select("memory_id"), "memory_id", "left_anti"))
+        if free.isEmpty():
+            return out
+
+
+def consolidate(facts: DataFrame, unused: DataFrame, contained: DataFrame, clustered: DataFrame, scored: DataFrame, now: int, most: int | None) -> DataFrame:
+    """Maintenance plan: memory_id, reason, keeper; one reason a fact, the first of expired, stale, contained, semantic.
+
+    Of a contained pair the fact with the better score stays, the longer one where scores are equal.
+    """
     base = facts.select("memory_id", "expires_at", "created_at", "category", "confidence")
     expired = base.filter(F.col("expires_at") <= now).select("memory_id", F.lit(1).alias("pri"), F.lit("expired").alias("reason"), F.lit(None).cast("string").alias("keeper"))
     stale = base.filter(F.col("category").isin("context_note", "event") & (F.col("created_at") <= now - 30 * 86400) & (F.col("confidence") <= 0.6)).join(unused, "memory_id")
     stale = stale.select("memory_id", F.lit(2).alias("pri"), F.lit("stale").alias("reason"), F.lit(None).cast("string").alias("keeper"))
-    inside = contained.select(F.col("short_id").alias("memory_id"), F.lit(3).alias("pri"), F.lit("contained").alias("reason"), F.col("long_id").alias("keeper"))
+    score = scored.select("memory_id", F.round("score", 9).alias("score"))
+    both = contained.join(score.toDF("short_id", "s"), "short_id").join(score.toDF("long_id", "l"), "long_id").withColumn("turn", F.col("s") > F.col("l"))
+    inside = both.select(F.when(F.col("turn"), F.col("long_id")).otherwise(F.col("short_id")).alias("memory_id"), F.lit(3).alias("pri"), F.lit("contained").alias("reason"), F.when(F.col("turn"), F.col("short_id")).otherwise(F.col("long_id")).alias("keeper"))
     alike = clustered.filter("memory_id <> keeper").select("memory_id", F.lit(4).alias("pri"), F.lit("semantic").alias("reason"), "keeper")
     rows = expired.unionByName(stale).unionByName(inside).unionByName(alike)
     one = rows.groupBy("memory_id").agg(F.min(F.struct("pri", "reason", "keeper")).alias("x"))
-    return one.select("memory_id", "x.reason", "x.keeper", "x.pri").orderBy("pri", "memory_id").limit(most).drop("pri")
+    one = one.select("memory_id", "x.reason", "x.keeper", "x.pri")
+    return (one if most is None else one.orderBy("pri", "memory_id").limit(most)).drop("pri")

@@ -62,18 +62,19 @@ def lexical_scores(merged: DataFrame, terms: DataFrame) -> DataFrame:
 def traverse(merged: DataFrame, seeds: DataFrame, depth: int, relations: list[str]) -> DataFrame:
     """(query_id, memory_id, score): facts on typed edges reached from seeds (query_id, node), nearer ones weigh more.
 
-    Breadth first; a node is visited once a query.  A hop of weight 2, later hops of weight 1.
+    Breadth first; a node is visited once a query.  A hop of weight 2, later hops of weight 1.  An edge is its
+    source, relation and target, so a -> b and b -> a each bring their own evidence.
     """
     typed = merged.filter(F.col("relation").isin(relations))
-    ways = typed.select(F.col("src").alias("from"), F.col("dst").alias("to"), "evidence", "relation").unionByName(typed.select(F.col("dst").alias("from"), F.col("src").alias("to"), "evidence", "relation"))
+    edge = ["src", "relation", "dst"]
+    ways = typed.select(F.col("src").alias("from"), F.col("dst").alias("to"), "evidence", *edge).unionByName(typed.select(F.col("dst").alias("from"), F.col("src").alias("to"), "evidence", *edge))
     ways = materialize(ways)
     frontier = visited = materialize(seeds.select("query_id", "node").distinct())
     scores = None
     for hop in range(1, depth + 1):
-        step = frontier.join(ways, F.col("node") == F.col("from")).select("query_id", "from", "to", "relation", "evidence")
+        step = frontier.join(ways, F.col("node") == F.col("from")).select("query_id", "to", "evidence", *edge)
         # an edge inside the frontier is met from both ends and counts once
-        edge = step.groupBy("query_id", F.least("from", "to").alias("x"), F.greatest("from", "to").alias("y"), "relation").agg(F.first("evidence").alias("evidence"))
-        part = edge.withColumn("memory_id", F.explode("evidence")).groupBy("query_id", "memory_id").agg((F.count("*") * (2 if hop == 1 else 1)).alias("score"))
+        part = step.dropDuplicates(["query_id", *edge]).withColumn("memory_id", F.explode("evidence")).groupBy("query_id", "memory_id").agg((F.count("*") * (2 if hop == 1 else 1)).alias("score"))
         scores = part if scores is None else scores.unionByName(part)
         if hop < depth:
             frontier = materialize(step.select("query_id", F.col("to").alias("node")).distinct().join(visited, ["query_id", "node"], "left_anti"))

@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset a local master gets a temporary one, a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="memspark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back; a temporary folder only where that is unset."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="memspark-")
-    path = f"{base.rstrip('/')}/memspark-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back."""
+    path = shared_dir(df.sparkSession, "memspark")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with ``name``: each row's place, from 1, in the order given; no task sees more than a range of it.
+
+    Rows are dealt by ranges of the order and counted a partition; only these counts meet in one place.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    rows = materialize(rows.withColumn("_at", F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33)).drop("_id"))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_p", "_at", "_before")
 
 
 def components(edges: DataFrame) -> DataFrame:

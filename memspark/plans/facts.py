@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.operators import chains, visibility
+from memspark.operators import chains, iterate, visibility
 from memspark.sources import tables as t
 from memspark.sources.tables import NOW
 
@@ -262,14 +262,15 @@ def update_versions(spark: SparkSession, d: str) -> DataFrame:
     return chains.apply_updates(m, changes, NOW).select("memory_id", "valid_to", "superseded_by")
 
 
-@query("delete_versions", f"""with p as (select *, lag(memory_id) over (partition by chain_id order by doc_id) as prev from mem), del as (select memory_id, valid_to is null as head, prev from p where doc_id % 10 in (4, 7)),
-   reopened as (select prev as memory_id from del where head and prev is not null and prev not in (select memory_id from del))
+@query("delete_versions", """with del as (select memory_id, chain_id, doc_id, valid_to is null as head from mem where doc_id % 10 in (3, 4, 7)),
+   stay as (select chain_id, max(doc_id) as doc_id from mem where memory_id not in (select memory_id from del) group by chain_id),
+   reopened as (select 'mem-' || stay.doc_id as memory_id from stay join del on del.chain_id = stay.chain_id and head)
   select memory_id, case when memory_id in (select memory_id from del) then 'quarantined' else status end as status, case when memory_id in (select memory_id from reopened) then null else valid_to end as valid_to
   from mem where memory_id not in (select memory_id from del where head)""", "mem")
 def delete_versions(spark: SparkSession, d: str) -> DataFrame:
-    """A deleted head goes and its predecessor reopens; a deleted older version is quarantined."""
+    """A deleted head goes and the latest version that stays reopens; deleted older versions are quarantined."""
     m = t.mem(spark, d)
-    return chains.apply_deletes(m, m.filter("doc_id % 10 in (4, 7)").select("memory_id")).select("memory_id", "status", "valid_to")
+    return chains.apply_deletes(m, m.filter("doc_id % 10 in (3, 4, 7)").select("memory_id")).select("memory_id", "status", "valid_to")
 
 
 @query("chain_history", """with recursive up as (select memory_id, memory_id as here, superseded_by from mem union all select u.memory_id, m.memory_id, m.superseded_by from up u join mem m on m.memory_id = u.superseded_by),
@@ -309,7 +310,8 @@ def resume_set(spark: SparkSession, d: str) -> DataFrame:
 @query("ordered_union", """select memory_id, min(pos) as pos from (select 'mem-' || doc_id as memory_id, row_number() over (order by quality desc, doc_id) as pos from labels
    union all select 'mem-' || vec_id, 1000000 + row_number() over (order by label, vec_id) from embeddings) group by memory_id""")
 def ordered_union(spark: SparkSession, d: str) -> DataFrame:
-    """Two ranked lists as one: every id at its first position."""
-    a = t.read(spark, d, "labels").select(F.concat(F.lit("mem-"), "doc_id").alias("memory_id"), F.row_number().over(Window.orderBy(F.desc("quality"), "doc_id")).cast("long").alias("pos"))
-    b = t.read(spark, d, "embeddings").select(F.concat(F.lit("mem-"), "vec_id").alias("memory_id"), (F.row_number().over(Window.orderBy("label", "vec_id")) + 1000000).cast("long").alias("pos"))
-    return a.unionByName(b).groupBy("memory_id").agg(F.min("pos").alias("pos"))
+    """Two ranked lists as one: every id at its first position; places come from ranges of the order, not from one task."""
+    a = iterate.numbered(t.read(spark, d, "labels").select("doc_id", "quality"), "pos", F.desc("quality"), F.col("doc_id"))
+    b = iterate.numbered(t.read(spark, d, "embeddings").select("vec_id", "label"), "pos", F.col("label"), F.col("vec_id"))
+    both = a.select(F.concat(F.lit("mem-"), "doc_id").alias("memory_id"), "pos").unionByName(b.select(F.concat(F.lit("mem-"), "vec_id").alias("memory_id"), (F.col("pos") + 1000000).alias("pos")))
+    return both.groupBy("memory_id").agg(F.min("pos").alias("pos"))

@@ -12,9 +12,10 @@ from memspark.sources.tables import NOW
 from .base import query
 
 SAME = "a.category = b.category and a.user_scope is not distinct from b.user_scope and a.project_id is not distinct from b.project_id"
-CONTAINED = f"""fl as (select memory_id, category, user_scope, project_id, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) as f from mem where status = 'active'),
-  con as (select a.memory_id as short_id, b.memory_id as long_id from (select * from fl where length(f) >= 20 and len(string_split(f, ' ')) >= 3) a join fl b on {SAME} and a.memory_id <> b.memory_id
-    and length(b.f) >= 20 and contains(' ' || b.f || ' ', ' ' || a.f || ' ') and (length(a.f) < length(b.f) or a.memory_id > b.memory_id))"""
+CONTAINED = """fl as (select memory_id, category, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) as f from mem where status = 'active' and length(trim(regexp_replace(lower(content), '\\s+', ' ', 'g'))) >= 20),
+  rep as (select category, f, min(memory_id) as id from fl group by category, f),
+  con as (select fl.memory_id as short_id, rep.id as long_id from fl join rep using (category, f) where fl.memory_id <> rep.id
+    union all select a.id, b.id from rep a join rep b on a.category = b.category and length(a.f) < length(b.f) and contains(b.f, a.f))"""
 PAIRS = f"""act as (select * from mem where status = 'active' and embedding is not null),
   pr as (select a.memory_id as a, b.memory_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as cosine from act a join act b on {SAME} and a.memory_id < b.memory_id
     where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35)"""
@@ -25,9 +26,29 @@ def _active(spark: SparkSession, d: str) -> DataFrame:
     return t.mem(spark, d).filter("status = 'active'")
 
 
-@query("dup_containment", "with " + CONTAINED + " select distinct short_id, long_id from con", "mem")
+@query("dup_containment", "with " + CONTAINED + " select short_id, long_id from con", "mem")
 def dup_containment(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.containment_pairs(_active(spark, d)).distinct()
+    return dedup.containment_pairs(_active(spark, d))
+
+
+#: Facts and, as further facts, the single sentences of every sixteenth: texts that lie inside others.
+QUOTED = """qs as (select doc_id, category, status, trim(s) as content, 'q-' || doc_id || '-' || i as memory_id from (select doc_id, category, status, unnest(string_split(content, '. ')) as s, generate_subscripts(string_split(content, '. '), 1) as i from mem where doc_id % 16 = 0)),
+  both_ as (select memory_id, category, status, content from mem union all select memory_id, category, status, content from qs)"""
+
+
+@query("dup_quotes", "with " + QUOTED + ", " + CONTAINED.replace("from mem", "from both_") + " select short_id, long_id from con", "mem")
+def dup_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Containment where it is common: sentences cut from the middle of facts, beside the facts."""
+    m = t.mem(spark, d).select("memory_id", "category", "status", "content", "doc_id")
+    parts = m.filter("doc_id % 16 = 0").select("doc_id", "category", "status", F.posexplode(F.split("content", "[.] ")).alias("i", "s"))
+    quotes = parts.select(F.concat(F.lit("q-"), "doc_id", F.lit("-"), F.col("i") + 1).alias("memory_id"), "category", "status", F.trim("s").alias("content"))
+    return dedup.containment_pairs(m.drop("doc_id").unionByName(quotes).filter("status = 'active'"))
+
+
+@query("seed_star")
+def seed_star(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters around the newest free fact, up to seven others by their likeness to it."""
+    return dedup.seed_stars(_active(spark, d), 0.30)
 
 
 @query("dup_semantic_pairs", "with " + PAIRS + " select a, b, round(cosine, 6) as cosine from pr", "mem")
@@ -54,17 +75,23 @@ def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
     return dedup.clusters(dedup.semantic_pairs(m, 0.35), chains.with_keeper_score(m, t.signal(spark, d)))
 
 
-PLAN = "with " + CONTAINED + f""", x as (select memory_id, 1 as pri, 'expired' as reason, null as keeper from mem where status = 'active' and expires_at <= {NOW}
-  union all select memory_id, 2, 'stale', null from mem where status = 'active' and category in ('context_note', 'event') and created_at <= {NOW - 30 * 86400} and confidence <= 0.6e0 and memory_id not in (select memory_id from signal where kind = 'retrieved')
-  union all select short_id, 3, 'contained', long_id from con), plan as (select memory_id, reason, keeper from (select *, row_number() over (partition by memory_id order by pri, keeper) as r from x) where r = 1 order by pri, memory_id limit 500)"""
+#: The whole of SURVEY L11: expired, stale, contained and semantic duplicates, one reason a fact.
+PLAN = "with recursive " + CONTAINED + ", " + PAIRS + f""", e as (select a, b from pr union select b, a from pr), r as (select a as v, a as c from e union select e.b, r.c from r join e on e.a = r.v), lab as (select v as memory_id, min(c) as cluster from r group by v),
+  f as (select memory_id as s_id, count(*) filter (where kind = 'helpful') as h, count(*) filter (where kind = 'retrieved') as n, count(*) filter (where kind = 'dismissed') as x from signal group by 1),
+  s as (select memory_id, created_at, round(2 * confidence + 3 * coalesce(h, 0) + 0.1e0 * coalesce(n, 0) - 2 * coalesce(x, 0) + least(length(content) / 1000e0, 1), 9) as score from mem left join f on s_id = memory_id),
+  kept as (select memory_id, first_value(memory_id) over (partition by cluster order by score desc, created_at desc, memory_id) as keeper from lab join s using (memory_id)),
+  x as (select memory_id, 1 as pri, 'expired' as reason, null as keeper from mem where status = 'active' and expires_at <= {NOW}
+  union all select memory_id, 2, 'stale', null from mem where status = 'active' and category in ('context_note', 'event') and created_at <= {NOW - 30 * 86400} and confidence <= 0.6e0 and memory_id not in (select memory_id from signal where kind in ('retrieved', 'helpful', 'dismissed'))
+  union all select case when a.score > b.score then long_id else short_id end, 3, 'contained', case when a.score > b.score then short_id else long_id end from con join s a on a.memory_id = short_id join s b on b.memory_id = long_id
+  union all select memory_id, 4, 'semantic', keeper from kept where memory_id <> keeper), plan as (select memory_id, reason, keeper from (select *, row_number() over (partition by memory_id order by pri, keeper) as r from x) where r = 1 order by pri, memory_id limit 500)"""
 
 
-def _plan(spark: SparkSession, d: str) -> DataFrame:
-    m = t.mem(spark, d).filter("status = 'active'")
-    used = t.signal(spark, d).filter("kind = 'retrieved'").select("memory_id").distinct()
-    none = spark.createDataFrame([], "memory_id string, cluster string, keeper string")
-    unused = m.select("memory_id").join(used, "memory_id", "left_anti")
-    return dedup.consolidate(m, unused, dedup.containment_pairs(m), none, NOW, 500)
+def _plan(spark: SparkSession, d: str, most: int | None = 500) -> DataFrame:
+    m, signal = _active(spark, d), t.signal(spark, d)
+    used = signal.filter(F.col("kind").isin("retrieved", "helpful", "dismissed")).select("memory_id").distinct()
+    scored = chains.with_keeper_score(m, signal)
+    alike = dedup.clusters(dedup.semantic_pairs(m, 0.35), scored)
+    return dedup.consolidate(m, m.select("memory_id").join(used, "memory_id", "left_anti"), dedup.containment_pairs(m), alike, scored, NOW, most)
 
 
 @query("consolidate", PLAN + " select * from plan", "mem", "signal")
@@ -77,33 +104,18 @@ def reason_counts(spark: SparkSession, d: str) -> DataFrame:
     return _plan(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-#: The whole of SURVEY L11: the legs of PLAN, and semantic clusters; PLAN itself stays as it is.
-PLAN_ALL = "with recursive " + CONTAINED + ", " + PAIRS + f""", e as (select a, b from pr union select b, a from pr), r as (select a as v, a as c from e union select e.b, r.c from r join e on e.a = r.v), lab as (select v as memory_id, min(c) as cluster from r group by v),
-  f as (select memory_id as s_id, count(*) filter (where kind = 'helpful') as h, count(*) filter (where kind = 'retrieved') as n, count(*) filter (where kind = 'dismissed') as x from signal group by 1),
-  s as (select l.*, m.created_at, round(2 * confidence + 3 * coalesce(h, 0) + 0.1e0 * coalesce(n, 0) - 2 * coalesce(x, 0) + least(length(content) / 1000e0, 1), 9) as score from lab l join mem m using (memory_id) left join f on s_id = memory_id),
-  kept as (select memory_id, first_value(memory_id) over (partition by cluster order by score desc, created_at desc, memory_id) as keeper from s),
-  x as (select memory_id, 1 as pri, 'expired' as reason, null as keeper from mem where status = 'active' and expires_at <= {NOW}
-  union all select memory_id, 2, 'stale', null from mem where status = 'active' and category in ('context_note', 'event') and created_at <= {NOW - 30 * 86400} and confidence <= 0.6e0 and memory_id not in (select memory_id from signal where kind = 'retrieved')
-  union all select short_id, 3, 'contained', long_id from con
-  union all select memory_id, 4, 'semantic', keeper from kept where memory_id <> keeper), plan as (select memory_id, reason, keeper from (select *, row_number() over (partition by memory_id order by pri, keeper) as r from x) where r = 1 order by pri, memory_id limit 500)"""
-
-
-def _plan_all(spark: SparkSession, d: str) -> DataFrame:
-    m = _active(spark, d)
-    signal = t.signal(spark, d)
-    unused = m.select("memory_id").join(signal.filter("kind = 'retrieved'").select("memory_id").distinct(), "memory_id", "left_anti")
-    alike = dedup.clusters(dedup.semantic_pairs(m, 0.35), chains.with_keeper_score(m, signal))
-    return dedup.consolidate(m, unused, dedup.containment_pairs(m), alike, NOW, 500)
+#: The same without the limit of actions.
+PLAN_ALL = PLAN.replace(" order by pri, memory_id limit 500", "")
 
 
 @query("consolidate_all", PLAN_ALL + " select * from plan", "mem", "signal")
 def consolidate_all(spark: SparkSession, d: str) -> DataFrame:
-    return _plan_all(spark, d)
+    return _plan(spark, d, None)
 
 
 @query("reason_counts_all", PLAN_ALL + " select reason, count(*) as n from plan group by reason", "mem", "signal")
 def reason_counts_all(spark: SparkSession, d: str) -> DataFrame:
-    return _plan_all(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
+    return _plan(spark, d, None).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("edge_evidence", "with " + MERGED + " select src, relation, dst, len(evidence) as n, evidence[1] as first_id from mg", "edges")

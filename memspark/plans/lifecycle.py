@@ -8,12 +8,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import text as x
 from memspark.functions import vectors
-from memspark.operators import graph, ranking
+from memspark.operators import graph, iterate, ranking
 from memspark.sources import tables as t
 from memspark.sources.tables import NOW
 
@@ -211,9 +211,10 @@ def run_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("probes", "select memory_id, (row_number() over (partition by category order by doc_id) - 1) % 3 as template, case (row_number() over (partition by category order by doc_id) - 1) % 3 when 0 then 'What about ' || content[1:40] || '?' when 1 then 'When was ' || content[1:40] || '?' else 'Is it true that ' || content[1:40] || '?' end as probe from mem where status = 'active'", "mem")
 def probes(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation questions from facts, templates in turn."""
-    w = Window.partitionBy("category").orderBy("doc_id")
-    p = t.mem(spark, d).filter("status = 'active'").withColumn("template", ((F.row_number().over(w) - 1) % 3).cast("long"))
+    """Evaluation questions from facts, templates in turn; the turn comes from places in the order of (category, doc_id)."""
+    p = iterate.numbered(t.mem(spark, d).filter("status = 'active'").select("memory_id", "category", "doc_id", "content"), "place", F.col("category"), F.col("doc_id"))
+    first = p.groupBy(F.col("category").alias("_c")).agg(F.min("place").alias("_first"))  # a row a category
+    p = p.join(F.broadcast(first), F.col("category") == F.col("_c")).withColumn("template", (F.col("place") - F.col("_first")) % 3)
     head = F.substring("content", 1, 40)
     text = F.when(F.col("template") == 0, F.concat(F.lit("What about "), head, F.lit("?"))).when(F.col("template") == 1, F.concat(F.lit("When was "), head, F.lit("?"))).otherwise(F.concat(F.lit("Is it true that "), head, F.lit("?")))
     return p.select("memory_id", "template", text.alias("probe"))

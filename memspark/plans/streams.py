@@ -20,7 +20,7 @@ def stream_counters(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_dedup", "select distinct text from conversations")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     turns = jobs.stream(spark, d, "conversations", jobs.TURNS).withColumn("at", F.timestamp_seconds(START + F.col("conv_id") * 3600 + F.col("turn")))
-    return jobs.drain(spark, jobs.distinct_texts(turns, "at", "36500 days"), "append")
+    return jobs.drain(spark, jobs.distinct_texts(turns, "at", "30 days"), "append")
 
 
 @query("stream_extract", f"""with s as (select conv_id, turn, unnest({SENTENCES.replace('content', 'text')}) as sentence from conversations where role = 'user') select conv_id, turn, sentence from s""")
@@ -31,4 +31,26 @@ def stream_extract(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_latency", """with w as (select user_id, list(value) over (partition by user_id order by ts, event_id rows between 49 preceding and current row) as l, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events)
   select user_id, round(list_sort(l)[greatest(0, floor(len(l) * 0.95)::int - 1) + 1], 6) as p95_ms from w where r = 1 and len(l) >= 5""")
 def stream_latency(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.drain(spark, jobs.latencies(jobs.stream(spark, d, "events", jobs.EVENTS).select("event_id", "ts", "user_id", "value")), "update")
+    return jobs.drain(spark, jobs.latencies(jobs.stream(spark, d, "events", jobs.EVENTS)), "update", ("user_id",))
+
+
+@query("stream_heads", "select chain_id, arg_max(memory_id, created_at) as memory_id, max(created_at) as \"at\", count(*) as versions from mem group by chain_id", "mem")
+def stream_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The log of fact versions as a stream: each chain's current head, late versions included."""
+    docs = jobs.stream(spark, d, "documents", "doc_id long")
+    log = docs.select((F.col("doc_id") - F.col("doc_id") % 5).alias("chain_id"), (START + F.col("doc_id") * 3600).alias("at"), F.concat(F.lit("mem-"), "doc_id").alias("memory_id"))
+    return jobs.drain(spark, jobs.chain_heads(log), "update", ("chain_id",))
+
+
+@query("stream_session_end")
+def stream_session_end(spark: SparkSession, d: str) -> DataFrame:
+    """Activity sessions that have ended, each handed on once: what session-end maintenance runs on."""
+    return jobs.drain(spark, jobs.closed_sessions(jobs.stream(spark, d, "events", jobs.EVENTS), "30 minutes", "1 hour"), "append")
+
+
+@query("stale_pending")
+def stale_pending(spark: SparkSession, d: str) -> DataFrame:
+    """Signals as a review queue (a click queues a fact, a purchase decides it): what is pending for two days."""
+    e = jobs.stream(spark, d, "events", jobs.EVENTS).filter("event_type in ('click', 'purchase')").withColumn("ts", F.col("ts").cast("timestamp"))
+    log = e.withWatermark("ts", "1 hour").select(F.concat(F.lit("cand-"), "user_id").alias("candidate_id"), F.unix_timestamp("ts").alias("at"), F.when(F.col("event_type") == "click", "pending").otherwise("approved").alias("status"), "ts")
+    return jobs.drain(spark, jobs.stale(log, 2 * 86400), "append")
