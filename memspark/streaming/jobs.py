@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memspark.functions import text as x
@@ -43,7 +44,7 @@ def drain(spark: SparkSession, df: DataFrame, mode: str, keys: tuple[str, ...] =
         return spark.createDataFrame([], df.schema)
     if mode == "complete":
         return spark.read.schema(df.schema).parquet(f"{at}/out/batch={found[-1]}")
-    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(f"{at}/out")
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{at}/out")
     if mode == "append":
         return rows.drop("batch")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch").alias("row")).select("row.*")
