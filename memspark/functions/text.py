@@ -2,6 +2,9 @@
 
 Every rule is a pattern over lower-cased text that Java's and RE2's engines read alike, so the same tables
 serve the jobs and their oracles.  Words are bounded by anything but a-z, 0-9 and the apostrophe.
+
+The words of the rules are this library's own: closed classes of English grammar (pronouns, conjunctions,
+prepositions, question words) and common verbs of each kind, not a list taken from elsewhere.
 """
 
 from __future__ import annotations
@@ -17,17 +20,35 @@ def word(alternatives: str) -> str:
     return f"{_A}({alternatives}){_Z}"
 
 
+def begins(alternatives: str) -> str:
+    return f"^({alternatives}){_Z}"
+
+
+def ends(alternatives: str) -> str:
+    return f"{_A}({alternatives})$"
+
+
+# Grammar: conjunctions that open a clause, prepositions and conjunctions that can't end one, subject pronouns.
+_OPENERS = "although|and|as|because|but|if|nor|or|since|so|than|though|unless|until|whereas|which|while|whose|yet"
+_DANGLING = "a|an|and|as|at|because|but|by|for|from|if|in|into|nor|of|on|or|than|that|the|to|which|with|without"
+_THIRD = "he|her|him|his|she|their|them|they"
+_TALK = "chat|conversation|dialogue|discussion|exchange|session|thread"
+_SUBJECT = "boy|girl|guy|individual|lady|man|person|speaker|subject|woman"
+_SERVICE = "as an? (ai|assistant|language model)|(glad|happy|here) to (assist|help)|i (can|could|will) (assist|check|find|help|look|search)|i'll (assist|check|find|help|look|search)|i'm (an ai|sorry, but)|let me (check|find|help|know|look|search|see)"
+_TRIVIAL = "back|busy|done|fine|free|good|here|hungry|late|ok|okay|out|ready|sick|sure|there|tired|well"
+
 #: Quality flags of a candidate text; the first six keep it from becoming active.
 FLAGS = {
-    "junk": r"^.{0,9}$|[(,]\s*$",
-    "assistant_language": word(r"i can help|as an assistant|let me know|i will search"),
-    "conversation_meta": word(r"this chat|this conversation|new chat|previous session"),
-    "wrong_subject": r"^user is (an? )?(ai|assistant|agent)" + _Z,
-    "unanchored_subject": word(r"this person|that person|the subject") + r"|^(she|he|they) ",
-    "assistant_instruction": word(r"tell you|ask you|remind you|help you"),
-    "fragment": r"^(or|and|but|because|so|which) |(^| )(to|with|because|and|but|of|for)$",
-    "question": r"\?\s*$",
-    "second_person": word(r"you|your|we|our"),
+    # too short, an assistant's phrase, a passing state as a fact, a clause without its sentence, or cut off
+    "junk": rf"^.{{0,9}}$|{word(_SERVICE)}|^user (is|has|uses) ({_TRIVIAL})[.!]?$|^({_OPENERS}) [^ ]+ [^ ]+$|[(,]\s*$",
+    "assistant_language": word(_SERVICE),
+    "wrong_subject": rf"^(the )?user is (an? |the )?(agent|ai|assistant|bot|chatbot|language model){_Z}",
+    "unanchored_subject": word(rf"(the|that|this) ({_SUBJECT})") + "|" + begins(_THIRD),
+    "assistant_instruction": word(r"(asked|asking|expect|need|remind|request|tell|told|want|wanted) you"),
+    "fragment": begins(_OPENERS) + "|" + ends(_DANGLING),
+    "conversation_meta": word(rf"(current|earlier|last|new|our|previous|that|the|this) ({_TALK})"),
+    "question": r"\?|" + begins("can|could|did|do|does|how|is|should|what|when|where|which|who|whom|whose|why|would"),
+    "second_person": word("you|you'd|you'll|you're|you've|your|yours|yourself"),
 }
 HARD = tuple(FLAGS)[:6]
 
@@ -40,30 +61,92 @@ IDENTIFIERS = {
 }
 
 REFERENTIAL = word(r"it|that|this|those|them|he|she|they|the same|above|earlier|again")
-CHANGE = word(r"what changed|used to|no longer|switched|still|these days|now|anymore|previously|before|changed my mind|updated|moved from")
-#: Additive terms (weight, pattern) of the two routing scores.
-TEMPORAL = ((0.3, word(r"january|february|march|april|june|july|august|september|october|november|december|monday|tuesday|wednesday|thursday|friday|saturday|sunday")), (0.25, word(r"before|after|first|last|since|until|during")), (0.25, word(r"yesterday|today|tomorrow|ago|recently|last week|last month|last year")), (0.2, r"[0-9]+ (day|week|month|year)s?"), (0.2, r"(^|[^0-9])(19|20)[0-9]{2}($|[^0-9])"), (0.3, word(r"when|how long|how many days")))
-MULTIHOP = ((0.3, word(r"said|told|mentioned|suggested")), (0.25, word(r"compare|difference|both|than|versus")), (0.25, word(r"and then|because of|led to|related to")), (0.2, word(r"you|your")))
 
-#: Ordered rules of fact classification: name, category, pattern with the detail in its last group.
+_AUX = "am|are|did|do|does|had|has|have|is|was|were"
+#: Shapes of a question about what has changed.
+CHANGES = (
+    r"^what('s| has| have| is)? (changed|different|new)", r"^how (did|has|have) .*(change|changed|develop|developed|evolve|evolved)", rf"^({_AUX}) .*(change|changed|move|moved|replace|replaced|switch|switched)",
+    rf"^(how|what|where|which|who|why|{_AUX}) .*used? to{_Z}", rf"^({_AUX}) .*{_A}still{_Z}", rf"^({_AUX}|what|where|which|who) .*{_A}(any ?more|no longer){_Z}",
+    rf"^(how|what|where|which|who) .*{_A}(currently|now|nowadays|these days){_Z}", rf"^(how|what|where|which|who) .*{_A}(before|formerly|originally|previously){_Z}", word(r"(current|latest|most recent|newest) (address|city|employer|job|name|plan|status|version)"),
+    word(r"(changes|evolution|history|updates) (in|of|to)"), word("changed (her|his|my|our|their) mind"), rf"^({_AUX}) .*{_A}(already|updated|yet){_Z}", rf"^(since when|when) .*{_A}(change|changed|start|started|stop|stopped|switch|switched){_Z}",
+)
+CHANGE = "|".join(CHANGES)
+
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+_UNITS = "day|week|month|year"
+# Weights of the two routing scores, and the score from which a question is routed.
+#: (weight, pattern); months count .25 and .10 for each further one, two at most.
+TEMPORAL = (
+    (0.20, word("|".join(_WEEKDAYS))),
+    (0.50, rf"(what|which|who) .*{_A}(earlier|earliest|first|last|later|latest){_Z}|{_A}(came|did|happened|was|were) .*{_A}(after|before){_Z}"),
+    (0.25, word(rf"ago|earlier|lately|later|recently|today|tomorrow|tonight|yesterday|(last|next|past|this) (weekend|{_UNITS})")),
+    (0.45, word(rf"([0-9]+|a couple of|a few|one|two|three|four|five|six|seven|eight|nine|ten|several) (hour|{_UNITS})s?")),
+    (0.60, rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|(^|[^0-9])[0-9]{{1,2}}/[0-9]{{1,2}}(/[0-9]{{2,4}})?($|[^0-9])|{_A}({'|'.join(_MONTHS)}) [0-9]{{1,2}}(st|nd|rd|th)?{_Z}"),
+    (0.55, r"(^|[^0-9])(19|20)[0-9]{2}($|[^0-9])"),
+    (0.50, word(rf"how long|how many ({_UNITS})s|since when|what (date|day|month|time|year)|when")),
+    (0.30, rf"^(how|what|where|which|who) (did|had|was|were){_Z}|{_A}did (i|we){_Z}"),
+)
+MONTH_WEIGHTS = (0.25, 0.10)
+#: (weight a word, words): two words of a class count at most.
+HOP_WORDS = {
+    "reporting": (0.25, ("advised", "asked", "explained", "mentioned", "mention", "recommended", "reported", "said", "say", "says", "suggested", "told")),
+    "comparison": (0.25, ("better", "compare", "compared", "difference", "differ", "than", "versus", "vs", "worse")),
+    "chain": (0.20, ("because", "caused", "connected", "led", "linked", "related", "resulted", "therefore")),
+}
+#: (weight, pattern); the topic phrase counts only beside a word of a class.
+YOU_SAID = (0.30, word("(did|have) you (ask|mention|recommend|say|suggest|tell)|you (advised|mentioned|recommended|said|suggested|told)"))
+TOPIC = (0.35, word("about|concerning|regarding"))
+#: On the text as written: names beside a word of a class, and two names joined by "and".
+NAME_WEIGHT, NAME_PAIR = 0.30, (0.30, r"[A-Z][a-z]+ and [A-Z][a-z]+")
+ROUTE_FROM = 0.50
+#: Capitalised words that are no names: question words, auxiliaries, pronouns, calendar words.
+NOT_NAMES = ("and", "are", "but", "can", "could", "did", "does", "for", "had", "has", "have", "her", "his", "how", "its", "she", "that", "the", "their", "then", "they", "this", "was", "were", "what", "when", "where", "which", "who", "why", "will", "with", "would", "yes", "you", "your", *_MONTHS, *_WEEKDAYS)
+QUESTION = r"\?|" + begins(rf"{_AUX}|can|could|how|should|what|when|where|which|who|whom|whose|why|will|would")
+
+_REST = r"([^.!?;]+)"
+#: Passing states, which say nothing of who somebody is.
+TRANSIENT = rf"(^|[^a-z'])i('m| am) (an? )?(bit |little |now |really |so |very )*({_TRIVIAL}|able|about|afraid|going|glad|happy|sorry|trying|waiting)"
+_ROLES = "aunt|boss|brother|cousin|daughter|father|friend|husband|manager|mother|neighbour|partner|sister|son|uncle|wife"
+#: Ordered rules of fact classification: name, category, pattern with the detail in its last group, what a text must not match.
 FACTS = (
-    ("relationship", "relationship", r"my (wife|husband|partner|mother|father|brother|sister|friend|boss) is ([a-z0-9# ]+)"),
-    ("switch", "event", r"i switched from ([a-z0-9# ]+ to [a-z0-9# ]+)"),
-    ("work", "personal_fact", r"i work (?:at|for|as) ([a-z0-9# ]+)"),
-    ("location", "personal_fact", r"i live in ([a-z0-9# ]+)"),
-    ("use", "personal_fact", r"i (?:use|have|own) ([a-z0-9# ]+)"),
-    ("attribute", "personal_fact", r"my [a-z]+ is ([a-z0-9# ]+)"),
-    ("preference", "preference", r"i (?:prefer|like|love|hate) ([a-z0-9# ]+)"),
-    ("habit", "preference", r"i (?:usually|always|often|never) ([a-z0-9# ]+)"),
-    ("goal", "goal", r"i (?:want|plan|hope) to ([a-z0-9# ]+)"),
-    ("insight", "insight", r"i (?:learned|realized|noticed) that ([a-z0-9# ]+)"),
-    ("event", "event", r"i (?:visited|attended|met|finished) ([a-z0-9# ]+)"),
-    ("identity", "personal_fact", r"i am an? ([a-z0-9# ]+)"),
+    ("relationship", "relationship", rf"my ({_ROLES}) is {_REST}", None),
+    ("switch", "event", rf"i (?:changed|moved|switched) from {_REST}", None),
+    ("attribute", "personal_fact", rf"my favou?rite {_REST}", None),
+    ("work", "personal_fact", rf"i work (?:as|at|for|in) {_REST}", None),
+    ("location", "personal_fact", rf"i (?:live|am based|grew up) in {_REST}", None),
+    ("use", "personal_fact", rf"i (?:have|own|use) {_REST}", None),
+    ("my_is", "personal_fact", rf"my [a-z]+ (?:is|are) {_REST}", None),
+    ("preference", "preference", rf"i (?:enjoy|hate|like|love|prefer) {_REST}", None),
+    ("habit", "preference", rf"i (?:always|never|often|usually) {_REST}", None),
+    ("goal", "goal", rf"i (?:hope|intend|plan|want) to {_REST}", None),
+    ("insight", "insight", rf"i (?:discovered|learned|noticed|realized) that {_REST}", None),
+    ("event", "event", rf"i (?:attended|finished|met|visited) {_REST}", None),
+    ("ongoing", "context_note", rf"i(?:'m| am) (?:building|learning|reading|studying|working on|writing) {_REST}", None),
+    ("identity", "personal_fact", rf"i(?:'m| am) an? {_REST}", TRANSIENT),
 )
-#: Relations (name, pattern, type of the target), all with the user as source.
-RELATIONS = (("lives_in", r"i live in ([a-z0-9# ]+)", "place"), ("works_for", r"i work (?:at|for) ([a-z0-9# ]+)", "organization"), ("uses", r"i (?:use|own) ([a-z0-9# ]+)", "item"), ("prefers", r"i prefer ([a-z0-9# ]+)", "concept"), ("has_partner", r"my (?:wife|husband|partner) is ([a-z0-9# ]+)", "person"), ("has_boss", r"my boss is ([a-z0-9# ]+)", "person"))
+#: How a fact is worded, by its rule.
+WORDING = {"relationship": "user's close person: ", "switch": "user switched from ", "attribute": "user's favourite ", "work": "user works for ", "location": "user lives in ", "use": "user has ", "my_is": "of user's own: ", "preference": "user likes or dislikes ", "habit": "user's habit: ", "goal": "user wants to ", "insight": "user learned that ", "event": "user took part in ", "ongoing": "user is busy with ", "identity": "user is a "}
+#: Relations (name, pattern, type of the target), all with the user as source; the target is the last group.
+RELATIONS = (
+    ("lives_in", rf"i (?:live|am based|grew up) in {_REST}", "place"), ("works_for", rf"i work (?:at|for) {_REST}", "organization"), ("works_as", rf"i work as {_REST}", "role"),
+    ("uses", rf"i use {_REST}", "item"), ("owns", rf"i (?:have|own) {_REST}", "item"), ("prefers", rf"i prefer {_REST}", "concept"), ("prefers_over", rf"i prefer .+ (?:over|to) {_REST}", "concept"),
+    ("switched_from", r"i (?:changed|moved|switched) from (.+) to .+", "concept"), ("switched_to", rf"i (?:changed|moved|switched) from .+ to {_REST}", "concept"),
+    ("has_goal", rf"i (?:hope|intend|plan|want) to {_REST}", "goal"), ("took_part_in", rf"i (?:attended|visited) {_REST}", "event"), ("met", rf"i met {_REST}", "person"), ("learned", rf"i (?:discovered|learned|noticed|realized) that {_REST}", "concept"),
+    ("works_on", rf"i(?:'m| am) (?:building|learning|reading|studying|working on|writing) {_REST}", "concept"), ("married_to", rf"(?:i(?:'m| am) married to|my (?:husband|wife) is) {_REST}", "person"), ("is_a", rf"i(?:'m| am) an? {_REST}", "role"),
+    *((f"has_{r}", rf"my {r} is {_REST}", "person") for r in _ROLES.split("|")),
+)
+#: Endings of names that tell their type, whatever the relation.
+TYPE_ENDINGS = (("organization", r" (bank|club|company|corp|group|inc|ltd|school|trading|university)$"), ("person", r"^(customer|supplier)#[0-9]+$"), ("place", r" (city|market|river|street)$"))
 DURABLE = ("personal_fact", "preference", "relationship", "insight")
 UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
+# Number words.
+NUMBERS = {"a": 1, "an": 1, "one": 1, "couple": 2, "two": 2, "few": 3, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+#: Patterns of date phrases, tried in this order.
+DATES = {
+    "month_day": rf"on ({'|'.join(_MONTHS)}) ([0-9]{{1,2}})", "feast": "valentine'?s day", "before_yesterday": "the day before yesterday", "yesterday": word("yesterday"), "weekend": "(past|previous|last) weekend",
+    "weekday_ago": rf"the ({'|'.join(_WEEKDAYS)}) ([0-9]+|[a-z]+) (week|month)s? ago", "ago": rf"([0-9]+(?:[.][0-9]+)?|[a-z]+)[ -]+({_UNITS})s? ago", "last_weekday": rf"last ({'|'.join(_WEEKDAYS)})", "last_unit": "last (week|month|year)",
+}
 
 
 def low(text: str = "content") -> Column:
@@ -72,7 +155,9 @@ def low(text: str = "content") -> Column:
 
 def flags(text: Column, category: Column | None = None) -> Column:
     """Sorted names of the quality flags that a text has."""
-    found = [F.when(text.rlike(p), F.lit(n)) for n, p in FLAGS.items()]
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    # a bracket that is never closed is junk as well
+    found = [F.when(text.rlike(p) | (count("(") > count(")") if n == "junk" else F.lit(False)), F.lit(n)) for n, p in FLAGS.items()]
     if category is not None:
         found.append(F.when(category.isin("context_note", "event"), F.lit("short_lived")))
     return F.array_sort(F.array_compact(F.array(*found)))
@@ -86,9 +171,38 @@ def identifier(text: Column) -> Column:
     return F.coalesce(*(F.when(text.rlike(p), F.lit(n)) for n, p in IDENTIFIERS.items()))
 
 
-def score(text: Column, rules: tuple) -> Column:
-    total = sum((F.when(text.rlike(p), F.lit(w)).otherwise(0.0) for w, p in rules), F.lit(0.0))
-    return F.round(F.least(F.lit(1.0), total), 6)
+def _hits(text: Column, words: tuple) -> Column:
+    return F.size(F.array_intersect(F.split(text, r"[^a-z0-9']+"), F.array(*map(F.lit, words))))
+
+
+def _total(*terms: Column) -> Column:
+    return F.round(F.least(F.lit(1.0), sum(terms, F.lit(0.0))), 6)
+
+
+def temporal_score(text: Column) -> Column:
+    months = _hits(text, _MONTHS)
+    calendar = F.when(months > 0, MONTH_WEIGHTS[0] + MONTH_WEIGHTS[1] * F.least(months - 1, F.lit(2))).otherwise(0.0)
+    return _total(calendar, *(F.when(text.rlike(p), F.lit(w)).otherwise(0.0) for w, p in TEMPORAL))
+
+
+def names(text: Column) -> Column:
+    """Capitalised words of a text as written, but its first word and words that are no names."""
+    every = F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z']*"), F.lit(0))
+    return F.filter(every, lambda x: x.rlike("^[A-Z][a-z]{2,}$") & ~F.lower(x).isin(*NOT_NAMES) & (F.lower(x) != F.lower(F.get(every, F.lit(0)))))
+
+
+def multihop_score(text: Column, written: Column) -> Column:
+    hits = [(w, _hits(text, words)) for w, words in HOP_WORDS.values()]
+    some = sum((h for _, h in hits), F.lit(0)) > 0
+    also = lambda c, w: F.when(some & c, F.lit(w)).otherwise(0.0)
+    return _total(
+        *(w * F.least(h, F.lit(2)) for w, h in hits), F.when(text.rlike(YOU_SAID[1]), F.lit(YOU_SAID[0])).otherwise(0.0),
+        also(F.size(names(written)) > 0, NAME_WEIGHT), also(text.rlike(TOPIC[1]), TOPIC[0]), also(written.rlike(NAME_PAIR[1]), NAME_PAIR[0]),
+    )
+
+
+def routed(text: Column, written: Column) -> Column:
+    return text.rlike(QUESTION) & ((temporal_score(text) >= ROUTE_FROM) | (multihop_score(text, written) >= ROUTE_FROM))
 
 
 def sentences(text: Column, most: int = 25, least: int = 15) -> Column:
@@ -96,15 +210,41 @@ def sentences(text: Column, most: int = 25, least: int = 15) -> Column:
     return F.filter(F.slice(F.split(marked, "\x01"), 1, most), lambda s: F.length(s) >= least)
 
 
+def last_group(pattern: str) -> int:
+    """Number of the last capturing group of a pattern."""
+    return sum(c == "(" and pattern[i - 1 : i] != "\\" and pattern[i + 1 : i + 2] != "?" for i, c in enumerate(pattern))
+
+
 def fact(text: Column) -> Column:
     """struct(rule, category, detail) of the first rule that fits, else null."""
-    last = {n: 2 if n == "relationship" else 1 for n, _, _ in FACTS}
-    return F.coalesce(*(F.when(text.rlike(_A + p), F.struct(F.lit(n).alias("rule"), F.lit(c).alias("category"), F.trim(F.regexp_extract(text, p, last[n])).alias("detail"))) for n, c, p in FACTS))
+    fits = lambda p, block: text.rlike(_A + p) & (~text.rlike(block) if block else F.lit(True))
+    return F.coalesce(*(F.when(fits(p, block), F.struct(F.lit(n).alias("rule"), F.lit(c).alias("category"), F.trim(F.regexp_extract(text, p, last_group(p))).alias("detail"))) for n, c, p, block in FACTS))
+
+
+def worded(rule: Column, detail: Column) -> Column:
+    """The content of a fact."""
+    return F.concat(F.coalesce(*(F.when(rule == n, F.lit(w)) for n, w in WORDING.items())), detail)
 
 
 def relations(text: Column) -> Column:
     """array of struct(relation, target, type): every relation a text states."""
-    return F.array_compact(F.array(*(F.when(text.rlike(_A + p), F.struct(F.lit(n).alias("relation"), entity(F.regexp_extract(text, p, 1)).alias("target"), F.lit(k).alias("type"))) for n, p, k in RELATIONS)))
+
+    def one(n: str, p: str, kind: str) -> Column:
+        target = entity(F.regexp_extract(text, p, last_group(p)))
+        fits = text.rlike(_A + p) & (~text.rlike(TRANSIENT) if n == "is_a" else F.lit(True))
+        return F.when(fits, F.struct(F.lit(n).alias("relation"), target.alias("target"), entity_type(target, kind).alias("type")))
+
+    return F.array_compact(F.array(*(one(*r) for r in RELATIONS)))
+
+
+def entity_type(name: Column, usual: str) -> Column:
+    """The type that a name's ending tells, else the relation's."""
+    return F.coalesce(*(F.when(name.rlike(p), F.lit(k)) for k, p in TYPE_ENDINGS), F.lit(usual))
+
+
+def slug(label: Column) -> Column:
+    """A relation's name of letters, digits and underscores."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "_"), "^_|_$", ""), F.lit("")), F.lit("related_to"))
 
 
 def entity(text: Column) -> Column:
@@ -115,23 +255,73 @@ def entity(text: Column) -> Column:
     return F.substring(F.regexp_replace(t, r" (now|today|currently|lately|anymore)$", ""), 1, 100)
 
 
+#: Names that name nothing, and the shape of a clause that is no name.
+NO_ENTITY = ("anything", "everything", "it", "nothing", "someone", "something", "stuff", "that", "thing", "things", "this", "user")
+CLAUSE = r"^(he|i|it|she|they|we|you) | (am|are|is|was|were) "
+
+
+def entity_fault(name: Column) -> Column:
+    """Why a name is no entity, or null."""
+    return (
+        F.when(F.length(name) < 3, "short").when(F.length(name) >= 80, "long").when(F.size(F.split(name, " ")) > 6, "words")
+        .when(name.isin(*NO_ENTITY), "stop word").when(name.rlike(CLAUSE), "clause")
+    )
+
+
 def entity_valid(name: Column) -> Column:
-    return (F.length(name) >= 3) & (F.size(F.split(name, " ")) <= 6) & ~name.isin("user", "thing", "things", "something", "someone", "stuff") & ~name.rlike(r"^(i|you|we|he|she|they|it) ")
+    return entity_fault(name).isNull()
+
+
+def _cases(value: Column, table: dict[str, int]) -> Column:
+    return F.coalesce(*(F.when(value == k, F.lit(v)) for k, v in table.items()))
+
+
+def _number(token: Column) -> Column:
+    """Whole number of digits or a number word, else null."""
+    return F.coalesce(token.try_cast("int"), _cases(token, NUMBERS))
+
+
+def _day_of(year: Column, month: Column, day: Column) -> Column:
+    """Days since the epoch of a date, null where there is none."""
+    return F.unix_date(F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int")).try_cast("date"))
+
+
+UNTIL = r"(?:by|until) ([0-9]{1,2}) (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*( [0-9]{4})?"
+LASTS = r"(?:for|next) ([0-9]{1,3}) (day|week|month|year)"
 
 
-def expiry_days(text: Column, category: Column, ttl: dict[str, int], fallback: int = 90) -> Column:
-    """Days a fact should live: none for durable categories, else "for N units", else the category's, else the fallback."""
-    n = F.regexp_extract(text, r"for ([0-9]{1,3}) (day|week|month|year)", 1).try_cast("int")
-    unit = F.regexp_extract(text, r"for ([0-9]{1,3}) (day|week|month|year)", 2)
-    days = F.coalesce(*(F.when(unit == u, n * d) for u, d in UNIT_DAYS.items()))
+def expiry_days(text: Column, category: Column, ttl: dict[str, int], today: int, fallback: int = 90) -> Column:
+    """Days a fact should live: none for durable categories, else "for N units", "until D Mon [YYYY]", the category's, the fallback."""
+    days = F.regexp_extract(text, LASTS, 1).try_cast("int") * _cases(F.regexp_extract(text, LASTS, 2), UNIT_DAYS)
+    month = _cases(F.regexp_extract(text, UNTIL, 2), {m[:3]: i for i, m in enumerate(_MONTHS, 1)})
+    year = F.coalesce(F.trim(F.regexp_extract(text, UNTIL, 3)).try_cast("int"), F.year(F.date_from_unix_date(F.lit(today))))
+    fixed = _day_of(year, month, F.regexp_extract(text, UNTIL, 1).try_cast("int")) - today
     own = F.coalesce(*(F.when(category == c, F.lit(d)) for c, d in ttl.items()), F.lit(fallback))
-    return F.when(~category.isin(*DURABLE), F.coalesce(days, own))
+    return F.when(~category.isin(*DURABLE), F.coalesce(F.when(days > 0, days), fixed, own))
 
 
 def resolved_day(text: Column, day: Column) -> Column:
-    """Days since the epoch that a phrase points to from ``day``: yesterday, N units ago, last week / month / year."""
-    n = F.regexp_extract(text, r"([0-9]{1,3}) (day|week|month|year)s? ago", 1).try_cast("int")
-    unit = F.regexp_extract(text, r"([0-9]{1,3}) (day|week|month|year)s? ago", 2)
-    ago = F.coalesce(*(F.when(unit == u, day - n * d) for u, d in UNIT_DAYS.items()))
-    last = F.coalesce(*(F.when(text.rlike(word(f"last {u}")), day - d) for u, d in UNIT_DAYS.items() if u != "day"))
-    return F.coalesce(F.when(text.rlike(word("yesterday")), day - 1), ago, last)
+    """Days since the epoch that a phrase points to from ``day``, by the first form of ``DATES`` that fits.
+
+    A date without a year is the latest one not after ``day``; a weekday "ago" is the last one up to that day; a number
+    that is none (a fraction, an unknown word) leaves the later forms to try.
+    """
+    got = lambda k, i: F.regexp_extract(text, DATES[k], i)
+    is_ = lambda k: text.rlike(DATES[k])
+    year, weekday = F.year(F.date_from_unix_date(day)), F.pmod(day + 3, F.lit(7))
+
+    def past(month: Column, d: Column) -> Column:
+        this = _day_of(year, month, d)
+        return F.when(this <= day, this).otherwise(F.when(this.isNotNull(), _day_of(year - 1, month, d)))
+
+    days = {d: i for i, d in enumerate(_WEEKDAYS)}
+    base = day - _number(got("weekday_ago", 2)) * _cases(got("weekday_ago", 3), UNIT_DAYS)
+    on_weekday = base - F.pmod(base + 3 - _cases(got("weekday_ago", 1), days), F.lit(7))
+    n = _number(got("ago", 1))
+    ago = F.when(n <= 3 * 366, day - n * _cases(got("ago", 2), UNIT_DAYS))
+    back = F.pmod(weekday - _cases(got("last_weekday", 1), days), F.lit(7))
+    return (
+        F.when(is_("month_day"), past(_cases(got("month_day", 1), {m: i for i, m in enumerate(_MONTHS, 1)}), got("month_day", 2).try_cast("int")))
+        .when(is_("feast"), past(F.lit(2), F.lit(14))).when(is_("before_yesterday"), day - 2).when(is_("yesterday"), day - 1).when(is_("weekend"), day - F.pmod(weekday + 1, F.lit(7)))
+        .otherwise(F.coalesce(on_weekday, ago, F.when(is_("last_weekday"), day - F.when(back == 0, 7).otherwise(back)), F.when(is_("last_unit"), day - _cases(got("last_unit", 1), UNIT_DAYS))))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import text as x
@@ -31,13 +31,28 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).withColumn("low", x.low())
 
 
-FLAG_LIST = "list_sort(list_filter([" + ", ".join(f"case when {has(p)} then {lit(n)} end" for n, p in x.FLAGS.items()) + ", case when category in ('context_note', 'event') then 'short_lived' end], lambda f: f is not null))"
+_OPEN = " or length(low) - length(replace(low, '(', '')) > length(low) - length(replace(low, ')', ''))"
+FLAG_LIST = "list_sort(list_filter([" + ", ".join(f"case when {has(p)}{_OPEN if n == 'junk' else ''} then {lit(n)} end" for n, p in x.FLAGS.items()) + ", case when category in ('context_note', 'event') then 'short_lived' end], lambda f: f is not null))"
 HARD_LIST = f"list_filter({FLAG_LIST}, lambda f: list_contains({list(x.HARD)}, f))"
 LABEL = "coalesce(" + ", ".join(f"case when {has(p)} then {lit(n)} end" for n, p in x.IDENTIFIERS.items()) + ")"
 
 
-def added(rules: tuple) -> str:
-    return "round(least(1e0, " + " + ".join(f"case when {has(p)} then {w}e0 else 0 end" for w, p in rules) + "), 6)"
+def hits(words: tuple) -> str:
+    return f"len(list_intersect(list_distinct(string_split_regex(low, '[^a-z0-9'']+')), {list(words)}))"
+
+
+def _sum(*terms: str) -> str:
+    return "round(least(1e0, " + " + ".join(terms) + "), 6)"
+
+
+_M = hits(x._MONTHS)
+TEMPORAL = _sum(f"case when {_M} > 0 then {x.MONTH_WEIGHTS[0]}e0 + {x.MONTH_WEIGHTS[1]}e0 * least({_M} - 1, 2) else 0 end", *(f"case when {has(p)} then {w}e0 else 0 end" for w, p in x.TEMPORAL))
+_SOME = "(" + " + ".join(hits(words) for _, words in x.HOP_WORDS.values()) + " > 0)"
+_NAMES = f"list_filter(regexp_extract_all(content, '[A-Za-z][A-Za-z'']*'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{2,}}$') and not list_contains({list(x.NOT_NAMES)}, lower(w)) and lower(w) <> lower(regexp_extract(content, '[A-Za-z][A-Za-z'']*')))"
+MULTIHOP = _sum(
+    *(f"{w}e0 * least({hits(words)}, 2)" for w, words in x.HOP_WORDS.values()), f"case when {has(x.YOU_SAID[1])} then {x.YOU_SAID[0]}e0 else 0 end", f"case when {_SOME} and len({_NAMES}) > 0 then {x.NAME_WEIGHT}e0 else 0 end",
+    f"case when {_SOME} and {has(x.TOPIC[1])} then {x.TOPIC[0]}e0 else 0 end", f"case when {_SOME} and regexp_matches(content, {lit(x.NAME_PAIR[1])}) then {x.NAME_PAIR[0]}e0 else 0 end",
+)
 
 
 @query("quality_flags", f"with {ITEMS} select id, {FLAG_LIST} as flags from items", "messages", "mem")
@@ -73,13 +88,19 @@ def egress_filter(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).filter(x.identifier(F.col("low")).isNull() | F.col("id").startswith("mem-")).select("id")
 
 
-SENSITIVE = x.word("health|doctor|salary|debt|password|religion|diagnosis|trash|idiot")
+#: Words of health, money, faith and secrets: what is asked about before it is kept.
+SENSITIVE = x.word("addiction|allergy|anxiety|bankruptcy|cancer|debt|depression|diagnosed|diagnosis|disability|divorce|doctor|faith|health|income|loan|medication|mortgage|password|pregnant|religion|religious|salary|surgery|therapist|therapy|wage")
+_SENSITIVE_SQL = f"(category = 'relationship' or (category in ('personal_fact', 'insight', 'context_note') and {has(SENSITIVE)}))"
+
+
+def sensitive() -> Column:
+    """Relationships always; personal facts, insights and notes by their words."""
+    return (F.col("category") == "relationship") | (F.col("category").isin("personal_fact", "insight", "context_note") & F.col("low").rlike(SENSITIVE))
 
 
-@query("sensitive_flag", f"with {ITEMS} select id, category = 'relationship' or (category in ('personal_fact', 'insight', 'context_note') and {has(SENSITIVE)}) as sensitive from items", "messages", "mem")
+@query("sensitive_flag", f"with {ITEMS} select id, {_SENSITIVE_SQL} as sensitive from items", "messages", "mem")
 def sensitive_flag(spark: SparkSession, d: str) -> DataFrame:
-    s = (F.col("category") == "relationship") | (F.col("category").isin("personal_fact", "insight", "context_note") & F.col("low").rlike(SENSITIVE))
-    return items(spark, d).select("id", s.alias("sensitive"))
+    return items(spark, d).select("id", sensitive().alias("sensitive"))
 
 
 @query("referential_flag", f"with {ITEMS} select id, length(low) <= 300 and {has(x.REFERENTIAL)} as referential from items", "messages", "mem")
@@ -87,26 +108,40 @@ def referential_flag(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("id", ((F.length("low") <= 300) & F.col("low").rlike(x.REFERENTIAL)).alias("referential"))
 
 
-@query("change_intent", f"with {ITEMS} select id, {has(x.CHANGE)} as change from items", "messages", "mem")
-def change_intent(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).select("id", F.col("low").rlike(x.CHANGE).alias("change"))
 
 
-@query("temporal_score", f"with {ITEMS} select id, {added(x.TEMPORAL)} as score from items", "messages", "mem")
+# Questions and statements about the store's own rows, so that every term of the scores occurs.
+ASKED = """case {0} % 12 when 0 then 'When did ' || n_name || ' and Region first trade, before or after March ' || {0} % 28 || '?' when 1 then 'What did you say about ' || n_name || ' and Europe?' when 2 then 'Do I still work with ' || n_name || ' these days?'
+  when 3 then 'Did Alice say she moved because Bob suggested ' || n_name || ' yesterday?' when 4 then 'What has changed in ' || n_name || ' since 2019?' when 5 then 'Compare ' || n_name || ' and Peru: is one better than the other?' when 6 then 'How many weeks ago was I in ' || n_name || '?'
+  when 7 then n_name || ' was visited last month' when 8 then 'Where did we meet on Monday, 2 weeks ago?' when 9 then 'On 2024-01-15 we met in January and February.' when 10 then 'Which of them asked Clara about ' || n_name || ', and why?' else 'Tell me the history of ' || n_name end"""
+_ASKED = f"asked as (select 'c' || c_custkey as id, {ASKED.format('c_custkey')} as content from customer join nation on c_nationkey = n_nationkey), low_ as (select *, {LOW} as low from asked union all select id, content, low from items)"
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about nations beside all given texts."""
+    c, n = t.read(spark, d, "customer"), t.read(spark, d, "nation")
+    q = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.expr(ASKED.format("c_custkey")).alias("content"))
+    return q.withColumn("low", x.low()).unionByName(items(spark, d).select("id", "content", "low"))
+
+
+@query("temporal_score", f"with {ITEMS}, {_ASKED} select id, {TEMPORAL} as score from low_", "messages", "mem")
 def temporal_score(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).select("id", x.score(F.col("low"), x.TEMPORAL).alias("score"))
+    return asked(spark, d).select("id", x.temporal_score(F.col("low")).alias("score"))
 
 
-@query("multihop_score", f"with {ITEMS} select id, {added(x.MULTIHOP)} as score from items", "messages", "mem")
+@query("multihop_score", f"with {ITEMS}, {_ASKED} select id, {MULTIHOP} as score from low_", "messages", "mem")
 def multihop_score(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).select("id", x.score(F.col("low"), x.MULTIHOP).alias("score"))
+    return asked(spark, d).select("id", x.multihop_score(F.col("low"), F.col("content")).alias("score"))
 
 
-@query("route_flag", f"with {ITEMS} select id, (contains(low, '?') or {has(x.word('when|what|who|how|why'))}) and ({added(x.TEMPORAL)} >= 0.25e0 or {added(x.MULTIHOP)} >= 0.25e0) as routed from items", "messages", "mem")
+@query("change_intent", f"with {ITEMS}, {_ASKED} select id, {has(x.CHANGE)} as change from low_", "messages", "mem")
+def change_intent(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d).select("id", F.col("low").rlike(x.CHANGE).alias("change"))
+
+
+@query("route_flag", f"with {ITEMS}, {_ASKED} select id, {has(x.QUESTION)} and ({TEMPORAL} >= {x.ROUTE_FROM}e0 or {MULTIHOP} >= {x.ROUTE_FROM}e0) as routed from low_", "messages", "mem")
 def route_flag(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("low")
-    asks = F.contains(c, F.lit("?")) | c.rlike(x.word("when|what|who|how|why"))
-    return items(spark, d).select("id", (asks & ((x.score(c, x.TEMPORAL) >= 0.25) | (x.score(c, x.MULTIHOP) >= 0.25))).alias("routed"))
+    return asked(spark, d).select("id", x.routed(F.col("low"), F.col("content")).alias("routed"))
 
 
 SENTENCES = "list_filter(string_split(regexp_replace(trim(regexp_replace(content, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))[1:25], lambda s: length(s) >= 15)"
@@ -118,9 +153,14 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 # First-person statements that the relational tables hold, as text.
-SAID = """case c_custkey % 6 when 0 then 'I live in ' || n_name || '. I usually buy ' || lower(c_mktsegment) || ' goods for 3 weeks.' when 1 then 'My partner is ' || c_name || '. I work for ' || n_name || ' Trading now.'
+SAID = """case c_custkey % 24 when 0 then 'I live in ' || n_name || '. I usually buy ' || lower(c_mktsegment) || ' goods for 3 weeks.' when 1 then 'My partner is ' || c_name || '. I work for ' || n_name || ' Trading now.'
   when 2 then 'I switched from ' || lower(c_mktsegment) || ' to something else 2 weeks ago. I prefer the ' || lower(n_name) || ' market.' when 3 then 'I want to visit ' || n_name || ' for 10 days! I am a ' || lower(c_mktsegment) || ' buyer.'
-  when 4 then 'Yesterday I met ' || c_name || '. My boss is ' || n_name || ' today.' else 'What changed in ' || n_name || ' last month?' end"""
+  when 4 then 'Yesterday I met ' || c_name || '. My boss is ' || n_name || ' today.' when 5 then 'What changed in ' || n_name || ' last month?' when 6 then 'My favourite market is ' || n_name || ' (since the fair). I always order early, on Mondays.'
+  when 7 then 'I own a ' || lower(c_mktsegment) || ' shop; I use a ledger. We opened it on March ' || (c_custkey % 28 + 1) || 'th.' when 8 then 'I learned that ' || n_name || ' pays late. It was three months ago.' when 9 then 'I attended the ' || n_name || ' fair last Friday. I am tired of queues.'
+  when 10 then 'I am learning the language of ' || n_name || '. The exam is until 15 Dec 2024 or so.' when 11 then 'I am busy. I''m a ' || lower(c_mktsegment) || ' manager, and my rival is Mr Jones-Smith.' when 12 then 'I prefer ' || lower(n_name) || ' over peru. I noticed that prices fell the Tuesday two weeks ago.'
+  when 13 then 'My sister is Anna Lee. My landlord is Otto. I work as a clerk in ' || n_name || '.' when 14 then 'I met him on February 30th, the day before yesterday.' when 15 then 'I plan to open in ' || n_name || ' by 3 May. On Valentine''s Day I visited ' || n_name || '.'
+  when 16 then 'I attended a show last weekend. I moved from ' || n_name || ' to the coast a year ago.' when 17 then 'My wife is Dr Grace; i''m married to the sea. My shop is in ' || n_name || '.' when 18 then 'I finished the book 2.5 weeks ago, last year.' when 19 then 'I hate ' || lower(c_mktsegment) || ' and love ' || n_name || ' on December 31.'
+  when 20 then 'I hope to retire next 2 years. I realized that time flies.' when 21 then 'I am working on ' || n_name || ' for 2 months. Last Sunday I met Customer#' || c_custkey || '.' when 22 then 'Nothing to say about it.' else 'I never pay ' || n_name || ' early. My cat is Tom.' end"""
 TURNS = f"turns as (select c_custkey as turn_id, {SAID} as content from customer join nation on c_nationkey = n_nationkey)"
 
 
@@ -130,14 +170,18 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 SENT = f"sent as (select turn_id, lower(unnest({SENTENCES})) as low from turns)"
-_G = {n: 2 if n == "relationship" else 1 for n, _, _ in x.FACTS}
-FACT = "case " + " ".join(f"when {has(x._A + p)} then {lit(n)}" for n, _, p in x.FACTS) + " end"
-KIND = "case " + " ".join(f"when {has(x._A + p)} then {lit(c)}" for _, c, p in x.FACTS) + " end"
-DETAIL = "case " + " ".join(f"when {has(x._A + p)} then trim(regexp_extract(low, {lit(p)}, {_G[n]}))" for n, _, p in x.FACTS) + " end"
+def _fits(p: str, block: str | None) -> str:
+    return has(x._A + p) + (f" and not {has(block)}" if block else "")
+
+
+FACT = "case " + " ".join(f"when {_fits(p, k)} then {lit(n)}" for n, _, p, k in x.FACTS) + " end"
+KIND = "case " + " ".join(f"when {_fits(p, k)} then {lit(c)}" for _, c, p, k in x.FACTS) + " end"
+DETAIL = "case " + " ".join(f"when {_fits(p, k)} then trim(regexp_extract(low, {lit(p)}, {x.last_group(p)}))" for _, _, p, k in x.FACTS) + " end"
 FOUND = f"fc as (select turn_id, {FACT} as rule, {KIND} as category, {DETAIL} as detail from sent)"
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
+    """Each sentence's fact: turn_id, rule, category, detail."""
     s = turns(spark, d).select("turn_id", F.explode(x.sentences(F.col("content"))).alias("s")).withColumn("f", x.fact(F.lower("s")))
     return s.filter("f is not null").select("turn_id", "f.rule", "f.category", "f.detail")
 
@@ -147,6 +191,18 @@ def extract_facts(spark: SparkSession, d: str) -> DataFrame:
     return facts(spark, d)
 
 
+CONTENT = "case rule " + " ".join(f"when {lit(n)} then {lit(w)}" for n, w in x.WORDING.items()) + " end || detail"
+
+
+@query("extract_turns", f"""with {TURNS}, {SENT}, {FOUND}, o as (select turn_id, rule, category, {CONTENT} as content from fc where rule is not null), w as (select *, {LOW} as low from o), g as (select *, {FLAG_LIST} as flags from w)
+  select turn_id, rule, category, content, 0.75e0 as confidence, case when category in ('context_note', 'event') then 'temporary' else 'durable' end as durability, flags from g where not list_contains(flags, 'junk')""")
+def extract_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the turns as rows for the queue: worded, with confidence, durability and flags; junk is dropped."""
+    f = facts(spark, d).withColumn("content", x.worded(F.col("rule"), F.col("detail"))).withColumn("flags", x.flags(x.low(), F.col("category")))
+    durability = F.when(F.col("category").isin("context_note", "event"), "temporary").otherwise("durable")
+    return f.filter(~F.array_contains("flags", "junk")).select("turn_id", "rule", "category", "content", F.lit(0.75).alias("confidence"), durability.alias("durability"), "flags")
+
+
 @query("needs_second_stage", f"with {TURNS}, {SENT}, {FOUND}, n as (select turn_id, count(rule) as n from fc group by turn_id) select turn_id, coalesce(n, 0) as n_facts, length(content) >= 60 and (coalesce(n, 0) <= 1 or len(string_split(content, ' ')) / n > 80) as needed from turns left join n using (turn_id)")
 def needs_second_stage(spark: SparkSession, d: str) -> DataFrame:
     n = facts(spark, d).groupBy("turn_id").agg(F.count("*").alias("n"))
@@ -158,8 +214,15 @@ def clean(e: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower({e}), '\\s+', ' ', 'g')), '^[^a-z0-9]+|[^a-z0-9#]+$', '', 'g'), '^(the|a|an|my) ', ''), ' (now|today|currently|lately|anymore)$', '')[1:100]"
 
 
-REL = "rl as (" + " union all ".join(f"select turn_id, {lit(n)} as relation, {clean(f'regexp_extract(low, {lit(p)}, 1)')} as target, {lit(k)} as type from sent where {has(x._A + p)}" for n, p, k in x.RELATIONS) + ")"
-VALID = "length(target) >= 3 and len(string_split(target, ' ')) <= 6 and target not in ('user', 'thing', 'things', 'something', 'someone', 'stuff') and not regexp_matches(target, '^(i|you|we|he|she|they|it) ')"
+def _rel(n: str, p: str, kind: str) -> str:
+    target = clean(f"regexp_extract(low, {lit(p)}, {x.last_group(p)})")
+    usual = " ".join(f"when regexp_matches(target, {lit(e)}) then {lit(k)}" for k, e in x.TYPE_ENDINGS)
+    return f"select turn_id, relation, target, case {usual} else {lit(kind)} end as type from (select turn_id, {lit(n)} as relation, {target} as target from sent where {_fits(p, x.TRANSIENT if n == 'is_a' else None)})"
+
+
+REL = "rl as (" + " union all ".join(_rel(*r) for r in x.RELATIONS) + ")"
+FAULT = f"case when length(target) < 3 then 'short' when length(target) >= 80 then 'long' when len(string_split(target, ' ')) > 6 then 'words' when list_contains({list(x.NO_ENTITY)}, target) then 'stop word' when regexp_matches(target, {lit(x.CLAUSE)}) then 'clause' end"
+VALID = f"({FAULT}) is null"
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
@@ -177,10 +240,39 @@ def entity_clean(spark: SparkSession, d: str) -> DataFrame:
     return relations(spark, d).select("target", x.entity_valid(F.col("target")).alias("valid")).distinct()
 
 
-@query("role_aliases", f"with {TURNS}, {SENT}, {REL} select distinct relation[5:] as alias, target as canonical from rl where relation in ('has_partner', 'has_boss') and {VALID}")
+@query("entity_valid", f"with {TURNS}, {SENT}, {REL} select target, relation, {FAULT} as fault, count(*) as n from rl group by all")
+def entity_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Names that relations bring up, how often, and why one is no entity."""
+    return relations(spark, d).groupBy("target", "relation").agg(F.count("*").alias("n")).select("target", "relation", x.entity_fault(F.col("target")).alias("fault"), "n")
+
+
+@query("needs_typing", f"with {TURNS}, {SENT}, {REL}, n as (select turn_id, count(*) as n from (select distinct turn_id, relation, target from rl where {VALID}) group by turn_id) select turn_id, coalesce(n, 0) as n_typed, coalesce(n, 0) < 3 and length(content) >= 60 as needed from turns left join n using (turn_id)")
+def needs_typing(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of some length with fewer than three typed relations: they go to a second stage."""
+    n = relations(spark, d).filter(x.entity_valid(F.col("target"))).select("turn_id", "relation", "target").distinct().groupBy("turn_id").agg(F.count("*").alias("n"))
+    r = turns(spark, d).join(n, "turn_id", "left").withColumn("n_typed", F.coalesce("n", F.lit(0)))
+    return r.select("turn_id", "n_typed", ((F.col("n_typed") < 3) & (F.length("content") >= 60)).alias("needed"))
+
+
+# "My X is Name" in the text as written: a role's word is an alias, any other word waits for review.
+_MINE = "My ([a-z]+) is ([A-Z][^.!?;,]+)"
+_PEOPLE = "mine as (select distinct lower(regexp_extract(content, '" + _MINE + "', 1)) as alias, " + clean("regexp_extract(content, '" + _MINE + "', 2)") + " as canonical from (select unnest(" + SENTENCES + ") as content from turns) where regexp_matches(content, '" + _MINE + "'))"
+
+
+def _mine(spark: SparkSession, d: str) -> DataFrame:
+    s = turns(spark, d).select(F.explode(x.sentences(F.col("content"))).alias("s")).filter(F.col("s").rlike(_MINE))
+    return s.select(F.lower(F.regexp_extract("s", _MINE, 1)).alias("alias"), x.entity(F.regexp_extract("s", _MINE, 2)).alias("canonical")).distinct()
+
+
+@query("role_aliases", f"with {TURNS}, {_PEOPLE} select alias, canonical from mine where alias in {tuple(x._ROLES.split('|'))}")
 def role_aliases(spark: SparkSession, d: str) -> DataFrame:
-    r = relations(spark, d).filter(F.col("relation").isin("has_partner", "has_boss") & x.entity_valid(F.col("target")))
-    return r.select(F.substring("relation", 5, 100).alias("alias"), F.col("target").alias("canonical")).distinct()
+    return _mine(spark, d).filter(F.col("alias").isin(*x._ROLES.split("|")))
+
+
+@query("role_review", f"with {TURNS}, {_PEOPLE} select alias, count(*) as n from mine where alias not in {tuple(x._ROLES.split('|'))} group by alias")
+def role_review(spark: SparkSession, d: str) -> DataFrame:
+    """Words for people that are no known role, for somebody to look at."""
+    return _mine(spark, d).filter(~F.col("alias").isin(*x._ROLES.split("|"))).groupBy("alias").agg(F.count("*").alias("n"))
 
 
 @query("graph_index", f"with {TURNS}, {SENT}, {REL} select 'user' as src, relation, target as dst, max(type) as type, count(distinct turn_id) as n_evidence from rl where {VALID} group by relation, target")
@@ -189,22 +281,56 @@ def graph_index(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("relation", F.col("target").alias("dst")).agg(F.max("type").alias("type"), F.count_distinct("turn_id").alias("n_evidence")).withColumn("src", F.lit("user"))
 
 
-_DAYS = "case regexp_extract(low, 'for ([0-9]{1,3}) (day|week|month|year)', 2) when 'day' then 1 when 'week' then 7 when 'month' then 30 when 'year' then 365 end * try_cast(regexp_extract(low, 'for ([0-9]{1,3}) (day|week|month|year)', 1) as int)"
+def cases(value: str, table: dict) -> str:
+    return f"case {value} " + " ".join(f"when {lit(k)} then {v}" for k, v in table.items()) + " end"
+
 
+def day_of(y: str, m: str, d: str) -> str:
+    return f"(try_cast(printf('%04d-%02d-%02d', ({y})::int, ({m})::int, ({d})::int) as date) - date '1970-01-01')"
 
-@query("suggest_expiry", f"with {TURNS}, {SENT}, f as (select turn_id, low, {KIND} as category from sent) select turn_id, category, case when category not in ('personal_fact', 'preference', 'relationship', 'insight') then coalesce({_DAYS}, case category when 'context_note' then 30 when 'event' then 180 when 'goal' then 180 else 90 end) end as days from f where category is not null")
+
+def _got(p: str, i: int) -> str:
+    return f"regexp_extract(low, {lit(p)}, {i})"
+
+
+TODAY = NOW // 86400
+_SHORT = {m[:3]: i for i, m in enumerate(x._MONTHS, 1)}
+_LASTS = f"{cases(_got(x.LASTS, 2), x.UNIT_DAYS)} * try_cast({_got(x.LASTS, 1)} as int)"
+_UNTIL = f"{day_of(f'coalesce(try_cast(trim({_got(x.UNTIL, 3)}) as int), 2024)', cases(_got(x.UNTIL, 2), _SHORT), f'try_cast({_got(x.UNTIL, 1)} as int)')} - {TODAY}"
+
+
+@query("suggest_expiry", f"with {TURNS}, {SENT}, f as (select turn_id, low, {KIND} as category from sent) select turn_id, category, case when category not in {x.DURABLE} then coalesce(case when {_LASTS} > 0 then {_LASTS} end, {_UNTIL}, case category when 'context_note' then 30 when 'event' then 180 when 'goal' then 180 else 90 end) end as days from f where category is not null")
 def suggest_expiry(spark: SparkSession, d: str) -> DataFrame:
     s = turns(spark, d).select("turn_id", F.explode(x.sentences(F.col("content"))).alias("s")).withColumn("low", F.lower("s")).withColumn("category", x.fact(F.col("low"))["category"]).filter("category is not null")
-    return s.select("turn_id", "category", x.expiry_days(F.col("low"), F.col("category"), t.TTL_DAYS).alias("days"))
+    return s.select("turn_id", "category", x.expiry_days(F.col("low"), F.col("category"), t.TTL_DAYS, TODAY).alias("days"))
+
+
+def _date(k: str, i: int) -> str:
+    return _got(x.DATES[k], i)
+
+
+def _num(e: str) -> str:
+    return f"coalesce(case when regexp_matches({e}, '^[0-9]+$') then try_cast({e} as int) end, {cases(e, x.NUMBERS)})"
+
+
+def _past(m: str, d: str) -> str:
+    this, last = day_of("year(date '1970-01-01' + day::int)", m, d), day_of("year(date '1970-01-01' + day::int) - 1", m, d)
+    return f"case when {this} <= day then {this} when {this} is not null then {last} end"
 
 
-_AGO = "case regexp_extract(low, '([0-9]{1,3}) (day|week|month|year)s? ago', 2) when 'day' then 1 when 'week' then 7 when 'month' then 30 when 'year' then 365 end * try_cast(regexp_extract(low, '([0-9]{1,3}) (day|week|month|year)s? ago', 1) as int)"
+_WD = {w: i for i, w in enumerate(x._WEEKDAYS)}
+_BASE = f"(day - {_num(_date('weekday_ago', 2))} * {cases(_date('weekday_ago', 3), x.UNIT_DAYS)})"
+_BACK = f"((day + 3) % 7 - {cases(_date('last_weekday', 1), _WD)} + 7) % 7"
+RESOLVED = f"""case when {has(x.DATES['month_day'])} then {_past(cases(_date('month_day', 1), {m: i for i, m in enumerate(x._MONTHS, 1)}), f"try_cast({_date('month_day', 2)} as int)")} when {has(x.DATES['feast'])} then {_past('2', '14')}
+  when {has(x.DATES['before_yesterday'])} then day - 2 when {has(x.DATES['yesterday'])} then day - 1 when {has(x.DATES['weekend'])} then day - ((day + 3) % 7 + 1) % 7
+  else coalesce({_BASE} - ({_BASE} + 3 - {cases(_date('weekday_ago', 1), _WD)}) % 7, case when {_num(_date('ago', 1))} <= 1098 then day - {_num(_date('ago', 1))} * {cases(_date('ago', 2), x.UNIT_DAYS)} end,
+    case when {has(x.DATES['last_weekday'])} then day - case when {_BACK} = 0 then 7 else {_BACK} end end, case when {has(x.DATES['last_unit'])} then day - {cases(_date('last_unit', 1), x.UNIT_DAYS)} end) end"""
 
 
-@query("resolve_date", f"""with {TURNS}, l as (select turn_id, lower(content) as low from turns), r as (select turn_id, coalesce(case when {has(x.word('yesterday'))} then 1 end, {_AGO}, case when {has(x.word('last week'))} then 7 when {has(x.word('last month'))} then 30 when {has(x.word('last year'))} then 365 end) as back from l)
-  select turn_id, {NOW // 86400} - back as day from r where back is not null""")
+@query("resolve_date", f"""with {TURNS}, l as (select turn_id, lower(content) as low, {TODAY} - turn_id % 400 as day from turns), r as (select turn_id, ({RESOLVED})::bigint as day from l) select turn_id, day from r where day is not null""")
 def resolve_date(spark: SparkSession, d: str) -> DataFrame:
-    r = turns(spark, d).select("turn_id", x.resolved_day(F.lower("content"), F.lit(NOW // 86400)).alias("day"))
+    """What a turn's first date phrase points to from the day it was said."""
+    r = turns(spark, d).select("turn_id", x.resolved_day(F.lower("content"), (F.lit(TODAY) - F.col("turn_id") % 400).cast("int")).cast("long").alias("day"))
     return r.filter("day is not null")
 
 
@@ -233,14 +359,13 @@ def candidate_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 DECIDED = f"""cd as (select *, {LOW} as low from candidates), dc as (select candidate_id, status, cd.confidence, case when len({HARD_LIST}) > 0 then 'quarantine' when e.session_id is null then 'confirm' when {LABEL} is not null then 'confirm'
-   when category = 'relationship' or {has(SENSITIVE)} then 'confirm' when cd.confidence < 0.85e0 then 'confirm' else 'approve' end as decision from cd left join evidence e on e.memory_id = 'mem-' || cd.doc_id)"""
+   when {_SENSITIVE_SQL} then 'confirm' when cd.confidence < 0.85e0 then 'confirm' else 'approve' end as decision from cd left join evidence e on e.memory_id = 'mem-' || cd.doc_id)"""
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
     e = t.evidence(spark, d).select(F.col("memory_id").alias("e_id"), F.col("session_id").alias("proof"))
     c = t.candidates(spark, d).withColumn("low", x.low()).join(e, F.concat(F.lit("mem-"), "doc_id") == F.col("e_id"), "left")
-    sensitive = (F.col("category") == "relationship") | F.col("low").rlike(SENSITIVE)
-    return c.withColumn("decision", proposals.decide(F.col("confidence"), x.hard(x.flags(F.col("low"), F.col("category"))), x.identifier(F.col("low")), F.col("proof"), sensitive))
+    return c.withColumn("decision", proposals.decide(F.col("confidence"), x.hard(x.flags(F.col("low"), F.col("category"))), x.identifier(F.col("low")), F.col("proof"), sensitive()))
 
 
 @query("auto_review", f"with {DECIDED} select candidate_id, decision from dc where status in ('pending', 'reviewed_approved', 'pending_user_confirmation')", "mem", "messages", "evidence", "candidates")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -60,15 +61,36 @@ def test_removed_evidence_quarantines_an_edge(spark):
 
 
 def test_text_rules(spark):
-    t = spark.createDataFrame([("my partner is anna now",), ("i live in oslo",), ("nothing here",), ("i work for acme trading today",)], "s string")
+    t = spark.createDataFrame([("my partner is anna now",), ("i live in oslo",), ("nothing here",), ("i work for acme trading today",), ("i am tired of queues",), ("i'm a keen gardener",), ("i am learning welsh",)], "s string")
     facts = [r[0] and tuple(r[0]) for r in t.select(x.fact(F.col("s"))).collect()]
-    assert facts == [("relationship", "relationship", "anna now"), ("location", "personal_fact", "oslo"), None, ("work", "personal_fact", "acme trading today")]
-    rel = [[(q["relation"], q["target"]) for q in r[0]] for r in t.select(x.relations(F.col("s"))).collect()]
-    assert rel == [[("has_partner", "anna")], [("lives_in", "oslo")], [], [("works_for", "acme trading")]]
-    flags = spark.createDataFrame([("short",), ("and so it went on to",), ("user is an ai for sure",)], "s string")
-    assert [r[0] for r in flags.select(x.flags(F.col("s"))).collect()] == [["junk"], ["fragment"], ["wrong_subject"]]
-    days = spark.createDataFrame([("yesterday we met",), ("2 weeks ago",), ("last year",), ("today",)], "s string")
-    assert [r[0] for r in days.select(x.resolved_day(F.col("s"), F.lit(1000))).collect()] == [999, 986, 635, None]
+    assert facts == [("relationship", "relationship", "anna now"), ("location", "personal_fact", "oslo"), None, ("work", "personal_fact", "acme trading today"), None, ("identity", "personal_fact", "keen gardener"), ("ongoing", "context_note", "welsh")]
+    rel = [[(q["relation"], q["target"], q["type"]) for q in r[0]] for r in t.select(x.relations(F.col("s"))).collect()]
+    assert rel[:4] == [[("has_partner", "anna", "person")], [("lives_in", "oslo", "place")], [], [("works_for", "acme trading", "organization")]] and rel[4] == []
+    texts = {
+        "short": ["junk"], "user is tired.": ["junk"], "a note that was cut (and then": ["junk"], "and so it went on to": ["fragment"], "the user is an ai model": ["wrong_subject"],
+        "this person likes tea a lot": ["unanchored_subject"], "i told you to book a table": ["assistant_instruction", "second_person"], "as discussed in this chat we go": ["conversation_meta", "fragment"], "user lives in a house in oslo": [],
+    }
+    flags = spark.createDataFrame([(k,) for k in texts], "s string")
+    assert {r[0]: r[1] for r in flags.select("s", x.flags(F.col("s"))).collect()} == texts
+    asks = {"when did we meet bob?": True, "i met bob yesterday": False, "what did alice say about the move?": True, "what did she say?": False, "is this one better?": False}
+    rows = spark.createDataFrame([(k, k.replace("alice", "Alice")) for k in asks], "s string, w string")
+    assert {r[0]: r[1] for r in rows.select("s", x.routed(F.col("s"), F.col("w"))).collect()} == asks
+    change = {"what has changed at work?": True, "do i still live in oslo?": True, "where do i work now?": True, "i work here now": False, "she is still here": False, "what did we eat before lunch?": True}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in change], "s string").select("s", F.col("s").rlike(x.CHANGE)).collect()} == change
+
+
+def test_dates_from_phrases(spark):
+    day = dt.date
+    sunday, leap = day(2024, 3, 3), day(2024, 3, 1)
+    cases = [
+        ("we met on march 2", leap, day(2023, 3, 2)), ("we met on february 29th", leap, day(2024, 2, 29)), ("on february 30", leap, None), ("on february 29", day(2024, 2, 1), None), ("valentine's day", leap, day(2024, 2, 14)), ("valentines day", day(2024, 1, 5), day(2023, 2, 14)),
+        ("yesterday", leap, day(2024, 2, 29)), ("the day before yesterday", leap, day(2024, 2, 28)), ("last weekend", leap, day(2024, 2, 25)), ("the past weekend", sunday, sunday),
+        ("the tuesday two weeks ago", leap, day(2024, 2, 13)), ("3 days ago", leap, day(2024, 2, 27)), ("a month ago", leap, day(2024, 1, 31)), ("two-week ago", leap, day(2024, 2, 16)), ("2.5 weeks ago, last year", leap, day(2023, 3, 2)), ("many years ago", leap, None), ("9999 days ago", leap, None),
+        ("last friday", leap, day(2024, 2, 23)), ("last monday", leap, day(2024, 2, 26)), ("last month", leap, day(2024, 1, 31)), ("no date here", leap, None),
+    ]
+    rows = spark.createDataFrame([(s, (d - day(1970, 1, 1)).days) for s, d, _ in cases], "s string, d int")
+    got = [r[0] for r in rows.select(x.resolved_day(F.col("s"), F.col("d"))).collect()]
+    assert [g if g is None else day(1970, 1, 1) + dt.timedelta(days=g) for g in got] == [w for _, _, w in cases]
 
 
 def test_the_whole_plan_has_semantic_duplicates(spark):
