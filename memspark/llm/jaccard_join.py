@@ -49,7 +49,7 @@ VERIFY_COST = 20.0
 MAX_BROADCAST_IDS = 1_000_000
 #: Postings of a token in one part of its list, by the sketch, and partners of a leader in one part.
 LIST_PART = 50_000
-STAR_PART = 1_000
+STAR_PART = 250
 
 
 def _least(share: int, n: np.ndarray) -> np.ndarray:
