@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import materialize
-from .ranking import sent
+from .ranking import contained_terms
 
 PERSON_KINDS = ("customer", "supplier")
 
@@ -49,8 +49,11 @@ def edges_of(merged: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def search_edges(merged: DataFrame, terms: DataFrame) -> DataFrame:
     """Edges with a term (query_id, term) inside either end's name, case-insensitively."""
-    hit = F.contains(F.lower("src"), F.col("term")) | F.contains(F.lower("dst"), F.col("term"))
-    return merged.join(sent(terms), hit)
+    ends = merged.select(F.col("src").alias("node")).union(merged.select("dst")).distinct().withColumn("text", F.lower("node"))
+    named = contained_terms(terms, ends).join(ends, "text").join(terms, "term").select("query_id", "term", "node")
+    one = merged.join(named, F.col("src") == F.col("node")).drop("node")
+    two = merged.join(named, F.col("dst") == F.col("node")).drop("node")
+    return one.unionByName(two).dropDuplicates(["query_id", "term", "src", "relation", "dst"])
 
 
 def lexical_scores(merged: DataFrame, terms: DataFrame) -> DataFrame:
@@ -94,6 +97,11 @@ def neighbourhood(merged: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def rebuild(edges: DataFrame, current: DataFrame) -> DataFrame:
+    """Edges made anew from the facts that are ``current`` (memory_id): what a cleared scope holds after re-indexing."""
+    return merge_evidence(edges.join(current.select("memory_id").distinct(), "memory_id", "left_semi"))
+
+
 def junk_nodes(edges: DataFrame, longest: int = 80, most_words: int = 6) -> DataFrame:
     """Nodes whose name is no name: too short, too long, too many words, or letter-number codes."""
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()

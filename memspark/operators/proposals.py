@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The states of a candidate.
 OPEN = ("pending", "reviewed_approved", "pending_user_confirmation")
 #: From which states a decision may lead where; nothing leads to ``approved`` but a person's own word.
 MOVES = {"approve": "reviewed_approved", "confirm": "pending_user_confirmation", "reject": "rejected", "quarantine": "quarantined", "accept": "approved"}
@@ -40,3 +41,27 @@ def packs(members: DataFrame, width: int = 300) -> DataFrame:
     """One row a cluster: its size and its facts as JSON, texts cut to ``width``."""
     item = F.struct("memory_id", F.substring("content", 1, width).alias("content"))
     return members.groupBy("cluster").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(item))).alias("pack"))
+
+
+def apply_review(candidates: DataFrame, decisions: DataFrame, facts: DataFrame) -> DataFrame:
+    """What decisions (candidate_id, decision, supersedes) change: rows (kind, id, detail).
+
+    * ``status``: the new state of a candidate; ``refused``: a decision that doesn't hold, with it;
+    * ``fact``: a fact made from an accepted candidate, with its category; an accepted candidate whose text a current
+      fact of its category has already makes none and ends as ``deduplicated``;
+    * ``evidence``: the new fact's retention hash; ``closed``: a current fact that it supersedes, with the new id.
+    """
+    after, bad = review(candidates, decisions)
+    d = decisions.select(F.col("candidate_id").alias("d_id"), "decision", "supersedes")
+    moved = candidates.join(d, F.col("candidate_id") == F.col("d_id")).join(after.select(F.col("candidate_id").alias("a_id"), F.col("status").alias("now")), F.col("candidate_id") == F.col("a_id")).join(bad.select("candidate_id"), "candidate_id", "left_anti")
+    held = facts.filter("status = 'active' and valid_to is null").select(F.col("category").alias("h_cat"), F.col("content").alias("h_text")).distinct().withColumn("held", F.lit(True))
+    moved = moved.join(held, (F.col("category") == F.col("h_cat")) & (F.col("content") == F.col("h_text")), "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    accepted = F.col("now") == "approved"
+    new = moved.filter(accepted & ~F.col("held")).withColumn("new_id", F.concat(F.lit("mem-"), F.substring(F.sha2(F.concat(F.lit("review|"), "candidate_id"), 256), 1, 16)))
+    current = facts.filter("status = 'active' and valid_to is null").select(F.col("memory_id").alias("supersedes"))
+    row = lambda df, kind, ident, detail: df.select(F.lit(kind).alias("kind"), F.col(ident).alias("id"), detail.alias("detail"))
+    return (
+        row(moved, "status", "candidate_id", F.when(accepted & F.col("held"), "deduplicated").otherwise(F.col("now")))
+        .unionByName(row(bad, "refused", "candidate_id", F.col("decision"))).unionByName(row(new, "fact", "new_id", F.col("category")))
+        .unionByName(row(new, "evidence", "new_id", F.sha2(F.col("content"), 256))).unionByName(row(new.join(current, "supersedes"), "closed", "supersedes", F.col("new_id")))
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +26,33 @@ def query_tokens(text: Column, most: int = 4, longer_than: int = 2) -> Column:
     return F.slice(F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > longer_than), 1, most)
 
 
+def contained_terms(terms: DataFrame, texts: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(term, text): which of the distinct short ``texts`` hold which of the ``terms``, by an equi-join on characters.
+
+    A term's first three characters (fewer for a shorter one) are its key, and a text has a key for each run of
+    ``sizes`` characters; what meets is checked by plain contains.
+    """
+    t = terms.select("term").distinct().filter(F.length("term") > 0).withColumn("key", F.substring("term", 1, 3))
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.substr("text", i, F.lit(n)))
+        return F.when(F.length("text") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    keyed = texts.select("text").distinct().withColumn("key", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))))
+    return t.join(keyed, "key").filter(F.contains("text", "term")).select("term", "text")
+
+
 def keyword_scores(queries: DataFrame, facts: DataFrame) -> DataFrame:
-    """(query_id, memory_id, score): share of the query's first tokens that a fact contains, above zero."""
+    """(query_id, memory_id, score): share of the query's first tokens that a fact contains, above zero.
+
+    A query token has no white space, so a fact contains it where one of the fact's own words does: tokens meet the
+    vocabulary, and the vocabulary's words lead to the facts.  No query is compared with every fact.
+    """
     q = queries.select("query_id", query_tokens(F.col("query")).alias("words")).filter(F.size("words") > 0)
-    f = facts.select("memory_id", F.lower("content").alias("low"))
-    hits = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))
-    pairs = f.join(sent(q), F.exists("words", lambda w: F.contains(F.col("low"), w)))
-    return pairs.select("query_id", "memory_id", (hits / F.size("words")).alias("score"))
+    asked = q.select("query_id", F.size("words").alias("n"), F.explode("words").alias("term"))
+    words = facts.select("memory_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("text"))
+    found = contained_terms(asked, words, (3,)).join(words, "text").select("term", "memory_id").distinct()
+    return asked.join(found, "term").groupBy("query_id", "memory_id").agg((F.count("*") / F.max("n")).alias("score"))
 
 
 def ranked(scores: DataFrame, most: int, score: str = "score") -> DataFrame:
@@ -120,6 +142,46 @@ def hybrid(queries: DataFrame, facts: DataFrame, signals: DataFrame, now: int, k
     return ranked(adjust(fused, with_counters(facts, signals), now), k)
 
 
+def pair_score(query: Column, content: Column) -> Column:
+    """The scorer that stands where no model is given: overlap of the two texts' words."""
+    return jaccard(word_set(query), word_set(content))
+
+
+def hybrid_full(queries: DataFrame, facts: DataFrame, signals: DataFrame, now: int, stop: list[str], scorer: Callable[[Column, Column], Column] = pair_score, k: int = 10, rescored: int = 20, lift: float = 0.05) -> DataFrame:
+    """query_id, memory_id, score, raw, rank: both legs, fusion, another scorer's blend, phrase lift, importance, newer wins.
+
+    ``scorer`` gives a column from a query's and a fact's text (a model's pandas UDF, or an expression); ``raw`` is the
+    score before phrase lift and importance.
+    """
+    fused = fuse(ranked(keyword_scores(queries, facts), 200), top_k(queries, facts, 4 * k))
+    rows = fused.join(facts.select("memory_id", "content", "created_at"), "memory_id").join(queries.select("query_id", "query"), "query_id")
+    first = ranked(rows, rescored).withColumn("other", scorer(F.col("query"), F.col("content")))
+    kept = blend(first, "other", rescored).select("query_id", "memory_id", "blended")
+    rows = rows.join(kept, ["query_id", "memory_id"], "left").withColumn("raw", F.coalesce("blended", "score"))
+    rows = rows.withColumn("score", F.col("raw") + lift * phrase_share(F.col("query"), F.col("content"), stop))
+    adjusted = adjust(rows.select("query_id", "memory_id", "score", F.col("raw").alias("first")), with_counters(facts, signals), now).drop("raw")
+    pool = ranked(adjusted, 4 * k).join(facts.select("memory_id", "content", "created_at"), "memory_id")
+    return ranked(newer_wins(pool).drop("rank"), k).select("query_id", "memory_id", "score", F.col("first").alias("raw"), "rank")
+
+
+def with_graph(base: DataFrame, linked: DataFrame, near: DataFrame, k: int, alias_floor: float = 0.70, traversal_floor: float = 0.60, least: float = 0.15, boost: float = 0.15) -> DataFrame:
+    """query_id, memory_id, score, rank: ranked hits joined by what the graph knows.
+
+    ``base`` has query_id, memory_id, score; ``linked`` query_id, memory_id and kind: 1 by alias, 2 by traversal, 3 by the
+    words of an edge, with ``place`` from 0 for the last; ``near`` the cosine of linked facts that are not in ``base``.
+    Facts by alias or traversal come in if their cosine is ``least`` or more, and have a floor; facts by words get a
+    boost that falls with their place.
+    """
+    kinds = linked.groupBy("query_id", "memory_id").agg(F.min("kind").alias("kind"), F.min("place").alias("place"))
+    many = linked.filter("kind = 3").groupBy("query_id").agg(F.count("*").alias("many"))
+    fresh = kinds.filter("kind < 3").join(near, ["query_id", "memory_id"]).join(base.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").filter(F.col("cosine") >= least)
+    rows = base.select("query_id", "memory_id", "score").unionByName(fresh.select("query_id", "memory_id", F.col("cosine").alias("score")))
+    rows = rows.join(kinds, ["query_id", "memory_id"], "left").join(many, "query_id", "left")
+    lifted = F.when((F.col("kind") == 3) & (F.col("score") >= least), F.col("score") + boost * (1 - F.col("place") / F.col("many"))).otherwise(F.col("score"))
+    score = F.when(F.col("kind") == 1, F.greatest("score", F.lit(alias_floor))).when(F.col("kind") == 2, F.greatest("score", F.lit(traversal_floor))).otherwise(lifted)
+    return ranked(rows.select("query_id", "memory_id", score.alias("score")), k)
+
+
 def merge_subqueries(rows: DataFrame, k: int = RRF_K) -> DataFrame:
     """(parent, memory_id, score) over the ranked lists of a query and its sub-queries, best scaled to one."""
     s = rows.groupBy("parent", "memory_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("s"))

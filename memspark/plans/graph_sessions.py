@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.operators import chains, dedup, graph, sessions
+from memspark.operators import chains, dedup, graph, ranking, sessions
 from memspark.sources import tables as t
 from memspark.sources.tables import NOW
 
@@ -191,7 +191,8 @@ def node_lookup(spark: SparkSession, d: str) -> DataFrame:
     n = graph.node_types(t.edges(spark, d)).select("node")
     q = _terms(spark, d)
     exact = q.join(n, F.col("node") == F.concat(F.lit("region:"), F.upper("term"))).select("query_id", "node")
-    rest = q.join(exact.select("query_id").distinct(), "query_id", "left_anti").join(n, F.contains(F.lower("node"), F.col("term"))).select("query_id", "node")
+    names, open_ = n.withColumn("text", F.lower("node")), q.join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    rest = ranking.contained_terms(open_, names).join(names, "text").join(open_, "term").select("query_id", "node")
     return exact.unionByName(rest)
 
 

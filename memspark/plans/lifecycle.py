@@ -183,11 +183,11 @@ def verdict(spark: SparkSession, d: str) -> DataFrame:
     return _arms(spark, d).agg((p("vector") < p("keyword") - 0.03).alias("failed"))
 
 
-@query("pool_stats", HYBRID + """, w as (select query_id, 'mem-' || (query_id * 7 % 1000) as memory_id from q) select round(avg((f.memory_id is null)::int), 6) as not_in_pool, round(avg(t.rank), 6) as mean_rank from w left join fused f using (query_id, memory_id) left join top t using (query_id, memory_id)""", "mem", "q", "signal")
+@query("pool_stats", HYBRID + f""", {t.EXPECTED} select round(avg((f.memory_id is null)::int), 6) as not_in_pool, round(avg(t.rank), 6) as mean_rank from w left join fused f using (query_id, memory_id) left join top t using (query_id, memory_id)""", "mem", "q", "signal")
 def pool_stats(spark: SparkSession, d: str) -> DataFrame:
     """Share of expected facts outside the wide pool, and the mean rank of those found."""
     q, f = t.search_queries(spark, d), _facts(spark, d)
-    w = q.select("query_id", F.concat(F.lit("mem-"), F.col("query_id") * 7 % 1000).alias("memory_id"))
+    w = t.expected_facts(spark, d)
     pool = ranking.fuse(ranking.ranked(ranking.keyword_scores(q, f), 200), vectors.top_k(q, f, 40)).select("query_id", "memory_id", F.lit(1).alias("here"))
     j = w.join(pool, ["query_id", "memory_id"], "left").join(_hits(spark, d).select("query_id", "memory_id", "rank"), ["query_id", "memory_id"], "left")
     return j.agg(F.round(F.avg(F.col("here").isNull().cast("int")), 6).alias("not_in_pool"), F.round(F.avg("rank"), 6).alias("mean_rank"))

@@ -157,22 +157,22 @@ def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.ir_metrics(_hits(spark, d), rel, 10)
 
 
-@query("why_not", HYBRID + f""", w as (select query_id, 'mem-' || (query_id * 7 % 1000) as memory_id from q),
+@query("why_not", HYBRID + f""", {t.EXPECTED},
   x as (select w.query_id, w.memory_id, m.memory_id is not null as known, m.status, m.valid_to, m.expires_at, m.user_scope, t.rank, t.raw from w left join mem m using (memory_id) left join top t on t.query_id = w.query_id and t.memory_id = w.memory_id)
   select query_id, memory_id, rank is not null as found, rank, list_filter([case when not known then 'not found' end, case when status = 'quarantined' then 'quarantined' end, case when valid_to is not null then 'superseded' end,
     case when expires_at <= {NOW} then 'expired' end, case when user_scope <> '{USER}' then 'scope' end, case when raw < 0.3e0 then 'low similarity' end, case when known and rank is null then 'ranked below k' end], lambda r: r is not null) as reasons from x""", "mem", "q", "signal")
 def why_not(spark: SparkSession, d: str) -> DataFrame:
     """Why an expected fact is not among a query's hits."""
-    expected = t.search_queries(spark, d).select("query_id", F.concat(F.lit("mem-"), F.col("query_id") * 7 % 1000).alias("memory_id"))
+    expected = t.expected_facts(spark, d)
     return evaluate.why_not(expected, t.mem(spark, d), _hits(spark, d), NOW, USER)
 
 
-@query("probe_hits", HYBRID + f""", w as (select query_id, 'mem-' || (query_id * 7 % 1000) as memory_id from q), e as (select w.query_id, m.memory_id, m.chain_id from w join mem m using (memory_id)),
+@query("probe_hits", HYBRID + f""", {t.EXPECTED}, e as (select w.query_id, m.memory_id, m.chain_id from w join mem m using (memory_id)),
   h as (select e.query_id, min(t.rank) as rank from e join top t using (query_id) join mem m on m.memory_id = t.memory_id where m.memory_id = e.memory_id or m.chain_id = e.chain_id group by e.query_id)
   select e.query_id, k, coalesce(rank <= k, false) as hit from e left join h using (query_id), (select unnest([1, 3, 5, 10]) as k)""", "mem", "q", "signal")
 def probe_hits(spark: SparkSession, d: str) -> DataFrame:
     """Whether an expected fact, or another version of it, is within each cut of the ladder."""
-    expected = t.search_queries(spark, d).select("query_id", F.concat(F.lit("mem-"), F.col("query_id") * 7 % 1000).alias("memory_id"))
+    expected = t.expected_facts(spark, d)
     return evaluate.probe_hits(expected, t.mem(spark, d), _hits(spark, d), [1, 3, 5, 10])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The categories of facts.
 CATEGORIES = ("personal_fact", "preference", "insight", "event", "relationship", "goal", "context_note")
 #: Days that a temporary fact of a category lives; other categories don't expire.
 TTL_DAYS = {"context_note": 30, "event": 180, "goal": 180}
@@ -113,11 +114,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
     works = works.select(tag("supplier", "s_name").alias("src"), F.lit("works_with").alias("relation"), tag("customer", "c_name").alias("dst"), F.col("o_orderkey").cast("long").alias("fact"))
     out = based.unionByName(lives(s, "s_nationkey", "supplier", "s_name", "s_suppkey")).unionByName(lives(c, "c_nationkey", "customer", "c_name", "c_custkey")).unionByName(works)
-    return out.withColumn("memory_id", F.concat(F.lit("mem-"), F.col("fact") % 1000)).drop("fact")
+    return out.withColumn("memory_id", F.concat(F.lit("mem-"), F.col("fact") % read(spark, sf_dir, "documents").count())).drop("fact")
 
 
 EDGES = """edges as (
-  select src, relation, dst, 'mem-' || (fact % 1000) as memory_id from (
+  select src, relation, dst, 'mem-' || (fact % (select count(*) from documents)) as memory_id from (
     select 'nation:' || n_name as src, 'based_in' as relation, 'region:' || r_name as dst, n_nationkey::bigint as fact from nation join region on n_regionkey = r_regionkey
     union all select 'supplier:' || s_name, 'lives_in', 'nation:' || n_name, s_suppkey::bigint from supplier join nation on s_nationkey = n_nationkey
     union all select 'customer:' || c_name, 'lives_in', 'nation:' || n_name, c_custkey::bigint from customer join nation on c_nationkey = n_nationkey
@@ -136,6 +137,7 @@ EVIDENCE = """evidence as (
   select m.memory_id, t.session_id, t.content as evidence, t.role from mem m left join (select * from messages where turn = 0) t on t.session_id = m.doc_id
   where m.status = 'active' and m.confidence > 0.5)"""
 
+# The states of a candidate.
 STATUSES = ("pending", "reviewed_approved", "pending_user_confirmation", "approved", "rejected", "quarantined", "deduplicated")
 
 
@@ -159,6 +161,14 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERY_TABLE = """q as (
   select item_id as query_id, text as query, embedding as query_vec, label as query_label from benchmark left join embeddings on vec_id = item_id)"""
 
+def expected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact that each query should find: (query_id, memory_id), spread over the whole table."""
+    n = read(spark, sf_dir, "documents").count()
+    return search_queries(spark, sf_dir).select("query_id", F.concat(F.lit("mem-"), F.col("query_id") * 7 % n).alias("memory_id"))
+
+
+EXPECTED = "w as (select query_id, 'mem-' || (query_id * 7 % (select count(*) from documents)) as memory_id from q)"
+
 VIEWS = {"mem": (MEM, ()), "signal": (SIGNAL, ()), "messages": (MESSAGES, ()), "sessions": (SESSIONS, ()), "edges": (EDGES, ()), "evidence": (EVIDENCE, ("mem", "messages")), "candidates": (CANDIDATES, ("mem",)), "q": (QUERY_TABLE, ())}
 
 

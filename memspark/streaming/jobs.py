@@ -108,13 +108,21 @@ def stale(changes: DataFrame, age: int) -> DataFrame:
             state.remove()
             yield pd.DataFrame({"candidate_id": [key[0]], "since": [since], "age": [state.getCurrentWatermarkMs() // 1000 - since]})
             return
-        new = pd.concat(list(rows)).sort_values("at")
-        if (new["status"] != "pending").any():
+        new = pd.concat(list(rows))
+        since = [state.get[0]] if state.exists else []
+        decided = new.loc[new["status"] != "pending", "at"]
+        if len(decided):
+            # what was queued before the last decision is settled
+            new, since = new[new["at"] > decided.max()], []
+        since += new.loc[new["status"] == "pending", "at"].astype(int).tolist()
+        if not since:
             if state.exists:
                 state.remove()
             return
-        since = min([int(new["at"].min()), *([state.get[0]] if state.exists else [])])
+        since = min(since)
         if since + age <= state.getCurrentWatermarkMs() // 1000:
+            if state.exists:
+                state.remove()
             yield pd.DataFrame({"candidate_id": [key[0]], "since": [since], "age": [state.getCurrentWatermarkMs() // 1000 - since]})
             return
         state.update((since,))
