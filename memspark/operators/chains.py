@@ -141,10 +141,29 @@ def history(facts: DataFrame) -> DataFrame:
     return h.select("memory_id", "head", F.row_number().over(w.orderBy("valid_from", "memory_id")).cast("long").alias("version"), F.count("*").over(w).alias("versions"))
 
 
+def _lines(n: DataFrame, width: int) -> DataFrame:
+    """Adds ``line``: a version's number, its text cut to ``width`` (withheld where quarantined), and whether it is current."""
+    body = F.when(F.col("status") == "quarantined", "[withheld]").otherwise(F.substring(F.regexp_replace("content", "\n", " "), 1, width))
+    return n.withColumn("line", F.concat(F.lit("v"), "version", F.lit(": "), body, F.when(F.col("is_current"), " (current)").otherwise("")))
+
+
+def _joined() -> Column:
+    lines = F.array_sort(F.collect_list(F.struct("version", "line")))
+    return F.array_join(F.transform(lines, lambda x: x["line"]), " | ").alias("arc")
+
+
 def arcs(facts: DataFrame, width: int = 120) -> DataFrame:
     """One line a chain: its versions oldest first, withheld ones marked."""
-    n = number_versions(facts)
-    body = F.when(F.col("status") == "quarantined", "[withheld]").otherwise(F.substring(F.regexp_replace("content", "\n", " "), 1, width))
-    line = F.concat(F.lit("v"), "version", F.lit(": "), body, F.when(F.col("is_current"), " (current)").otherwise(""))
-    lines = F.array_sort(F.collect_list(F.struct("version", line.alias("line"))))
-    return n.groupBy("chain_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), " | ").alias("arc"))
+    return _lines(number_versions(facts), width).groupBy("chain_id").agg(_joined())
+
+
+def unfold(hits: DataFrame, facts: DataFrame, versions: int, tokens: int, width: int = 120) -> DataFrame:
+    """(query_id, chain_id, arc): of each query's hits the first that has a history, with its newest versions.
+
+    Versions are taken from the newest back while they are within ``versions`` and, at four characters a token, ``tokens``.
+    """
+    n = number_versions(facts).filter("versions > 1")
+    pick = hits.join(n.select("memory_id", "chain_id"), "memory_id").groupBy("query_id").agg(F.min_by("chain_id", "rank").alias("chain_id"))
+    lines = _lines(n.filter(F.col("versions") - F.col("version") < versions), width).join(pick, "chain_id")
+    used = F.sum(F.length("line")).over(Window.partitionBy("query_id").orderBy(F.desc("version")))
+    return lines.withColumn("used", used).filter(F.col("used") <= 4 * tokens).groupBy("query_id", "chain_id").agg(_joined())

@@ -70,3 +70,8 @@ def embedding_check(vectors: DataFrame) -> DataFrame:
     parts = vectors.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("x"))
     centre = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centre"))
     return vectors.join(centre, "label").groupBy("label").agg(F.round(F.avg(cosine("embedding", "centre")), 6).alias("mean_cosine"), F.count("*").alias("n"))
+
+
+def config_hash(knobs: dict[str, Column]) -> Column:
+    """16 hex digits of the SHA-256 of settings as JSON, keys sorted; equal settings give equal hashes."""
+    return F.substring(F.sha2(F.to_json(F.struct(*(knobs[k].alias(k) for k in sorted(knobs)))), 256), 1, 16)

@@ -136,9 +136,9 @@ def newer_wins(rows: DataFrame, least: float = 0.6, span: int = 3, lift: float =
     return rows.join(lifted, (F.col("query_id") == F.col("q_")) & (F.col("memory_id") == F.col("m_")), "left").withColumn("score", F.greatest("score", F.coalesce("floor_", "score"))).drop("q_", "m_", "floor_")
 
 
-def hybrid(queries: DataFrame, facts: DataFrame, signals: DataFrame, now: int, k: int = 10, keyword_pool: int = 200) -> DataFrame:
+def hybrid(queries: DataFrame, facts: DataFrame, signals: DataFrame, now: int, k: int = 10, keyword_pool: int = 200, vector_pool: int | None = None) -> DataFrame:
     """query_id, memory_id, score, raw, score_kind, rank: both legs, fusion, importance, top k."""
-    fused = fuse(ranked(keyword_scores(queries, facts), keyword_pool), top_k(queries, facts, 4 * k))
+    fused = fuse(ranked(keyword_scores(queries, facts), keyword_pool), top_k(queries, facts, vector_pool or 4 * k))
     return ranked(adjust(fused, with_counters(facts, signals), now), k)
 
 

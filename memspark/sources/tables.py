@@ -169,7 +169,22 @@ def expected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXPECTED = "w as (select query_id, 'mem-' || (query_id * 7 % (select count(*) from documents)) as memory_id from q)"
 
-VIEWS = {"mem": (MEM, ()), "signal": (SIGNAL, ()), "messages": (MESSAGES, ()), "sessions": (SESSIONS, ()), "edges": (EDGES, ()), "evidence": (EVIDENCE, ("mem", "messages")), "candidates": (CANDIDATES, ("mem",)), "q": (QUERY_TABLE, ())}
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved candidates, reworded since, whose text no active fact has and that have no evidence, as queries."""
+    c = candidates(spark, sf_dir).filter("status = 'approved' and length(content) > 0").withColumn("content", F.concat(F.lit("on file: "), "content"))
+    m = mem(spark, sf_dir).filter("status = 'active'").select("content").distinct()
+    e = evidence(spark, sf_dir).select(F.col("memory_id").alias("e_id"))
+    left = c.join(m, "content", "left_anti").join(e, F.concat(F.lit("mem-"), "doc_id") == F.col("e_id"), "left_anti")
+    return left.select(F.col("doc_id").alias("query_id"), F.col("content").alias("query"))
+
+
+ORPHANS = """q as (select doc_id as query_id, content as query, null::float[] as query_vec, null::bigint as query_label from (select *  replace ('on file: ' || content as content) from candidates where status = 'approved' and length(content) > 0) c
+  where not exists (select 1 from mem m where m.status = 'active' and m.content = c.content) and 'mem-' || doc_id not in (select memory_id from evidence))"""
+
+# Questions that name nations, with a vector each.
+NAMED = """q as (select n_nationkey::bigint as query_id, 'what do we know of ' || lower(n_name) || ' and its people' as query, embedding as query_vec, label as query_label from nation left join embeddings on vec_id = n_nationkey)"""
+
+VIEWS = {"named": (NAMED, ()), "mem": (MEM, ()), "signal": (SIGNAL, ()), "messages": (MESSAGES, ()), "sessions": (SESSIONS, ()), "edges": (EDGES, ()), "evidence": (EVIDENCE, ("mem", "messages")), "candidates": (CANDIDATES, ("mem",)), "q": (QUERY_TABLE, ()), "orphans": (ORPHANS, ("mem", "messages", "evidence", "candidates"))}
 
 
 def with_views(sql: str, *names: str) -> str:
