@@ -27,8 +27,8 @@ def containment_pairs(facts: DataFrame, least: int = 20) -> DataFrame:
 
     A text of five or more words lies in another only if all of its inner word triples do, so one that has a triple of
     its own alone can't be inside any; of what is left, the rarest of ``_PROBES`` triples finds the texts to compare.
-    Shorter texts are found by an inner word or pair of words, by the opening or ending of a long word, or by the
-    opening of their one word.  Only (id, key) rows meet by key; texts join the pairs that are left.
+    Shorter texts are found by an inner word, by the opening or ending of a long word, or by the opening of their one
+    word.  Only (id, key) rows meet by key; texts join the pairs that are left.
     """
     flat = F.trim(F.regexp_replace(F.lower("content"), r"\s+", " "))
     f = materialize(facts.select("memory_id", "category", flat.alias("flat")).filter(F.length("flat") >= least).withColumn("digest", F.sha2("flat", 256)))
@@ -50,20 +50,27 @@ def containment_pairs(facts: DataFrame, least: int = 20) -> DataFrame:
     met = probes.join(shared, "key").groupBy("memory_id").agg(F.count("*").alias("found"), F.max("asked").alias("asked"), F.min_by("key", "count").alias("key"))
     pairs = met.filter("found = asked").select(F.col("memory_id").alias("short_id"), "key").join(every.withColumnRenamed("memory_id", "long_id"), "key").select("short_id", "long_id")
 
-    # 2. shorter texts, by other keys
+    # 2. shorter texts: by an inner word, or by the opening or ending of a long outer word, or of a word that is the text
     w = lambda i: F.get("words", F.lit(i))
-    edge = F.when(F.length(w(1)) >= F.length(w(0)), F.xxhash64("category", F.lit("p"), F.substring(w(1), 1, 10))).otherwise(F.xxhash64("category", F.lit("s"), F.right(w(0), F.lit(10))))
-    key = F.when(F.col("n") == 4, runs(2, F.lit(2), 2)[0]).when(F.col("n") == 3, runs(2, F.lit(2), 1)[0]).when(F.col("n") == 2, edge).otherwise(F.xxhash64("category", F.lit("g"), F.substring(w(0), 1, least)))
-    few = materialize(r.filter("n < 5").select(F.col("memory_id").alias("short_id"), key.alias("key")))
+    tagged = lambda tag, c: F.xxhash64("category", F.lit(tag), c)
+    opening, ending = (lambda c: tagged("p", F.substring(c, 1, 10))), (lambda c: tagged("s", F.right(c, F.lit(10))))
+    inner = F.when(F.length(w(1)) >= F.length(F.coalesce(w(2), F.lit(""))), w(1)).otherwise(w(2))
+    key = (
+        F.when(F.col("n") == 4, tagged("w", inner))
+        .when(F.col("n") == 3, F.when(F.length(w(2)) >= 10, opening(w(2))).when(F.length(w(0)) >= 10, ending(w(0))).otherwise(tagged("w", w(1))))
+        .when(F.col("n") == 2, F.when(F.length(w(1)) >= F.length(w(0)), opening(w(1))).otherwise(ending(w(0)))).otherwise(tagged("g", F.substring(w(0), 1, least)))
+    )
+    few = materialize(r.filter("n < 5").select(F.col("memory_id").alias("short_id"), key.alias("key"), "n"))
     if not few.isEmpty():
-        long = F.filter("words", lambda x: F.length(x) >= 10)
-        of = lambda tag, cut: F.transform(long, lambda x: F.xxhash64("category", F.lit(tag), cut(x)))
-        grams = F.flatten(F.transform(F.filter("words", lambda x: F.length(x) >= least), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (least - 1)), lambda i: F.xxhash64("category", F.lit("g"), F.substr(x, i, F.lit(least))))))
-        keys = F.array_distinct(F.concat(runs(1, F.col("n"), 1), runs(1, F.col("n") - 1, 2), of("p", lambda x: F.substring(x, 1, 10)), of("s", lambda x: F.right(x, F.lit(10))), grams))
+        none = F.array().cast("array<bigint>")
+        keys = [F.array(tagged("w", F.col("w"))), F.when(F.length("w") >= 10, F.array(opening(F.col("w")), ending(F.col("w")))).otherwise(none)]
+        if not few.filter("n = 1").isEmpty():
+            starts = F.sequence(F.lit(1), F.greatest(F.length("w") - (least - 1), F.lit(1)))
+            keys.append(F.when(F.length("w") >= least, F.transform(starts, lambda i: tagged("g", F.substr("w", i, F.lit(least))))).otherwise(none))
         ask = few.select("key").distinct()
         ask = F.broadcast(ask) if ask.count() <= MAX_SENT_KEYS else ask
-        held = r.select(F.col("memory_id").alias("long_id"), F.explode(keys).alias("key")).join(ask, "key", "left_semi")
-        pairs = pairs.unionByName(few.join(held, "key").select("short_id", "long_id"))
+        held = r.select(F.col("memory_id").alias("long_id"), "category", F.explode(F.array_distinct("words")).alias("w")).select("long_id", F.explode(F.concat(*keys)).alias("key"))
+        pairs = pairs.unionByName(few.drop("n").join(held.join(ask, "key", "left_semi"), "key").select("short_id", "long_id"))
     text = r.select("memory_id", F.col("category").alias("c"), "flat")
     pairs = pairs.filter("short_id <> long_id").distinct().join(text.toDF("short_id", "ca", "a"), "short_id").join(text.toDF("long_id", "cb", "b"), "long_id")
     return pairs.filter((F.col("ca") == F.col("cb")) & (F.length("a") < F.length("b")) & F.contains("b", "a")).select("short_id", "long_id").unionByName(copies)
