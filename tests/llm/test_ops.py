@@ -465,3 +465,44 @@ def test_pipeline_runs_every_stage(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {n for n, _ in corpus_pipeline.STAGES} == {"language_id", "exact_dedup", "jaccard_join", "mixing", "byte_bpe"}
     assert len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_every_stage_takes_any_table(spark, docs, empty):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing names, no rows at all."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    strange = docs.withColumns({c: F.lit(f"own {c}") for c in ("_gone", "_sha", "_maybe", "c", "rate", "n_tokens", "p_clean", "part", "class_id")})
+    before = {(r["doc_id"], r["text"]) for r in strange.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, strange, sf)
+        rows = kept.collect()
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert len(rows) == strange.count()
+        else:
+            assert kept.columns == strange.columns and all(r["_gone"] == "own _gone" and r["rate"] == "own rate" for r in rows)
+            assert {(r["doc_id"], r["text"]) for r in rows} <= before
+        assert stage(spark, empty, sf).count() == 0
+    texts = lambda stage: [r["text"] for r in dict(corpus_pipeline.STAGES)[stage](spark, strange, sf).collect()]
+    assert sorted(map(normal, texts("exact_dedup"))) == sorted({normal(t) for _, t in before})
+    left = texts("jaccard_join")
+    assert BASE[1] in left and BASE[1] + " tail" not in left and None in left and "" in left
+
+
+def test_pipeline_agrees_with_its_parts_by_hand(spark, tmp_path):
+    """The stages' decisions on a table where each is known."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    fresh = lambda n: " ".join(f"{r.choice(['the', 'and', 'of', 'to', 'house', 'river', 'market', 'winter'])}" for _ in range(n))
+    texts = {i: fresh(60) for i in range(300)}
+    texts[300], texts[301] = texts[0], texts[1].replace(" ", "\n")
+    texts[302] = texts[2] + " end"
+    texts[303], texts[304] = "", None
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 3)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x["doc_id"]: x for x in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    # texts without a letter go first, then copies, then near copies; all labels are clean, so mixing takes nothing
+    assert set(got) == set(range(300))
+    assert all(got[i]["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest() for i in got)
