@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memspark.functions.vectors import cosine, top_k
+from memspark.functions.vectors import cosine, top_k, unit
 
 
 def date_rank(hits: DataFrame, target_day: Column) -> DataFrame:
@@ -54,15 +56,52 @@ def probe_hits(expected: DataFrame, facts: DataFrame, hits: DataFrame, ladder: l
     return out.select("query_id", "k", F.coalesce(F.col("rank") <= F.col("k"), F.lit(False)).alias("hit"))
 
 
-def lsh_recall(queries: DataFrame, facts: DataFrame, k: int, tables: int = 8, width: float = 0.8) -> DataFrame:
+def approximate_top_k(queries: DataFrame, facts: DataFrame, k: int, tables: int = 16, bits: int = 5, flips: int = 1, seed: int = 7) -> DataFrame:
+    """(query_id, memory_id, score, rank) from facts that share a bucket with the query in one of ``tables``, scored exactly.
+
+    A bucket is the signs of ``bits`` random projections; a query also looks into the buckets whose ``flips`` least
+    certain signs differ.  Buckets are an equi-join, so a query meets a share of the facts, not all of them.
+    """
+    head = facts.filter("embedding is not null").select(F.size("embedding").alias("n")).first()
+    if head is None:
+        return top_k(queries, facts, k)
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, head["n"]))
+
+    def buckets(column: str, probe: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                side = (unit(b[column].tolist()) @ planes.T).reshape(len(b), tables, bits)
+                own = ((side > 0) << np.arange(bits)).sum(2)
+                found = [own]
+                if probe:
+                    unsure = np.argsort(np.abs(side), axis=2)
+                    found += [own ^ (1 << unsure[:, :, i]) for i in range(flips)]
+                keys = np.concatenate([f + (np.arange(tables) << bits) for f in found], axis=1)
+                yield pd.DataFrame({b.columns[0]: b.iloc[:, 0], "keys": list(keys)})
+
+        return run
+
+    q = queries.filter("query_vec is not null").select("query_id", "query_vec")
+    f = facts.filter("embedding is not null").select("memory_id", "embedding")
+    asked = q.mapInPandas(buckets("query_vec", True), "query_id long, keys array<long>").select("query_id", F.explode(F.array_distinct("keys")).alias("key"))
+    held = f.mapInPandas(buckets("embedding", False), "memory_id string, keys array<long>").select("memory_id", F.explode("keys").alias("key"))
+    near = asked.join(held, "key").select("query_id", "memory_id").distinct()
+    scored = near.join(q, "query_id").join(f, "memory_id").select("query_id", "memory_id", cosine("query_vec", "embedding").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "memory_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def retrieve(strategy: str, queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """Top k by ``exact`` products or from ``buckets``; both have the same columns."""
+    return {"exact": top_k, "buckets": approximate_top_k}[strategy](queries, facts, k)
+
+
+def lsh_recall(queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     """query_id, found and recall of the approximate top k against the exact one."""
-    f = facts.filter("embedding is not null").select("memory_id", "embedding", array_to_vector("embedding").alias("vec"))
-    q = queries.filter("query_vec is not null").select("query_id", "query_vec", array_to_vector("query_vec").alias("vec"))
-    model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hash", bucketLength=width, numHashTables=tables, seed=7).fit(f)
-    near = model.approxSimilarityJoin(q, f, 2.0, "dist").select(F.col("datasetA.query_id"), F.col("datasetB.memory_id"), cosine("datasetA.query_vec", "datasetB.embedding").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")
-    near = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    both = top_k(queries, facts, k).select("query_id", "memory_id").join(near.select("query_id", "memory_id", F.lit(1).alias("one")), ["query_id", "memory_id"], "left")
+    near, both = retrieve("buckets", queries, facts, k), retrieve("exact", queries, facts, k).select("query_id", "memory_id")
+    both = both.join(near.select("query_id", "memory_id", F.lit(1).alias("one")), ["query_id", "memory_id"], "left")
     return both.groupBy("query_id").agg(F.count("one").alias("found"), F.avg(F.coalesce("one", F.lit(0))).alias("recall"))
 
 

@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,17 +96,8 @@ def response_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("reembed")
 def reembed(spark: SparkSession, d: str) -> DataFrame:
-    """Every non-empty fact gets a new vector; the encoder is a parameter, here hashed word counts of 64 places."""
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            m = np.zeros((len(b), 64))
-            for i, text in enumerate(b["content"]):
-                for w in text.lower().split():
-                    m[i, zlib.crc32(w.encode()) % 64] += 1
-            yield pd.DataFrame({"memory_id": b["memory_id"], "embedding": list(vectors.unit(list(m)))})
-
-    return t.mem(spark, d).filter("length(trim(content)) > 0").select("memory_id", "content").mapInPandas(encode, "memory_id string, embedding array<double>")
+    """Every non-empty fact gets a new vector; the encoder is a parameter of whoever calls, here hashed word counts of 64 places."""
+    return vectors.encode(t.mem(spark, d).filter("length(trim(content)) > 0").select("memory_id", "content"))
 
 
 @query("remember", f"""with old as (select distinct category, lower(trim(content)) as key from mem where doc_id % 2 = 0), n as (select category, lower(trim(content)) as key, min(doc_id) as doc_id from mem where doc_id % 2 = 1 group by all)
@@ -193,13 +178,16 @@ def pool_stats(spark: SparkSession, d: str) -> DataFrame:
     return j.agg(F.round(F.avg(F.col("here").isNull().cast("int")), 6).alias("not_in_pool"), F.round(F.avg("rank"), 6).alias("mean_rank"))
 
 
-@query("title_match", "select s.session_id, item_id as query_id from (select conv_id as session_id, lower(trim(text))[1:3] as title from conversations where turn = 0) s join benchmark on lower(trim(text))[1:3] = title")
+_TITLE = "lower(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')))[1:80]"
+
+
+@query("title_match", f"with s as (select conv_id as session_id, {_TITLE} as title from conversations where turn = 0) select a.session_id as query_id, b.session_id from s a join s b using (title) where a.session_id % 50 = 0 and length(title) > 0")
 def title_match(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions whose title (the opening of their first turn) is the query's."""
-    head = lambda c: F.substring(F.lower(F.trim(c)), 1, 3)
-    s = t.read(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("session_id"), head("text").alias("title"))
-    b = t.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), head("text").alias("title"))
-    return s.join(b, "title").select("session_id", "query_id")
+    """Sessions with the title (the first line of the first turn) that is asked for: the titles of every fiftieth session."""
+    line = F.lower(F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"\s+", " ")))
+    s = t.read(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("session_id"), F.substring(line, 1, 80).alias("title")).filter("length(title) > 0")
+    q = s.filter("session_id % 50 = 0").select(F.col("session_id").alias("query_id"), "title")
+    return q.join(s, "title").select("query_id", "session_id")
 
 
 @query("run_gate", f"select category, count(*) filter (where created_at > {NOW - 45 * 86400}) as n_new, max(created_at) as watermark, count(*) filter (where created_at > {NOW - 45 * 86400}) >= 20 and {NOW} - max(created_at) >= 86400 as runs from mem where status = 'active' group by category", "mem")

@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from memspark.functions import text as x
+from memspark.functions import vectors
 from memspark import registry
-from memspark.operators import chains, dedup, graph, iterate, proposals, ranking, sessions
+from memspark.operators import chains, dedup, evaluate, graph, iterate, proposals, ranking, sessions
 from memspark.sources import tables
 
 
@@ -172,3 +173,29 @@ def test_neighbourhood_goes_over_every_relation(spark, monkeypatch):
         near |= {(seed, node): k for node, k in at.items()}
     got = registry.QUERIES["neighbourhood"](spark, "/root/testdata/sf0.001").collect()
     assert {(r["seed"], r["node"]): r["distance"] for r in got} == near and len(got) == len(near)
+
+
+def test_top_k_in_blocks_and_from_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 32))
+    v = centres[rng.integers(0, 12, 3000)] + 0.6 * rng.normal(size=(3000, 32))
+    facts = spark.createDataFrame([(f"m{i:04}", [float(x) for x in v[i]]) for i in range(3000)], "memory_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(x) for x in v[i] + 0.1 * rng.normal(size=32)]) for i in range(0, 3000, 50)], "query_id long, query_vec array<double>")
+    exact = {(r["query_id"], r["rank"]): r["memory_id"] for r in vectors.top_k(queries, facts, 10).collect()}
+    monkeypatch.setattr(vectors, "BLOCK", 700)
+    assert {(r["query_id"], r["rank"]): r["memory_id"] for r in vectors.top_k(queries, facts, 10, max_sent=5).collect()} == exact
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    q = np.array([r["query_vec"] for r in queries.orderBy("query_id").collect()])
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    best = np.argsort(-(q @ u.T), axis=1)[:, :10]
+    assert {(50 * i, j + 1): f"m{best[i, j]:04}" for i in range(60) for j in range(10)} == exact
+    recall = [r["recall"] for r in evaluate.lsh_recall(queries, facts, 10).collect()]
+    assert len(recall) == 60 and np.mean(recall) >= 0.9
+
+
+def test_containing_terms_is_plain_contains(spark):
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 9))) for _ in range(80)]
+    terms = ["a", "ab", "b c", "abc", "aab ", "", "zz", "cccc"]
+    got = {tuple(r) for r in ranking.contained_terms(spark.createDataFrame([(x,) for x in terms], "term string"), spark.createDataFrame([(x,) for x in texts], "text string")).collect()}
+    assert got == {(a, b) for a in terms if a for b in texts if a in b}
