@@ -56,7 +56,7 @@ def probe_hits(expected: DataFrame, facts: DataFrame, hits: DataFrame, ladder: l
     return out.select("query_id", "k", F.coalesce(F.col("rank") <= F.col("k"), F.lit(False)).alias("hit"))
 
 
-def approximate_top_k(queries: DataFrame, facts: DataFrame, k: int, tables: int = 16, bits: int = 5, flips: int = 1, seed: int = 7) -> DataFrame:
+def approximate_top_k(queries: DataFrame, facts: DataFrame, k: int, tables: int = 48, bits: int = 10, flips: int = 7, seed: int = 7) -> DataFrame:
     """(query_id, memory_id, score, rank) from facts that share a bucket with the query in one of ``tables``, scored exactly.
 
     A bucket is the signs of ``bits`` random projections; a query also looks into the buckets whose ``flips`` least
