@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from memspark.functions.vectors import top_k
 
+from .iterate import materialize
+
 RRF_K = 20
 #: A query table up to this many rows is sent to the tasks; a larger one is joined without a hint.
 MAX_SENT_QUERIES = 10_000
@@ -111,12 +113,16 @@ def blend(rows: DataFrame, other: str, top: int) -> DataFrame:
     return rows.withColumn("blended", F.when(inside, 0.8 * F.col("score") + 0.2 * part).otherwise(F.col("score")))
 
 
-def phrase_share(query: Column, content: Column, stop: list[str]) -> Column:
-    """Share of the query's bigrams, stop words left out, that the content holds word for word."""
+def phrases(query: Column, stop: list[str]) -> Column:
+    """The query's bigrams, stop words left out; worked out once a query, before it meets the facts."""
     words = F.filter(F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}0-9]+"), F.lit(0)), lambda w: ~w.isin(stop))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    hits = F.size(F.filter(pairs, lambda p: F.contains(F.lower(content), p)))
-    return F.coalesce(F.try_divide(hits, F.size(pairs)), F.lit(0.0))
+    pairs = F.transform(F.array(words), lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.coalesce(pairs[0], F.array().cast("array<string>"))
+
+
+def phrase_share(of: str, low: str) -> Column:
+    """Share of the phrases in column ``of`` that the column ``low``, a lower-cased text, holds word for word."""
+    return F.coalesce(F.try_divide(F.size(F.filter(of, lambda p: F.contains(F.col(low), p))), F.size(of)), F.lit(0.0))
 
 
 def word_set(text: Column) -> Column:
@@ -129,9 +135,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def newer_wins(rows: DataFrame, least: float = 0.6, span: int = 3, lift: float = 0.005) -> DataFrame:
     """Of two similar hits within ``span`` ranks, the newer gets the older one's score and a little more."""
-    a, b = (rows.select(*(F.col(c).alias(f"{s}_{c}") for c in ("query_id", "memory_id", "rank", "score", "created_at", "content"))) for s in "ab")
+    words = rows.withColumn("words", word_set(F.col("content")))
+    a, b = (words.select(*(F.col(c).alias(f"{s}_{c}") for c in ("query_id", "memory_id", "rank", "score", "created_at", "words"))) for s in "ab")
     close = (F.col("a_query_id") == F.col("b_query_id")) & (F.abs(F.col("a_rank") - F.col("b_rank")) <= span) & (F.col("a_created_at") < F.col("b_created_at"))
-    pairs = a.join(b, close).filter(jaccard(word_set(F.col("a_content")), word_set(F.col("b_content"))) >= least)
+    pairs = a.join(b, close).filter(jaccard(F.col("a_words"), F.col("b_words")) >= least)
     lifted = pairs.groupBy(F.col("b_query_id").alias("q_"), F.col("b_memory_id").alias("m_")).agg((F.max("a_score") + lift).alias("floor_"))
     return rows.join(lifted, (F.col("query_id") == F.col("q_")) & (F.col("memory_id") == F.col("m_")), "left").withColumn("score", F.greatest("score", F.coalesce("floor_", "score"))).drop("q_", "m_", "floor_")
 
@@ -153,14 +160,15 @@ def hybrid_full(queries: DataFrame, facts: DataFrame, signals: DataFrame, now: i
     ``scorer`` gives a column from a query's and a fact's text (a model's pandas UDF, or an expression); ``raw`` is the
     score before phrase lift and importance.
     """
-    fused = fuse(ranked(keyword_scores(queries, facts), 200), top_k(queries, facts, 4 * k))
-    rows = fused.join(facts.select("memory_id", "content", "created_at"), "memory_id").join(queries.select("query_id", "query"), "query_id")
+    # each written once: later steps read them several times
+    fused = materialize(fuse(ranked(keyword_scores(queries, facts), 200), top_k(queries, facts, 4 * k)))
+    rows = fused.join(facts.select("memory_id", "content", F.lower("content").alias("low")), "memory_id").join(materialize(queries.select("query_id", "query", phrases(F.col("query"), stop).alias("phrases"))), "query_id")
     first = ranked(rows, rescored).withColumn("other", scorer(F.col("query"), F.col("content")))
     kept = blend(first, "other", rescored).select("query_id", "memory_id", "blended")
-    rows = rows.join(kept, ["query_id", "memory_id"], "left").withColumn("raw", F.coalesce("blended", "score"))
-    rows = rows.withColumn("score", F.col("raw") + lift * phrase_share(F.col("query"), F.col("content"), stop))
+    rows = rows.drop("content").join(kept, ["query_id", "memory_id"], "left").withColumn("raw", F.coalesce("blended", "score"))
+    rows = rows.withColumn("score", F.col("raw") + lift * phrase_share("phrases", "low"))
     adjusted = adjust(rows.select("query_id", "memory_id", "score", F.col("raw").alias("first")), with_counters(facts, signals), now).drop("raw")
-    pool = ranked(adjusted, 4 * k).join(facts.select("memory_id", "content", "created_at"), "memory_id")
+    pool = materialize(ranked(adjusted, 4 * k).join(facts.select("memory_id", "content", "created_at"), "memory_id"))
     return ranked(newer_wins(pool).drop("rank"), k).select("query_id", "memory_id", "score", F.col("first").alias("raw"), "rank")
 
 

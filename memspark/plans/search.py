@@ -93,8 +93,9 @@ STOP = ["the", "a", "an", "of", "to", "and", "is", "in"]
   p as (select query_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as p from w)
   select query_id, memory_id, round(case when len(p) > 0 then len(list_filter(p, lambda x: contains(lower(content), x))) / len(p)::double else 0 end, 6) as share from top join p using (query_id)""", "mem", "q", "signal")
 def phrase_lift(spark: SparkSession, d: str) -> DataFrame:
-    rows = _told(spark, d).join(t.search_queries(spark, d).select("query_id", "query"), "query_id")
-    return rows.select("query_id", "memory_id", F.round(ranking.phrase_share(F.col("query"), F.col("content"), STOP), 6).alias("share"))
+    asked = t.search_queries(spark, d).select("query_id", ranking.phrases(F.col("query"), STOP).alias("phrases"))
+    rows = _told(spark, d).withColumn("low", F.lower("content")).join(asked, "query_id")
+    return rows.select("query_id", "memory_id", F.round(ranking.phrase_share("phrases", "low"), 6).alias("share"))
 
 
 @query("newer_wins", HYBRID + """, s as (select *, list_distinct(list_filter(string_split_regex(lower(content), '[^a-z0-9'']+'), lambda w: w <> '')) as ws from top),
