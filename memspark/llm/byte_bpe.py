@@ -35,7 +35,7 @@ WORD = 256
 #: Bytes above which a pre-token has a queue of its own.
 LONG = 512
 #: Chunks that a worker remembers in each of two generations.
-CHUNKS = 150_000
+CHUNKS = 300_000
 #: Bits of an id in a pair's key.
 _ID = 20
 
