@@ -35,7 +35,7 @@ PERCENTILE = 95
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 #: Pieces that an encoder remembers in each of two generations.
-PIECES = 750_000
+PIECES = 1_200_000
 _HEAD = struct.Struct("<4sHHIII")
 _INFO = np.dtype([("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
