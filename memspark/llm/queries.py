@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, byte_bpe, exact_dedup, jaccard_join, language_id, lm_score, mixing, pii, prefix_trie, quality_rules, token_blocks, toxicity
+from . import alignment, byte_bpe, exact_dedup, jaccard_join, language_id, lm_score, mixing, pii, prefix_trie, quality_rules, suffix_dedup, token_blocks, toxicity
 from .common import documents, labels, split_remainder
 
 
@@ -62,6 +62,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir), width=4, percent=85)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf_dir))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_alignment": op13_alignment,
     "pipeline": pipeline,
