@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import held
 from .common import materialize
-from .pretoken import _SPACES, _UNSAFE, portions
+from .pretoken import _SPACES, _UNSAFE, SHORT, portions
 
 #: Records of a block before it is spilled, and documents at most.
 BLOCK_RECORDS = 1_500_000
@@ -123,6 +123,8 @@ class Aligner:
         for i in range(self.b.get_piece_size()):
             p = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode())
+        self.size_a, self.size_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
+        self.said = [f"{i}{x}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for x in (",", "|", ";", "\n")]
         self.forget()
 
     def forget(self) -> None:
@@ -134,18 +136,72 @@ class Aligner:
         self.times = np.zeros(4096, np.int64)
         self.used = 0
 
-    def place(self, a: int) -> int:
+    def place(self, a):
         """A ids by their radix first, so that a sorted block is a sequence of radix classes."""
         return (a & ((1 << self.shift) - 1)) << (16 - self.shift) | a >> self.shift
 
     def learn(self, new: list[str], at_once: int = 20_000) -> None:
-        for k in range(0, len(new), at_once):
-            some = new[k : k + at_once]
-            left = self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-            right = self.b.encode(some, num_threads=1)
-            for piece, x, ids_b in zip(some, left, right, strict=True):
+        plain = [p for p in new if p and len(p) <= SHORT and " " not in p and "\u2581" not in p]
+        for k in range(0, len(plain), at_once):
+            if not self._learn_together(plain[k : k + at_once]):
+                self._learn_alone(plain[k : k + at_once])
+        if len(plain) < len(new):
+            known = set(plain)
+            self._learn_alone([p for p in new if p not in known])
+
+    def _learn_alone(self, some: list[str]) -> None:
+        for k in range(0, len(some), 1000):
+            part = some[k : k + 1000]
+            left = self.a.encode_batch_fast([" " + p for p in part], add_special_tokens=False)
+            right = self.b.encode(part, num_threads=1)
+            for piece, x, ids_b in zip(part, left, right, strict=True):
                 self._add(piece, x.ids, ids_b or ([] if piece else self._alone()))
 
+    def _learn_together(self, some: list[str]) -> bool:
+        """Short pieces without spaces, as one text that is cut at their ends; False if its bytes don't come back."""
+        text = " ".join(some)
+        raw = (" " + text).encode()
+        ids_a, ids_b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+            return False
+        a, b = np.array(ids_a), np.array(ids_b)
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends = np.cumsum([len(p.encode()) + 1 for p in some])
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        if not np.isin(ends, cuts).all():
+            return False
+        piece = np.searchsorted(ends, cuts)
+        many_a, many_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        # every token of A with every token of B of its group
+        times = many_b[group_a]
+        stop = np.cumsum(times)
+        other = np.arange(stop[-1]) - np.repeat(stop - times, times) + np.repeat((np.cumsum(many_b) - many_b)[group_a], times)
+        link = np.repeat(piece[group_a] << 32 | self.place(a) << 15, times) | b[other]
+        link, count = _summed(link, np.ones(len(link), np.int64))
+        owner, first = link >> 32, len(self.text)
+        each = np.bincount(owner, minlength=len(some))
+        while first + len(some) > len(self.facts):
+            self.facts = np.concatenate((self.facts, np.zeros_like(self.facts)))
+        self._room(len(link))
+        self.pairs[self.used : self.used + len(link)], self.times[self.used : self.used + len(link)] = link & 0xFFFFFFFF, count
+        sums = [np.bincount(piece, many_a), np.bincount(piece, many_b), np.bincount(piece), np.bincount(piece, many_a * many_b), np.ones(len(some)), self.used + np.cumsum(each) - each, each]
+        self.facts[first : first + len(some)] = np.stack(sums, 1).astype(np.int64)
+        self.used += len(link)
+        # ids with what follows them: the side's next id, the other side, the next group, the next piece
+        after_a = np.where(np.append(group_a[1:] != group_a[:-1], True), 1, 0)
+        last_b = np.append(group_b[1:] != group_b[:-1], True)
+        after_b = np.where(last_b, np.where(np.isin(end_b, ends), 3, 2), 0)
+        order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate((group_a, group_b))))
+        codes = np.concatenate((a * 4 + after_a, b * 4 + after_b))[order]
+        self.text += "".join(map(self.said.__getitem__, codes.tolist())).split("\n")[:-1]
+        self.index.update(zip(some, range(first, first + len(some)), strict=True))
+        return True
+
+    def _room(self, more: int) -> None:
+        while self.used + more > len(self.pairs):
+            self.pairs, self.times = np.concatenate((self.pairs, np.zeros_like(self.pairs))), np.concatenate((self.times, np.zeros_like(self.times)))
+
     def _alone(self) -> list[int]:
         """An empty piece still has its space, which B adds to no empty text."""
         return [self.b.piece_to_id("▁")]
@@ -167,8 +223,7 @@ class Aligner:
         n = len(self.text)
         if n == len(self.facts):
             self.facts = np.concatenate((self.facts, np.zeros_like(self.facts)))
-        while self.used + len(links) > len(self.pairs):
-            self.pairs, self.times = np.concatenate((self.pairs, np.zeros_like(self.pairs))), np.concatenate((self.times, np.zeros_like(self.times)))
+        self._room(len(links))
         end = self.used + len(links)
         self.pairs[self.used : end], self.times[self.used : end] = list(links.keys()), list(links.values())
         self.facts[n] = len(ids_a), len(ids_b), len(groups), sum(len(x) * len(y) for x, y in groups), good, self.used, len(links)
