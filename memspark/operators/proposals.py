@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import materialize
+from .remember import layers
+
 # The states of a candidate.
 OPEN = ("pending", "reviewed_approved", "pending_user_confirmation")
 #: From which states a decision may lead where; nothing leads to ``approved`` but a person's own word.
@@ -43,25 +46,35 @@ def packs(members: DataFrame, width: int = 300) -> DataFrame:
     return members.groupBy("cluster").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(item))).alias("pack"))
 
 
-def apply_review(candidates: DataFrame, decisions: DataFrame, facts: DataFrame) -> DataFrame:
-    """What decisions (candidate_id, decision, supersedes) change: rows (kind, id, detail).
+def apply_review(candidates: DataFrame, decisions: DataFrame, facts: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """What decisions (candidate_id, actor, decision, supersedes) change: rows (kind, id, detail).
 
-    * ``status``: the new state of a candidate; ``refused``: a decision that doesn't hold, with it;
-    * ``fact``: a fact made from an accepted candidate, with its category; an accepted candidate whose text a current
-      fact of its category has already makes none and ends as ``deduplicated``;
+    * ``status``: the new state of a candidate; ``refused``: a decision that doesn't hold, with it.  Of several
+      decisions on one candidate the first by actor and word counts, the others are refused; so is an ``accept`` by
+      anyone but a person, for nothing automatic approves;
+    * ``fact``: a fact made from an accepted candidate, with its category; one that equals, contains or resembles a
+      current fact, or an earlier accepted candidate of this batch that makes one, ends as ``deduplicated``;
     * ``evidence``: the new fact's retention hash; ``closed``: a current fact that it supersedes, with the new id.
     """
-    after, bad = review(candidates, decisions)
-    d = decisions.select(F.col("candidate_id").alias("d_id"), "decision", "supersedes")
-    moved = candidates.join(d, F.col("candidate_id") == F.col("d_id")).join(after.select(F.col("candidate_id").alias("a_id"), F.col("status").alias("now")), F.col("candidate_id") == F.col("a_id")).join(bad.select("candidate_id"), "candidate_id", "left_anti")
-    held = facts.filter("status = 'active' and valid_to is null").select(F.col("category").alias("h_cat"), F.col("content").alias("h_text")).distinct().withColumn("held", F.lit(True))
-    moved = moved.join(held, (F.col("category") == F.col("h_cat")) & (F.col("content") == F.col("h_text")), "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    accepted = F.col("now") == "approved"
-    new = moved.filter(accepted & ~F.col("held")).withColumn("new_id", F.concat(F.lit("mem-"), F.substring(F.sha2(F.concat(F.lit("review|"), "candidate_id"), 256), 1, 16)))
-    current = facts.filter("status = 'active' and valid_to is null").select(F.col("memory_id").alias("supersedes"))
+    order = Window.partitionBy("candidate_id").orderBy("actor", "decision", "supersedes")
+    every = decisions.select("candidate_id", "actor", "decision", "supersedes").withColumn("nth", F.row_number().over(order))
+    allowed = (F.col("nth") == 1) & ((F.col("decision") != "accept") | (F.col("actor") == "person"))
+    every = materialize(every.withColumn("allowed", F.coalesce(allowed, F.lit(False))))
+    d = every.filter("allowed")
+    after, bad = review(candidates, d)
+    after, bad = materialize(after), materialize(bad)
+    moved = candidates.join(d.select("candidate_id", "decision", "supersedes"), "candidate_id").join(bad.select("candidate_id"), "candidate_id", "left_anti")
+    moved = materialize(moved.join(after.select("candidate_id", F.col("status").alias("now")), "candidate_id"))
+    current = materialize(facts.filter("status = 'active' and valid_to is null"))
+    columns = ["category", "content", "user_scope", "project_id"]
+    new = moved.filter("now = 'approved'").select(F.col("candidate_id").alias("memory_id"), *columns, F.lit(None).cast(current.schema["embedding"].dataType).alias("embedding"), F.col("created_at").alias("ord"))
+    verdicts = materialize(layers(new, current, threshold))
+    moved = moved.join(verdicts.withColumnRenamed("memory_id", "candidate_id"), "candidate_id", "left")
+    made = moved.filter("verdict = 'stored'").withColumn("new_id", F.concat(F.lit("mem-"), F.substring(F.sha2(F.concat(F.lit("review|"), "candidate_id"), 256), 1, 16)))
     row = lambda df, kind, ident, detail: df.select(F.lit(kind).alias("kind"), F.col(ident).alias("id"), detail.alias("detail"))
     return (
-        row(moved, "status", "candidate_id", F.when(accepted & F.col("held"), "deduplicated").otherwise(F.col("now")))
-        .unionByName(row(bad, "refused", "candidate_id", F.col("decision"))).unionByName(row(new, "fact", "new_id", F.col("category")))
-        .unionByName(row(new, "evidence", "new_id", F.sha2(F.col("content"), 256))).unionByName(row(new.join(current, "supersedes"), "closed", "supersedes", F.col("new_id")))
+        row(moved, "status", "candidate_id", F.when(F.col("verdict") != "stored", "deduplicated").otherwise(F.col("now")))
+        .unionByName(row(bad, "refused", "candidate_id", F.col("decision"))).unionByName(row(every.filter("not allowed"), "refused", "candidate_id", F.col("decision")))
+        .unionByName(row(made, "fact", "new_id", F.col("category"))).unionByName(row(made, "evidence", "new_id", F.sha2(F.col("content"), 256)))
+        .unionByName(row(made.join(current.select(F.col("memory_id").alias("supersedes")), "supersedes"), "closed", "supersedes", F.col("new_id")))
     )

@@ -308,10 +308,11 @@ def resume_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("ordered_union", """select memory_id, min(pos) as pos from (select 'mem-' || doc_id as memory_id, row_number() over (order by quality desc, doc_id) as pos from labels
-   union all select 'mem-' || vec_id, 1000000 + row_number() over (order by label, vec_id) from embeddings) group by memory_id""")
+   union all select 'mem-' || vec_id, (select count(*) from labels) + row_number() over (order by label, vec_id) from embeddings) group by memory_id""")
 def ordered_union(spark: SparkSession, d: str) -> DataFrame:
     """Two ranked lists as one: every id at its first position; places come from ranges of the order, not from one task."""
-    a = iterate.numbered(t.read(spark, d, "labels").select("doc_id", "quality"), "pos", F.desc("quality"), F.col("doc_id"))
+    first = t.read(spark, d, "labels")
+    a = iterate.numbered(first.select("doc_id", "quality"), "pos", F.desc("quality"), F.col("doc_id"))
     b = iterate.numbered(t.read(spark, d, "embeddings").select("vec_id", "label"), "pos", F.col("label"), F.col("vec_id"))
-    both = a.select(F.concat(F.lit("mem-"), "doc_id").alias("memory_id"), "pos").unionByName(b.select(F.concat(F.lit("mem-"), "vec_id").alias("memory_id"), (F.col("pos") + 1000000).alias("pos")))
+    both = a.select(F.concat(F.lit("mem-"), "doc_id").alias("memory_id"), "pos").unionByName(b.select(F.concat(F.lit("mem-"), "vec_id").alias("memory_id"), (F.col("pos") + first.count()).alias("pos")))
     return both.groupBy("memory_id").agg(F.min("pos").alias("pos"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import text as x
 from memspark.functions import vectors
-from memspark.operators import chains, dedup, evaluate, graph, iterate, proposals, ranking, visibility
+from memspark.operators import chains, dedup, evaluate, graph, iterate, proposals, ranking, remember, visibility
 from memspark.sources import jsonl
 from memspark.sources import tables as t
 from memspark.sources.tables import NOW
@@ -84,50 +84,77 @@ def graph_search(spark: SparkSession, d: str) -> DataFrame:
 
 _FLAT = "trim(regexp_replace(lower(content), '\\s+', ' ', 'g'))"
 
-
-@query("remember_layers", f"""with n as (select *, {_FLAT} as flat, min(doc_id) over (partition by category, {_FLAT}) as first from mem where doc_id % 2 = 1 and status = 'active'), o as (select *, {_FLAT} as flat from mem where doc_id % 2 = 0 and status = 'active'),
-   same as (select doc_id from n where doc_id <> first or exists (select 1 from o where o.category = n.category and o.flat = n.flat)),
-   part as (select distinct n.doc_id from n join o on o.category = n.category and length(n.flat) > 20 and length(o.flat) > 20 and (contains(o.flat, n.flat) or contains(n.flat, o.flat))),
-   like_ as (select distinct n.doc_id from n join o on o.category = n.category and o.user_scope is not distinct from n.user_scope and o.project_id is not distinct from n.project_id and list_cosine_similarity(n.embedding::double[], o.embedding::double[]) >= 0.35e0)
-  select doc_id, case when doc_id in (from same) then 'same' when doc_id in (from part) then 'contained' when doc_id in (from like_) then 'similar' else 'stored' end as verdict from n""", "mem")
+#: Rows ``n`` (id, rn from 1, category, flat, scope, project, vector) of a batch against ``o``, one by one: a row stays
+#: if it meets no fact of ``o`` and no row of the batch that stayed before it.
+GREEDY = """eq as (select n.id, 0 as kind from n where exists (select 1 from o where o.category = n.category and o.flat = n.flat)),
+   pt as (select n.id, 1 as kind from n join o on o.category = n.category and length(n.flat) > 20 and length(o.flat) > 20 and n.flat <> o.flat and (contains(o.flat, n.flat) or contains(n.flat, o.flat))),
+   lk as (select n.id, 2 as kind from n join o on o.category = n.category and o.scope is not distinct from n.scope and o.project is not distinct from n.project and list_cosine_similarity(n.vector::double[], o.vector::double[]) >= {0}),
+   told as (select id, min(kind) as kind from (select * from eq union all select * from pt union all select * from lk) group by id),
+   b as (select n.*, row_number() over (order by rn) as pos from n where id not in (select id from told)),
+   meet as (select y.pos, x.pos as prior, case when x.flat = y.flat then 0 when length(x.flat) > 20 and length(y.flat) > 20 and (contains(x.flat, y.flat) or contains(y.flat, x.flat)) then 1
+       when x.scope is not distinct from y.scope and x.project is not distinct from y.project and list_cosine_similarity(x.vector::double[], y.vector::double[]) >= {0} then 2 end as kind from b x join b y on x.category = y.category and x.pos < y.pos),
+   bars as (select pos, list(prior) as prior from meet where kind is not null group by pos),
+   walk as (select 0::bigint as pos, []::bigint[] as kept union all
+     select walk.pos + 1, case when coalesce(list_has_any(walk.kept, bars.prior), false) then walk.kept else list_append(walk.kept, walk.pos + 1) end from walk left join bars on bars.pos = walk.pos + 1 where walk.pos < (select count(*) from b)),
+   stay as (select unnest(kept) as pos from walk where pos = (select count(*) from b)),
+   verdicts as (select id, case kind when 0 then 'same' when 1 then 'contained' else 'similar' end as verdict from told union all
+     select b.id, case (select min(kind) from meet where meet.pos = b.pos and meet.kind is not null and meet.prior in (from stay)) when 0 then 'same' when 1 then 'contained' when 2 then 'similar' else 'stored' end from b)"""
+
+_SIDES = f"""n as (select doc_id as id, doc_id as rn, category, {_FLAT} as flat, user_scope as scope, project_id as project, embedding as vector from mem where doc_id % 2 = 1 and status = 'active'),
+   o as (select category, {_FLAT} as flat, user_scope as scope, project_id as project, embedding as vector from mem where doc_id % 2 = 0 and status = 'active')"""
+
+
+@query("remember_layers", f"with recursive {_SIDES}, {GREEDY.format('0.35e0')} select id as doc_id, verdict from verdicts", "mem")
 def remember_layers(spark: SparkSession, d: str) -> DataFrame:
-    """A batch of new facts (odd ids) against the store (even ids): equal, contained or similar ones are left out."""
-    m = t.mem(spark, d).filter("status = 'active'").withColumn("flat", F.trim(F.regexp_replace(F.lower("content"), r"\s+", " ")))
-    old, new = m.filter("doc_id % 2 = 0"), m.filter("doc_id % 2 = 1")
-    first = new.groupBy("category", "flat").agg(F.min("doc_id").alias("first"))
-    known = old.select("category", "flat").distinct().withColumn("known", F.lit(True))
-    fresh = first.join(known, ["category", "flat"], "left_anti").select(F.col("first").alias("doc_id"))
-    left = iterate.materialize(new.join(fresh, "doc_id", "left_semi"))
-    both = left.unionByName(old)
-    side = m.select("memory_id", (F.col("doc_id") % 2).alias("odd"))
-
-    def against_old(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        mixed = pairs.join(side.toDF(a, "odd_a"), a).join(side.toDF(b, "odd_b"), b).filter("odd_a <> odd_b")
-        return mixed.select(F.when(F.col("odd_a") == 1, F.col(a)).otherwise(F.col(b)).alias("memory_id")).distinct()
-
-    inside = against_old(dedup.containment_pairs(both, 21), "short_id", "long_id").withColumn("inside", F.lit(True))
-    alike = against_old(dedup.semantic_pairs(both, 0.35), "a", "b").withColumn("alike", F.lit(True))
-    rows = new.select("doc_id", "memory_id").join(fresh.withColumn("fresh", F.lit(True)), "doc_id", "left").join(inside, "memory_id", "left").join(alike, "memory_id", "left")
-    return rows.select("doc_id", F.when(F.col("fresh").isNull(), "same").when(F.col("inside"), "contained").when(F.col("alike"), "similar").otherwise("stored").alias("verdict"))
-
-
-DECISIONS = """dec as (select candidate_id, case doc_id % 4 when 0 then 'accept' when 1 then 'approve' when 2 then 'reject' else 'nonsense' end as decision, case when doc_id % 8 = 0 then 'mem-' || (doc_id - doc_id % 5 + 4) end as supersedes from candidates where doc_id % 5 <> 3),
-  cand as (select candidate_id, category, status, case when doc_id % 3 = 0 then content else content || ' (confirmed)' end as content from candidates),
-  mv as (select cand.*, decision, supersedes, case decision when 'accept' then 'approved' when 'approve' then 'reviewed_approved' when 'reject' then 'rejected' end as now, status in ('pending', 'reviewed_approved', 'pending_user_confirmation') and decision <> 'nonsense' as ok,
-    exists (select 1 from mem m where m.status = 'active' and m.valid_to is null and m.category = cand.category and m.content = cand.content) as held, 'mem-' || sha256('review|' || candidate_id)[1:16] as new_id from cand join dec using (candidate_id))"""
-
-
-@query("review_apply", f"""with {DECISIONS}, made as (select * from mv where ok and now = 'approved' and not held)
-  select 'status' as kind, candidate_id as id, case when now = 'approved' and held then 'deduplicated' else now end as detail from mv where ok union all select 'refused', candidate_id, decision from mv where not ok
+    """A batch of new facts (odd ids) into the store (even ids): rows that meet a stored fact or an earlier row that stays are left out."""
+    m = t.mem(spark, d).filter("status = 'active'")
+    got = remember.layers(m.filter("doc_id % 2 = 1").withColumn("ord", F.col("doc_id")), m.filter("doc_id % 2 = 0"), 0.35)
+    return got.select(F.substring("memory_id", 5, 20).cast("long").alias("doc_id"), "verdict")
+
+
+@query("remember_quotes", f"""with recursive parts as (select doc_id, category, unnest(string_split(content, '. ')) as s, generate_subscripts(string_split(content, '. '), 1) as i from mem where status = 'active'),
+   n as (select doc_id * 1000 + i as id, (doc_id % 7) * 100000000 + doc_id * 1000 + i as rn, category, trim(regexp_replace(lower(s), '\\s+', ' ', 'g')) as flat, null::varchar as scope, null::varchar as project, null::float[] as vector from parts where i <= 3 and doc_id % 5 = 0),
+   o as (select category, {_FLAT} as flat, user_scope as scope, project_id as project, embedding as vector from mem where doc_id % 5 = 1 and status = 'active'),
+   {GREEDY.format('0.35e0')} select id, verdict from verdicts""", "mem")
+def remember_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """A batch whose rows often repeat, contain or quote each other: the opening sentences of every fifth chain's facts."""
+    m = t.mem(spark, d).filter("status = 'active'")
+    parts = m.filter("doc_id % 5 = 0").select("doc_id", "category", F.posexplode(F.split("content", "[.] ")).alias("p", "content")).filter("p < 3")
+    none = F.lit(None).cast("string")
+    new = parts.select((F.col("doc_id") * 1000 + F.col("p") + 1).cast("string").alias("memory_id"), "category", "content", none.alias("user_scope"), none.alias("project_id"), F.lit(None).cast(m.schema["embedding"].dataType).alias("embedding"), (F.col("doc_id") % 7 * 100000000 + F.col("doc_id") * 1000 + F.col("p") + 1).alias("ord"))
+    got = remember.layers(new, m.filter("doc_id % 5 = 1"), 0.35)
+    return got.select(F.col("memory_id").cast("long").alias("id"), "verdict")
+
+
+DECISIONS = f"""dec as (select candidate_id, case when doc_id % 12 = 0 then 'automatic' else 'person' end as actor, case doc_id % 4 when 0 then 'accept' when 1 then 'approve' when 2 then 'reject' else 'nonsense' end as decision,
+      case when doc_id % 8 = 0 then 'mem-' || (doc_id - doc_id % 5 + 4) end as supersedes from candidates where doc_id % 5 <> 3 union all
+    select candidate_id, 'person', 'reject', null from candidates where doc_id % 20 = 4),
+  ranked as (select *, row_number() over (partition by candidate_id order by actor, decision, supersedes) as nth from dec),
+  cand as (select candidate_id, doc_id, category, status, created_at, user_scope, project_id, case when doc_id % 3 = 0 then content else content || ' (confirmed)' end as content from candidates
+    union all select 'again-' || doc_id, doc_id, category, 'pending', created_at + 1, user_scope, project_id, case when doc_id % 3 = 0 then content || '  ' else content || '  (Confirmed)  twice' end from candidates where doc_id % 4 = 0),
+  every as (select * from ranked union all select 'again-' || doc_id, 'person', 'accept', null, 1 from candidates where doc_id % 4 = 0),
+  mv as (select cand.*, decision, supersedes, nth = 1 and (decision <> 'accept' or actor = 'person') as allowed, case decision when 'accept' then 'approved' when 'approve' then 'reviewed_approved' when 'reject' then 'rejected' end as now,
+    status in ('pending', 'reviewed_approved', 'pending_user_confirmation') and decision <> 'nonsense' as ok, 'mem-' || sha256('review|' || candidate_id)[1:16] as new_id from cand join every using (candidate_id)),
+  n as (select candidate_id as id, row_number() over (order by created_at, candidate_id) as rn, category, {_FLAT} as flat, user_scope as scope, project_id as project, null::float[] as vector from mv where allowed and ok and now = 'approved'),
+  o as (select category, {_FLAT} as flat, user_scope as scope, project_id as project, embedding as vector from mem where status = 'active' and valid_to is null)"""
+
+
+@query("review_apply", f"""with recursive {DECISIONS}, {GREEDY.format('0.85e0')}, made as (select mv.* from mv join verdicts on id = candidate_id where allowed and ok and verdict = 'stored')
+  select 'status' as kind, candidate_id as id, case when verdict <> 'stored' then 'deduplicated' else now end as detail from mv left join verdicts on verdicts.id = candidate_id where allowed and ok
+  union all select 'refused', candidate_id, decision from mv where not (allowed and ok)
   union all select 'fact', new_id, category from made union all select 'evidence', new_id, sha256(content) from made union all select 'closed', memory_id, new_id from made join mem m on m.memory_id = supersedes and m.status = 'active' and m.valid_to is null""", "mem", "candidates")
 def review_apply(spark: SparkSession, d: str) -> DataFrame:
-    """People's and automatic decisions with all they bring about: states, facts, evidence, closings, refusals."""
+    """People's and automatic decisions with all they bring about: states, facts, evidence, closings, refusals; some candidates come twice, reworded."""
     c = t.candidates(spark, d)
-    i = F.col("doc_id")
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
     word = F.when(i % 4 == 0, "accept").when(i % 4 == 1, "approve").when(i % 4 == 2, "reject").otherwise("nonsense")
-    decisions = c.filter("doc_id % 5 <> 3").select("candidate_id", word.alias("decision"), F.when(i % 8 == 0, F.concat(F.lit("mem-"), i - i % 5 + 4)).alias("supersedes"))
+    decisions = c.filter("doc_id % 5 <> 3").select("candidate_id", F.when(i % 12 == 0, "automatic").otherwise("person").alias("actor"), word.alias("decision"), F.when(i % 8 == 0, F.concat(F.lit("mem-"), i - i % 5 + 4)).alias("supersedes"))
+    decisions = decisions.unionByName(c.filter("doc_id % 20 = 4").select("candidate_id", F.lit("person").alias("actor"), F.lit("reject").alias("decision"), none.alias("supersedes")))
+    twice = c.filter("doc_id % 4 = 0").withColumns({"candidate_id": F.concat(F.lit("again-"), "doc_id"), "status": F.lit("pending"), "created_at": F.col("created_at") + 1})
+    decisions = decisions.unionByName(twice.select("candidate_id", F.lit("person").alias("actor"), F.lit("accept").alias("decision"), none.alias("supersedes")))
     c = c.withColumn("content", F.when(i % 3 == 0, F.col("content")).otherwise(F.concat("content", F.lit(" (confirmed)"))))
-    return proposals.apply_review(c, decisions, t.mem(spark, d))
+    twice = twice.withColumn("content", F.when(i % 3 == 0, F.concat("content", F.lit("  "))).otherwise(F.concat("content", F.lit("  (Confirmed)  twice"))))
+    return proposals.apply_review(c.unionByName(twice), decisions, t.mem(spark, d))
 
 
 @query("recall_by_group", HYBRID + f""", {t.EXPECTED}, e as (select w.query_id, m.memory_id, m.chain_id, m.category, case when length(m.content) < 100 then 'short' when length(m.content) <= 500 then 'medium' else 'long' end as size,
