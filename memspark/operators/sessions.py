@@ -99,3 +99,35 @@ def context_window(messages: DataFrame, last: int, budget: int) -> DataFrame:
         F.when(s["open"] & (s["used"] + F.length(x) <= budget), s["n"] + 1).otherwise(s["n"]).alias("n"),
         (s["open"] & (s["used"] + F.length(x) <= budget)).alias("open")))
     return m.select("message_id", fits["n"].cast("long").alias("n_context"), fits["used"].cast("long").alias("n_chars"))
+
+
+def with_surroundings(hits: DataFrame, messages: DataFrame, width: int, each: int) -> DataFrame:
+    """Hits (query_id, root, message_id, pos) with what a reader needs around them, in order: ``around``, the messages
+    within ``width`` places of the hit, and ``opening`` and ``closing``, the ``each`` first and last of its session that
+    are not around it; with how many messages lie before and after the window."""
+    owner = messages.select("message_id", "session_id")
+    hit = hits.join(owner, "message_id")
+    m = messages.join(hit.select("session_id").distinct(), "session_id", "left_semi")
+    w = Window.partitionBy("session_id")
+    m = materialize(m.select("session_id", F.col("message_id").alias("other"), F.row_number().over(w.orderBy("turn", "message_id")).alias("place"), F.count("*").over(w).alias("n")))
+    at = hit.join(m.select(F.col("other").alias("message_id"), F.col("place").alias("hit_place")), "message_id")
+    near = F.abs(F.col("place") - F.col("hit_place")) <= width
+    both = at.join(m, "session_id").filter(near | (F.col("place") <= each) | (F.col("place") > F.col("n") - each))
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("place", "other")))), lambda x: x["other"])
+    first = F.col("place") <= each
+    return both.groupBy("query_id", "root", "message_id", "pos").agg(
+        ids(near).alias("around"), ids(~near & first).alias("opening"), ids(~near & ~first).alias("closing"),
+        F.max(F.greatest(F.col("hit_place") - width - 1, F.lit(0))).cast("long").alias("before"), F.max(F.greatest(F.col("n") - F.col("hit_place") - width, F.lit(0))).alias("after"),
+    )
+
+
+def rebind(anchors: DataFrame, messages: DataFrame, roots: DataFrame) -> DataFrame:
+    """Anchors (session_id, message_id) as asked for, with the session that holds the message: ``owner``, and ``state``:
+    ``own``, ``rebound`` where another session of the same lineage holds it, ``foreign`` where one of another lineage does,
+    ``missing`` where none does or the session is unknown."""
+    held = messages.select("message_id", F.col("session_id").alias("owner"))
+    of = roots.select(F.col("session_id").alias("_s"), F.col("root").alias("_root"))
+    out = anchors.join(held, "message_id", "left").join(of, F.col("session_id") == F.col("_s"), "left").withColumnRenamed("_root", "asked").drop("_s")
+    out = out.join(of, F.col("owner") == F.col("_s"), "left").withColumnRenamed("_root", "found").drop("_s")
+    state = F.when(F.col("owner").isNull() | F.col("asked").isNull(), "missing").when(F.col("owner") == F.col("session_id"), "own").when(F.col("asked") == F.col("found"), "rebound").otherwise("foreign")
+    return out.select("session_id", "message_id", "owner", state.alias("state"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.operators import chains, dedup, graph, ranking, sessions
+from memspark.operators import chains, dedup, graph, querying, ranking, sessions
 from memspark.sources import tables as t
 from memspark.sources.tables import NOW
 
@@ -296,6 +296,64 @@ def boolean_match(spark: SparkSession, d: str) -> DataFrame:
     return m.filter(has("the") & (has("and") | has("of")) & ~has("is") & F.exists("w", lambda x: x.startswith("th"))).select("message_id")
 
 
+#: Query shapes, each with what it asks for, said in SQL over the words ``w`` of a message (None: malformed).
+_HAS, _PRE, _SEQ = "list_contains(w, '{}')".format, "len(list_filter(w, lambda x: starts_with(x, '{}'))) > 0".format, "contains(' ' || array_to_string(w, ' ') || ' ', ' {}')".format
+SHAPES: tuple[tuple[str | None, str | None], ...] = (
+    ("the and", f"{_HAS('the')} and {_HAS('and')}"), ("the AND of", f"{_HAS('the')} and {_HAS('of')}"), ("the OR la", f"{_HAS('the')} or {_HAS('la')}"), ("the NOT is", f"{_HAS('the')} and not {_HAS('is')}"),
+    ('"of the"', _SEQ("of the ")), ("thr*", _PRE("thr")), ("the (of OR la)", f"{_HAS('the')} and ({_HAS('of')} or {_HAS('la')})"), ('"of the" OR "de la"', f"{_SEQ('of the ')} or {_SEQ('de la ')}"),
+    ("the NOT (is OR it)", f"{_HAS('the')} and not ({_HAS('is')} or {_HAS('it')})"), ("of to NOT is that", f"{_HAS('of')} and {_HAS('to')} and not ({_HAS('is')} and {_HAS('that')})"),
+    ("the AND of OR der AND und", f"({_HAS('the')} and {_HAS('of')}) or ({_HAS('der')} and {_HAS('und')})"), ("the OR of AND NOT", None), ("NOT the", None), ('"of the', None), ("(the of", None), ("the of)", None), ("", None), (None, None),
+    ("of-the", _SEQ("of the ")), ('"of th"*', _SEQ("of th")), ("((the))", _HAS("the")), ("THE Of", f"{_HAS('the')} and {_HAS('of')}"), ("or not and", f"{_HAS('or')} and {_HAS('not')} and {_HAS('and')}"),
+    ("the NOT of NOT is", f"{_HAS('the')} and not {_HAS('of')} and not {_HAS('is')}"), ('"the"', _HAS("the")), ("zzzzqq", "false"), ('de AND (la OR le) NOT "de la"', f"{_HAS('de')} and ({_HAS('la')} or {_HAS('le')}) and not {_SEQ('de la ')}"),
+    ("*", None), ("the!", _HAS("the")), ("the OR (of AND)", None), ('"in the" (a OR an*) NOT "of a"', f"{_SEQ('in the ')} and ({_HAS('a')} or {_PRE('an')}) and not {_SEQ('of a ')}"),
+)
+_WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}0-9]+'), lambda w: w <> '')"
+_SHAPE_ROWS = "\n    union all ".join(f"select {i} as query_id, message_id from w where {c}" for i, (_, c) in enumerate(SHAPES) if c)
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every shape, and a phrase, a word and an exclusion from each benchmark item."""
+    fixed = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(SHAPES)], "query_id long, query string")
+    w = sessions.terms(F.col("text"))
+    own = t.read(spark, d, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), w.alias("w")).filter(F.size("w") >= 6)
+    at = lambda i: F.element_at("w", i)
+    return fixed.unionByName(own.select("query_id", F.concat(F.lit('"'), at(3), F.lit(" "), at(4), F.lit('" OR '), at(5), F.lit(" NOT "), at(6)).alias("query")))
+
+
+@query("query_search", f"""with w as (select message_id, {_WORDS.format('content')} as w from messages), own as (select item_id + 1000 as query_id, {_WORDS.format('text')} as q from benchmark)
+    {_SHAPE_ROWS}
+    union all select query_id, message_id from own join w on len(q) >= 6 and (contains(' ' || array_to_string(w, ' ') || ' ', ' ' || q[3] || ' ' || q[4] || ' ') or (list_contains(w, q[5]) and not list_contains(w, q[6])))""", "messages")
+def query_search(spark: SparkSession, d: str) -> DataFrame:
+    """Queries written in the search language against all messages, phrases by their places."""
+    return querying.search(_asked(spark, d), querying.positional_index(t.messages(spark, d)))
+
+
+@query("query_check", "select * from (values " + ", ".join(f"({i}, {str(c is not None).lower()})" for i, (_, c) in enumerate(SHAPES)) + ") v(query_id, ok) union all select item_id + 1000, true from benchmark where len(" + _WORDS.format("text") + ") >= 6")
+def query_check(spark: SparkSession, d: str) -> DataFrame:
+    return querying.compiled(_asked(spark, d)).select("query_id", "ok")
+
+
+@query("discover_context", "with recursive " + LINEAGE + ", " + BM25 + """, h as (select rk.query_id, r.root, s.source in ('cron') as late, rk.rank, rk.message_id from rk join ms using (message_id) join sessions s using (session_id) join root r using (session_id) where s.source <> 'subagent'),
+  b as (select *, row_number() over (partition by query_id, root order by late, rank, message_id) as r from h), p as (select *, row_number() over (partition by query_id order by late, rank, message_id) as pos from b where r = 1 qualify pos <= 10),
+  m as (select *, row_number() over (partition by session_id order by turn, message_id) as place, count(*) over (partition by session_id) as n from messages),
+  x as (select p.query_id, p.root, p.message_id, p.pos, a.place as hit, m.place, m.n, m.message_id as other, abs(m.place - a.place) <= 2 as near from p join m a using (message_id) join m on m.session_id = a.session_id)
+  select query_id, root, message_id, pos, coalesce(list(other order by place) filter (where near), []) as around, coalesce(list(other order by place) filter (where not near and place <= 2), []) as opening, coalesce(list(other order by place) filter (where not near and place > 2 and place > n - 2), []) as closing,
+    max(greatest(hit - 3, 0)) as before, max(greatest(n - hit - 2, 0)) as after from x group by all""", "messages", "sessions", "q")
+def discover_context(spark: SparkSession, d: str) -> DataFrame:
+    """Discovery hits with the messages around them and both ends of their session."""
+    return sessions.with_surroundings(session_discover(spark, d).select("query_id", "root", "message_id", "pos"), t.messages(spark, d), 2, 2)
+
+
+@query("anchor_rebind", "with recursive " + LINEAGE + """, a as (select session_id - session_id % 3 as session_id, message_id + case when session_id % 11 = 0 then 900 else 0 end as message_id from messages where turn = 1)
+  select a.session_id, a.message_id, m.session_id as owner, case when m.session_id is null or r.root is null then 'missing' when m.session_id = a.session_id then 'own' when r.root = o.root then 'rebound' else 'foreign' end as state
+  from a left join messages m using (message_id) left join root r on r.session_id = a.session_id left join root o on o.session_id = m.session_id""", "messages", "sessions")
+def anchor_rebind(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors asked for in a session that may be another one of the lineage, a foreign one, or none."""
+    m, i = t.messages(spark, d), F.col("session_id")
+    a = m.filter("turn = 1").select((i - i % 3).alias("session_id"), (F.col("message_id") + F.when(i % 11 == 0, 900).otherwise(0)).alias("message_id"))
+    return sessions.rebind(a, m, sessions.lineage(t.sessions(spark, d)))
+
+
 @query("context_enrich", """with u as (select *, row_number() over (partition by session_id order by turn, message_id) as r from messages where role = 'user'),
   c as (select a.message_id, b.r, sum(length(b.content)) over (partition by a.message_id order by b.r desc) as used from u a join u b on a.session_id = b.session_id and b.r < a.r and b.r >= a.r - 3)
   select u.message_id, count(c.used) filter (where used <= 400) as n_context, coalesce(max(used) filter (where used <= 400), 0)::bigint as n_chars from u left join c using (message_id) group by u.message_id""", "messages")
