@@ -22,20 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import held
 from .common import partitions_for, scratch_dir
-from .pretoken import Memory, cut, portions
+from .pretoken import _CUT, Pieces, at_spaces, portions
 
 BLOCK = 256
 PERCENTILE = 95
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-#: Pieces that an encoder remembers in each of two generations.
-PIECES = 1_200_000
+#: Pieces that an encoder remembers before it starts anew.
+PIECES = 2_000_000
+#: Characters of the texts that are encoded together.
+CHARS = 6_000_000
 _HEAD = struct.Struct("<4sHHIII")
 _INFO = np.dtype([("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
@@ -121,7 +124,7 @@ def read_segment(data: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder:
-    """Ids of texts by the tokenizers library, as little-endian bytes; pieces met before are remembered."""
+    """Ids of texts by the tokenizers library; pieces met before are remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -136,28 +139,43 @@ class LibraryEncoder:
         #: The library takes these out of a text before it looks for pre-tokens, so texts with one are not cut.
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         #: Ids of " " + piece.
-        self.known = Memory(PIECES)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [[t] if any(s in t for s in self.special) else cut(t) for t in texts]
-        # the first piece of a text has no space before it
-        heads = self.library.encode_batch_fast([p.pop(0) for p in pieces], add_special_tokens=False)
-        tails = self.known.join(pieces, self._encode)
-        return [np.array(h.ids, "<u4").tobytes() + t for h, t in zip(heads, tails, strict=True)]
-
-    def _encode(self, new: list[str], at_once: int = 20_000) -> dict[str, bytes]:
-        """Encode many pieces in one call: each begins at a boundary, so their ids are those of one long text."""
-        out: dict[str, bytes] = {}
+        self.known = Pieces(PIECES, self._encode)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        special = [any(s in t for s in self.special) for t in texts]
+        plain = [not x and at_spaces(t) for t, x in zip(texts, special, strict=True)]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for simple in (True, False):
+            own = [i for i, p in enumerate(plain) if p == simple]
+            if not own:
+                continue
+            if simple:
+                lists = pc.split_pattern(pa.array([texts[i] for i in own], pa.large_string()), " ")
+            else:
+                lists = pa.array([[texts[i]] if special[i] else _CUT.split(texts[i]) for i in own], pa.large_list(pa.large_string()))
+            ends = lists.offsets.to_numpy()
+            flat = lists.values
+            # the first piece of a text has no space before it
+            first = np.zeros(len(flat), bool)
+            first[ends[:-1]] = True
+            heads = self.library.encode_batch_fast(flat.filter(pa.array(first)).to_pylist(), add_special_tokens=False)
+            tokens, sizes = self.known(flat.filter(pa.array(~first)))
+            stops = np.concatenate(([0], np.cumsum(sizes)))[ends - np.arange(len(ends))]
+            for i, h, j, k in zip(own, heads, stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+                out[i] = np.concatenate((np.array(h.ids, np.uint32), tokens[j:k]))
+        return out
+
+    def _encode(self, new: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces, one after the other, and their numbers: each piece begins at a boundary, so the ids are those of one long text."""
+        ids, sizes = [], []
         for i in range(0, len(new), at_once):
             some = new[i : i + at_once]
-            e = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0]
-            found = np.array(e.ids, "<u4")
-            ids = found.tobytes()
+            found = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             # tokens are counted off by their bytes
             ends = np.cumsum([len(x.encode()) + 1 for x in some])
-            cuts = [0, *(np.searchsorted(np.cumsum(self.bytes[found]), ends, side="right") * 4).tolist()]
-            out.update((c, ids[a:b]) for c, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
-        return out
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.bytes[found]), ends, side="right"), prepend=0))
+            ids.append(found)
+        return np.concatenate(ids), np.concatenate(sizes)
 
 
 def library_encoder(path: str) -> LibraryEncoder:
@@ -168,21 +186,21 @@ def library_encoder(path: str) -> LibraryEncoder:
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = library_encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         ids: list = []
         lengths: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         seq = first = n = 0
 
         def segment():
-            tokens = np.frombuffer(b"".join(parts), "<u4")
+            tokens = np.concatenate(parts)
             cells = [part], [seq], [first], [len(tokens)], [write_segment(ids, lengths, tokens)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "first_token", "n_tokens", "payload"])
 
-        for keys, texts in portions(batches):
+        for keys, texts in portions(batches, CHARS):
             for k, b in zip(keys, encode(texts), strict=True):
                 ids.append(k)
-                lengths.append(len(b) // 4 + 1)
+                lengths.append(len(b) + 1)
                 parts += (b, end)
                 n += lengths[-1]
                 if n >= SEGMENT_TOKENS:
