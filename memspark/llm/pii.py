@@ -32,12 +32,22 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# Cues of secrets and of account numbers.
-SECRET_CUES = ("api_key", "apikey", "access_key", "secret", "token", "passwd", "password")
+# Cues of secrets, of passwords and of account numbers.
+SECRET_CUES = ("api_key", "api-key", "apikey", "access_key", "access-key", "secret", "token")
+PASSWORD_CUES = ("passwd", "password")
 IBAN_CUES = ("iban",)
+# Characters of an account number by its country, from the public registry of ISO 13616.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22,
+    "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 _IP_RUN, _CARD_RUN, _PHONE_RUN = (re.compile(x) for x in (r"[0-9.]+", r"[0-9\x20-]+", r"[\x20().0-9-]+"))
-_SECRET_VALUE = re.compile(r"""["']?[ ]{0,4}[:=][ ]{0,4}(?:"([^"\s]{8,}+)"|'([^'\s]{8,}+)'|([A-Za-z0-9_+/.-]{16,}+))""")
-_IBAN_VALUE = re.compile(r"[ :#=]{1,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+# a quoted value of 8 characters or more, or a bare one of 16 (a password's of 8)
+_SECRET_VALUE, _PASSWORD_VALUE = (re.compile(r"""["']?[ ]{0,4}[:=][ ]{0,4}(?:"([^"\s]{8,}+)"|'([^'\s]{8,}+)'|([A-Za-z0-9_+/.-]{%d,}+))""" % n) for n in (16, 8))
+_IBAN_START = re.compile(r"(?: (?:is|no|nr|number)\.?)?[ :#=(]{1,4}(?=[A-Z]{2}[0-9]{2})")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+:[A-Za-z0-9._~%!$&'()*+,;=-]+@(?=[A-Za-z0-9])")
 
 
@@ -51,7 +61,24 @@ def luhn(digits: str) -> bool:
 
 def iban_valid(value: str) -> bool:
     v = value.replace(" ", "")
-    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    return IBAN_LENGTHS.get(v[:2]) == len(v) and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def iban_end(text: str, at: int) -> int:
+    """Where the account number that begins at ``at`` ends: as many characters as its country has, single spaces
+    between them, and no letter or digit right behind; 0 if there is none or its check digits are wrong."""
+    left, i = IBAN_LENGTHS.get(text[at : at + 2], 0), at
+    while left and i < len(text):
+        c = text[i]
+        if c == " " and text[i - 1] != " ":
+            i += 1
+            continue
+        if not ("0" <= c <= "9" or "A" <= c <= "Z"):
+            break
+        i, left = i + 1, left - 1
+    if i == at or left or re.match(r"[A-Za-z0-9]", text[i : i + 1]) or not iban_valid(text[at:i]):
+        return 0
+    return i
 
 
 def automaton():
@@ -66,6 +93,8 @@ def automaton():
     a.add_word("://", ("u", 3))
     for cue in SECRET_CUES:
         a.add_word(cue, ("s", len(cue)))
+    for cue in PASSWORD_CUES:
+        a.add_word(cue, ("p", len(cue)))
     for cue in IBAN_CUES:
         a.add_word(cue, ("i", len(cue)))
     a.make_automaton()
@@ -99,7 +128,7 @@ def _addresses(dotted: str, at: int) -> Iterator[tuple[int, int]]:
 def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
     """Spans of every kind that ``text`` holds; ``anchors`` is the automaton."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email_end = ip_seen = card_seen = phone_end = login_end = secret_end = iban_end = 0
+    email_end = ip_seen = card_seen = phone_end = login_end = secret_end = account_end = 0
     for last, (kind, length) in anchors.iter(text.translate(_UPPER)):
         if kind == "d":
             # digits: one look at each run of digits with the separators of its kind
@@ -133,16 +162,16 @@ def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
             if last >= login_end and (m := _USERINFO.match(text, last + 1)):
                 login_end = m.end()
                 found["login"].append((m.start(), m.end() - 1))
-        elif kind == "s":
+        elif kind in "sp":
             # values of any length: cues inside a found one are skipped, and a value ends before the next one's quote or separator
-            if last + 1 >= secret_end and (m := _SECRET_VALUE.match(text, last + 1)) and any(c.isdigit() for c in m[m.lastindex]):
+            if last + 1 >= secret_end and (m := (_SECRET_VALUE if kind == "s" else _PASSWORD_VALUE).match(text, last + 1)) and any(c.isdigit() for c in m[m.lastindex]):
                 secret_end = m.end()
                 found["secret"].append(m.span(m.lastindex))
         else:
-            m = _IBAN_VALUE.match(text, last + 1)
-            if m and m.start() >= iban_end and iban_valid(m[1]):
-                iban_end = m.end()
-                found["iban"].append(m.span(1))
+            m = _IBAN_START.match(text, last + 1)
+            if m and m.start() >= account_end and (end := iban_end(text, m.end())):
+                account_end = end
+                found["iban"].append((m.end(), end))
     return found
 
 

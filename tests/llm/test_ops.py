@@ -215,6 +215,20 @@ def test_pii_matches_the_plain_patterns(docs, empty):
     assert pii.find_personal_data(docs).count() == docs.count() and pii.find_personal_data(empty).count() == 0
 
 
+def test_accounts_end_where_their_country_says():
+    anchors = pii.automaton()
+    for text, value in [
+        ("IBAN ES91 2100 0418 4502 0005 1332 FROM us", "ES91 2100 0418 4502 0005 1332"), ("IBAN ES9121000418450200051332 2024", "ES9121000418450200051332"), ("IBAN is NO93 8601 1117 947, ok", "NO93 8601 1117 947"),
+        ("my IBAN (GB82 WEST 1234 5698 7654 32)", "GB82 WEST 1234 5698 7654 32"), ("iban no. DE89370400440532013000.", "DE89370400440532013000"), ("iban: MT84MALT011000012345MTLCAST001S A", "MT84MALT011000012345MTLCAST001S"),
+    ]:
+        assert [text[a:b] for a, b in pii.find(text, anchors)["iban"]] == [value]
+    for text in ("IBAN ES91 2100 0418 4502 0005 1333", "IBAN ES91210004184502000513321", "IBAN ZZ91 2100 0418 4502 0005 1332", "IBAN ES91 2100", "IBAN", "iban ES91  2100 0418 4502 0005 1332"):
+        assert not pii.find(text, anchors)["iban"]
+    for text, value in [("api-key = abcdefgh12345678", "abcdefgh12345678"), ("password: hunter2abc!", "hunter2abc")]:
+        assert [text[a:b] for a, b in pii.find(text, anchors)["secret"]] == [value]
+    assert not pii.find("password: password", anchors)["secret"] and not pii.find("password: abc1", anchors)["secret"] and not pii.find("token: hunter2abc", anchors)["secret"]
+
+
 def test_secrets_of_any_length_go_whole():
     anchors = pii.automaton()
     for n in (16, 256, 257, 5000):
