@@ -6,9 +6,11 @@ positions were all hit twice is possibly repeated; only such rows shuffle.  All
 unique and pass straight through.  The filter has no false negatives, so no copy is lost; a false
 positive only costs one needless row in the shuffle.
 
-Filter size follows the row count (``BITS_PER_ROW``), cut into segments of ``SEGMENT_BITS``.  It is sent to
-tasks while it is at most ``MAX_BROADCAST_BYTES``; beyond that the narrow (id, hash) rows meet their filter
-segment by a join instead, and texts still do not move.
+Filter size follows the row count (``BITS_PER_ROW``), cut into segments of ``SEGMENT_BITS``.  At most
+``MAX_BROADCAST_BYTES`` of it are sent to tasks at a time: a larger filter goes in several passes, and each row
+is probed in the pass that has its segment, so unique rows pass straight through all the same.  Beyond
+``MAX_PASSES`` (268 million rows) reading again would cost more than it spares, and all rows count as possible
+repeats: their narrow (id, hash) rows shuffle once, and texts only in ``drop_duplicates``.
 
 Defined results: null text counts as empty; null doc_id sorts after all others; a text of only white space
 normalises to one space and differs from the empty text; identical rows that repeat one doc_id are one
@@ -18,6 +20,7 @@ group, and one of them stays; an empty table gives an empty result; other column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,7 @@ BITS_PER_ROW = 16
 PROBES = 4
 SEGMENT_BITS = 1 << 16
 MAX_BROADCAST_BYTES = 64 << 20
+MAX_PASSES = 8
 #: Rows of a group that one task joins back to its result; larger groups are dealt over several.
 GROUP_PART = 10_000
 #: Large groups up to this number are sent to the tasks (36 bytes each); more are joined by a shuffle.
@@ -110,31 +114,32 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return materialize(local.groupBy("segment").applyInPandas(_merge, "segment long, bitmap binary"), "filter"), segments
 
 
-def _tester(bitmaps: dict[int, bytes], segments: int):
+def _tester(bitmaps: dict[int, bytes], segments: int, low: int, high: int):
+    """Probes hashes whose segment lies in [low, high) of ``segments``."""
     empty = bytes(SEGMENT_BITS // 8)
 
     def test(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.frombuffer(b"".join(bitmaps.get(i, empty) for i in range(segments)), np.uint8)
+        table = np.frombuffer(b"".join(bitmaps.get(i, empty) for i in range(low, high)), np.uint8)
         for h in series:
             segment, bits = _places(h.to_numpy(), segments)
-            place = segment[:, None] * SEGMENT_BITS + bits
+            place = (segment[:, None] - low) * SEGMENT_BITS + bits
             yield pd.Series(((table[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).all(1))
 
     return test
 
 
-def _by_join(rows: DataFrame, bitmaps: DataFrame, segments: int) -> DataFrame:
-    """possibly-repeated flag where the filter is too large to send: rows meet their segment's bitmap."""
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = _places(b.column("h").to_numpy(zero_copy_only=False), segments)[1]
-            tables = b.column("bitmap").to_pylist()
-            hit = [t is not None and all(t[x >> 3] >> (7 - (x & 7)) & 1 for x in row) for t, row in zip(tables, bits.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "h", "sha")), pa.array(hit, pa.bool_())], ["doc_id", "h", "sha", "maybe"])
-
-    segment = ((F.shiftrightunsigned("h", 16)) % segments).cast("long")
-    return rows.withColumn("segment", segment).join(bitmaps, "segment", "left").select("doc_id", "h", "sha", "bitmap").mapInArrow(probe, "doc_id long, h long, sha binary, maybe boolean")
+def probed(rows: DataFrame, h: str, flag: str, bitmaps: DataFrame, segments: int, max_bytes: int) -> Iterator[DataFrame]:
+    """Parts of ``rows``, each row in one, with ``flag``: false only where the hash column ``h`` occurs once."""
+    step = max(1, max_bytes * 8 // SEGMENT_BITS)
+    if -(-segments // step) > MAX_PASSES:
+        yield rows.withColumn(flag, F.lit(True))
+        return
+    segment = F.shiftrightunsigned(h, 16) % segments
+    for low in range(0, segments, step):
+        high = min(segments, low + step)
+        sent = {r[0]: bytes(r[1]) for r in bitmaps.filter(F.col("segment").between(low, high - 1)).toLocalIterator()}
+        own = rows if high - low == segments else rows.filter(segment.between(low, high - 1))
+        yield own.withColumn(flag, F.pandas_udf(_tester(sent, segments, low, high), "boolean")(h))
 
 
 def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -145,19 +150,18 @@ def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def flag_repeats(docs: DataFrame, text: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, h, sha, maybe) for every row; maybe = false only where the text occurs once."""
+    """(doc_id, h, sha, maybe) for every row, written; maybe = false only where the text occurs once."""
     rows = hashed(docs, text)
-    n = docs.count()
-    bitmaps, segments = repeat_filter(rows.select("h"), n)
+    bitmaps, segments = repeat_filter(rows.select("h"), docs.count())
     if segments * SEGMENT_BITS // 8 > max_broadcast_bytes:
-        return _by_join(rows, bitmaps, segments)
-    sent = {r[0]: bytes(r[1]) for r in bitmaps.toLocalIterator()}
-    return rows.withColumn("maybe", F.pandas_udf(_tester(sent, segments), "boolean")("h"))
+        rows = materialize(rows, "hashes")
+    # a pass is written before the next one's filter is sent
+    return reduce(DataFrame.unionByName, [materialize(part, "flags") for part in probed(rows, "h", "maybe", bitmaps, segments, max_broadcast_bytes)])
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    flagged = materialize(flag_repeats(docs, text, max_broadcast_bytes), "flags")
+    flagged = flag_repeats(docs, text, max_broadcast_bytes)
     passed = flagged.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     # equal rows count first, so that a hot text moves one row a task; then one result a text
     ids = materialize(flagged.filter("maybe").groupBy("sha", "doc_id").agg(F.count("*").alias("n")), "ids")
@@ -180,21 +184,16 @@ def drop_duplicates(docs: DataFrame, text: str = "text", max_broadcast_bytes: in
     """``docs`` without later copies: of equal texts the row with the smallest doc_id stays, whole.
 
     Unique rows never leave their task.  Possibly repeated rows shuffle once, whole, after each task has kept its
-    own first of each text; where the filter is too large to send, possible repeats are known by doc_id and hash.
+    own first of each text; a filter that is sent in several passes has the texts read once a pass.
     """
-    names, sha, maybe = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "_sha"), unused(docs, "_maybe")
+    names, sha, maybe, key = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "_sha"), unused(docs, "_maybe"), unused(docs, "_key")
     full = docs.withColumn(sha, F.unhex(F.sha2(normalized(text).cast("binary"), 256)))
+    full = full.withColumn(key, F.conv(F.substring(F.hex(sha), 2, 15), 16, 10).cast("long"))
     bitmaps, segments = repeat_filter(hashed(docs, text).select("h"), docs.count())
-    if segments * SEGMENT_BITS // 8 > max_broadcast_bytes:
-        of, whose = unused(docs, "_of"), unused(docs, "_whose")
-        rows = materialize(_by_join(hashed(docs, text), bitmaps, segments).filter("maybe").select(F.col("sha").alias(of), F.col("doc_id").alias(whose)).distinct(), "maybe")
-        same = (F.col(sha) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(whose))
-        alone, again = full.join(rows, same, "left_anti"), full.join(rows, same, "left_semi")
-    else:
-        sent = {r[0]: bytes(r[1]) for r in bitmaps.toLocalIterator()}
-        probe = F.pandas_udf(_tester(sent, segments), "boolean")
-        full = full.withColumn(maybe, probe(F.conv(F.substring(F.hex(sha), 2, 15), 16, 10).cast("long")))
-        alone, again = full.filter(~F.col(maybe)), full.filter(F.col(maybe))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    firsts = again.groupBy(sha).agg(F.min_by(F.struct(*names), order).alias(maybe)).select(f"{maybe}.*")
-    return alone.select(*names).unionByName(firsts)
+    out = []
+    for part in probed(full, key, maybe, bitmaps, segments, max_broadcast_bytes):
+        firsts = part.filter(F.col(maybe)).groupBy(sha).agg(F.min_by(F.struct(*names), order).alias(maybe)).select(f"{maybe}.*")
+        both = part.filter(~F.col(maybe)).select(*names).unionByName(firsts)
+        out.append(both if segments * SEGMENT_BITS // 8 <= max_broadcast_bytes else materialize(both, "kept"))
+    return reduce(DataFrame.unionByName, out)

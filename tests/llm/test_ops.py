@@ -49,6 +49,21 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n string, score double")
 
 
+def test_a_filter_in_passes_keeps_unique_rows_where_they_are(spark, monkeypatch):
+    rows = [(i, f"text number {i if i % 10 else i % 500}") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    size = collections.Counter(t for _, t in rows)
+    # three segments of 8 KB: one a pass, all at once, and more passes than there may be
+    for passes, limit in ((8, 8192), (8, 1 << 20), (2, 8192)):
+        monkeypatch.setattr(exact_dedup, "MAX_PASSES", passes)
+        flags = {r["doc_id"]: r["maybe"] for r in exact_dedup.flag_repeats(docs, max_broadcast_bytes=limit).collect()}
+        assert len(flags) == len(rows) and all(flags[i] for i, t in rows if size[t] > 1)
+        # only possible repeats shuffle: of 10,800 unique rows few are among them, but where there are too many passes
+        assert (sum(flags[i] for i, t in rows if size[t] == 1) <= 150) == (passes == 8)
+        kept = exact_dedup.drop_duplicates(docs, max_broadcast_bytes=limit).collect()
+        assert sorted(r["doc_id"] for r in kept) == sorted({t: i for i, t in reversed(rows)}.values())
+
+
 def normal(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
