@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from memspark.functions.vectors import unit
 
 from .iterate import components, materialize
+from .vector_index import kmeans
 
 #: Rows of a block of the pairwise products; memory of a task is two blocks.
 BLOCK_ROWS = 2000
+#: Pivots of groups that need several blocks, fitted on so many of their vectors at most.
+PIVOTS, PIVOT_SAMPLE = 64, 20_000
 #: Word triples of a text that are looked up before any text is compared.
 _PROBES = 8
 #: Keys of short texts up to this number are sent to the tasks (8 bytes each).
@@ -76,29 +79,92 @@ def containment_pairs(facts: DataFrame, least: int = 20) -> DataFrame:
     return pairs.filter((F.col("ca") == F.col("cb")) & (F.length("a") < F.length("b")) & F.contains("b", "a")).select("short_id", "long_id").unionByName(copies)
 
 
-def semantic_pairs(facts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, cosine): pairs a < b of one category, scope and project whose cosine reaches the threshold.
+def _grouped(facts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(memory_id, embedding, g): facts with a vector, g their group."""
+    name = F.to_json(F.struct(*(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys)))
+    return facts.filter("embedding is not null").select("memory_id", "embedding", name.alias("g"))
 
-    Groups are cut into blocks; a task multiplies two blocks, so no group has to fit one task.
+
+def _blocks(f: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with cell and part, block pairs with ``kept``) of groups (memory_id, embedding, g) that need several blocks.
+
+    A row's cell is its nearest pivot; a cell's rows are dealt over parts of about ``BLOCK_ROWS``.  Two blocks hold no
+    pair if the angle between their pivots, less the widest angle of each to its own pivot, is beyond that of the
+    threshold; such pairs of blocks are left out, and only such.
     """
-    keys = ["category", "scope", "project"]
-    f = facts.filter("embedding is not null").select("memory_id", "category", F.coalesce("user_scope", F.lit("")).alias("scope"), F.coalesce("project_id", F.lit("")).alias("project"), "embedding")
-    sizes = f.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    f = f.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("memory_id"), F.col("blocks")).cast("int"))
-    f = f.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+    spark = f.sparkSession
+    sample = unit([r["embedding"] for r in f.orderBy(F.xxhash64("memory_id"), "memory_id").limit(PIVOT_SAMPLE).collect()])
+    centres = unit(list(kmeans(sample, PIVOTS)))
+    schema = f"memory_id string, embedding {f.schema['embedding'].dataType.simpleString()}, g string, cell int, angle double"
+
+    def deal(batches):
+        for b in batches:
+            if len(b):
+                s = unit(b["embedding"].tolist()) @ centres.T
+                yield b.assign(cell=s.argmax(1).astype(np.int32), angle=np.arccos(np.clip(s.max(1), -1, 1)))
+
+    rows = materialize(f.mapInPandas(deal, schema))
+    parts = rows.groupBy("g", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    rows = rows.join(parts, ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("memory_id"), F.col("parts")).cast("int")).drop("parts")
+    blocks = rows.groupBy("g", "cell", "part").agg(F.max("angle").alias("wide"), F.count("*").alias("n"))
+    blocks = materialize(blocks)
+    far = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    between = spark.createDataFrame([(i, j, float(far[i, j])) for i in range(len(far)) for j in range(len(far))], "cell int, cell2 int, far double")
+    other = blocks.select("g", F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("wide").alias("wide2"), F.col("n").alias("n2"))
+    pairs = blocks.join(other, "g").filter("(cell, part) <= (cell2, part2)").join(F.broadcast(between), ["cell", "cell2"])
+    # zero vectors have no angle, so nothing is left out where they could reach the threshold
+    out = F.lit(threshold > 0) & (F.col("far") - F.col("wide") - F.col("wide2") > float(np.arccos(min(1.0, threshold))) + 1e-6)
+    same = (F.col("cell") == F.col("cell2")) & (F.col("part") == F.col("part2"))
+    return rows, pairs.select("g", "cell", "part", "cell2", "part2", (~out).alias("kept"), F.when(same, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("n2")).cast("long").alias("pairs"))
+
+
+def semantic_pairs(facts: DataFrame, threshold: float, keys: tuple[str, ...] = ("category", "user_scope", "project_id")) -> DataFrame:
+    """(a, b, cosine): pairs a < b of one group (equal ``keys``) whose cosine reaches the threshold.
+
+    A group of up to ``BLOCK_ROWS`` facts is one product.  Larger ones are cut into blocks around pivots, and a task
+    multiplies two blocks; block pairs that can't hold a pair are never formed.
+    """
+    f = _grouped(facts, keys)
+    sizes = materialize(f.groupBy("g").agg(F.count("*").alias("n")))
+    schema = "a string, b string, cosine double"
+
+    def product(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         s = unit(left["embedding"].tolist()) @ unit(right["embedding"].tolist()).T
         x, y = np.nonzero(s >= threshold)
         a, b = left["memory_id"].to_numpy()[x], right["memory_id"].to_numpy()[y]
-        keep = a < b if i == j else a != b
+        keep = a < b if same else a != b
         return pd.DataFrame({"a": np.minimum(a[keep], b[keep]), "b": np.maximum(a[keep], b[keep]), "cosine": s[x, y][keep]})
 
-    return f.groupBy(*keys, "i", "j").applyInPandas(product, "a string, b string, cosine double")
+    small = f.join(sizes.filter(F.col("n") <= BLOCK_ROWS), "g").groupBy("g").applyInPandas(lambda pdf: product(pdf, pdf, True), schema)
+    if sizes.filter(F.col("n") > BLOCK_ROWS).isEmpty():
+        return small
+
+    def two_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        return product(left, right if len(right) else left, not len(right))
+
+    rows, pairs = _blocks(f.join(sizes.filter(F.col("n") > BLOCK_ROWS).select("g"), "g").select("memory_id", "embedding", "g"), threshold)
+    pairs = pairs.filter("kept").drop("kept", "pairs")
+    alone = (F.col("cell") == F.col("cell2")) & (F.col("part") == F.col("part2"))
+    first = rows.join(pairs, ["g", "cell", "part"]).withColumn("side", F.lit(0))
+    second = rows.withColumnsRenamed({"cell": "cell2", "part": "part2"}).join(pairs.filter(~alone), ["g", "cell2", "part2"]).withColumn("side", F.lit(1))
+    names = ["g", "cell", "part", "cell2", "part2"]
+    both = first.select(*names, "memory_id", "embedding", "side").unionByName(second.select(*names, "memory_id", "embedding", "side"))
+    return small.unionByName(both.groupBy(*names).applyInPandas(two_blocks, schema))
+
+
+def pair_budget(facts: DataFrame, threshold: float, keys: tuple[str, ...] = ("category", "user_scope", "project_id"), budget: int = 20_000) -> DataFrame:
+    """(g, facts, pairs, over, blocks, skipped, skipped_pairs): per group of ``semantic_pairs`` how many pairs there are,
+    whether they pass ``budget``, the pairs of blocks, and how many of them, with how many pairs, need no product."""
+    f = _grouped(facts, keys)
+    sizes = materialize(f.groupBy("g").agg(F.count("*").alias("facts")))
+    total = (F.col("facts") * (F.col("facts") - 1) / 2).cast("long")
+    out = sizes.select("g", "facts", total.alias("pairs"), (total > budget).alias("over"))
+    if sizes.filter(F.col("facts") > BLOCK_ROWS).isEmpty():
+        return out.withColumns({"blocks": F.lit(1).cast("long"), "skipped": F.lit(0).cast("long"), "skipped_pairs": F.lit(0).cast("long")})
+    pairs = _blocks(f.join(sizes.filter(F.col("facts") > BLOCK_ROWS).select("g"), "g").select("memory_id", "embedding", "g"), threshold)[1]
+    cut = pairs.groupBy("g").agg(F.count("*").alias("blocks"), F.count_if(~F.col("kept")).alias("skipped"), F.sum(F.when(F.col("kept"), 0).otherwise(F.col("pairs"))).alias("skipped_pairs"))
+    return out.join(cut, "g", "left").select(*out.columns, F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce("skipped", F.lit(0)).alias("skipped"), F.coalesce("skipped_pairs", F.lit(0)).alias("skipped_pairs"))
 
 
 def clusters(pairs: DataFrame, scored: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from memspark.functions.vectors import cosine, top_k, unit
 
+from .vector_index import VectorIndex
+
 
 def date_rank(hits: DataFrame, target_day: Column) -> DataFrame:
     far = F.abs(F.floor(F.col("created_at") / 86400) - target_day)
@@ -94,7 +96,9 @@ def approximate_top_k(queries: DataFrame, facts: DataFrame, k: int, tables: int
 
 
 def retrieve(strategy: str, queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
-    """Top k by ``exact`` products or from ``buckets``; both have the same columns."""
+    """Top k by ``exact`` products, from ``buckets`` or from an ``index``; all have the same columns."""
+    if strategy == "index":
+        return VectorIndex.build(facts).search(queries, k).select("query_id", "memory_id", "score", "rank")
     return {"exact": top_k, "buckets": approximate_top_k}[strategy](queries, facts, k)
 
 

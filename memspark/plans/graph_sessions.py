@@ -56,6 +56,22 @@ def dup_semantic_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.semantic_pairs(_active(spark, d), 0.35).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+LABELS = "v as (select memory_id, label, embedding::double[] as e from mem where status = 'active' and embedding is not null)"
+
+
+@query("semantic_by_label", "with " + LABELS + " select a.memory_id as a, b.memory_id as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine from v a join v b on a.label is not distinct from b.label and a.memory_id < b.memory_id and list_cosine_similarity(a.e, b.e) >= 0.25e0", "mem")
+def semantic_by_label(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of like facts within a label, where there are many."""
+    return dedup.semantic_pairs(_active(spark, d), 0.25, ("label",)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query("pair_budget", "with " + LABELS + " select coalesce(label::varchar, '') as label, count(*) as facts, (count(*) * (count(*) - 1) // 2)::bigint as pairs, count(*) * (count(*) - 1) // 2 > 1000 as over from v group by label", "mem")
+def pair_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs a group has, and whether they pass a budget of 1,000."""
+    got = dedup.pair_budget(_active(spark, d), 0.25, ("label",), 1000)
+    return got.select(F.get_json_object("g", "$.label").alias("label"), "facts", "pairs", "over")
+
+
 @query("semantic_semi", "with " + PAIRS + " select memory_id from act where doc_id % 2 = 1 and memory_id not in (select a from pr join act x on x.memory_id = b and x.doc_id % 2 = 0 union all select b from pr join act x on x.memory_id = a and x.doc_id % 2 = 0)", "mem")
 def semantic_semi(spark: SparkSession, d: str) -> DataFrame:
     """New facts (odd ids) that no current fact (even ids) of their category resembles."""

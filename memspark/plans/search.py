@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import vectors
-from memspark.operators import evaluate, ranking, visibility
+from memspark.operators import evaluate, ranking, vector_index, visibility
 from memspark.sources import tables as t
 from memspark.sources.tables import NOW
 
@@ -124,12 +124,12 @@ def subquery_merge(spark: SparkSession, d: str) -> DataFrame:
     return ranking.merge_subqueries(rows).select("parent", "memory_id", F.round("score", 6).alias("score"))
 
 
-@query("weak_queries", HYBRID + ", b as (select query_id, max(raw) as best from top group by query_id) select query_id, round(coalesce(best, 0), 6) as best from q left join b using (query_id) where coalesce(best, 0) < 0.6e0 and length(query) >= 10", "mem", "q", "signal")
+@query("weak_queries", HYBRID + ", b as (select query_id, max(raw) as best from top group by query_id) select query_id, round(coalesce(best, 0), 6) as best, coalesce(best, 0) < 0.3e0 and length(query) >= 10 as expand from q left join b using (query_id)", "mem", "q", "signal")
 def weak_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Queries whose best raw score is low; they are the ones to expand."""
+    """Each query's best raw score; those below .3 are the ones to expand, if they are long enough."""
     best = _hits(spark, d).groupBy("query_id").agg(F.max("raw").alias("best"))
     q = t.search_queries(spark, d).join(best, "query_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
-    return q.filter("best < 0.6 and length(query) >= 10").select("query_id", F.round("best", 6).alias("best"))
+    return q.select("query_id", F.round("best", 6).alias("best"), ((F.col("best") < 0.3) & (F.length("query") >= 10)).alias("expand"))
 
 
 @query("render_context", HYBRID + """, f as (select *, regexp_replace(content, '\\s+', ' ', 'g') as flat from top)
@@ -145,6 +145,13 @@ def vector_topk_lsh(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.lsh_recall(t.search_queries(spark, d), t.mem(spark, d), 10)
 
 
+@query("vector_topk_index")
+def vector_topk_index(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate top 10 from a stored index (cells, product codes, exact re-rank of 5 % at most), with recall and the shares looked at."""
+    q, m = t.search_queries(spark, d), t.mem(spark, d)
+    return vector_index.recall(q, m, 10, evaluate.retrieve("exact", q, m, 10))
+
+
 QRELS = "rel as (select q.query_id, m.memory_id from q join mem m on m.label = q.query_label)"
 
 
