@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.sources.tables import START
-from memspark.streaming import jobs
+from memspark.operators import chains, dedup, graph, iterate
+from memspark.sources import tables as t
+from memspark.sources.tables import NOW, START
+from memspark.streaming import jobs, ledger, mining
 
 from .base import query
-from .rules import SENTENCES
+from .rules import CONTENT, FLAG_LIST, FOUND, LOW, SAID, SENT, SENTENCES, TURNS
 
 
 @query("stream_counters", "select user_id, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
@@ -54,3 +56,47 @@ def stale_pending(spark: SparkSession, d: str) -> DataFrame:
     e = jobs.stream(spark, d, "events", jobs.EVENTS).filter("event_type in ('click', 'purchase')").withColumn("ts", F.col("ts").cast("timestamp"))
     log = e.withWatermark("ts", "1 hour").select(F.concat(F.lit("cand-"), "user_id").alias("candidate_id"), F.unix_timestamp("ts").alias("at"), F.when(F.col("event_type") == "click", "pending").otherwise("approved").alias("status"), "ts")
     return jobs.drain(spark, jobs.stale(log, 2 * 86400), "append")
+
+
+@query("stream_queue", f"""with {TURNS}, {SENT.replace('lower(unnest(' + SENTENCES + ')) as low', 'generate_subscripts(' + SENTENCES + ', 1) - 1 as pos, lower(unnest(' + SENTENCES + ')) as low')}, {FOUND.replace('select turn_id,', 'select turn_id, pos,')},
+  o as (select turn_id, pos, category, {CONTENT} as content from fc where rule is not null), w as (select *, {LOW} as low from o), g as (select *, {FLAG_LIST} as flags from w),
+  c as (select 'cand-' || lpad(turn_id::varchar, 12, '0') || '-' || lpad(pos::varchar, 3, '0') as candidate_id, category, trim(content) as content, 'u' || turn_id % 4 as user_scope from g where not list_contains(flags, 'junk'))
+  select min(candidate_id) as candidate_id, category, content, user_scope from c group by category, content, user_scope""")
+def stream_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Statements of customers as a stream of turns into the queue: a text that is pending is not queued again."""
+    c = jobs.stream(spark, d, "customer", "c_custkey long, c_name string, c_nationkey long, c_mktsegment string")
+    n = t.read(spark, d, "nation")
+    turns = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("turn_id"), F.concat(F.lit("u"), F.col("c_custkey") % 4).alias("user_scope"), F.expr(SAID).alias("content"))
+    done = ledger.drain(turns, iterate.shared_dir(spark, "queue"), mining.queueing())
+    return done.table("queue", mining.QUEUE).select("candidate_id", "category", F.trim("content").alias("content"), "user_scope")
+
+
+@query("stream_maintenance")
+def stream_maintenance(spark: SparkSession, d: str) -> DataFrame:
+    """What ended sessions bring about, for their users' chains: facts to quarantine or let go, edges that lose evidence, proposals; (kind, id, detail)."""
+    m = iterate.materialize(t.mem(spark, d).filter("status = 'active'"))
+    signal, edges = t.signal(spark, d), t.edges(spark, d)
+    touched = lambda closed: m.join(closed.select((F.col("user_id") * 5).alias("chain_id")).distinct(), "chain_id", "left_semi")
+    junk = lambda closed: mining.junk(touched(closed))
+
+    def plan(closed: DataFrame) -> DataFrame:
+        own = iterate.materialize(touched(closed))
+        used = signal.select("memory_id").distinct()
+        scored = chains.with_keeper_score(own, signal)
+        alike = dedup.clusters(dedup.semantic_pairs(own, 0.35), scored)
+        return dedup.consolidate(own, own.select("memory_id").join(used, "memory_id", "left_anti"), dedup.containment_pairs(own), alike, scored, NOW, None)
+
+    steps = {
+        "names": lambda closed: graph.junk_nodes(edges.join(touched(closed).select("memory_id"), "memory_id", "left_semi")).select(F.col("node").alias("id"), F.col("reason").alias("detail")),
+        "junk": lambda closed: junk(closed).select(F.col("memory_id").alias("id"), F.lit("flags").alias("detail")),
+        "plan": lambda closed: plan(closed).select(F.col("memory_id").alias("id"), F.col("reason").alias("detail")),
+        "evidence": lambda closed: edges.join(junk(closed).select("memory_id"), "memory_id", "left_semi").select("memory_id", F.concat_ws(" ", "src", "relation", "dst").alias("detail")).withColumnRenamed("memory_id", "id"),
+        "proposals": lambda closed: touched(closed).groupBy("chain_id").agg(F.count("*").alias("n")).filter("n >= 2").select(F.concat(F.lit("cand-"), F.substring(F.sha2(F.concat(F.lit("chain|"), "chain_id"), 256), 1, 16)).alias("id"), F.col("n").cast("string").alias("detail")),
+    }
+    closed = jobs.closed_sessions(jobs.stream(spark, d, "events", jobs.EVENTS), "30 minutes", "1 hour")
+    done = ledger.drain(closed, iterate.shared_dir(spark, "maintenance"), mining.maintenance(steps))
+    out = None
+    for name in steps:
+        part = done.table(name, "id string, detail string").distinct().select(F.lit(name).alias("kind"), "id", "detail")
+        out = part if out is None else out.unionByName(part)
+    return out

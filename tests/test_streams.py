@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from memspark.streaming import jobs
+from memspark.streaming import jobs, ledger, mining
 
 START = dt.datetime(2024, 1, 1)
 
@@ -46,3 +48,57 @@ def test_sessions_end_once_and_pending_goes_stale(spark, tmp_path):
     log = e.select(F.concat(F.lit("c"), "user_id").alias("candidate_id"), F.unix_timestamp("ts").alias("at"), F.when(F.col("event_type") == "click", "pending").otherwise("approved").alias("status"), "ts")
     rows = jobs.drain(spark, jobs.stale(log, 3600), "append").collect()
     assert sorted((r["candidate_id"], (r["since"] - base) // 60) for r in rows) == [("c1", 0), ("c3", 300)]
+
+
+def turns(spark, path):
+    schema = "turn_id long, user_scope string, content string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{path}")
+
+
+def test_turns_are_queued_once_while_they_are_pending(spark, tmp_path):
+    files = [
+        [(5, "u1", "I live in Oslo. I hate rain and love the snow."), (6, "u2", "I live in Oslo.")],
+        # the same again, and a late turn
+        [(7, "u1", "I live in Oslo. Nothing to say."), (2, "u1", "I prefer the early morning market.")],
+        [(8, "u1", "I live in Oslo."), (9, None, None)],
+    ]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, "turn_id long, user_scope string, content string").coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+    at = f"file://{tmp_path}/store"
+    queue = lambda done: {(r["turn_id"], r["user_scope"], r["content"]) for r in done.table("queue", mining.QUEUE).collect()}
+    got = queue(ledger.drain(turns(spark, f"{tmp_path}/in"), at, mining.queueing()))
+    homes = {(t, u) for t, u, c in got if "oslo" in c}
+    assert homes == {(5, "u1"), (6, "u2")} and any(t == 2 for t, _, _ in got)
+    # nothing new: nothing changes; once decided, a text may be queued again
+    assert queue(ledger.drain(turns(spark, f"{tmp_path}/in"), at, mining.queueing())) == got
+    spark.createDataFrame([(12, "u1", "I live in Oslo."), (13, "u2", "I live in Oslo.")], "turn_id long, user_scope string, content string").coalesce(1).write.parquet(f"{tmp_path}/in/b9")
+    decided = lambda: spark.createDataFrame([("cand-000000000005-000",)], "candidate_id string")
+    assert queue(ledger.drain(turns(spark, f"{tmp_path}/in"), at, mining.queueing(decided))) - got == {(12, "u1", next(c for t, _, c in got if t == 5 and "oslo" in c))}
+
+
+def test_a_killed_batch_is_done_again_and_a_done_one_never(spark, tmp_path):
+    write(spark, f"{tmp_path}/in", [[(1, 0, 1, "click", 0), (2, 10, 1, "click", 0)], [(3, 300, 2, "click", 0)], [(4, 900, 3, "click", 0)]])
+    at, runs = f"file://{tmp_path}/store", []
+
+    def step(fail):
+        def make(closed):
+            runs.append("step")
+            if fail:
+                raise RuntimeError("killed between outputs")
+            return closed.select(F.col("user_id").cast("string").alias("id"), F.lit("x").alias("detail"))
+
+        return make
+
+    closed = lambda: jobs.closed_sessions(source(spark, f"{tmp_path}/in"), "20 minutes", "0 minutes")
+    first = lambda rows: rows.select(F.col("user_id").cast("string").alias("id"), F.lit("y").alias("detail"))
+    with pytest.raises(Exception, match="killed between outputs"):
+        ledger.drain(closed(), at, mining.maintenance({"first": first, "second": step(True)}))
+    assert ledger.Ledger(spark, at).table("first", "id string, detail string").count() == 0
+    done = ledger.drain(closed(), at, mining.maintenance({"first": first, "second": step(False)}))
+    tables = lambda: [sorted(r["id"] for r in done.table(n, "id string, detail string").collect()) for n in ("first", "second")]
+    assert tables() == [["1", "2"], ["1", "2"]]
+    # a batch that comes once more, with other rows even, changes nothing
+    n, many = done.last(), len(runs)
+    other = spark.createDataFrame([(99, 0, 0, 1)], "user_id long, began long, ended long, n long")
+    assert not any(done.run(other, k, mining.maintenance({"first": first, "second": step(False)})) for k in range(n + 1))
+    assert tables() == [["1", "2"], ["1", "2"]] and len(runs) == many
