@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .iterate import materialize
@@ -85,6 +87,45 @@ def traverse(merged: DataFrame, seeds: DataFrame, depth: int, relations: list[st
     return scores.groupBy("query_id", "memory_id").agg(F.sum("score").alias("score"))
 
 
+def seeds(terms: DataFrame, types: DataFrame, concepts: list[str], hubs: list[str], least: int = 2) -> DataFrame:
+    """(query_id, node): nodes whose name holds a term (query_id, term), hubs left out; of queries that name at least
+    ``least`` nodes that are no ``concepts``, since broad ones lead everywhere.  ``types`` is (node, type)."""
+    names = types.filter(~F.col("node").isin(hubs)).withColumn("text", F.lower(F.substring_index("node", ":", -1)))
+    found = contained_terms(terms, names).join(names, "text").join(terms, "term").select("query_id", "node", "type").distinct()
+    found = materialize(found)
+    named = found.groupBy("query_id").agg(F.count_if(~F.col("type").isin(concepts)).alias("n")).filter(F.col("n") >= least)
+    return found.join(named, "query_id", "left_semi").select("query_id", "node")
+
+
+def bounded_traverse(edges: DataFrame, start: DataFrame, depth: int, relations: list[str], frontier: int = 40, visited: int = 200) -> DataFrame:
+    """(query_id, memory_id, score): facts on typed edges met from ``start`` (query_id, node), hop by hop.
+
+    From one hop to the next go the ``frontier`` nodes that most of the hop's edges lead to, by name where equal, and
+    never more than ``visited`` nodes a query in all; of the start, the first by name.  The first hop's edges weigh 2,
+    later ones 1.  Evidence stays in rows (edge, fact), so an edge with any number of facts is no larger than another.
+    """
+    edge = ["src", "relation", "dst"]
+    typed = materialize(edges.filter(F.col("relation").isin(relations)).select(*edge, "memory_id").distinct())
+    one = typed.select(*edge).distinct()
+    ways = materialize(one.select(F.col("src").alias("from"), F.col("dst").alias("to"), *edge).unionByName(one.select(F.col("dst").alias("from"), F.col("src").alias("to"), *edge)))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("node"))
+    front = seen = materialize(start.select("query_id", "node").distinct().withColumn("place", place).filter(F.col("place") <= min(frontier, visited)).select("query_id", "node"))
+    scores = []
+    for hop in range(1, depth + 1):
+        step = materialize(front.join(ways, F.col("node") == F.col("from")).select("query_id", "to", *edge))
+        met = step.select("query_id", *edge).distinct()
+        scores.append(materialize(met.join(typed, edge).groupBy("query_id", "memory_id").agg((F.count("*") * (2 if hop == 1 else 1)).alias("score"))))
+        if hop == depth:
+            break
+        held = seen.groupBy("query_id").agg(F.count("*").alias("held"))
+        ranked = Window.partitionBy("query_id").orderBy(F.desc("n"), "node")
+        new = step.groupBy("query_id", F.col("to").alias("node")).agg(F.count("*").alias("n")).join(seen, ["query_id", "node"], "left_anti")
+        new = new.withColumn("place", F.row_number().over(ranked)).join(held, "query_id").filter(F.col("place") <= F.least(F.lit(frontier), F.lit(visited) - F.col("held")))
+        front = materialize(new.select("query_id", "node"))
+        seen = seen.unionByName(front)
+    return reduce(DataFrame.unionByName, scores).groupBy("query_id", "memory_id").agg(F.sum("score").alias("score"))
+
+
 def neighbourhood(merged: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, distance) of all nodes within ``depth`` hops."""
     ways = merged.select(F.col("src").alias("from"), F.col("dst").alias("to")).union(merged.select("dst", "src")).distinct()

@@ -230,6 +230,27 @@ def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbourhood(graph.merge_evidence(t.edges(spark, d)), seeds, 2)
 
 
+_ASKED = "tm as (select n_nationkey as query_id, lower(n_name) as term from nation union all select n_nationkey, lower((select b.n_name from nation b where b.n_nationkey = (a.n_nationkey + 7) % 25)) from nation a where n_nationkey % 6 <> 0)"
+
+
+@query("graph_traversal_bounded", f"""with {_ASKED}, nd as (select distinct node, lower(split_part(node, ':', 2)) as name from (select src as node from edges union all select dst from edges)),
+  fd as (select distinct query_id, node from tm join nd on contains(name, term)), ok as (select query_id from fd group by query_id having count(*) filter (where node not like 'region:%') >= 2),
+  s0 as (select query_id, node from fd where query_id in (from ok) qualify row_number() over (partition by query_id order by node) <= 40),
+  ty as (select distinct src, relation, dst, memory_id from edges where relation in ('based_in', 'lives_in')), one as (select distinct src, relation, dst from ty), w as (select src as f, dst as t, * from one union all select dst, src, * from one),
+  h1 as (select query_id, w.* from s0 join w on f = node), c1 as (select query_id, t as node, count(*) as n from h1 where (query_id, t) not in (select (query_id, node) from s0) group by all),
+  f1 as (select query_id, node from c1 join (select query_id, count(*) as held from s0 group by query_id) using (query_id) qualify row_number() over (partition by query_id order by n desc, node) <= least(40, 200 - any_value(held) over (partition by query_id))),
+  h2 as (select query_id, w.* from f1 join w on f = node),
+  p as (select query_id, memory_id, 2 as wt from (select distinct query_id, src, relation, dst from h1) join ty using (src, relation, dst) union all select query_id, memory_id, 1 from (select distinct query_id, src, relation, dst from h2) join ty using (src, relation, dst))
+  select query_id, memory_id, sum(wt)::bigint as score from p group by all""", "edges")
+def graph_traversal_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Facts near the nations that a query names, if it names two; hubs lead to forty nodes at most."""
+    n = t.read(spark, d, "nation").select((F.col("n_nationkey")).alias("query_id"), F.lower("n_name").alias("term"))
+    other = n.filter("query_id % 6 <> 0").select("query_id", ((F.col("query_id") + 7) % 25).alias("other")).join(n.toDF("other", "term"), "other").select("query_id", "term")
+    e = t.edges(spark, d)
+    start = graph.seeds(n.unionByName(other), graph.node_types(e).withColumn("type", graph.kind(F.col("node"))), ["region"], ["user"])
+    return graph.bounded_traverse(e, start, 2, ["based_in", "lives_in"])
+
+
 @query("graph_junk", """with n as (select distinct node, string_split(node, ':')[-1] as name from (select src as node from edges union all select dst from edges))
   select node, 'round' as reason from n where regexp_matches(name, '#0*[0-9]*00$') and length(name) > 2 and length(name) < 80""", "edges")
 def graph_junk(spark: SparkSession, d: str) -> DataFrame:
