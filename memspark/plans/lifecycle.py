@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import text as x
 from memspark.functions import vectors
-from memspark.operators import graph, iterate, ranking
+from memspark.operators import control, graph, iterate, ranking
 from memspark.sources import tables as t
 from memspark.sources.tables import NOW
 
@@ -197,6 +197,23 @@ def run_gate(spark: SparkSession, d: str) -> DataFrame:
     return t.mem(spark, d).filter("status = 'active'").groupBy("category").agg(new.alias("n_new"), F.max("created_at").alias("watermark"), ((new >= 20) & (F.lit(NOW) - F.max("created_at") >= 86400)).alias("runs"))
 
 
+_STATE = f"st as (select category as scope, {NOW} - (min(doc_id) % 7) * 6 * 3600 as last_run, min(created_at) + (min(doc_id) % 5) * 7200 as watermark from mem where category <> 'goal' group by category)"
+
+
+@query("run_plan", f"""with {_STATE}, f as (select * from mem where status = 'active'), g as (select f.category, count(*) filter (where watermark is null or created_at > watermark) as n_new, any_value(last_run) as last_run, any_value(watermark) as watermark from f left join st on scope = f.category group by f.category),
+  r as (select *, case when {NOW} - last_run < 86400 then 'cooldown' when n_new < 20 then 'novelty' else 'due' end as reason from g),
+  k as (select f.category, f.created_at, f.memory_id, row_number() over (partition by f.category order by f.created_at, f.memory_id) as n from f join r using (category) where reason = 'due' and (watermark is null or f.created_at > watermark) qualify n <= 100)
+  select category, n_new, reason, (select count(*) from k where k.category = r.category) as taken, (select max(created_at) from k where k.category = r.category) as next_mark from r""", "mem")
+def run_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Which categories a background run is due for, given when each last ran and how far; what it takes, and where its watermark would go."""
+    m, i = t.mem(spark, d), F.min("doc_id")
+    state = m.filter("category <> 'goal'").groupBy(F.col("category").alias("scope")).agg((NOW - i % 7 * 6 * 3600).alias("last_run"), (F.min("created_at") + i % 5 * 7200).alias("watermark"))
+    f = m.filter("status = 'active'").select("category", "memory_id", "created_at")
+    due = control.gate(f, state, NOW)
+    taken = control.batch(f, due, F.col("memory_id")).groupBy(F.col("category").alias("_c")).agg(F.count("*").alias("taken"), F.max("created_at").alias("next_mark"))
+    return due.join(taken, F.col("scope") == F.col("_c"), "left").select(F.col("scope").alias("category"), "n_new", "reason", F.coalesce("taken", F.lit(0)).alias("taken"), "next_mark")
+
+
 @query("probes", "select memory_id, (row_number() over (partition by category order by doc_id) - 1) % 3 as template, case (row_number() over (partition by category order by doc_id) - 1) % 3 when 0 then 'What about ' || content[1:40] || '?' when 1 then 'When was ' || content[1:40] || '?' else 'Is it true that ' || content[1:40] || '?' end as probe from mem where status = 'active'", "mem")
 def probes(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation questions from facts, templates in turn; the turn comes from places in the order of (category, doc_id)."""
