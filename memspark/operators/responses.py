@@ -52,12 +52,13 @@ def parsed(answers: DataFrame) -> DataFrame:
     """``answers`` with ``doc`` (VARIANT, null if unreadable) and ``fault``.
 
     The parser stops where a value ends, so the text is parsed inside a list and inside an object: only a text that is one
-    whole value passes both.
+    whole value passes both.  Texts are written once without their fences, for the tables and the faults both read them.
     """
-    text = unfenced(F.col("raw"))
+    bare = materialize(answers.select("answer_id", "cluster", F.coalesce(unfenced(F.col("raw")), F.lit("")).alias("text")))
+    text = F.col("text")
     listed, boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
     one = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & boxed.isNotNull()
-    found = answers.select("answer_id", "cluster", F.coalesce(text, F.lit("")).alias("text"), F.when(one, F.try_variant_get(listed, "$[0]", "variant")).alias("doc"))
+    found = bare.select("answer_id", "cluster", "text", F.when(one, F.try_variant_get(listed, "$[0]", "variant")).alias("doc"))
     kind = F.schema_of_variant("doc")
     fault = F.when(F.col("text") == "", "empty").when(F.col("doc").isNull(), "not JSON").when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), "no object or list")
     return found.withColumn("fault", fault)
