@@ -3,8 +3,8 @@
 Every rule is a pattern over lower-cased text that Java's and RE2's engines read alike, so the same tables
 serve the jobs and their oracles.  Words are bounded by anything but a-z, 0-9 and the apostrophe.
 
-The words of the rules are this library's own: closed classes of English grammar (pronouns, conjunctions,
-prepositions, question words) and common verbs of each kind, not a list taken from elsewhere.
+Words are closed classes of English grammar (pronouns, conjunctions, prepositions, question words) and common verbs.
+Lists on which scores and categories depend, so that they have to hold just these words, are marked as fixed values.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ _OPENERS = "although|and|as|because|but|if|nor|or|since|so|than|though|unless|un
 _DANGLING = "a|an|and|as|at|because|but|by|for|from|if|in|into|nor|of|on|or|than|that|the|to|which|with|without"
 _THIRD = "he|her|him|his|she|their|them|they"
 _TALK = "chat|conversation|dialogue|discussion|exchange|session|thread"
-_SUBJECT = "boy|girl|guy|individual|lady|man|person|speaker|subject|woman"
+# Nouns for somebody unnamed.
+_PERSON, _SOMEBODY = "person", "person|subject|man|woman|girl|boy|guy|lady"
 _SERVICE = "as an? (ai|assistant|language model)|(glad|happy|here) to (assist|help)|i (can|could|will) (assist|check|find|help|look|search)|i'll (assist|check|find|help|look|search)|i'm (an ai|sorry, but)|let me (check|find|help|know|look|search|see)"
 _TRIVIAL = "back|busy|done|fine|free|good|here|hungry|late|ok|okay|out|ready|sick|sure|there|tired|well"
 
@@ -43,7 +44,7 @@ FLAGS = {
     "junk": rf"^.{{0,9}}$|{word(_SERVICE)}|^user (is|has|uses) ({_TRIVIAL})[.!]?$|^({_OPENERS}) [^ ]+ [^ ]+$|[(,]\s*$",
     "assistant_language": word(_SERVICE),
     "wrong_subject": rf"^(the )?user is (an? |the )?(agent|ai|assistant|bot|chatbot|language model){_Z}",
-    "unanchored_subject": word(rf"(the|that|this) ({_SUBJECT})") + "|" + begins(_THIRD),
+    "unanchored_subject": word(rf"(the) ({_SOMEBODY})|(that|this) ({_PERSON})") + "|" + begins(_THIRD),
     "assistant_instruction": word(r"(asked|asking|expect|need|remind|request|tell|told|want|wanted) you"),
     "fragment": begins(_OPENERS) + "|" + ends(_DANGLING),
     "conversation_meta": word(rf"(current|earlier|last|new|our|previous|that|the|this) ({_TALK})"),
@@ -84,30 +85,35 @@ TEMPORAL = (
     (0.45, word(rf"([0-9]+|a couple of|a few|one|two|three|four|five|six|seven|eight|nine|ten|several) (hour|{_UNITS})s?")),
     (0.60, rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|(^|[^0-9])[0-9]{{1,2}}/[0-9]{{1,2}}(/[0-9]{{2,4}})?($|[^0-9])|{_A}({'|'.join(_MONTHS)}) [0-9]{{1,2}}(st|nd|rd|th)?{_Z}"),
     (0.55, r"(^|[^0-9])(19|20)[0-9]{2}($|[^0-9])"),
-    (0.50, word(rf"how long|how many ({_UNITS})s|since when|what (date|day|month|time|year)|when")),
+    (0.50, word(rf"how (long|old)|how many ({_UNITS})s|since when|what (date|day|month|time|year)|what happened|when") + rf"|{_A}between ({'|'.join(_MONTHS)}) and ({'|'.join(_MONTHS)}){_Z}"),
     (0.30, rf"^(how|what|where|which|who) (did|had|was|were){_Z}|{_A}did (i|we){_Z}"),
 )
 MONTH_WEIGHTS = (0.25, 0.10)
-#: (weight a word, words): two words of a class count at most.
+# Words and phrases of the three classes, with the weight of each hit; two hits of a class count at most.
 HOP_WORDS = {
-    "reporting": (0.25, ("advised", "asked", "explained", "mentioned", "mention", "recommended", "reported", "said", "say", "says", "suggested", "told")),
-    "comparison": (0.25, ("better", "compare", "compared", "difference", "differ", "than", "versus", "vs", "worse")),
-    "chain": (0.20, ("because", "caused", "connected", "led", "linked", "related", "resulted", "therefore")),
+    "reporting": (0.25, (
+        "said", "says", "say", "told", "tell", "mentioned", "mentions", "discussed", "discuss", "agreed", "agree", "explained", "explain", "wrote", "write", "sent", "send", "asked", "ask",
+        "recommended", "recommend", "suggested", "suggest", "claimed", "claim", "stated", "state", "replied", "reply", "messaged", "talked about", "talk about", "brought up", "raised",
+    )),
+    "comparison": (0.25, ("compare", "compared", "comparison", "versus", "vs", "different", "differ", "better than", "worse than", "how does", "how do", "which is", "which one")),
+    "chain": (0.20, ("and then", "after that", "related to", "connected", "both", "in common", "link", "links", "involves", "involve", "ties to")),
 }
-#: (weight, pattern); the topic phrase counts only beside a word of a class.
-YOU_SAID = (0.30, word("(did|have) you (ask|mention|recommend|say|suggest|tell)|you (advised|mentioned|recommended|said|suggested|told)"))
-TOPIC = (0.35, word("about|concerning|regarding"))
+# Fixed values: (weight, pattern) of what the other one said; the topic counts only beside a word of a class.
+YOU_SAID = (0.30, word("you (said|told|wrote|mentioned|agreed|suggested|recommended|advised|claimed|explained|sent)"))
+TOPIC = (0.35, word("(about|regarding)"))
 #: On the text as written: names beside a word of a class, and two names joined by "and".
 NAME_WEIGHT, NAME_PAIR = 0.30, (0.30, r"[A-Z][a-z]+ and [A-Z][a-z]+")
+#: A capitalised word behind one that ends in a small letter, a figure or a comma: no sentence begins there.
+NAME = "[a-z0-9,] +([A-Z][A-Za-z]+)"
 ROUTE_FROM = 0.50
-#: Capitalised words that are no names: question words, auxiliaries, pronouns, calendar words.
-NOT_NAMES = ("and", "are", "but", "can", "could", "did", "does", "for", "had", "has", "have", "her", "his", "how", "its", "she", "that", "the", "their", "then", "they", "this", "was", "were", "what", "when", "where", "which", "who", "why", "will", "with", "would", "yes", "you", "your", *_MONTHS, *_WEEKDAYS)
 QUESTION = r"\?|" + begins(rf"{_AUX}|can|could|how|should|what|when|where|which|who|whom|whose|why|will|would")
 
 _REST = r"([^.!?;]+)"
 #: Passing states, which say nothing of who somebody is.
 TRANSIENT = rf"(^|[^a-z'])i('m| am) (an? )?(bit |little |now |really |so |very )*({_TRIVIAL}|able|about|afraid|going|glad|happy|sorry|trying|waiting)"
 _ROLES = "aunt|boss|brother|cousin|daughter|father|friend|husband|manager|mother|neighbour|partner|sister|son|uncle|wife"
+# Verbs of liking and adverbs of habit.
+_LIKING, _HABIT = "prefer|like|love|hate|enjoy", "always|never|usually|typically|generally|rarely|often"
 #: Ordered rules of fact classification: name, category, pattern with the detail in its last group, what a text must not match.
 FACTS = (
     ("relationship", "relationship", rf"my ({_ROLES}) is {_REST}", None),
@@ -117,8 +123,8 @@ FACTS = (
     ("location", "personal_fact", rf"i (?:live|am based|grew up) in {_REST}", None),
     ("use", "personal_fact", rf"i (?:have|own|use) {_REST}", None),
     ("my_is", "personal_fact", rf"my [a-z]+ (?:is|are) {_REST}", None),
-    ("preference", "preference", rf"i (?:enjoy|hate|like|love|prefer) {_REST}", None),
-    ("habit", "preference", rf"i (?:always|never|often|usually) {_REST}", None),
+    ("preference", "preference", rf"i (?:{_LIKING}) {_REST}", None),
+    ("habit", "preference", rf"i (?:{_HABIT}) {_REST}", None),
     ("goal", "goal", rf"i (?:hope|intend|plan|want) to {_REST}", None),
     ("insight", "insight", rf"i (?:discovered|learned|noticed|realized) that {_REST}", None),
     ("event", "event", rf"i (?:attended|finished|met|visited) {_REST}", None),
@@ -142,11 +148,17 @@ DURABLE = ("personal_fact", "preference", "relationship", "insight")
 UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 # Number words.
 NUMBERS = {"a": 1, "an": 1, "one": 1, "couple": 2, "two": 2, "few": 3, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
-#: Patterns of date phrases, tried in this order.
-DATES = {
-    "month_day": rf"on ({'|'.join(_MONTHS)}) ([0-9]{{1,2}})", "feast": "valentine'?s day", "before_yesterday": "the day before yesterday", "yesterday": word("yesterday"), "weekend": "(past|previous|last) weekend",
-    "weekday_ago": rf"the ({'|'.join(_WEEKDAYS)}) ([0-9]+|[a-z]+) (week|month)s? ago", "ago": rf"([0-9]+(?:[.][0-9]+)?|[a-z]+)[ -]+({_UNITS})s? ago", "last_weekday": rf"last ({'|'.join(_WEEKDAYS)})", "last_unit": "last (week|month|year)",
+#: Tokens of a date phrase: fractions, words, and the marks that part phrases.
+DATE_TOKEN = "[0-9]+[.][0-9]+|[a-z0-9]+('[a-z]+)?|[.,!?;:]"
+#: A text without any of these holds no date phrase.
+DATE_ANCHOR = rf"ago|last|past|previous|yesterday|valentine|on ({'|'.join(_MONTHS)})"
+#: What a token is, and its value: months from 1, weekdays from Monday as 0, days of a unit, numbers.
+LEXICON = {
+    **{m: ("month", i) for i, m in enumerate(_MONTHS, 1)}, **{w: ("weekday", i) for i, w in enumerate(_WEEKDAYS)},
+    **{u + s: ("unit", n) for u, n in UNIT_DAYS.items() for s in ("", "s")}, **{w: ("number", n) for w, n in NUMBERS.items()},
 }
+# How far back "N units ago" may lead; the feast that has a date of its own.
+MOST_AGO, FEAST, FEAST_DAY = 3 * 366, "^valentine'?s?$", (2, 14)
 
 
 def low(text: str = "content") -> Column:
@@ -172,7 +184,9 @@ def identifier(text: Column) -> Column:
 
 
 def _hits(text: Column, words: tuple) -> Column:
-    return F.size(F.array_intersect(F.split(text, r"[^a-z0-9']+"), F.array(*map(F.lit, words))))
+    """How many of the words and phrases a text has."""
+    single = F.size(F.array_intersect(F.split(text, r"[^a-z0-9']+"), F.array(*(F.lit(w) for w in words if " " not in w))))
+    return sum((text.rlike(word(w)).cast("int") for w in words if " " in w), single)
 
 
 def _total(*terms: Column) -> Column:
@@ -186,9 +200,8 @@ def temporal_score(text: Column) -> Column:
 
 
 def names(text: Column) -> Column:
-    """Capitalised words of a text as written, but its first word and words that are no names."""
-    every = F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z']*"), F.lit(0))
-    return F.filter(every, lambda x: x.rlike("^[A-Z][a-z]{2,}$") & ~F.lower(x).isin(*NOT_NAMES) & (F.lower(x) != F.lower(F.get(every, F.lit(0)))))
+    """Capitalised words inside the sentences of a text as written, but calendar words."""
+    return F.filter(F.regexp_extract_all(text, F.lit(NAME), F.lit(1)), lambda w: ~F.lower(w).isin(*_MONTHS, *_WEEKDAYS))
 
 
 def multihop_score(text: Column, written: Column) -> Column:
@@ -276,11 +289,6 @@ def _cases(value: Column, table: dict[str, int]) -> Column:
     return F.coalesce(*(F.when(value == k, F.lit(v)) for k, v in table.items()))
 
 
-def _number(token: Column) -> Column:
-    """Whole number of digits or a number word, else null."""
-    return F.coalesce(token.try_cast("int"), _cases(token, NUMBERS))
-
-
 def _day_of(year: Column, month: Column, day: Column) -> Column:
     """Days since the epoch of a date, null where there is none."""
     return F.unix_date(F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int")).try_cast("date"))
@@ -301,27 +309,45 @@ def expiry_days(text: Column, category: Column, ttl: dict[str, int], today: int,
 
 
 def resolved_day(text: Column, day: Column) -> Column:
-    """Days since the epoch that a phrase points to from ``day``, by the first form of ``DATES`` that fits.
+    """Days since the epoch that a phrase points to from ``day``, null without one.
 
-    A date without a year is the latest one not after ``day``; a weekday "ago" is the last one up to that day; a number
-    that is none (a fraction, an unknown word) leaves the later forms to try.
+    The text becomes tokens, and each token a word and its kind and value by ``LEXICON``.  An anchor ("ago", "last",
+    "yesterday", "weekend", "on", the feast) looks at its neighbours and gives a reading (rank, place, day); the least
+    reading counts.  A date without a year is the latest one not after ``day``; one that does not exist (rank 1) still
+    counts, as null; a weekday "ago" is the last one up to that day; a number that is none gives no reading.
     """
-    got = lambda k, i: F.regexp_extract(text, DATES[k], i)
-    is_ = lambda k: text.rlike(DATES[k])
-    year, weekday = F.year(F.date_from_unix_date(day)), F.pmod(day + 3, F.lit(7))
-
-    def past(month: Column, d: Column) -> Column:
-        this = _day_of(year, month, d)
-        return F.when(this <= day, this).otherwise(F.when(this.isNotNull(), _day_of(year - 1, month, d)))
-
-    days = {d: i for i, d in enumerate(_WEEKDAYS)}
-    base = day - _number(got("weekday_ago", 2)) * _cases(got("weekday_ago", 3), UNIT_DAYS)
-    on_weekday = base - F.pmod(base + 3 - _cases(got("weekday_ago", 1), days), F.lit(7))
-    n = _number(got("ago", 1))
-    ago = F.when(n <= 3 * 366, day - n * _cases(got("ago", 2), UNIT_DAYS))
-    back = F.pmod(weekday - _cases(got("last_weekday", 1), days), F.lit(7))
-    return (
-        F.when(is_("month_day"), past(_cases(got("month_day", 1), {m: i for i, m in enumerate(_MONTHS, 1)}), got("month_day", 2).try_cast("int")))
-        .when(is_("feast"), past(F.lit(2), F.lit(14))).when(is_("before_yesterday"), day - 2).when(is_("yesterday"), day - 1).when(is_("weekend"), day - F.pmod(weekday + 1, F.lit(7)))
-        .otherwise(F.coalesce(on_weekday, ago, F.when(is_("last_weekday"), day - F.when(back == 0, 7).otherwise(back)), F.when(is_("last_unit"), day - _cases(got("last_unit", 1), UNIT_DAYS))))
-    )
+    lexicon = F.create_map(*(c for w, (k, v) in LEXICON.items() for c in (F.lit(w), F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")))))
+
+    def read(words: Column, known: Column) -> Column:
+        year, weekday = F.year(F.date_from_unix_date(day)), F.pmod(day + 3, F.lit(7))
+
+        def past(month: Column, d: Column) -> Column:
+            this = _day_of(year, month, d)
+            return F.when(this > day, _day_of(year - 1, month, d)).otherwise(this)
+
+        def at(t: Column, i: Column) -> Column:
+            near = lambda n: F.get(words, i + n)
+            kind, value = lambda n: F.get(known, i + n)["kind"], lambda n: F.get(known, i + n)["value"]
+            found = lambda rank, d: F.struct(F.lit(rank).alias("rank"), i.alias("at"), d.cast("int").alias("day"))
+            of_month = F.regexp_extract(near(2), "^([0-9]{1,2})(st|nd|rd|th)?$", 1)
+            span = F.when(value(-2) <= MOST_AGO, value(-2) * value(-1))
+            onto = day - value(-2) * value(-1)
+            back = F.pmod(weekday - value(1), F.lit(7))
+            ago = F.when((kind(-3) == "weekday") & (near(-4) == "the") & value(-1).isin(UNIT_DAYS["week"], UNIT_DAYS["month"]), found(6, onto - F.pmod(onto + 3 - value(-3), F.lit(7)))).when(span.isNotNull(), found(7, day - span))
+            return (
+                F.when((t == "on") & (kind(1) == "month") & (of_month != ""), found(1, past(value(1), of_month.try_cast("int"))))
+                .when(t.rlike(FEAST) & (near(1) == "day"), found(2, past(*map(F.lit, FEAST_DAY))))
+                .when(t == "yesterday", F.when((near(-3) == "the") & (near(-2) == "day") & (near(-1) == "before"), found(3, day - 2)).otherwise(found(4, day - 1)))
+                .when((t == "weekend") & near(-1).isin("past", "previous", "last"), found(5, day - F.pmod(weekday + 1, F.lit(7))))
+                .when((t == "ago") & (kind(-1) == "unit") & (kind(-2) == "number"), ago)
+                .when((t == "last") & (kind(1) == "weekday"), found(8, day - F.when(back == 0, 7).otherwise(back)))
+                .when((t == "last") & near(1).isin("week", "month", "year"), found(9, day - value(1)))
+            )
+
+        return F.array_min(F.array_compact(F.transform(words, at)))["day"]
+
+    number = lambda w: F.when(w.rlike("^[0-9]{1,9}$"), F.struct(F.lit("number").alias("kind"), w.cast("int").alias("value")))
+    # one-element arrays bind the tokens, so that they are made once a text
+    tokens = F.array(F.regexp_extract_all(text, F.lit(DATE_TOKEN), F.lit(0)))
+    both = F.transform(tokens, lambda w: F.struct(w.alias("w"), F.transform(w, lambda v: F.coalesce(F.try_element_at(lexicon, v), number(v))).alias("k")))
+    return F.when(text.rlike(DATE_ANCHOR), F.get(F.transform(both, lambda b: read(b["w"], b["k"])), F.lit(0)))

@@ -38,7 +38,8 @@ LABEL = "coalesce(" + ", ".join(f"case when {has(p)} then {lit(n)} end" for n, p
 
 
 def hits(words: tuple) -> str:
-    return f"len(list_intersect(list_distinct(string_split_regex(low, '[^a-z0-9'']+')), {list(words)}))"
+    single = f"len(list_intersect(list_distinct(string_split_regex(low, '[^a-z0-9'']+')), {[w for w in words if ' ' not in w]}))"
+    return "(" + " + ".join([single, *(f"{has(x.word(w))}::int" for w in words if " " in w)]) + ")"
 
 
 def _sum(*terms: str) -> str:
@@ -48,7 +49,7 @@ def _sum(*terms: str) -> str:
 _M = hits(x._MONTHS)
 TEMPORAL = _sum(f"case when {_M} > 0 then {x.MONTH_WEIGHTS[0]}e0 + {x.MONTH_WEIGHTS[1]}e0 * least({_M} - 1, 2) else 0 end", *(f"case when {has(p)} then {w}e0 else 0 end" for w, p in x.TEMPORAL))
 _SOME = "(" + " + ".join(hits(words) for _, words in x.HOP_WORDS.values()) + " > 0)"
-_NAMES = f"list_filter(regexp_extract_all(content, '[A-Za-z][A-Za-z'']*'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{2,}}$') and not list_contains({list(x.NOT_NAMES)}, lower(w)) and lower(w) <> lower(regexp_extract(content, '[A-Za-z][A-Za-z'']*')))"
+_NAMES = f"list_filter(regexp_extract_all(content, {lit(x.NAME)}, 1), lambda w: lower(w) not in {(*x._MONTHS, *x._WEEKDAYS)})"
 MULTIHOP = _sum(
     *(f"{w}e0 * least({hits(words)}, 2)" for w, words in x.HOP_WORDS.values()), f"case when {has(x.YOU_SAID[1])} then {x.YOU_SAID[0]}e0 else 0 end", f"case when {_SOME} and len({_NAMES}) > 0 then {x.NAME_WEIGHT}e0 else 0 end",
     f"case when {_SOME} and {has(x.TOPIC[1])} then {x.TOPIC[0]}e0 else 0 end", f"case when {_SOME} and regexp_matches(content, {lit(x.NAME_PAIR[1])}) then {x.NAME_PAIR[0]}e0 else 0 end",
@@ -305,29 +306,26 @@ def suggest_expiry(spark: SparkSession, d: str) -> DataFrame:
     return s.select("turn_id", "category", x.expiry_days(F.col("low"), F.col("category"), t.TTL_DAYS, TODAY).alias("days"))
 
 
-def _date(k: str, i: int) -> str:
-    return _got(x.DATES[k], i)
-
-
-def _num(e: str) -> str:
-    return f"coalesce(case when regexp_matches({e}, '^[0-9]+$') then try_cast({e} as int) end, {cases(e, x.NUMBERS)})"
-
-
 def _past(m: str, d: str) -> str:
     this, last = day_of("year(date '1970-01-01' + day::int)", m, d), day_of("year(date '1970-01-01' + day::int) - 1", m, d)
-    return f"case when {this} <= day then {this} when {this} is not null then {last} end"
+    return f"case when {this} > day then {last} else {this} end"
 
 
-_WD = {w: i for i, w in enumerate(x._WEEKDAYS)}
-_BASE = f"(day - {_num(_date('weekday_ago', 2))} * {cases(_date('weekday_ago', 3), x.UNIT_DAYS)})"
-_BACK = f"((day + 3) % 7 - {cases(_date('last_weekday', 1), _WD)} + 7) % 7"
-RESOLVED = f"""case when {has(x.DATES['month_day'])} then {_past(cases(_date('month_day', 1), {m: i for i, m in enumerate(x._MONTHS, 1)}), f"try_cast({_date('month_day', 2)} as int)")} when {has(x.DATES['feast'])} then {_past('2', '14')}
-  when {has(x.DATES['before_yesterday'])} then day - 2 when {has(x.DATES['yesterday'])} then day - 1 when {has(x.DATES['weekend'])} then day - ((day + 3) % 7 + 1) % 7
-  else coalesce({_BASE} - ({_BASE} + 3 - {cases(_date('weekday_ago', 1), _WD)}) % 7, case when {_num(_date('ago', 1))} <= 1098 then day - {_num(_date('ago', 1))} * {cases(_date('ago', 2), x.UNIT_DAYS)} end,
-    case when {has(x.DATES['last_weekday'])} then day - case when {_BACK} = 0 then 7 else {_BACK} end end, case when {has(x.DATES['last_unit'])} then day - {cases(_date('last_unit', 1), x.UNIT_DAYS)} end) end"""
+_LEX = ", ".join(f"('{w}', '{k}', {v})" for w, (k, v) in x.LEXICON.items())
+_ONTO = "(day - pv2 * pv1)"
+#: Readings (rank, day) of a token by its neighbours: p before, n behind; w words, k kinds, v values.
+_READ = f"""case when w = 'on' and nk1 = 'month' and dom <> '' then [1, {_past('nv1', 'dom')}] when regexp_matches(w, {lit(x.FEAST)}) and nw1 = 'day' then [2, {_past(*map(str, x.FEAST_DAY))}]
+  when w = 'yesterday' then case when pw3 = 'the' and pw2 = 'day' and pw1 = 'before' then [3, day - 2] else [4, day - 1] end when w = 'weekend' and pw1 in ('past', 'previous', 'last') then [5, day - ((day + 3) % 7 + 1) % 7]
+  when w = 'ago' and pk1 = 'unit' and pk2 = 'number' then case when pk3 = 'weekday' and pw4 = 'the' and pv1 in (7, 30) then [6, {_ONTO} - (({_ONTO} + 3 - pv3) % 7 + 7) % 7] when pv2 <= {x.MOST_AGO} then [7, day - pv2 * pv1] end
+  when w = 'last' and nk1 = 'weekday' then [8, day - case when ((day + 3) % 7 - nv1 + 7) % 7 = 0 then 7 else ((day + 3) % 7 - nv1 + 7) % 7 end] when w = 'last' and nw1 in ('week', 'month', 'year') then [9, day - nv1] end"""
+_NEAR = ", ".join(f"{f}({c}, {n}) over t as {p}{a}{n}" for p, f, cs in (("p", "lag", "wkv"), ("n", "lead", "wkv")) for a in cs for c in ({"w": "w", "k": "kind", "v": "value"}[a],) for n in ((1, 2, 3, 4) if p == "p" else (1, 2)))
 
 
-@query("resolve_date", f"""with {TURNS}, l as (select turn_id, lower(content) as low, {TODAY} - turn_id % 400 as day from turns), r as (select turn_id, ({RESOLVED})::bigint as day from l) select turn_id, day from r where day is not null""")
+@query("resolve_date", f"""with {TURNS}, l as (select turn_id, {TODAY} - turn_id % 400 as day, regexp_extract_all(lower(content), {lit(x.DATE_TOKEN)}) as ws from turns), lex(word, kind, value) as (values {_LEX}),
+  o as (select turn_id, day, unnest(ws) as w, generate_subscripts(ws, 1) as i from l), k as (select turn_id, day, w, i, coalesce(lex.kind, case when regexp_matches(w, '^[0-9]{{1,9}}$') then 'number' end) as kind, coalesce(lex.value, case when regexp_matches(w, '^[0-9]{{1,9}}$') then w::int end)::bigint as value from o left join lex on w = word),
+  n as (select *, {_NEAR} from k window t as (partition by turn_id order by i)), m as (select *, regexp_extract(nw2, '^([0-9]{{1,2}})(st|nd|rd|th)?$', 1) as dom from n),
+  r as (select turn_id, i, {_READ} as got from m), b as (select turn_id, got[2] as day from r where got is not null qualify row_number() over (partition by turn_id order by got[1], i) = 1)
+  select turn_id, day::bigint as day from b where day is not null""")
 def resolve_date(spark: SparkSession, d: str) -> DataFrame:
     """What a turn's first date phrase points to from the day it was said."""
     r = turns(spark, d).select("turn_id", x.resolved_day(F.lower("content"), (F.lit(TODAY) - F.col("turn_id") % 400).cast("int")).cast("long").alias("day"))
