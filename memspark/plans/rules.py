@@ -321,11 +321,19 @@ _READ = f"""case when w = 'on' and nk1 = 'month' and dom <> '' then [1, {_past('
 _NEAR = ", ".join(f"{f}({c}, {n}) over t as {p}{a}{n}" for p, f, cs in (("p", "lag", "wkv"), ("n", "lead", "wkv")) for a in cs for c in ({"w": "w", "k": "kind", "v": "value"}[a],) for n in ((1, 2, 3, 4) if p == "p" else (1, 2)))
 
 
-@query("resolve_date", f"""with {TURNS}, l as (select turn_id, {TODAY} - turn_id % 400 as day, regexp_extract_all(lower(content), {lit(x.DATE_TOKEN)}) as ws from turns), lex(word, kind, value) as (values {_LEX}),
-  o as (select turn_id, day, unnest(ws) as w, generate_subscripts(ws, 1) as i from l), k as (select turn_id, day, w, i, coalesce(lex.kind, case when regexp_matches(w, '^[0-9]{{1,9}}$') then 'number' end) as kind, coalesce(lex.value, case when regexp_matches(w, '^[0-9]{{1,9}}$') then w::int end)::bigint as value from o left join lex on w = word),
-  n as (select *, {_NEAR} from k window t as (partition by turn_id order by i)), m as (select *, regexp_extract(nw2, '^([0-9]{{1,2}})(st|nd|rd|th)?$', 1) as dom from n),
-  r as (select turn_id, i, {_READ} as got from m), b as (select turn_id, got[2] as day from r where got is not null qualify row_number() over (partition by turn_id order by got[1], i) = 1)
-  select turn_id, day::bigint as day from b where day is not null""")
+READ_LEX = f"lex(word, kind, value) as (values {_LEX})"
+
+
+def dated_sql() -> str:
+    """``dated`` (turn_id, day) from ``l`` (turn_id, day, low) and ``lex``: the reading that counts, its day perhaps null."""
+    number = "regexp_matches(w, '^[0-9]{1,9}$')"
+    return f"""o as (select turn_id, day, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select turn_id, day, regexp_extract_all(low, {lit(x.DATE_TOKEN)}) as ws from l)),
+  tok as (select turn_id, day, w, i, coalesce(lex.kind, case when {number} then 'number' end) as kind, coalesce(lex.value, case when {number} then w::int end)::bigint as value from o left join lex on w = word),
+  near as (select *, {_NEAR} from tok window t as (partition by turn_id order by i)), dom as (select *, regexp_extract(nw2, '^([0-9]{{1,2}})(st|nd|rd|th)?$', 1) as dom from near), rd as (select turn_id, i, {_READ} as got from dom),
+  dated as (select turn_id, got[2] as day from rd where got is not null qualify row_number() over (partition by turn_id order by got[1], i) = 1)"""
+
+
+@query("resolve_date", f"""with {TURNS}, l as (select turn_id, {TODAY} - turn_id % 400 as day, lower(content) as low from turns), {READ_LEX}, {dated_sql()} select turn_id, day::bigint as day from dated where day is not null""")
 def resolve_date(spark: SparkSession, d: str) -> DataFrame:
     """What a turn's first date phrase points to from the day it was said."""
     r = turns(spark, d).select("turn_id", x.resolved_day(F.lower("content"), (F.lit(TODAY) - F.col("turn_id") % 400).cast("int")).cast("long").alias("day"))
