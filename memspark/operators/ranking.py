@@ -135,10 +135,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def newer_wins(rows: DataFrame, least: float = 0.6, span: int = 3, lift: float = 0.005) -> DataFrame:
     """Of two similar hits within ``span`` ranks, the newer gets the older one's score and a little more."""
-    words = rows.withColumn("words", word_set(F.col("content")))
-    a, b = (words.select(*(F.col(c).alias(f"{s}_{c}") for c in ("query_id", "memory_id", "rank", "score", "created_at", "words"))) for s in "ab")
-    close = (F.col("a_query_id") == F.col("b_query_id")) & (F.abs(F.col("a_rank") - F.col("b_rank")) <= span) & (F.col("a_created_at") < F.col("b_created_at"))
-    pairs = a.join(b, close).filter(jaccard(F.col("a_words"), F.col("b_words")) >= least)
+    words = rows.withColumn("words", word_set(F.col("content"))).withColumn("n", F.size("words"))
+    a, b = (words.select(*(F.col(c).alias(f"{s}_{c}") for c in ("query_id", "memory_id", "rank", "score", "created_at", "words", "n"))) for s in "ab")
+    # sets of too different sizes can't be alike, and a union's size follows from the common words
+    sizes = F.least("a_n", "b_n") >= F.floor(least * F.greatest("a_n", "b_n"))
+    close = (F.col("a_query_id") == F.col("b_query_id")) & (F.abs(F.col("a_rank") - F.col("b_rank")) <= span) & (F.col("a_created_at") < F.col("b_created_at")) & sizes
+    common = F.array(F.size(F.array_intersect("a_words", "b_words")))
+    alike = F.transform(common, lambda i: F.try_divide(i, F.col("a_n") + F.col("b_n") - i))[0]
+    pairs = a.join(b, close).filter(alike >= least)
     lifted = pairs.groupBy(F.col("b_query_id").alias("q_"), F.col("b_memory_id").alias("m_")).agg((F.max("a_score") + lift).alias("floor_"))
     return rows.join(lifted, (F.col("query_id") == F.col("q_")) & (F.col("memory_id") == F.col("m_")), "left").withColumn("score", F.greatest("score", F.coalesce("floor_", "score"))).drop("q_", "m_", "floor_")
 
