@@ -18,10 +18,10 @@ QUEUE = "candidate_id string, category string, content string, user_scope string
 
 def mined(turns: DataFrame) -> DataFrame:
     """Facts that turns (turn_id, user_scope, content) state, worded for the queue; junk is dropped."""
-    s = turns.select("turn_id", "user_scope", F.posexplode(x.sentences(F.col("content"))).alias("pos", "s")).withColumn("f", x.fact(F.lower("s"))).filter("f is not null")
-    s = s.select("turn_id", "user_scope", "pos", F.col("f.category").alias("category"), x.worded(F.col("f.rule"), F.col("f.detail")).alias("content"))
+    s = turns.select("turn_id", "user_scope", F.posexplode(x.sentences(F.col("content"))).alias("pos", "s")).select("turn_id", "user_scope", "pos", F.inline(x.facts(F.lower("s"))))
+    s = s.select("turn_id", "user_scope", "pos", "category", x.worded(F.col("rule"), F.col("detail")).alias("content"))
     name = F.concat(F.lit("cand-"), F.lpad(F.col("turn_id").cast("string"), 12, "0"), F.lit("-"), F.lpad(F.col("pos").cast("string"), 3, "0"))
-    return s.filter(~F.array_contains(x.flags(x.low(), F.col("category")), "junk")).select(name.alias("candidate_id"), "category", "content", "user_scope", "turn_id")
+    return s.select("*", F.inline(x.kept(F.col("content"), F.col("category")))).select(name.alias("candidate_id"), "category", "content", "user_scope", "turn_id")
 
 
 def junk(facts: DataFrame) -> DataFrame:
