@@ -60,3 +60,11 @@ def test_a_text_comes_once_however_late(spark, tmp_path):
     turns = jobs.stream(spark, f"file://{tmp_path}", "conversations", jobs.TURNS, files=1)
     rows = [r["text"] for r in jobs.drain(spark, jobs.distinct_texts(turns), "append").collect()]
     assert len(rows) == 6 and set(rows) == {None, "the same", "own 0", "own 1", "own 2", "own 3"}
+
+
+def test_relations_are_bound(spark):
+    from memspark.plans import lifecycle
+
+    plan = lifecycle.stage_diff(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # both stages are read from written tables
+    assert "(?:attended|visited)" not in plan
