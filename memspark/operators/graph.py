@@ -42,6 +42,13 @@ def remove_evidence(merged: DataFrame, gone: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.size("evidence") == 0, "quarantined").otherwise("active"))
 
 
+def revived(edges: DataFrame, gone: DataFrame, back: DataFrame) -> DataFrame:
+    """(src, relation, dst, status) after the facts ``gone`` (memory_id) left and those of them in ``back`` came again: an
+    edge is active if it has any other evidence.  Evidence stays in rows and each edge becomes one truth value."""
+    left = gone.select("memory_id").distinct().join(back.select("memory_id"), "memory_id", "left_anti").withColumn("left", F.lit(True))
+    return edges.join(left, "memory_id", "left").groupBy("src", "relation", "dst").agg(F.when(F.bool_or(F.col("left").isNull()), "active").otherwise("quarantined").alias("status"))
+
+
 def edges_of(merged: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of the given nodes (node), in both directions."""
     out = merged.join(nodes, F.col("src") == F.col("node")).select("node", F.lit("out").alias("way"), "relation", F.col("dst").alias("other"))

@@ -78,3 +78,16 @@ def test_equal_queries_look_at_facts_once(spark, monkeypatch):
     monkeypatch.setattr(ranking, "materialize", lambda df: (made := plain(df), rows.append(made.count()))[0])
     assert ranking.keyword_best(queries, facts, 0.5).count() == 300
     assert max(rows) < 5000
+
+
+def test_revived_edges_and_facts_are_told_once(spark):
+    from memspark.operators import graph
+    from memspark.plans import lifecycle
+
+    e = spark.createDataFrame([("a", "r", "b", "m1"), ("a", "r", "b", "m2"), ("a", "r", "c", "m1"), ("a", "r", "d", "m2"), ("a", "r", "d", "m2"), ("x", "r", "y", "m9")], "src string, relation string, dst string, memory_id string")
+    ids = lambda *m: spark.createDataFrame([(i,) for i in m], "memory_id string")
+    got = {r["dst"]: r["status"] for r in graph.revived(e, ids("m1", "m2", "m3"), ids("m2", "m3")).collect()}
+    assert got == {"b": "active", "c": "quarantined", "d": "active", "y": "active"}
+    # the edges are joined from the tables once, and no list of evidence is made
+    plan = lifecycle.graph_reactivate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_suppkey") <= 12 and "collect_set" not in plan
