@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,13 +48,17 @@ def queueing(decided: Callable[[], DataFrame] | None = None) -> Outputs:
     return outputs
 
 
-def maintenance(steps: dict[str, Callable[[DataFrame], DataFrame]]) -> Outputs:
-    """Outputs of a batch of closed sessions: ``closings``, and what each step makes of them; nothing runs where none closed."""
+def maintenance(steps: dict[str, Callable[[Any], DataFrame]], prepare: Callable[[DataFrame], Any] = lambda closed: closed) -> Outputs:
+    """Outputs of a batch of closed sessions: ``closings``, and what each step makes of them; nothing runs where none closed.
+
+    ``prepare`` is called once a batch; steps get what it returns.
+    """
 
     def outputs(closed: DataFrame, batch: int, ledger: Ledger) -> list[tuple[str, DataFrame]]:
         closed = materialize(closed)
         if closed.isEmpty():
             return []
-        return [("closings", closed), *((name, step(closed)) for name, step in steps.items())]
+        ready = prepare(closed)
+        return [("closings", closed), *((name, step(ready)) for name, step in steps.items())]
 
     return outputs

@@ -91,3 +91,15 @@ def test_revived_edges_and_facts_are_told_once(spark):
     # the edges are joined from the tables once, and no list of evidence is made
     plan = lifecycle.graph_reactivate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_suppkey") <= 12 and "collect_set" not in plan
+
+
+def test_maintenance_prepares_once_a_batch(spark, tmp_path):
+    from memspark.streaming import ledger, mining
+
+    calls = []
+    steps = {n: lambda ready: ready[1] for n in ("one", "two", "three")}
+    outputs = mining.maintenance(steps, lambda closed: (calls.append(1), closed))
+    book = ledger.Ledger(spark, f"file://{tmp_path}/book")
+    assert book.run(spark.createDataFrame([(1,), (2,)], "user_id long"), 0, outputs) and len(calls) == 1
+    assert [book.table(n, "user_id long").count() for n in steps] == [2, 2, 2]
+    assert book.run(spark.createDataFrame([], "user_id long"), 1, outputs) and len(calls) == 1
