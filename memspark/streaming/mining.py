@@ -27,7 +27,7 @@ def mined(turns: DataFrame) -> DataFrame:
 
 def junk(facts: DataFrame) -> DataFrame:
     """Facts (category, content, ...) with a flag that excludes them."""
-    return facts.filter(F.size(x.hard(x.flags(x.low(), F.col("category")))) > 0)
+    return facts.filter(F.size(x.flags(x.low(), among=x.HARD)) > 0)
 
 
 def queueing(decided: Callable[[], DataFrame] | None = None) -> Outputs:

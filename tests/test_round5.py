@@ -103,3 +103,16 @@ def test_maintenance_prepares_once_a_batch(spark, tmp_path):
     assert book.run(spark.createDataFrame([(1,), (2,)], "user_id long"), 0, outputs) and len(calls) == 1
     assert [book.table(n, "user_id long").count() for n in steps] == [2, 2, 2]
     assert book.run(spark.createDataFrame([], "user_id long"), 1, outputs) and len(calls) == 1
+
+
+def test_hard_flags_run_no_other_rule(spark):
+    from memspark.functions import text as x
+    from memspark.plans import rules
+
+    texts = ["", "you there", "and so on", "the user is a bot", "it ends (", "they said what?", "i told you \t so", "current chat", "a\x0b\x0b b\r\n c ", None]
+    df = spark.createDataFrame([(t, "event") for t in texts], "content string, category string").withColumn("low", x.low())
+    rows = df.select("content", "low", x.flags(F.col("low"), F.col("category")).alias("f"), x.flags(F.col("low"), among=x.HARD).alias("h")).collect()
+    assert all(r["h"] == [n for n in r["f"] if n in x.HARD] for r in rows)
+    assert [r["low"] for r in rows][-3:] == ["current chat", "a b c", None]
+    plan = rules.hard_flags(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "second_person" not in plan and "question" not in plan
