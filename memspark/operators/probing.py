@@ -130,12 +130,19 @@ def run(expected: DataFrame, facts: DataFrame, hits: DataFrame, ladder: tuple[in
     fact, another version of it, or a text with three quarters of the words in common, within the largest cut; the wide
     rank is that of the fact itself or else of its first version, null outside the pool.
     """
-    f = facts.select("memory_id", "chain_id", word_set(F.coalesce("content", F.lit(""))).alias("words"))
+    h = materialize(hits.filter(F.col("rank") <= wide).select("query_id", "memory_id", "rank", "score"))
+    # a fact's words are made once, and only where it is asked for or comes within the largest cut
+    ids = expected.select("memory_id", F.lit(0).alias("first")).unionByName(h.select("memory_id", F.col("rank").alias("first"))).groupBy("memory_id").agg(F.min("first").alias("first"))
+    words = F.when(F.col("first") <= max(ladder), word_set(F.coalesce("content", F.lit(""))))
+    f = materialize(facts.select("memory_id", "chain_id", "content").join(ids, "memory_id").select("memory_id", "chain_id", words.alias("words")))
     e = expected.select("query_id", "memory_id").join(f, "memory_id").select("query_id", F.col("memory_id").alias("want"), F.col("chain_id").alias("want_chain"), F.col("words").alias("want_words"))
-    h = hits.filter(F.col("rank") <= wide).select("query_id", "memory_id", "rank", "score").join(f, "memory_id")
+    h = h.join(f, "memory_id")
     own = F.col("memory_id") == F.col("want")
     version = own | (F.col("chain_id") == F.col("want_chain"))
-    near = (F.col("rank") <= max(ladder)) & (version | (jaccard(F.col("words"), F.col("want_words")) >= ALIKE))
+    # sets of too different sizes can't be alike
+    n, m = F.size("words"), F.size("want_words")
+    alike = (F.least(n, m) >= ALIKE * F.greatest(n, m)) & (jaccard(F.col("words"), F.col("want_words")) >= ALIKE)
+    near = (F.col("rank") <= max(ladder)) & (version | alike)
     top = F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "memory_id", F.round("score", 4).alias("score")))))
     found = e.join(h, "query_id").groupBy("query_id", "want").agg(
         F.min(F.when(near, F.col("rank"))).alias("rank"), F.coalesce(F.min(F.when(own, F.col("rank"))), F.min(F.when(version, F.col("rank")))).alias("wide_rank"), top.alias("top"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +73,13 @@ PAIRS = (("vector", "keyword"), ("keyword", "vector"), ("hybrid", "keyword"), ("
 def regression_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts between runs of a ledger: two legs of one configuration, the hybrid of another, and a run that was never made."""
     q, f = t.search_queries(spark, d), _facts(spark, d)
-    expected, m = iterate.materialize(t.expected_facts(spark, d)), iterate.materialize(t.mem(spark, d).select("memory_id", "chain_id", "content", "category"))
+    expected = iterate.materialize(t.expected_facts(spark, d))
+    # each leg is made once, and the facts that a run can ask for are read once for all runs
+    made = {"keyword": iterate.materialize(ranking.ranked(ranking.keyword_scores(q, f), 200)), "vector": iterate.materialize(vectors.top_k(q, f, 40))}
+    made["hybrid"] = iterate.materialize(ranking.combined(made["keyword"], made["vector"], f, t.signal(spark, d), NOW, probing.WIDE))
+    ids = reduce(DataFrame.union, (x.select("memory_id") for x in (expected, *made.values()))).distinct()
+    m = iterate.materialize(t.mem(spark, d).select("memory_id", "chain_id", "content", "category").join(ids, "memory_id", "left_semi"))
     about = expected.join(m, "memory_id").select("query_id", "category")
-    made = {"keyword": ranking.ranked(ranking.keyword_scores(q, f), 200), "vector": vectors.top_k(q, f, 40), "hybrid": ranking.hybrid(q, f, t.signal(spark, d), NOW, probing.WIDE, vector_pool=40)}
     ledger = probing.RunLedger(spark, iterate.shared_dir(spark, "runs"))
     for name, hits in made.items():
         config = spark.range(1).select(evaluate.config_hash({"legs": F.lit(2 if name == "hybrid" else 1), "wide": F.lit(probing.WIDE)})).first()[0]
