@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ STOP = (
     "but", "on", "with", "at", "by", "from", "as", "do", "does", "did", "what", "who", "how", "where", "when", "why", "which", "about", "so", "very", "have", "has", "had", "would", "will", "can", "could",
     "user", "likes", "prefers", "wants", "needs",
 )
+#: Characters of a text that are looked at first; the rest only where a question needs it.
+HEAD = 400
 #: Facts a block when templates are dealt in turn.
 BLOCK = 65_536
 
@@ -44,6 +47,23 @@ def _clip(text: Column, n: int = 24) -> Column:
     return F.when(F.length(text) <= n, text).when(F.instr(head, " ") > 0, F.regexp_replace(head, " [^ ]*$", "")).otherwise(head)
 
 
+def _renamed(text: Column, synonyms: dict[str, str]) -> Column:
+    """The words of a text, one space between them, the first that has a synonym replaced by it; null without such a word."""
+    bare = F.split(F.regexp_replace(F.lower(F.regexp_replace(text, r"\s+", " ")), "[^a-z ]+", ""), " ")
+    other = F.create_map(*(F.lit(v) for kv in synonyms.items() for v in kv))
+    # a one-element array binds the words, so that they are made once a text
+    both = F.array(F.struct(F.split(text, r"\s+").alias("words"), bare.alias("bare")))
+    both = F.transform(both, lambda b: F.struct(b["words"].alias("words"), b["bare"].alias("bare"), F.array_position(F.transform(b["bare"], lambda w: w.isin(*synonyms)), True).cast("int").alias("place")))
+    new = lambda b: F.concat(F.slice(b["words"], 1, b["place"] - 1), F.array(F.try_element_at(other, F.get(b["bare"], b["place"] - 1))), F.slice(b["words"], b["place"] + 1, F.size(b["words"])))
+    return F.get(F.transform(both, lambda b: F.when(b["place"] > 0, F.array_join(new(b), " "))), F.lit(0))
+
+
+def _enough(head: Column, synonyms: dict[str, str], clip: int = 24) -> Column:
+    """Whether the whole words that a text begins with give the same questions as the text: its first four keywords and
+    its clip, before and after the synonym."""
+    return F.coalesce(reduce(lambda a, b: a & b, ((F.length(t) > clip) & (F.size(_keywords(t)) >= 4) for t in (head, _renamed(head, synonyms)))), F.lit(False))
+
+
 def questions(facts: DataFrame, synonyms: dict[str, str]) -> DataFrame:
     """``facts`` (category, content, tags, created_at) with ``asks``: a question a template, null where it does not apply.
 
@@ -51,22 +71,19 @@ def questions(facts: DataFrame, synonyms: dict[str, str]) -> DataFrame:
     such word of a text is replaced for the last template.
     """
     text = F.trim(F.coalesce("content", F.lit("")))
-    words = F.split(text, r"\s+")
-    bare = lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "")
-    other = F.create_map(*(F.lit(v) for kv in synonyms.items() for v in kv))
-    place = F.array_position(F.transform(words, lambda w: bare(w).isin(*synonyms)), True)
-    said = facts.withColumns({"_text": text, "_words": words, "_place": place}).withColumn("_new", F.when(F.col("_place") > 0, F.array_join(F.transform("_words", lambda w, i: F.when(i + 1 == F.col("_place"), F.try_element_at(other, bare(w))).otherwise(w)), " ")))
+    said = facts.withColumn("_text", text).withColumn("_said", F.when(F.length("_text") > HEAD, F.regexp_replace(F.substring("_text", 1, HEAD), r"\s+\S*$", "")))
+    said = said.withColumn("_said", F.when(_enough(F.col("_said"), synonyms), F.col("_said")).otherwise(F.col("_text"))).withColumn("_new", _renamed(F.col("_said"), synonyms))
     dated = x.resolved_day(F.lower("_text"), F.floor(F.col("created_at") / 86400).cast("int")).isNotNull()
-    said = said.withColumns({"_subject": _subject(F.col("_text")), "_verb": F.coalesce(F.get(_keywords(F.col("_text")), F.lit(1)), F.lit("")), "_subject2": _subject(F.col("_new")), "_dated": dated})
+    said = said.withColumns({"_subject": _subject(F.col("_said")), "_verb": F.coalesce(F.get(_keywords(F.col("_said")), F.lit(1)), F.lit("")), "_subject2": _subject(F.col("_new")), "_dated": dated})
     some = F.col("_subject") != ""
     ask = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    s, rest = F.col("_subject"), _clip(F.col("_text"))
+    s, rest = F.col("_subject"), _clip(F.col("_said"))
     each = {
         "direct": F.when(some, ask("what is ", s, " ", rest, "?")), "temporal": F.when(some & F.col("_dated"), ask("when did ", s, " ", rest, "?")),
         "preference": F.when(some & (F.col("category") == "preference"), ask("what does the user prefer about ", s, "?")), "entity": F.when(some & (F.size("tags") > 0), ask(s, " ", F.col("_verb"), "?")),
         "negation": F.when(some, ask("who is NOT ", s)), "synonym": F.when(F.col("_new").isNotNull() & (F.col("_subject2") != ""), ask("what is ", F.col("_subject2"), " ", _clip(F.col("_new")), "?")),
     }
-    return said.withColumn("asks", F.array(*(each[n] for n in TEMPLATES))).drop("_text", "_words", "_place", "_new", "_subject", "_verb", "_subject2", "_dated")
+    return said.withColumn("asks", F.array(*(each[n] for n in TEMPLATES))).drop("_text", "_said", "_new", "_subject", "_verb", "_subject2", "_dated")
 
 
 def step(state: int, mask: int) -> tuple[int, int]:
@@ -90,9 +107,10 @@ def in_turn(rows: DataFrame, *order: Column, block: int = BLOCK) -> DataFrame:
     from its own first state.  Rows without any template are left out.
     """
     mask = F.aggregate(F.transform("asks", lambda a, i: F.when(a.isNotNull(), F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    placed = numbered(rows.withColumn("_mask", mask), "_place", *order).withColumn("_block", F.floor((F.col("_place") - 1) / block))
-    placed = materialize(placed)
-    few = placed.select("_block", "_place", "_mask")
+    # questions are made once and stay where they are; what goes round is a row's number and its order
+    rows = materialize(rows.withColumns({"_mask": mask, "_row": F.monotonically_increasing_id()}))
+    placed = numbered(rows.drop("asks"), "_place", *order).withColumn("_block", F.floor((F.col("_place") - 1) / block))
+    few = materialize(placed.select("_block", "_place", "_mask", "_row"))
 
     def maps(b: pd.DataFrame) -> pd.DataFrame:
         ends = list(range(len(TEMPLATES)))
@@ -114,13 +132,15 @@ def in_turn(rows: DataFrame, *order: Column, block: int = BLOCK) -> DataFrame:
         for m in b["_mask"]:
             at, state = _STEPS[m][state]
             out.append(at)
-        return pd.DataFrame({"_place": b["_place"], "_at": out})
+        return pd.DataFrame({"_row": b["_row"], "_at": out})
 
-    starts = few.groupBy("_block").applyInPandas(maps, "_block long, ends array<int>").coalesce(1).sortWithinPartitions("_block").mapInPandas(compose, "_block long, state int")
-    dealt = few.join(starts, "_block").groupBy("_block").applyInPandas(deal, "_place long, _at int").filter("_at >= 0")
+    # written first: what follows is one task, which is to read the maps only
+    ends = materialize(few.drop("_row").groupBy("_block").applyInPandas(maps, "_block long, ends array<int>"))
+    starts = ends.coalesce(1).sortWithinPartitions("_block").mapInPandas(compose, "_block long, state int")
+    dealt = few.join(starts, "_block").groupBy("_block").applyInPandas(deal, "_row long, _at int").filter("_at >= 0")
     name = F.element_at(F.array(*map(F.lit, TEMPLATES)), F.col("_at") + 1)
-    out = placed.join(dealt, "_place").withColumns({"template": name, "probe": F.element_at("asks", F.col("_at") + 1)})
-    return out.drop("_place", "_block", "_mask", "_at", "asks")
+    out = rows.join(dealt, "_row").withColumns({"template": name, "probe": F.element_at("asks", F.col("_at") + 1)})
+    return out.drop("_row", "_mask", "_at", "asks")
 
 
 def run(expected: DataFrame, facts: DataFrame, hits: DataFrame, ladder: tuple[int, ...] = LADDER, wide: int = WIDE) -> DataFrame:

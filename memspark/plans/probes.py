@@ -43,7 +43,7 @@ def probe_templates(spark: SparkSession, d: str) -> DataFrame:
     """A probe for every active fact, six templates in turn over all of them, those that don't apply skipped; every third fact is dated."""
     told = F.concat(F.coalesce("content", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " as of yesterday").otherwise(""))
     m = t.mem(spark, d).filter("status = 'active'").select("memory_id", "category", told.alias("content"), "tags", "created_at")
-    asked = probing.questions(m, SYNONYMS)
+    asked = probing.questions(m, SYNONYMS).select("memory_id", "created_at", "asks")
     return probing.in_turn(asked, F.col("created_at"), F.col("memory_id")).select("memory_id", "template", "probe")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from memspark.functions import text as x
 from memspark.functions import vectors
 from memspark.operators import probing, ranking
 from memspark.plans import probes
@@ -51,3 +54,46 @@ def test_verdict_makes_each_leg_once(spark, monkeypatch):
     counted(vectors, "top_k")
     assert probes.regression_verdict(spark, SF).count() == len(probes.PAIRS)
     assert sorted(made) == ["keyword_scores", "top_k"]
+
+
+def test_questions_are_made_once(spark):
+    """Dealing templates in turn moves rows by number and order; what the questions cost is paid once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def asks(i):
+        seen.add(1)
+        return [f"q{i}", None, None, None, f"n{i}", None]
+
+    rows = spark.range(500).select(F.format_string("m%03d", "id").alias("memory_id"), asks("id").alias("asks"))
+    got = {r["memory_id"]: r["probe"] for r in probing.in_turn(rows, F.col("memory_id").desc(), block=64).collect()}
+    assert got == {f"m{i:03}": f"{'qn'[(499 - i) % 2]}{i}" for i in range(500)}
+    assert seen.value == 500
+
+
+def test_the_beginning_of_a_text_gives_its_questions(spark, monkeypatch):
+    """Where only the first words are looked at, all questions are those of the whole text."""
+    rnd = random.Random(6)
+    pool = ["the", "The,", "und", "(Los)", "u-n-d", "of", "a", "is", "I", "car's", "red", "boat", "x" * 50, "été", "--", "3.5", "ΟΔΟΣ", "und7-blue-green", "house", "tree", "KK", "İs"]
+    texts = [rnd.choice(["", " ", "\n"]) + "".join(w + rnd.choice([" ", " ", "  ", "\n", "\t "]) for w in rnd.choices(pool[rnd.randrange(3) * 5 :], k=rnd.randrange(60))) for _ in range(300)]
+    texts += ["word " * 40, "the " * 40, "a" * 300, " " * 200 + "the end", "one two three four " + "x" * 200 + " the"]
+    rows = spark.createDataFrame([(i, t, "preference", ["a"], 1_700_000_000) for i, t in enumerate(texts)], "id long, content string, category string, tags array<string>, created_at long")
+
+    def made(head):
+        monkeypatch.setattr(probing, "HEAD", head)
+        return {r["id"]: r["asks"] for r in probing.questions(rows, probes.SYNONYMS).collect()}
+
+    whole = made(10**9)
+    assert made(30) == whole and made(90) == whole
+    assert {n for a in whole.values() for n, q in enumerate(a) if q} == {0, 2, 3, 4, 5}
+
+
+def test_date_phrases_at_the_edges(spark):
+    """Anchors at both ends of a text, several of them, and marks of the feast; 19,800 is a Monday."""
+    want = {
+        "yesterday": 19799, "ago": None, "2 days ago": 19798, "on march": None, "on march 3rd on": 19785, "the day before yesterday": 19798, "imago": None, "last": None, "last monday": 19793,
+        "on time, last week": 19793, "the monday 2 weeks ago": 19786, "valentine's day": 19767, "past weekend": 19799, "on march 40 yesterday": None, "previous owner said so on monday": None,
+        "3 days ago and yesterday": 19799, "last year, yesterday": 19799, "a " * 500 + "day ago": 19799,
+    }
+    rows = spark.createDataFrame([(k, 19800) for k in want], "s string, d int")
+    assert {r["s"]: r["day"] for r in rows.select("s", x.resolved_day(F.col("s"), F.col("d")).alias("day")).collect()} == want
