@@ -152,7 +152,8 @@ def rebuild(edges: DataFrame, current: DataFrame) -> DataFrame:
 
 def junk_nodes(edges: DataFrame, longest: int = 80, most_words: int = 6) -> DataFrame:
     """Nodes whose name is no name: too short, too long, too many words, or letter-number codes."""
-    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    # written, or the rules would run on both ends of every edge
+    ends = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
     name = F.substring_index("node", ":", -1)
     reason = F.when(F.length(name) <= 2, "short").when(F.length(name) >= longest, "long").when(F.size(F.split(name, " ")) >= most_words, "words").when(name.rlike("^[a-z][0-9]+$"), "code").when(name.rlike("#0*[0-9]*00$"), "round")
     return ends.withColumn("reason", reason).filter("reason is not null")

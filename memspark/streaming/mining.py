@@ -27,7 +27,8 @@ def mined(turns: DataFrame) -> DataFrame:
 
 def junk(facts: DataFrame) -> DataFrame:
     """Facts (category, content, ...) with a flag that excludes them."""
-    return facts.filter(F.size(x.flags(x.low(), among=x.HARD)) > 0)
+    # the array binds the text as the rules read it, which a filter would make anew for each of them
+    return facts.filter(F.exists(F.array(x.low()), x.hard))
 
 
 def queueing(decided: Callable[[], DataFrame] | None = None) -> Outputs:
